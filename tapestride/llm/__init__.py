@@ -6,15 +6,17 @@ from .common import Query
 
 
 def queries() -> dict[str, Query]:
-    from . import packing, url_filter
+    from . import exact_dedup, packing, toxicity, url_filter
 
     return {
         "op4_packing": packing.op4_packing,
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_url_filter": url_filter.op7_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import url_filter
+    from . import exact_dedup, url_filter
 
-    return {"op7_url_filter": url_filter.SQL}
+    return {"op6_exact_dedup": exact_dedup.SQL, "op7_url_filter": url_filter.SQL}
