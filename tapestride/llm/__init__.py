@@ -6,13 +6,15 @@ from .common import Query
 
 
 def queries() -> dict[str, Query]:
-    from . import exact_dedup, packing, toxicity, url_filter
+    from . import exact_dedup, html_main, licences, packing, toxicity, url_filter
 
     return {
+        "op3_html_main": html_main.op3_html_main,
         "op4_packing": packing.op4_packing,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_url_filter": url_filter.op7_url_filter,
+        "op9_license_scan": licences.op9_license_scan,
     }
 
 
