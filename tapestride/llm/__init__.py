@@ -6,7 +6,7 @@ from .common import Query
 
 
 def queries() -> dict[str, Query]:
-    from . import decontaminate, exact_dedup, html_main, licences, packing, toxicity, url_filter
+    from . import decontaminate, exact_dedup, html_main, licences, near_join, packing, toxicity, url_filter
 
     return {
         "op2_decontaminate": decontaminate.op2_decontaminate,
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_url_filter": url_filter.op7_url_filter,
         "op9_license_scan": licences.op9_license_scan,
+        "op10_near_join": near_join.op10_near_join,
     }
 
 
