@@ -6,7 +6,7 @@ from .common import Query
 
 
 def queries() -> dict[str, Query]:
-    from . import decontaminate, exact_dedup, html_main, licences, near_join, packing, toxicity, url_filter
+    from . import decontaminate, exact_dedup, html_main, licences, lm_score, near_join, packing, toxicity, url_filter
 
     return {
         "op2_decontaminate": decontaminate.op2_decontaminate,
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_url_filter": url_filter.op7_url_filter,
+        "op8_lm_score": lm_score.op8_lm_score,
         "op9_license_scan": licences.op9_license_scan,
         "op10_near_join": near_join.op10_near_join,
     }
