@@ -6,9 +6,10 @@ from .common import Query
 
 
 def queries() -> dict[str, Query]:
-    from . import decontaminate, exact_dedup, html_main, licences, lm_score, near_join, packing, toxicity, url_filter
+    from . import decontaminate, exact_dedup, html_main, licences, lm_score, near_join, packing, repeats, toxicity, url_filter
 
     return {
+        "op1_repeats": repeats.op1_repeats,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_html_main": html_main.op3_html_main,
         "op4_packing": packing.op4_packing,
