@@ -180,6 +180,14 @@ def halves(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFram
     return docs.where(~old), docs.where(old)
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns."""
+    out = exact_dedup(*halves(docs, id_col), id_col, text_col).where(~F.col("kept"))
+    gone = out.select(F.col(id_col).alias("gone"), F.unhex("text_sha256").alias("sha")).distinct()
+    same = (docs[id_col].eqNullSafe(gone["gone"])) & (F.unhex(F.sha2(strip_ws(text_of(docs[text_col])), 256)) == gone["sha"])
+    return docs.join(gone, same, "left_anti")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(*halves(table(spark, sf_dir, "documents"))).drop("in_snapshot")
 

@@ -258,5 +258,12 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     return members, pairs.join(named("a"), "a").join(named("b"), "b").select("a_id", "b_id", "jaccard")
 
 
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group of documents joined by links, the one with the smallest id, with all its columns."""
+    members = near_join(docs, id_col, text_col)[0]
+    gone = members.where(~F.col(id_col).eqNullSafe(F.col("group_id"))).select(F.col(id_col).alias("gone")).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone"]), "left_anti")
+
+
 def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join(table(spark, sf_dir, "documents"))[0]

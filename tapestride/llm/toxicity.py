@@ -223,3 +223,17 @@ def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Chai
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity(docs, fitted(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_flagged(docs: DataFrame, chain: Chain, category: str = "toxic", text_col: str = "text") -> DataFrame:
+    """The rows that the chain does not put into the category, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(chain))  # bounded by MOST_FEATURES
+    j, at = chain.names.index(category), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(pickle.loads(held.value))
+        for batch in batches:
+            stays = [scorer.score(t.as_py() or "")[j] <= scorer.chain.thresholds[j] for t in batch.column(at)]
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
