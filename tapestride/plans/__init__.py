@@ -1,7 +1,10 @@
 """The named queries of the engine's own operators."""
 
+from . import catalog2
 from .catalog import QUERIES, SQL
 
+assert catalog2
+
 
 def queries() -> dict:
     return dict(QUERIES)
