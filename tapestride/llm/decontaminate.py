@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import table, text_of
 
 WINDOW, SPARE = 13, 2
-MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
+MASKS = ((0, 1, 3, 6, 7),)
 #: Test hashes are broadcast up to so many (24 bytes each); more of them are joined by a shuffle.
 BROADCAST_SEEDS = 1_000_000
 
@@ -28,15 +28,24 @@ def hashed_words(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), ""), lambda w: F.xxhash64(w))
 
 
-def seeds(h: Column, masks: tuple[tuple[int, ...], ...]) -> Column:
-    """Array of (position, seed) of every mask at every place of the hashed words h."""
-    n = F.size(h)
+def seeds(h: Column, mask: tuple[int, ...]) -> Column:
+    """Seed of the mask at each place of the hashed words h; places too near the end hash fewer words, and prove nothing."""
+    salt = F.lit(len(mask) * 100 + mask[-1])
+    return F.transform(h, lambda x, i: F.xxhash64(salt, x, *(F.get(h, i + o) for o in mask[1:])))
 
-    def of(mask: tuple[int, ...]) -> Column:
-        places = F.transform(F.sequence(F.lit(0), n - (mask[-1] + 1)), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(len(mask) * 100 + mask[-1]), *(F.get(h, i + o) for o in mask)).alias("seed")))
-        return F.when(n > mask[-1], places).otherwise(F.array().cast("array<struct<pos:int,seed:bigint>>"))
 
-    return F.concat(*map(of, masks))
+def placed_seeds(words: DataFrame, keep: str, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """(keep, pos, seed) of all masks at all places of the hashed words w."""
+    out = None
+    for mask in masks:
+        one = words.select(keep, F.posexplode(seeds(F.col("w"), mask)).alias("pos", "seed"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def held(array: Column) -> Column:
+    """The array, evaluated once per row: a generator between two projections keeps the optimizer from copying it into lambdas."""
+    return F.explode(F.array(array))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -45,20 +54,23 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     b = items.select(items[item_col].alias("item"), hashed_words(text_of(items[item_text_col])).alias("w")).where(F.size("w") > 0)
     b = b.withColumn("row", F.xxhash64("item", "w"))
     short = sorted(r[0] for r in b.where(F.size("w") < WINDOW).select(F.size("w")).distinct().collect())  # 12 at most
-    masks = MASKS + tuple(tuple(range(n)) for n in short)
-    long_seeds = seeds(F.col("w"), MASKS)
-    own = [F.when(F.size("w") == n, seeds(F.col("w"), (tuple(range(n)),))) for n in short]
-    test = b.select("row", F.inline(F.coalesce(*own, long_seeds))).select("row", F.col("pos").alias("item_pos"), "seed")
+    whole = tuple(tuple(range(n)) for n in short)
+    test = placed_seeds(b.where(F.size("w") >= WINDOW), "row", MASKS)
+    for mask in whole:
+        test = test.unionByName(placed_seeds(b.where(F.size("w") == len(mask)), "row", (mask,)))
+    test = test.withColumnRenamed("pos", "item_pos")
     if test.count() <= BROADCAST_SEEDS:
         test = F.broadcast(test)
-    train = d.select("id", hashed_words(F.col("text")).alias("w")).select("id", F.inline(seeds(F.col("w"), masks)))
+    train = placed_seeds(d.select("id", hashed_words(F.col("text")).alias("w")), "id", MASKS + whole)
     hits = train.join(test, "seed").select("id", "row", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
-    near = hits.join(b, "row")
-    near = near.join(d.withColumnRenamed("id", "doc"), near["id"].eqNullSafe(F.col("doc"))).withColumn("t", hashed_words(F.col("text")))
+    # a document's candidates together, so that its text is hashed once
+    near = hits.join(b, "row").groupBy("id").agg(F.collect_list(F.struct("item", "row", "w", "shift")).alias("near"))
+    near = near.join(d.withColumnRenamed("id", "doc"), near["id"].eqNullSafe(F.col("doc"))).select("id", "near", held(hashed_words(F.col("text"))).alias("t"))
+    near = near.select("id", "t", F.explode("near").alias("x")).select("id", "t", "x.*")
     n, width = F.size("w"), F.least(F.size("w"), F.lit(WINDOW))
     place = lambda j: j + F.col("shift")
     same = F.transform("w", lambda x, j: F.when((place(j) >= 0) & F.coalesce(F.get("t", F.greatest(place(j), F.lit(0))) == x, F.lit(False)), 1).otherwise(0))
-    near = near.withColumn("same", same)
+    near = near.select("id", "item", "row", "w", "shift", held(same).alias("same"))
     window = F.array_max(F.transform(F.sequence(F.lit(1), n - width + 1), lambda s: F.aggregate(F.slice("same", s, width), F.lit(0), lambda a, x: a + x)))
     total = F.aggregate("same", F.lit(0), lambda a, x: a + x)
     need = F.when(n < WINDOW, n).otherwise(WINDOW - SPARE)
