@@ -3,8 +3,8 @@
 Documents with equal n-gram sets form a class, and only classes are compared. A class's signature is laid out in
 trees; a tree's sorted prefixes are its trie, and classes that share a prefix are candidates. Prefixes are shortened
 from the deepest level until the trees together reach the target recall at the threshold. Candidates pass a 2-bit
-sketch of the signature (six standard deviations below the threshold) and the length bound, then their n-gram sets
-are compared exactly.
+sketch of the signature (six standard deviations below the threshold) and the length bound; they form candidate
+groups, inside which n-gram sets are compared exactly, block by block, and links are counted without being listed.
 
 A document of fewer words than the n-gram has one n-gram, all its words. Cases: null and empty texts have no
 n-grams; they form one class without links to others; repeated ids and texts are rows of their own; null ids are
@@ -26,6 +26,8 @@ from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
 PERMUTATIONS, TREES, LEVELS, RECALL = 128, 25, 8, 0.9999
+#: Classes of a candidate group that are compared with each other at a time.
+BLOCK = 512
 CACHE = 400_000
 
 
@@ -119,8 +121,52 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, depth:
     return rows.mapInArrow(run, f"{field_ddl(rows, 'id')}, n bigint, class binary, keys binary, sketch binary")
 
 
+def unite(parent, i, j):
+    """Union of the pairs (i, j) in a parent array; every node then points at the smallest of its set."""
+    import numpy as np
+
+    while True:
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+        a, b = parent[i], parent[j]
+        apart = a != b
+        if not apart.any():
+            return parent
+        np.minimum.at(parent, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+
+
+def key_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Tables of whole groups and their bounds, of batches sorted by their first column; a group may span batches."""
+    import numpy as np
+
+    held: list[pa.RecordBatch] = []
+
+    def bounds(part: pa.Table) -> list[tuple[int, int]]:
+        key = part.column(0).to_numpy()
+        ends = np.append(np.flatnonzero(np.diff(key)) + 1, len(key))
+        return list(zip([0, *ends[:-1].tolist()], ends.tolist()))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if batch.column(0)[0] == batch.column(0)[-1] == held[0].column(0)[-1]:
+            continue
+        part = pa.Table.from_batches(held)
+        key = part.column(0).to_numpy()
+        last = int(np.searchsorted(key, key[-1], "left"))
+        whole = part.slice(0, last)
+        yield whole, bounds(whole)
+        held = part.slice(last).to_batches()
+    if held:
+        part = pa.Table.from_batches(held)
+        yield part, bounds(part)
+
+
 def candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """Distinct candidate pairs (a, b) of classes: same prefix in a tree, and not ruled out by sketch or length."""
+    """Edges (a, b) that join candidate classes: same prefix in a tree, and not ruled out by sketch or length.
+
+    A bucket gives a spanning forest of its candidate pairs, so its rows grow with its classes, not with their pairs."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -134,136 +180,155 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     share = threshold + (1 - threshold) / 4  # equal 2-bit values at the threshold
     floor = (share - 6 * math.sqrt(share * (1 - share) / PERMUTATIONS)) * PERMUTATIONS
 
-    def pairs(n, sketch):
-        """Index pairs in one group, block by block."""
+    def forest(n, sketch):
+        """Parents of a bucket's classes, pairs taken block by block."""
         import numpy as np
 
-        bits, low = sketch.view(np.uint64), np.uint64(0x5555555555555555)
+        bits, low, parent = sketch.view(np.uint64), np.uint64(0x5555555555555555), np.arange(len(n))
         for at in range(0, len(n), 256):
             own = slice(at, at + 256)
             diff = bits[own, None, :] ^ bits[None, at:, :]
             apart = np.bitwise_count((diff | (diff >> np.uint64(1))) & low).sum(axis=2)
             a, b = n[own, None], n[None, at:]
             i, j = np.nonzero((PERMUTATIONS - apart >= floor) & (np.minimum(a, b) >= threshold * np.maximum(a, b)))
-            yield i[j > i] + at, j[j > i] + at
+            parent = unite(parent, i + at, j + at)
+        return parent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-        held: list[pa.RecordBatch] = []
-
-        def groups(part: pa.Table) -> Iterator[pa.RecordBatch]:
-            prefix = part["prefix"].to_numpy()
-            ends = np.append(np.flatnonzero(np.diff(prefix)) + 1, len(prefix))
-            starts = np.append(0, ends[:-1])
-            many = np.flatnonzero(ends - starts > 1)
-            if not len(many):
-                return
-            n, sketch = part["n"].to_numpy(), np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint8).reshape(len(prefix), -1)
-            raw = part["class"].combine_chunks()
-            raw = raw if isinstance(raw, pa.Array) else raw.chunk(0)
-            left, right, count = [], [], 0
-            for g in many:
-                s, e = int(starts[g]), int(ends[g])
-                for i, j in pairs(n[s:e], np.ascontiguousarray(sketch[s:e])):
-                    left.append(i + s)
-                    right.append(j + s)
-                    count += len(i)
-                    if count >= 50_000:
-                        yield emit(raw, left, right)
-                        left, right, count = [], [], 0
-            if count:
-                yield emit(raw, left, right)
-
-        def emit(raw, left, right):
-            import pyarrow.compute as pc
-
-            a, b = raw.take(pa.array(np.concatenate(left))), raw.take(pa.array(np.concatenate(right)))
-            first = pc.less(a, b)
-            return pa.RecordBatch.from_arrays([pc.if_else(first, a, b), pc.if_else(first, b, a)], schema=schema)
-
-        for batch in batches:  # sorted by prefix; a group may go on in the next batch
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            if batch.column(0)[0] == batch.column(0)[-1] == held[0].column(0)[-1]:
-                continue
-            part = pa.Table.from_batches(held)
-            prefix = part["prefix"].to_numpy()
-            last = int(np.searchsorted(prefix, prefix[-1], "left"))
-            yield from groups(part.slice(0, last))
-            held = part.slice(last).to_batches()
-        if held:
-            yield from groups(pa.Table.from_batches(held))
+        for part, bounds in key_runs(batches):
+            left, right = [], []
+            if many := [(s, e) for s, e in bounds if e - s > 1]:
+                n, sketch = part["n"].to_numpy(), np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                for s, e in many:
+                    parent = forest(n[s:e], np.ascontiguousarray(sketch[s:e]))
+                    k = np.flatnonzero(parent != np.arange(e - s))
+                    left.append(k + s)
+                    right.append(parent[k] + s)
+            if left:
+                take = lambda x: part["class"].take(pa.array(np.concatenate(x))).combine_chunks()  # noqa: E731, B023
+                yield from pa.table({"a": take(left), "b": take(right)}).to_batches()
 
     rows = classes.select("class", "n", "keys", "sketch").where("n > 0").mapInArrow(spread, "prefix bigint, class binary, n bigint, sketch binary")
     return rows.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(run, "a binary, b binary").distinct()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float) -> DataFrame:
-    """The pairs whose n-gram sets have a Jaccard similarity of threshold at least, with it."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "rep"), "class")
-    texts = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text")).join(nodes, F.col("id").eqNullSafe(F.col("rep"))).select("class", "text")
+def common_counts(left: list, right: list):
+    """Sizes of the intersections of all sets on the left with all on the right, as a product of incidence matrices over the elements that both sides hold."""
+    import numpy as np
+
+    sides = []
+    for sets in (left, right):
+        flat = np.concatenate(sets)
+        sides.append((flat, np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    out = np.zeros((len(left), len(right)), np.float32)
+    parts = []
+    for flat, row in sides:
+        place = np.searchsorted(both, flat)
+        ok = place < len(both)
+        ok[ok] = both[place[ok]] == flat[ok]
+        parts.append((place[ok], row[ok]))
+    order = [np.argsort(p, kind="stable") for p, _ in parts]
+    for at in range(0, len(both), 4096):  # sets count exactly in float32 up to 2**24 elements
+        dense = []
+        for (place, row), o, n in zip(parts, order, (len(left), len(right))):
+            a, b = np.searchsorted(place[o], [at, at + 4096])
+            m = np.zeros((n, min(4096, len(both) - at)), np.float32)
+            m[row[o[a:b]], place[o[a:b]] - at] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def verified(grouped: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float) -> DataFrame:
+    """(class, other, linked, linked_docs): how many classes of its candidate group a class is linked to by an exact
+    comparison of their n-gram sets, how many documents these hold, and a linked class towards the group's smallest.
+
+    A candidate group of g classes is cut into blocks of about BLOCK; each pair of blocks is compared by one task's
+    step, so a class travels once per block of its group and no pair of classes becomes a row."""
+    sizes = grouped.groupBy("label").agg(F.count("*").alias("g"))
+    nodes = grouped.join(sizes, "label").select(F.col("node").alias("class"), "label", F.ceil(F.col("g") / BLOCK).alias("blocks"))
+    nodes = nodes.join(classes.select("class", "rep", "size"), "class")
+    texts = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text")).join(nodes, F.col("id").eqNullSafe(F.col("rep"))).select("class", "label", "blocks", "size", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            cls, out = [], []
-            for c, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            live, out = [], []
+            for k, (c, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(4))):
                 s = shingler.hashes(t.as_py())
                 if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == c:  # else another text under the same id
-                    cls.append(c)
+                    live.append(k)
                     out.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(out, pa.binary())], names=["class", "s"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(live, pa.int64())) for c in range(4)), pa.array(out, pa.binary())], names=["class", "label", "blocks", "size", "s"])
 
-    held = cut(texts.mapInArrow(sets, "class binary, s binary").dropDuplicates(["class"]))
-    both = pairs.join(held.select(F.col("class").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("class").alias("b"), F.col("s").alias("sb")), "b")
+    held = texts.mapInArrow(sets, "class binary, label binary, blocks bigint, size bigint, s binary").dropDuplicates(["class"])
+    own = F.pmod(F.xxhash64("class"), F.col("blocks"))
+    dealt = held.withColumn("own", own).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("label", F.least("own", "to"), F.greatest("own", "to")).alias("key"), F.col("own") <= F.col("to"), F.col("own") == F.col("to"), "class", "size", "s").toDF("key", "low", "alone", "class", "size", "s")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
-            jaccard = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                z = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((z[1:] == z[:-1]).sum())
-                jaccard.append(common / (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(jaccard, pa.float64())], names=["a", "b", "jaccard"])
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a binary, b binary, jaccard double").where(F.col("jaccard") >= threshold)
-
-
-def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs). members: a row per input row with its class, links and group; pairs: of class ids, with their similarity.
-
-    n_links counts other documents: the rest of the class, and all of each linked class. group_id is the smallest
-    id that links lead to."""
+        for part, bounds in key_runs(batches):
+            alone, low = part["alone"].to_numpy(zero_copy_only=False), part["low"].to_numpy(zero_copy_only=False)
+            size, cls, sets_of = part["size"].to_numpy(), part["class"].to_pylist(), part["s"]
+            out: list[tuple] = []
+            for s, e in bounds:
+                a = [k for k in range(s, e) if low[k]]
+                b = a if alone[s] else [k for k in range(s, e) if not low[k]]
+                if len(a) + len(b) < 2 or not a or not b:
+                    continue
+                get = lambda ks: [np.frombuffer(sets_of[k].as_buffer(), np.uint64) for k in ks]  # noqa: E731, B023
+                x = get(a)
+                y = x if b is a else get(b)
+                n, m = np.array([len(v) for v in x]), np.array([len(v) for v in y])
+                common = common_counts(x, y)
+                link = common >= threshold * (n[:, None] + m[None, :] - common) - 1e-6
+                if b is a:
+                    np.fill_diagonal(link, False)
+                i, j = np.nonzero(link)
+                if not len(i):
+                    continue
+                joined = unite(np.arange(e - s), np.array(a)[i] - s, np.array(b)[j] - s) + s
+                docs_a, docs_b = link @ size[b], size[a] @ link
+                for k, count, held_docs in [*zip(a, link.sum(axis=1), docs_a)] + ([] if b is a else [*zip(b, link.sum(axis=0), docs_b)]):
+                    if count:
+                        out.append((cls[k], cls[joined[k - s]], int(count), int(held_docs)))
+            if out:
+                cols = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["class", "other", "linked", "linked_docs"])
+
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "class binary, other binary, linked bigint, linked_docs bigint")
+
+
+def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """A row per input row with its class, links and group.
+
+    n_class_links counts linked classes, n_links other documents: the rest of the class, and all of each linked
+    class. group_id is the smallest id that links lead to."""
     prints = cut(fingerprints(docs, id_col, text_col, words, prefix_length(threshold)))
     classes = cut(prints.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
-    pairs = cut(verified(cut(candidates(classes, threshold)), classes, docs, id_col, text_col, words, threshold))
-    labels = components(pairs)
-    ends = pairs.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("class"), F.col("a").alias("other")))
-    sizes = classes.select(F.col("class").alias("other"), F.col("size").alias("other_size"))
-    links = ends.join(sizes, "other").groupBy("class").agg(F.count("*").alias("linked"), F.sum("other_size").alias("linked_docs"))
+    found = cut(verified(components(candidates(classes, threshold)), classes, docs, id_col, text_col, words, threshold))
+    labels = components(found.select(F.col("class").alias("a"), F.col("other").alias("b")))
+    links = found.groupBy("class").agg(F.sum("linked").alias("linked"), F.sum("linked_docs").alias("linked_docs"))
     least = labels.join(classes.select(F.col("class").alias("node"), "rep"), "node").groupBy("label").agg(F.min("rep").alias("group_id"))
     grouped = labels.join(least, "label").select(F.col("node").alias("class"), "group_id")
     known = cut(classes.select("class", "rep", "size").join(links, "class", "left").join(grouped, "class", "left"))
-    members = prints.select("id", "class").join(known, "class").select(
+    return prints.select("id", "class").join(known, "class").select(
         F.col("id").alias(id_col), F.col("rep").alias("class_id"), F.col("size").alias("class_size"), F.coalesce("linked", F.lit(0)).cast("long").alias("n_class_links"),
         (F.col("size") - 1 + F.coalesce("linked_docs", F.lit(0))).cast("long").alias("n_links"), F.coalesce("group_id", "rep").alias("group_id"),
     )
-    named = lambda side: classes.select(F.col("class").alias(side), F.col("rep").alias(f"{side}_id"))
-    return members, pairs.join(named("a"), "a").join(named("b"), "b").select("a_id", "b_id", "jaccard")
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each group of documents joined by links, the one with the smallest id, with all its columns."""
-    members = near_join(docs, id_col, text_col)[0]
+    members = near_join(docs, id_col, text_col)
     gone = members.where(~F.col(id_col).eqNullSafe(F.col("group_id"))).select(F.col(id_col).alias("gone")).distinct()
     return docs.join(gone, docs[id_col].eqNullSafe(gone["gone"]), "left_anti")
 
 
 def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_join(table(spark, sf_dir, "documents"))[0]
+    return near_join(table(spark, sf_dir, "documents"))
