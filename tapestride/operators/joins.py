@@ -13,7 +13,7 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list
     matched time; beyond the tolerance (an interval) nothing matches. A left row is never multiplied or lost."""
     forward = direction == "forward"
     r = right.groupBy(*by, at).agg(F.max(F.struct(*values)).alias("_r"))
-    tags = (0, 1) if strict == forward else (1, 0)  # (left, right) among equal times
+    tags = (1, 0) if strict == forward else (0, 1)  # (left, right) among equal times
     rows = left.withColumn("_side", F.lit(tags[0])).withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)).withColumn("_at", F.lit(None).cast(r.schema[at].dataType)).withColumn("_left", F.lit(True))
     both = rows.unionByName(r.withColumn("_side", F.lit(tags[1])).withColumn("_at", F.col(at)).withColumn("_left", F.lit(False)), allowMissingColumns=True)
     w = Window.partitionBy(*by).orderBy(at, "_side")

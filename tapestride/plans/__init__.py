@@ -1,9 +1,9 @@
 """The named queries of the engine's own operators."""
 
-from . import catalog2
+from . import catalog2, streams
 from .catalog import QUERIES, SQL
 
-assert catalog2
+assert catalog2 and streams  # imported for their registrations
 
 
 def queries() -> dict:

@@ -98,16 +98,17 @@ def itch_messages(spark: SparkSession, path: str) -> DataFrame:
     """Order messages of length-prefixed binary files: (file, seq, kind, locate, ns, ref, new_ref, side, shares, stock, price).
 
     Files are read whole, one row each, as the format has no split points; a day's files are many."""
-    import struct
     from collections.abc import Iterator
 
     import pyarrow as pa
 
     ddl = "file string, seq bigint, kind string, locate bigint, ns bigint, ref bigint, new_ref bigint, side string, shares bigint, stock string, price double"
     names = [x.split()[0] for x in ddl.split(", ")]
-    formats = {k: (struct.Struct(f.replace(" ", "")), fields) for k, (f, fields) in ITCH.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import struct
+
+        formats = {k: (struct.Struct(f.replace(" ", "")), fields) for k, (f, fields) in ITCH.items()}
         for batch in batches:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data, at, seq, rows = data.as_py(), 0, 0, []
