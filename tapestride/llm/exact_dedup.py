@@ -6,7 +6,7 @@ positives join the snapshot's exact buckets, where one text of either side is co
 is decided over both sides.
 
 Texts are equal when identical after deleting ASCII white space. Cases: null counts as empty; equal texts keep the
-row with the most code points, then the smallest id; a repeated id is a row of its own; an empty snapshot or batch
+row with the most code points, then the smallest id; rows of one id and one text stay or go together; an empty snapshot or batch
 is allowed; only id and text are read. A digest that two different texts share (the byte check finds it) keeps the
 two sides apart.
 """
