@@ -25,6 +25,7 @@ def core(bars: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     b = b.withColumns({"_z": W.zscore("close", 20), "_prev": prev, "_eq": eq, "_vw": F.lag("vwap").over(day), "_pc": F.lag("close").over(day), "_r": F.avg(F.col("high") - F.col("low")).over(W.last_n(5)), "_rr": F.avg(F.col("high") - F.col("low")).over(W.last_n(20)), "_open": F.first("open").over(day)})
     up, down = F.col("close") > F.col("open"), F.col("close") < F.col("open")
     c = F.col("close")
+    # fixed values: the names of the core signals
     return emit(b, {
         "PDL_TOUCH": (1, (F.col("low") <= F.col("pdl")) & (c > F.col("pdl"))), "PDH_TOUCH": (-1, (F.col("high") >= F.col("pdh")) & (c < F.col("pdh"))),
         "EQ50_LONG": (1, (F.col("low") <= F.col("_eq")) & (c > F.col("_eq")) & up), "EQ50_SHORT": (-1, (F.col("high") >= F.col("_eq")) & (c < F.col("_eq")) & down),
