@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .stats import correlation
 
 
 def gamma_exposure(chain: DataFrame, keys: list[str]) -> DataFrame:
@@ -76,7 +77,7 @@ def greedy_uncorrelated(returns: DataFrame, name: str, at: str, value: str, cap:
     Correlations come from one join on time; the choice runs over the names' matrix, which is of the book's size."""
     totals = [r[name] for r in returns.groupBy(name).agg(F.sum(value).alias("t")).orderBy(F.desc("t"), name).collect()]
     a, b = returns.select(F.col(name).alias("a"), at, F.col(value).alias("x")), returns.select(F.col(name).alias("b"), at, F.col(value).alias("y"))
-    c = {(r.a, r.b): r.c for r in a.join(b, at).groupBy("a", "b").agg(F.corr("x", "y").alias("c")).collect()}
+    c = {(r.a, r.b): r.c for r in a.join(b, at).groupBy("a", "b").agg(correlation("x", "y").alias("c")).collect()}
     out: list[str] = []
     for n in totals:
         if len(out) < most and all((c.get((n, m)) or 0.0) <= cap for m in out):

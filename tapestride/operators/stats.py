@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def correlation(x: str, y: str, over=None) -> Column:
+    """Pearson correlation of the rows that have both, null where either does not vary (the built-in divides by zero there)."""
+    at = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    return at(F.covar_samp(a, b)) / F.nullif(at(F.stddev_samp(a)) * at(F.stddev_samp(b)), F.lit(0.0))
+
+
 def average_rank(df: DataFrame, keys: list[str], col: str, name: str) -> DataFrame:
     """Adds the rank of col within keys, ties by their mean."""
     w = Window.partitionBy(*keys)
@@ -14,7 +21,7 @@ def average_rank(df: DataFrame, keys: list[str], col: str, name: str) -> DataFra
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     d = average_rank(average_rank(df, keys, x, "_x"), keys, y, "_y")
-    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.corr(x, y), 6).alias("pearson"), F.round(F.corr("_x", "_y"), 6).alias("spearman"))
+    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.round(correlation(x, y), 6).alias("pearson"), F.round(correlation("_x", "_y"), 6).alias("spearman"))
 
 
 def log_bin(x: Column, steps: int = 4) -> Column:

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import bars as B
 from ..operators import joins as J
-from ..operators import simulate as X
-from ..operators import validate as V
 from ..operators import windows as W
+from ..operators.stats import correlation
 from ..sources.tape import table, tape
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,12 +166,12 @@ def session_vwap(spark, sf):
 
 
 @query(f"""WITH {BARS}, y AS (SELECT *, close - lag(close) OVER o AS dc, CAST(volume AS DOUBLE) AS v FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY ts))
-SELECT symbol, bar_id, CASE WHEN count(dc) OVER w = 30 THEN round(corr(dc, v) OVER w, 6) END AS corr30, CASE WHEN count(dc) OVER w = 30 THEN round(covar_samp(dc, v) OVER w / nullif(var_samp(v) OVER w, 0), 6) END AS beta30 FROM y WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 29 PRECEDING)""")
+SELECT symbol, bar_id, CASE WHEN count(dc) OVER w = 30 AND stddev_samp(dc) OVER w * stddev_samp(v) OVER w > 0 THEN round(corr(dc, v) OVER w, 6) END AS corr30, CASE WHEN count(dc) OVER w = 30 THEN round(covar_samp(dc, v) OVER w / nullif(var_samp(v) OVER w, 0), 6) END AS beta30 FROM y WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 29 PRECEDING)""")
 def rolling_beta(spark, sf):
     b = hourly(spark, sf).withColumn("dc", F.col("close") - F.lag("close").over(W.by_symbol())).withColumn("v", F.col("volume").cast("double"))
     w = W.last_n(30)
     full = F.count("dc").over(w) == 30
-    return b.select("symbol", "bar_id", F.when(full, r(F.corr("dc", "v").over(w))).alias("corr30"), F.when(full, r(F.covar_samp("dc", "v").over(w) / F.nullif(F.var_samp("v").over(w), F.lit(0.0)))).alias("beta30"))
+    return b.select("symbol", "bar_id", F.when(full, r(correlation("dc", "v", w))).alias("corr30"), F.when(full, r(F.covar_samp("dc", "v").over(w) / F.nullif(F.var_samp("v").over(w), F.lit(0.0)))).alias("beta30"))
 
 
 @query(f"""WITH {BARS} SELECT symbol, bar_id, CASE WHEN count(*) OVER w = 24 THEN round((len(list_filter(list(close) OVER w, lambda x: x < close)) + (len(list_filter(list(close) OVER w, lambda x: x = close)) + 1) / 2.0) / 24, 6) END AS rank24,

@@ -239,7 +239,7 @@ def regression_stats(spark, sf):
     o = W.by_symbol()
     y = hourly(spark, sf).select("symbol", "bar_id", "close", F.lag("close").over(o).alias("p"), (F.col("close") - F.lag("close").over(o)).alias("d"), (F.lag("close").over(o) - F.lag("close", 2).over(o)).alias("pd"))
     s = F.regr_slope("close", "p")
-    return y.groupBy("symbol").agg(r(F.regr_slope("close", "bar_id"), 9).alias("trend"), r(F.regr_intercept("close", "bar_id")).alias("level"), r(F.corr("d", "pd")).alias("autocorr1"), r(s).alias("ar1"), r(F.when(s > 0, -F.ln(F.lit(2.0)) / F.ln(s))).alias("half_life"))
+    return y.groupBy("symbol").agg(r(F.regr_slope("close", "bar_id"), 9).alias("trend"), r(F.regr_intercept("close", "bar_id")).alias("level"), r(A.correlation("d", "pd")).alias("autocorr1"), r(s).alias("ar1"), r(F.when(s > 0, -F.ln(F.lit(2.0)) / F.ln(s))).alias("half_life"))
 
 
 @query(f"""WITH {BARS}, d AS (SELECT symbol, unnest([1, 2, 4, 8, 16]) AS k, unnest([close - lag(close, 1) OVER o, close - lag(close, 2) OVER o, close - lag(close, 4) OVER o, close - lag(close, 8) OVER o, close - lag(close, 16) OVER o]) AS d FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY bar_id)), v AS (SELECT symbol, k, var_pop(d) AS v FROM d GROUP BY 1, 2) SELECT symbol, round(regr_slope(ln(v), ln(k)) / 2, 6) AS hurst FROM v WHERE v > 0 GROUP BY 1""")
