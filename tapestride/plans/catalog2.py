@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import bars as B
 from ..operators import joins as J
 from ..operators import signals as G
 from ..operators import simulate as X
