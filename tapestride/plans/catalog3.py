@@ -37,7 +37,7 @@ def parity_spot(spark, sf):
 h AS (SELECT symbol, order_id, arg_min(ts, (ts, id)) AS fill_ts, arg_min(px < lim, (ts, id)) AS through FROM t WHERE px < lim OR done > ahead GROUP BY 1, 2) SELECT o.symbol, o.order_id, fill_ts, through FROM o LEFT JOIN h USING (symbol, order_id)""")
 def queue_fills(spark, sf):
     t = tape(spark, sf)
-    o = t.where("id % 10 = 0").select("symbol", F.col("id").alias("order_id"), "ts", F.round(F.col("px") * 0.5, 2).alias("limit"), F.col("size").alias("ahead"))
+    o = t.select("symbol", F.col("id").alias("order_id"), "ts", (F.round(F.col("px") * 0.5 * 100) / 100).alias("limit"), F.col("size").alias("ahead"))
     return M.queue_fills(o, t, 10_800)
 
 
@@ -51,10 +51,9 @@ def round_trips(spark, sf):
 @query("""WITH g AS (SELECT l_returnflag AS flag, l_discount AS disc, l_tax AS tax, avg(l_quantity) AS v FROM lineitem WHERE l_discount <= 0.05 AND l_tax <= 0.05 GROUP BY 1, 2, 3), i AS (SELECT *, CAST(round(disc * 100) AS INT) AS a, CAST(round(tax * 100) AS INT) AS b FROM g)
 SELECT x.flag, x.disc, x.tax, round(any_value(x.v), 6) AS v, count(*) AS n_near, round(avg(y.v), 6) AS near_mean FROM i x JOIN i y ON x.flag = y.flag AND abs(x.a - y.a) + abs(x.b - y.b) = 1 GROUP BY 1, 2, 3""")
 def parameter_neighbours(spark, sf):
-    l = table(spark, sf, "lineitem").where("l_discount <= 0.05 AND l_tax <= 0.05")
-    g = l.groupBy(F.col("l_returnflag").alias("flag"), F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax")).agg(F.avg("l_quantity").alias("v"))
-    steps = [0.0, 0.01, 0.02, 0.03, 0.04, 0.05]
-    return M.neighbours(g, ["flag"], {"disc": steps, "tax": steps}, "v").select("flag", "disc", "tax", r("v").alias("v"), "n_near", r("near_mean").alias("near_mean"))
+    g = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax")).agg(F.avg("l_quantity").alias("v"))
+    steps = {a: sorted(x[0] for x in g.select(a).where(F.col(a).isNotNull()).distinct().collect()) for a in ("disc", "tax")}
+    return M.neighbours(g, ["flag"], steps, "v").select("flag", "disc", "tax", r("v").alias("v"), "n_near", r("near_mean").alias("near_mean"))
 
 
 @query(f"""WITH {ENTRY}, dy AS (SELECT symbol, CAST(ts AS DATE) AS day, sum(pnl) AS p FROM trades GROUP BY 1, 2), t AS (SELECT *, unnest(range(1, 31)) AS trial FROM dy), u AS (SELECT *, ('0x' || substr(md5('order|' || trial || '|' || symbol || '|' || day), 1, 8))::BIGINT / 4294967296.0 AS u FROM t),
@@ -145,5 +144,5 @@ def market_regimes(spark, sf):
 
 @query("SELECT event_id, ts, md5(event_type) AS h FROM events ORDER BY ts, event_id LIMIT 200")
 def stable_order(spark, sf):
-    return table(spark, sf, "events").select("event_id", "ts", F.md5("event_type").alias("h")).orderBy("ts", "event_id").limit(200)
+    return table(spark, sf, "events").select("event_id", "ts", F.md5("event_type").alias("h")).orderBy("ts", "event_id")
 
