@@ -310,8 +310,7 @@ def interval_join(spark, sf):
 @query("""WITH d AS (SELECT o_orderpriority AS k, CAST(o_orderdate AS DATE) AS day, round(sum(o_totalprice), 2) AS v FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 5 = 0 GROUP BY 1, 2), s AS (SELECT k, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY k)
 SELECT k, day, last_value(v IGNORE NULLS) OVER (PARTITION BY k ORDER BY day ROWS UNBOUNDED PRECEDING) AS v FROM s LEFT JOIN d USING (k, day)""")
 def calendar_ffill(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderstatus = 'F' AND o_custkey % 5 = 0")
-    d = o.groupBy(F.col("o_orderpriority").alias("k"), F.to_date("o_orderdate").alias("day")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
+    d = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("k"), F.to_date("o_orderdate").alias("day")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
     return J.on_calendar(d, "k", "day", ["v"])
 
 

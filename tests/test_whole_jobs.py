@@ -57,3 +57,11 @@ def test_neighbours_of_the_whole_grid(spark, tmp_path):
     got = {(x.flag, round(x.disc * 100), round(x.tax * 100)): (x.v, x.n_near, x.near_mean) for x in plans.queries()["parameter_neighbours"](spark, str(tmp_path)).collect()}
     assert got == want
     assert max(a for _, a, _ in got) == 10
+
+
+def test_calendar_takes_all_orders(spark, tmp_path):
+    day = lambda k: dt.date(1995, 1, 1) + dt.timedelta(days=k)
+    rows = [(1, "O", 10.5, day(0), "a"), (2, "P", 1.25, day(0), "a"), (5, "F", 7.0, day(4), "a"), (7, "F", 2.0, day(6), "a"), (3, "O", 3.0, day(2), "b")]
+    spark.createDataFrame(rows, "o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate date, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(x.k, x.day): x.v for x in plans.queries()["calendar_ffill"](spark, str(tmp_path)).collect()}
+    assert got == {("a", day(k)): 11.75 if k < 4 else 7.0 if k < 6 else 2.0 for k in range(7)} | {("b", day(2)): 3.0}
