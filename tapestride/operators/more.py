@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,16 +116,72 @@ def largest_overlap(spans: DataFrame, queries: DataFrame) -> DataFrame:
     return j.groupBy("symbol", "q").agg(F.min_by(F.struct("contract", days.alias("days")), F.struct(-days, F.col("contract"))).alias("x")).select("symbol", "q", "x.*")
 
 
-def motif_distance(bars: DataFrame, m: int) -> DataFrame:
-    """Adds motif: the least z-normalised distance of a bar's last m closes to the m closes that ended 1 to 5 windows earlier."""
-    w = W.by_symbol()
+#: Windows of a symbol that are compared with each other at a time, and cells of the histogram of squared distances.
+MOTIF_BLOCK, MOTIF_CELLS = 1024, 4096
+
+
+def motif_distance(bars: DataFrame, m: int, share: float = 0.02) -> DataFrame:
+    """Adds motif and density of a bar's last m closes, z-normalised, among all windows of its symbol that don't overlap them.
+
+    motif: the least distance to an earlier window. density: how many windows, earlier or later, are nearer than the
+    `share` quantile of the symbol's squared distances, rounded up to 4 * m / MOTIF_CELLS. Flat and short windows have
+    neither. A symbol's windows are cut into blocks and each pair of blocks is one group: a window travels once per
+    block, and no pair of windows becomes a row; a pass takes the quantile, a second one distances and counts."""
     b = bars.withColumn("_w", F.collect_list("close").over(W.last_n(m)))
     mean = F.aggregate("_w", F.lit(0.0), lambda a, x: a + x) / m
     b = b.withColumn("_m", mean)
     b = b.withColumn("_sd", F.sqrt(F.aggregate("_w", F.lit(0.0), lambda a, x: a + (x - F.col("_m")) * (x - F.col("_m"))) / m))
     z = F.when((F.size("_w") == m) & (F.col("_sd") > 1e-9), F.transform("_w", lambda x: (x - F.col("_m")) / F.col("_sd")))
-    b = b.withColumn("_z", z)
-    lags = {k: F.lag("_z", k * m).over(w) for k in range(1, 6)}
-    b = b.withColumns({f"_z{k}": c for k, c in lags.items()})
-    dist = lambda o: F.sqrt(F.aggregate(F.zip_with("_z", o, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
-    return b.withColumn("motif", F.least(*(dist(f"_z{k}") for k in lags))).drop("_w", "_m", "_sd", "_z", *(f"_z{k}" for k in lags))
+    b = b.withColumns({"_z": z, "_k": F.row_number().over(W.by_symbol()).cast("long")}).drop("_w", "_m", "_sd")
+    own = F.floor(F.col("_k") / MOTIF_BLOCK)
+    dealt = b.where("_z IS NOT NULL").select("symbol", "_k", "_z", own.alias("_own"), F.max(own).over(Window.partitionBy("symbol")).alias("_last"))
+    dealt = dealt.withColumn("_to", F.explode(F.sequence(F.lit(0).cast("long"), "_last")))
+    dealt = dealt.select("symbol", "_k", "_z", F.least("_own", "_to").alias("_lo"), F.greatest("_own", "_to").alias("_hi"), (F.col("_own") <= F.col("_to")).alias("_low"))
+    cells, width = MOTIF_CELLS, 4 * m / MOTIF_CELLS
+
+    def compared(part):
+        """Numbers of the older and the newer block's windows, their squared distances, and which pairs count."""
+        import numpy as np
+
+        k = part["_k"].to_numpy()
+        z = part["_z"].combine_chunks().flatten().to_numpy().reshape(-1, m)
+        low = part["_low"].to_numpy()
+        old = np.flatnonzero(low)
+        new = old if part["_lo"][0] == part["_hi"][0] else np.flatnonzero(~low)
+        d = np.zeros((len(old), len(new)))
+        for j in range(m):
+            d += (z[old, None, j] - z[None, new, j]) ** 2
+        return k[old], k[new], d, k[None, new] - k[old, None] >= m
+
+    def cell(d):
+        import numpy as np
+
+        return np.minimum((d / width).astype(np.int64), cells - 1)
+
+    def histogram(part):
+        import numpy as np
+
+        _, _, d, ok = compared(part)
+        n = np.bincount(cell(d[ok]), minlength=cells)
+        at = np.flatnonzero(n)
+        return pa.table({"symbol": pa.array([part["symbol"][0].as_py()] * len(at), part.schema.field("symbol").type), "_cell": pa.array(at, pa.int64()), "_n": pa.array(n[at], pa.int64())})
+
+    def nearest(part):
+        import numpy as np
+
+        old, new, d, ok = compared(part)
+        near = ok & (cell(d) <= (part["_cut"][0].as_py() if part["_cut"][0].is_valid else -1))
+        least = np.where(ok, d, np.inf).min(axis=0, initial=np.inf)
+        k, n = np.concatenate([old, new]), np.concatenate([near.sum(axis=1), near.sum(axis=0)])
+        least = np.concatenate([np.full(len(old), np.inf), least])
+        return pa.table({"symbol": pa.array([part["symbol"][0].as_py()] * len(k), part.schema.field("symbol").type), "_k": pa.array(k, pa.int64()), "_d": pa.array(least, pa.float64()), "_n": pa.array(n, pa.int64())})
+
+    kind = f"symbol {bars.schema['symbol'].dataType.simpleString()}"
+    counts = dealt.groupBy("symbol", "_lo", "_hi").applyInArrow(histogram, f"{kind}, _cell bigint, _n bigint").groupBy("symbol", "_cell").agg(F.sum("_n").alias("_n"))
+    w = Window.partitionBy("symbol")
+    upto = F.sum("_n").over(w.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
+    cut = counts.select("symbol", "_cell", (upto >= share * F.sum("_n").over(w)).alias("_in")).where("_in").groupBy("symbol").agg(F.min("_cell").alias("_cut"))
+    found = dealt.join(cut, "symbol", "left").groupBy("symbol", "_lo", "_hi").applyInArrow(nearest, f"{kind}, _k bigint, _d double, _n bigint")
+    found = found.groupBy("symbol", "_k").agg(F.min("_d").alias("_d"), F.sum("_n").alias("density"))
+    motif = F.when(F.col("_d") < float("inf"), F.sqrt("_d"))
+    return b.join(found, ["symbol", "_k"], "left").withColumn("motif", motif).drop("_z", "_k", "_d")

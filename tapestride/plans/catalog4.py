@@ -98,7 +98,7 @@ def condition_triples(spark, sf):
 @query(f"""WITH {BARS}, w AS (SELECT symbol, bar_id, list(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 5 PRECEDING) AS w FROM bars), z AS (SELECT symbol, bar_id, CASE WHEN len(w) = 6 AND list_stddev_pop(w) > 1e-9 THEN list_transform(w, lambda x: (x - list_avg(w)) / list_stddev_pop(w)) END AS z FROM w),
 l AS (SELECT symbol, bar_id, z, lag(z, 6) OVER o AS z1, lag(z, 12) OVER o AS z2, lag(z, 18) OVER o AS z3, lag(z, 24) OVER o AS z4, lag(z, 30) OVER o AS z5 FROM z WINDOW o AS (PARTITION BY symbol ORDER BY bar_id)) SELECT symbol, bar_id, round(least(list_distance(z, z1), list_distance(z, z2), list_distance(z, z3), list_distance(z, z4), list_distance(z, z5)), 5) AS motif FROM l""")
 def motif_distance(spark, sf):
-    return O.motif_distance(hourly(spark, sf), 6).select("symbol", "bar_id", r("motif", 5).alias("motif"))
+    return O.motif_distance(hourly(spark, sf), 6).select("symbol", "bar_id", r("motif", 5).alias("motif"), "density")
 
 
 @query("""WITH s AS (SELECT *, event_type IN ('click', 'purchase') AS paper FROM events), j AS (SELECT p.event_id, f.event_id AS fill, f.value - p.value AS slip, row_number() OVER (PARTITION BY p.event_id ORDER BY f.event_id) AS n FROM s p JOIN s f ON p.user_id = f.user_id AND p.paper AND NOT f.paper AND f.ts BETWEEN p.ts - INTERVAL 6 HOUR AND p.ts + INTERVAL 6 HOUR) SELECT event_id, fill, round(slip, 6) AS slip FROM j WHERE n = 1""")

@@ -65,3 +65,38 @@ def test_calendar_takes_all_orders(spark, tmp_path):
     spark.createDataFrame(rows, "o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate date, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     got = {(x.k, x.day): x.v for x in plans.queries()["calendar_ffill"](spark, str(tmp_path)).collect()}
     assert got == {("a", day(k)): 11.75 if k < 4 else 7.0 if k < 6 else 2.0 for k in range(7)} | {("b", day(2)): 3.0}
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_motif_over_all_windows(spark, monkeypatch, block):
+    from tapestride.operators import more
+
+    monkeypatch.setattr(more, "MOTIF_BLOCK", block)
+    r, m = random.Random(9), 6
+    closes = {"a": [r.uniform(90, 110) for _ in range(90)], "b": [5.0] * 20, "c": [1.0, 2.0, 4.0]}
+    closes["a"][30:40] = [100.0] * 10
+    for shape in (7, 60):  # the same shape again 7 and 60 bars after bar 20, at another level and scale
+        closes["a"][15 + shape : 21 + shape] = [3 * x + shape for x in closes["a"][15:21]]
+    rows = [(s, dt.datetime(2024, 1, 1) + dt.timedelta(hours=k), x) for s, c in closes.items() for k, x in enumerate(c)]
+    got = {s: [] for s in closes}
+    for x in more.motif_distance(spark.createDataFrame(rows, "symbol string, ts timestamp, close double"), m).orderBy("symbol", "ts").collect():
+        got[x.symbol].append((x.motif, x.density))
+    want = {}
+    for s, c in closes.items():
+        z = []
+        for k in range(len(c)):
+            w = c[k - m + 1 : k + 1] if k >= m - 1 else []
+            mean = sum(w) / m
+            sd = (sum((x - mean) ** 2 for x in w) / m) ** 0.5
+            z.append([(x - mean) / sd for x in w] if sd > 1e-9 else None)
+        pairs = {(i, j): sum((x - y) ** 2 for x, y in zip(z[i], z[j])) for j in range(len(c)) for i in range(j - m + 1) if z[i] and z[j]}
+        width = 4 * m / more.MOTIF_CELLS
+        cells = sorted(min(int(d / width), more.MOTIF_CELLS - 1) for d in pairs.values())
+        cut = cells[-(-len(cells) * 2 // 100) - 1] if cells else -1
+        want[s] = []
+        for k in range(len(c)):
+            least = [d for (_, j), d in pairs.items() if j == k]
+            n = sum(int(d / width) <= cut for p, d in pairs.items() if k in p)
+            want[s].append((pytest.approx(min(least) ** 0.5, abs=1e-6) if least else None, n if z[k] else None))
+    assert got == want
+    assert got["a"][27][0] < 1e-6 and got["a"][80][0] < 1e-6 and max(n for _, n in got["a"] if n is not None) > 1
