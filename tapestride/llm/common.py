@@ -8,7 +8,7 @@ import shutil
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts define it.
@@ -55,4 +55,16 @@ def field_ddl(df: DataFrame, col: str, name: str | None = None) -> str:
     return f"`{name or col}` {df.schema[col].dataType.simpleString()}"
 
 
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """Equal for rows of one id (null ids too) and one text; ordered by id, null ids last, then by the text's digest."""
+    return F.struct(docs[id_col].isNull().alias("none"), docs[id_col].alias("id"), F.unhex(F.sha2(text_of(docs[text_col]), 256)).alias("sha"))
+
+
+def one_of_each(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """Of the rows whose key is not in gone's only column, one per key, with all columns; join and window share a shuffle."""
+    gone = gone.toDF("_gone")
+    left = docs.withColumn("_row", key).join(gone, F.col("_row") == F.col("_gone"), "left_anti")
+    return left.withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("_row"))).where("_nth = 1").drop("_row", "_nth")
+
+
 Query = Callable[[SparkSession, str], DataFrame]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, strip_ws, table, text_of
+from .common import cut, one_of_each, row_key, strip_ws, table, text_of
 
 #: Rows for which one shard's filter is meant.
 SHARD_ROWS = 16_384
@@ -181,11 +181,10 @@ def halves(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFram
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    out = exact_dedup(*halves(docs, id_col), id_col, text_col).where(~F.col("kept"))
-    gone = out.select(F.col(id_col).alias("gone"), F.unhex("text_sha256").alias("sha")).distinct()
-    same = (docs[id_col].eqNullSafe(gone["gone"])) & (F.unhex(F.sha2(strip_ws(text_of(docs[text_col])), 256)) == gone["sha"])
-    return docs.join(gone, same, "left_anti")
+    """One row of each text, with all its columns, decided per row: null ids rank last, rows of one id and text are copies too."""
+    key = lambda df: df.select(row_key(df, id_col, text_col).alias("row"), df[text_col].alias("text"))
+    out = exact_dedup(*map(key, halves(docs, id_col)), "row", "text")
+    return one_of_each(docs, row_key(docs, id_col, text_col), out.where(~F.col("kept")).select("row").distinct())
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

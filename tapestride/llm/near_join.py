@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, field_ddl, table, text_of
+from .common import WORD, cut, field_ddl, one_of_each, row_key, table, text_of
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -324,10 +324,11 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each group of documents joined by links, the one with the smallest id, with all its columns."""
-    members = near_join(docs, id_col, text_col)
-    gone = members.where(~F.col(id_col).eqNullSafe(F.col("group_id"))).select(F.col(id_col).alias("gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone"]), "left_anti")
+    """Of each group of documents joined by links, the one with the smallest id, with all its columns.
+
+    Decided per row: null ids rank last, and of rows with one id and text one stays."""
+    members = near_join(docs.select(row_key(docs, id_col, text_col).alias("row"), docs[text_col].alias("text")), "row", "text")
+    return one_of_each(docs, row_key(docs, id_col, text_col), members.where("row <> group_id").select("row").distinct())
 
 
 def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
