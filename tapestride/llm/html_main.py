@@ -31,14 +31,16 @@ PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SPACE = re.compile(r"\s+")
 
 # HTML's own element classes.
-RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select option".split())
+RAW = frozenset("script style noscript template textarea title iframe svg canvas object select annotation annotation-xml".split())
+#: Of these, an element without an end tag lasts to the end of the page; of the others only the tag is dropped.
+TO_END = frozenset("script style textarea title iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: An element of the first kind ends where a block-level element, or one of the same kind, begins.
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
-#: Elements, roles and name parts under which no block is content.
-CHROME = frozenset("nav footer aside form menu dialog button fieldset search head".split())
+#: Elements and roles under which no block is content; name parts, and forms, that speak against it.
+CHROME = frozenset("nav footer aside menu dialog button fieldset search head".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 CHROME_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside widget widgets share sharing social related recommended recommendations comment comments disqus respond replies reply login signin signup subscribe subscription newsletter search searchbox pagination pager toolbar skip masthead topbar copyright disclaimer".split()
@@ -50,6 +52,9 @@ HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HARD = 1e6
 #: Log-odds of the linear block classifier.
 WEIGHTS = {"bias": -1.0, "article": 5.0, "log_chars": 0.55, "sentence": 0.8, "link_share": -5.0, "paragraph": 0.8, "heading": 0.6, "list_item": -0.6}
+#: Cost of a form, of a class or id all of whose parts are chrome names, and of one with other parts, such as has-sidebar.
+#: It falls from an element with half of the page's text to nothing for one with all of it.
+NAMED, PARTLY = 12.0, 1.5
 #: Smoothness between neighbours whose parents are the same, and at each further level of the tree.
 SMOOTH, FADE = 0.9, 0.5
 
@@ -62,6 +67,9 @@ class Node:
     chrome: bool
     article: bool
     header: bool
+    cost: float = 0.0
+    chars: int = 0
+    paid: float = 0.0
 
 
 @dataclass
@@ -79,16 +87,47 @@ def is_chrome(tag: str, attributes: str) -> bool:
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
         value, name = values[0] or values[1] or values[2], name.lower()
-        if name in ("class", "id") and tag != "main":
-            if any(p.lower() in CHROME_NAMES for p in PIECE.findall(value)):
-                return True
-        elif name == "role" and value.strip().lower() in CHROME_ROLES:
+        if name == "role" and value.strip().lower() in CHROME_ROLES:
             return True
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.lower().replace(" ", ""):
             return True
     return False
 
 
+def name_cost(tag: str, attributes: str) -> float:
+    """What an element's class and id speak against its blocks; those of an article or main only as much as a part."""
+    cost = NAMED if tag == "form" else 0.0
+    if not attributes or tag in ("html", "body"):
+        return cost
+    for name, *values in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id") and tag != "main":
+            for token in (values[0] or values[1] or values[2]).split():
+                parts = [p.lower() in CHROME_NAMES for p in PIECE.findall(token)]
+                if any(parts):
+                    cost = max(cost, NAMED if all(parts) and tag != "article" else PARTLY)
+    return cost
+
+
+def weigh(blocks: list[Block]) -> None:
+    """Sets what each node and its ancestors cost, by their shares of the text that no certain chrome holds."""
+    total, nodes = 0, {}
+    for b in blocks:
+        n = 0 if b.node.chrome else len(b.text)
+        total += n
+        b.node.chars += n
+        node = b.node
+        while node and id(node) not in nodes:
+            nodes[id(node)] = node
+            node = node.parent
+    order = sorted(nodes.values(), key=lambda x: x.depth)
+    for node in reversed(order):
+        if node.parent:
+            node.parent.chars += node.chars
+    for node in order:
+        own = node.cost * min(1.0, 2 - 2 * node.chars / max(1, total))
+        node.paid = own + (node.parent.paid if node.parent else 0.0)
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order, with decoded, single-spaced text."""
     root = Node("", None, 0, False, False, False)
@@ -125,7 +164,9 @@ def blocks_of(page: str) -> list[Block]:
         if tag in RAW:
             if not closing and not attributes.endswith("/"):
                 end = re.compile(rf"(?is)</{tag}\b[^>]*(?:>|\Z)").search(page, at)
-                at = end.end() if end else n
+                at = end.end() if end else n if tag in TO_END else at
+        elif tag == "option":  # its end tag is optional, and it holds text only
+            at = at if closing else max(page.find("<", at), 0) or n
         elif tag == "a":
             link_depth = max(0, link_depth + (-1 if closing else 1))
         elif tag == "br":
@@ -143,12 +184,13 @@ def blocks_of(page: str) -> list[Block]:
                     top = top.parent
                 if tag not in VOID:
                     article = top.article or tag in ("article", "main") or "articlebody" in attributes.lower() or bool(re.search(r"(?i)role\s*=\s*[\"']?main\b", attributes))
-                    top = Node(tag, top, top.depth + 1, top.chrome or is_chrome(tag, attributes), article, top.header or tag == "header")
+                    top = Node(tag, top, top.depth + 1, top.chrome or is_chrome(tag, attributes), article, top.header or tag == "header", name_cost(tag, attributes))
                 link_depth = 0
             now.node = top
         elif tag in ("label", "input"):
             now.parts.append(" ")
     flush()
+    weigh(out)
     return out
 
 
@@ -161,7 +203,7 @@ def log_odds(b: Block) -> float:
     w, n = WEIGHTS, len(b.text)
     share = min(1.0, b.links / max(1, n))
     return (
-        w["bias"] + w["article"] * node.article + w["log_chars"] * math.log(n) / 1.5 + w["sentence"] * bool(re.search(r"[.!?…。]\W*$", b.text))
+        w["bias"] - node.paid + w["article"] * node.article + w["log_chars"] * math.log(n) / 1.5 + w["sentence"] * bool(re.search(r"[.!?…。]\W*$", b.text))
         + w["link_share"] * share + w["paragraph"] * (node.tag in ("p", "pre", "blockquote")) + w["heading"] * heading + w["list_item"] * (node.tag in ("li", "td", "th"))
     )
 
