@@ -1,8 +1,8 @@
-"""Jaccard join on word n-grams by a MinHash LSH forest.
+"""Jaccard join on word n-grams by MinHash banding of a fixed depth, in place of an LSH forest.
 
 Documents with equal n-gram sets form a class, and only classes are compared. A class's signature is laid out in
-trees; a tree's sorted prefixes are its trie, and classes that share a prefix are candidates. Prefixes are shortened
-from the deepest level until the trees together reach the target recall at the threshold. Candidates pass a 2-bit
+trees, and classes that share a tree's prefix are candidates. The prefixes' length is the largest at which the trees
+together reach the target recall at the threshold; it doesn't depend on the data, and no deeper level is kept. Candidates pass a 2-bit
 sketch of the signature (six standard deviations below the threshold) and the length bound; they form candidate
 groups, inside which n-gram sets are compared exactly, block by block, and links are counted without being listed.
 
