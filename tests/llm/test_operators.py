@@ -125,29 +125,34 @@ def vocabulary():
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def test_packing_round_trip(spark, rows):
+@pytest.mark.parametrize("group", [4_000_000, 700])
+def test_packing_round_trip(spark, rows, monkeypatch, group):
+    """Null and repeated ids are documents of their own: pieces of one document share doc_tokens and follow on."""
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(packing, "GROUP_TOKENS", group)
     tokenizer = Tokenizer.from_file(vocabulary())
-    odd = [*rows[:-2], (30, "don't İSTANBUL Σίσυφος naïve café 😀 x1y22 \x1c a\u00a0b\u2003c <|endoftext|> e\u0301"), (31, "…,,!!")]
-    docs = [(k, t) for k, t in odd if k is not None]
+    docs = [*rows, (30, "don't İSTANBUL Σίσυφος naïve café 😀 x1y22 \x1c a\u00a0b\u2003c <|endoftext|> e\u0301"), (31, "…,,!!"), (32, None), (33, "it's 'quoted' 5's x.'s y'\u017fa")]
     pieces = packing.pack(frame(spark, docs), vocabulary(), with_ids=True).collect()
-    want = sorted(repr((k, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2])) for k, t in docs)
+    want = collections.defaultdict(list)
+    for k, t in docs:
+        want[k].append((*tokenizer.encode(t or "", add_special_tokens=False).ids, 2))
     by = collections.defaultdict(list)
     for p in pieces:
         assert zlib.crc32(array.array("I", p.ids).tobytes()) == p.ids_crc32
         assert len(p.ids) == p.length
         by[p.doc_id].append(p)
-    got = []
-    for k, own in by.items():
-        n = sum(1 for d, _ in docs if d == k)
-        own.sort(key=lambda p: p.start)
-        if n == 1:
-            got.append(repr((k, [x for p in own for x in p.ids])))
-            assert [p.start for p in own] == [sum(q.length for q in own[:j]) for j in range(len(own))]
-            assert all(p.doc_tokens == sum(q.length for q in own) for p in own)
-    assert set(got) <= set(want)
-    assert len(got) >= len({k for k, _ in docs}) - 1
+    assert set(by) == set(want) and None in by
+    for k, texts in want.items():
+        assert sum(p.length for p in by[k]) == sum(map(len, texts))
+        left = collections.Counter((p.start, tuple(p.ids), p.doc_tokens) for p in by[k])
+        for ids in texts:  # each text is some chain of pieces
+            at = 0
+            while at < len(ids):
+                piece = next(p for p in left if left[p] and p[0] == at and p[2] == len(ids) and ids[at : at + len(p[1])] == p[1])
+                left[piece] -= 1
+                at += len(piece[1])
+        assert not +left
     sequences = collections.defaultdict(list)
     for p in pieces:
         sequences[p.sequence_id].append(p)
@@ -158,10 +163,28 @@ def test_packing_round_trip(spark, rows):
         assert total <= 4096 and total & (total - 1) == 0
 
 
+def test_ids_are_the_tokenizers():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    r, tokenizer, bpe = random.Random(6), Tokenizer.from_file(vocabulary()), packing.WordBpe(vocabulary())
+    letters = " \t\n\x0b\x0c\r\x1c\x85\u00a0\u2003aAbBdSst1'\u017fé\u0301İΣ😀<|>,.!’—€"
+    texts = ["".join(r.choices(letters, k=r.randrange(40))) for _ in range(4000)] + ["word " * 50_000, ""]
+    for _ in range(2):  # the second time from the caches
+        for text, ids in zip(texts, bpe.ids(pa.array(texts))):
+            assert array.array("I", ids).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing_groups():
     r = random.Random(1)
     lengths = [r.choice([1, 3, 500, 600, 1500, 3000, 4096, 9000]) for _ in range(300)]
-    seqs = packing.pack_group(lengths)
+    seqs, left = packing.pack_group(lengths[:200], last=False)
+    assert sum(p[2] for p in left) < 4096
+    stay = sorted({d for d, _, _ in left})
+    more, none = packing.pack_group([lengths[d] for d in stay] + lengths[200:], carried=[(stay.index(d), a, n) for d, a, n in left])
+    of = [*stay, *range(200, 300)]
+    seqs += [[(of[d], a, n) for d, a, n in s] for s in more]
+    assert none == []
     parts = collections.defaultdict(list)
     for s in seqs:
         assert sum(p[2] for p in s) & (sum(p[2] for p in s) - 1) == 0
