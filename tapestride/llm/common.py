@@ -6,8 +6,9 @@ import atexit
 import re
 import shutil
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(there)
         return there
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="tapestride-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         sc.setCheckpointDir(f"file://{own}")
@@ -42,6 +45,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate data, wherever it is stored."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def text_of(col: str | Column) -> Column:
     """The text, a null counting as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
@@ -67,4 +76,32 @@ def one_of_each(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     return left.withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("_row"))).where("_nth = 1").drop("_row", "_nth")
 
 
+def key_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Tables of whole groups and their bounds, of batches sorted by their first column; a group may span batches."""
+    import numpy as np
+
+    held: list[pa.RecordBatch] = []
+
+    def bounds(part: pa.Table) -> list[tuple[int, int]]:
+        key = part.column(0).to_numpy()
+        ends = np.append(np.flatnonzero(np.diff(key)) + 1, len(key))
+        return list(zip([0, *ends[:-1].tolist()], ends.tolist()))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if batch.column(0)[0] == batch.column(0)[-1] == held[0].column(0)[-1]:
+            continue
+        part = pa.Table.from_batches(held)
+        key = part.column(0).to_numpy()
+        last = int(np.searchsorted(key, key[-1], "left"))
+        whole = part.slice(0, last)
+        yield whole, bounds(whole)
+        held = part.slice(last).to_batches()
+    if held:
+        part = pa.Table.from_batches(held)
+        yield part, bounds(part)
+
+
 Query = Callable[[SparkSession, str], DataFrame]

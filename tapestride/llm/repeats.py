@@ -5,7 +5,7 @@ runs. Consecutive windows with one minimiser form a super-k-mer, which travels a
 of its minimiser; there the windows are sorted and counted exactly. A window's repeats have the same minimiser, each
 in a super-k-mer of its own, so a minimiser that occurs once in the corpus holds no repeat: batches first ask for
 the corpus counts of their minimisers, and only super-k-mers of the others travel. Equal strings of a batch travel
-once. A hot minimiser (more than `HOT` super-k-mers) is split: its windows travel singly, each to the bucket of its
+once. A key range's buckets are counted in one step, a range after the other. A hot minimiser (more than `HOT` super-k-mers) is split: its windows travel singly, each to the bucket of its
 own hash, so that no bucket grows with a passage's popularity. Strings are compared in every case; hashes only route.
 
 Cases: null and empty texts have no words; a text of fewer words than the window keeps them all; repeated rows
@@ -21,11 +21,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import field_ddl, table, text_of
-from .counting import REQUEST, answers, packed, request, shard_count, unpacked
+from .common import field_ddl, key_runs, table, text_of
+from .counting import REQUEST, answers, by_shard, packed, request, shard_count, unpacked
 
 WINDOW, MER, HOT = 35, 8, 512
-BATCH_WORDS = 1_000_000
+#: Text of a batch of documents.
+BATCH_BYTES = 6_000_000
 
 
 def batches_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -48,8 +49,8 @@ def batches_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 text = text.as_py().encode()
                 ids.append(key)
                 texts.append(text)
-                total += text.count(b" ") + 1
-                if total >= BATCH_WORDS:
+                total += len(text) + 1
+                if total >= BATCH_BYTES:
                     yield made()
                     number, ids, texts, total = number + 1, [], [], 0
         if ids:
@@ -142,7 +143,7 @@ def spread(batches: DataFrame, answered: DataFrame, shards: int) -> DataFrame:
         hasher, docs = Hasher(), []
         for words in Batch(left["data"][0].as_py()).words():
             docs.append((words, *super_kmers(hasher.of(words))))
-        counts = np.concatenate([unpacked(x.as_py(), np.uint64) for x in right.sort_by("shard")["uni"]])
+        counts = np.concatenate([unpacked(x.as_py(), np.uint64) for x in right.sort_by("shard")["uni"]] or [np.empty(0, np.uint64)])
         keys, place = np.unique(np.concatenate([d[3] for d in docs]), return_inverse=True)
         if len(keys) != len(counts):
             raise RuntimeError("a batch changed between request and answer")
@@ -213,7 +214,7 @@ def repeated_runs(entries: list[tuple[bytes, int]], window: int = WINDOW) -> lis
 def counted(spreads: DataFrame) -> DataFrame:
     """(batch, data): runs of repeated windows (document, first window, number) that a shard finds in a batch."""
 
-    def run(part: pa.Table) -> pa.Table:
+    def count(part: pa.Table) -> pa.Table:
         import numpy as np
         import zstandard
 
@@ -246,7 +247,12 @@ def counted(spreads: DataFrame) -> DataFrame:
         live = [k for k, x in enumerate(out) if x]
         return pa.table({"batch": part["batch"].take(pa.array(live, pa.int64())), "data": pa.array([packed(np.array(out[k], np.uint32)) for k in live], pa.binary())})
 
-    return spreads.groupBy("shard").applyInArrow(run, "batch bigint, data binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, bounds in key_runs(batches):
+            for s, e in bounds:
+                yield from count(part.slice(s, e - s)).to_batches()
+
+    return by_shard(spreads).mapInArrow(run, "batch bigint, data binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
