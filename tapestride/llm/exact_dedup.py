@@ -1,19 +1,21 @@
 """Exact dedup of an incoming batch against an immutable snapshot.
 
-The snapshot's digests are split into shards and each shard gets a static binary-fuse filter. Incoming rows are
-first grouped among themselves by digest; the distinct digests are screened by their shard's filter, and only the
-positives join the snapshot's exact buckets, where one text of either side is compared byte by byte. What stays
-is decided over both sides.
+A snapshot is indexed once: its exact buckets, a row per digest, and for each shard of the digests a static
+binary-fuse filter; both can be stored and serve any number of batches. A batch's rows are grouped among themselves by
+digest; its distinct digests are screened by their shard's filter, and only the positives meet the snapshot's
+buckets, where one text of either side is compared byte by byte. What stays is decided over both sides.
 
 Texts are equal when identical after deleting ASCII white space. Cases: null counts as empty; equal texts keep the
-row with the most code points, then the smallest id; rows of one id and one text stay or go together; an empty snapshot or batch
-is allowed; only id and text are read. A digest that two different texts share (the byte check finds it) keeps the
-two sides apart.
+row with the most code points, then the smallest id, null ids last; of rows equal in that too (repeated ids, several
+null ids) one stays, whose keep_id is their common id or null; an empty snapshot or batch is allowed; only id and
+text are read. A digest that two different texts share (the byte check finds it) keeps the two sides apart; inside
+one side SHA-256 stands for the text.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,59 +121,107 @@ def build_filters(digests: DataFrame, shards: int) -> DataFrame:
     return cut(rows.groupBy("shard").applyInArrow(run, "shard bigint, seed string, segment bigint, spans bigint, prints binary"))
 
 
-def screen(digests: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """Those digests that a filter lets through: all that the snapshot has, and about 1 in 256 others."""
+def screen(digests: DataFrame, filters: DataFrame, shards: int, parts: int = 1) -> DataFrame:
+    """Those digests that a filter lets through: all that the snapshot has, and about 1 in 256 others.
+
+    A shard's digests are split into `parts` by their key, each with its copy of the filter, so that a batch much
+    larger than the snapshot doesn't crowd few shards."""
 
     def run(keys: pa.Table, found: pa.Table) -> pa.Table:
         import numpy as np
 
         if not keys.num_rows or not found.num_rows:
             return keys.select(["digest"]).slice(0, 0)
-        row = found.to_pylist()[0]
+        row = found.slice(0, 1).to_pylist()[0]
         f = BinaryFuse(int(row["seed"]), row["segment"], row["spans"], np.frombuffer(row["prints"], np.uint8))
         return keys.select(["digest"]).filter(pa.array(f.may_contain(keys["key"].to_numpy())))
 
-    return sharded(digests, shards).groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(run, "digest binary")
+    dealt = sharded(digests, shards).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+    copies = filters.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(run, "digest binary")
 
 
-def exact_dedup(incoming: DataFrame, snapshot: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
-    """One row per row of either side: id, keep_id, group_size, kept, text_sha256, in_snapshot."""
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(strip_ws(text), 256))
+
+
+def printed(docs: DataFrame, id_col: str, text_col: str, snap: bool) -> DataFrame:
+    """(digest, own) of each row, own in the order in which rows of one text stay: most code points, smallest id, null ids last."""
+    text = text_of(docs[text_col])
+    rows = docs.select(digest_of(text).alias("digest"), (-F.length(text)).alias("n"), docs[id_col].isNull().alias("none"), docs[id_col].alias("id"))
+    return cut(rows.select("digest", F.struct("n", "none", "id", F.lit(snap).alias("snap"), F.monotonically_increasing_id().alias("row")).alias("own")))
+
+
+def buckets_of(prints: DataFrame) -> DataFrame:
+    return cut(prints.groupBy("digest").agg(F.count("*").alias("size"), F.min("own").alias("keep")))
+
+
+@dataclass
+class Index:
+    """A snapshot's texts, rows, exact buckets and filters."""
+
+    docs: DataFrame
+    prints: DataFrame
+    buckets: DataFrame
+    filters: DataFrame
+    shards: int
+
+    PARTS = ("prints", "buckets", "filters")
 
-    def texts(df: DataFrame, snap: bool) -> DataFrame:
-        return df.select(df[id_col].alias("id"), text_of(df[text_col]).alias("text"), F.lit(snap).alias("snap"))
-
-    rows = texts(incoming, False).unionByName(texts(snapshot, True))
-    prints = cut(rows.select("id", "snap", F.length("text").cast("long").alias("n"), F.unhex(F.sha2(strip_ws(F.col("text")), 256)).alias("digest")))
-    shards = shards or max(1, -(-prints.count() // SHARD_ROWS))
-    best = lambda own: F.min(F.when(own, F.struct((-F.col("n")).alias("n"), F.col("id"))))
-    groups = prints.groupBy("digest").agg(
-        F.count_if(~F.col("snap")).alias("n_new"), F.count_if(F.col("snap")).alias("n_old"), best(~F.col("snap")).alias("new"), best(F.col("snap")).alias("old")
-    )
-    groups = cut(groups)
-    old, new = groups.where("n_old > 0"), groups.where("n_new > 0")
-    filters = build_filters(old.select("digest"), shards)
-    positive = screen(new.select("digest"), filters, shards).join(old.select("digest", "old", "new").where("new IS NOT NULL"), "digest")
-    # the byte check: a text of either side, by its row's id
-    pairs = cut(positive.select("digest", F.explode(F.array(F.struct(F.col("old.id").alias("id"), F.lit(True).alias("snap")), F.struct(F.col("new.id").alias("id"), F.lit(False).alias("snap")))).alias("x")).select("digest", "x.id", "x.snap"))
-    bare = rows.select("id", "snap", strip_ws(F.col("text")).alias("bare"))
-    held = bare.join(pairs, (bare["id"].eqNullSafe(pairs["id"])) & (bare["snap"] == pairs["snap"])).select("digest", "bare", bare["snap"].alias("snap"))
-    held = held.where(F.unhex(F.sha2("bare", 256)) == F.col("digest"))
-    same = held.groupBy("digest").agg((F.min("bare") == F.max("bare")).alias("same"))
-    joined = groups.where("n_new + n_old > 1").join(same, "digest", "left")
-    both = F.coalesce(F.col("same"), F.lit(False))
-    least = F.least("new", "old")
-    verdict = joined.select(
-        "digest",
-        F.when(both, F.col("n_new") + F.col("n_old")).otherwise(F.col("n_new")).alias("size_new"),
-        F.when(both, F.col("n_new") + F.col("n_old")).otherwise(F.col("n_old")).alias("size_old"),
-        F.when(both, least).otherwise(F.col("new")).alias("keep_new"),
-        F.when(both, least).otherwise(F.col("old")).alias("keep_old"),
-    )
-    verdict = cut(verdict)
-    all_rows = prints.join(verdict, "digest", "left")
-    side = lambda a: F.when(F.col("snap"), F.col(f"{a}_old")).otherwise(F.col(f"{a}_new"))
-    keep = F.coalesce(side("keep")["id"], F.col("id"))
-    return all_rows.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce(side("size"), F.lit(1)).cast("long").alias("group_size"), (keep.eqNullSafe(F.col("id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.col("snap").alias("in_snapshot"))
+    def save(self, path: str) -> None:
+        """Writes all but the texts, so that later batches need not read them."""
+        for name in self.PARTS:
+            getattr(self, name).write.parquet(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, docs: DataFrame, path: str) -> Index:
+        parts = [docs.sparkSession.read.parquet(f"{path}/{name}") for name in cls.PARTS]
+        return cls(docs, *parts, shards_for(parts[1].count()))
+
+
+def shards_for(digests: int) -> int:
+    return max(1, -(-digests // SHARD_ROWS))
+
+
+def index_snapshot(snapshot: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    prints = printed(snapshot, id_col, text_col, True)
+    buckets = buckets_of(prints)
+    shards = shards_for(buckets.count())
+    return Index(snapshot, prints, buckets, build_filters(buckets.select("digest"), shards), shards)
+
+
+def exact_dedup(incoming: DataFrame, snapshot: DataFrame | Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of either side: id, keep_id, group_size, kept, text_sha256, in_snapshot."""
+    old = snapshot if isinstance(snapshot, Index) else index_snapshot(snapshot, id_col, text_col)
+    prints = printed(incoming, id_col, text_col, False)
+    new = buckets_of(prints)
+    positive = screen(new.select("digest"), old.filters, old.shards, max(1, shards_for(new.count()) // old.shards))
+    named = lambda df, side: df.select("digest", F.col("size").alias(f"size_{side}"), F.col("keep").alias(f"keep_{side}"))
+    met = cut(positive.join(named(old.buckets, "old"), "digest").join(named(new, "new"), "digest"))
+    same = met.join(same_texts(met, [(incoming, False), (old.docs, True)], id_col, text_col), "digest").where("same")
+    both = cut(same.select("digest", (F.col("size_new") + F.col("size_old")).alias("size_both"), F.least("keep_new", "keep_old").alias("keep_both")))
+    tagged = lambda df, snap: df.withColumn("snap", F.lit(snap))
+    groups = tagged(new, False).unionByName(tagged(old.buckets, True)).join(both, "digest", "left")
+    groups = groups.select("digest", "snap", F.coalesce("size_both", "size").alias("size"), F.coalesce("keep_both", "keep").alias("keep")).where("size > 1")
+    rows = prints.unionByName(old.prints).withColumn("snap", F.col("own.snap")).join(groups, ["digest", "snap"], "left")
+    alone = F.col("keep").isNull()
+    return rows.select(
+        F.col("own.id").alias(id_col), F.when(alone, F.col("own.id")).otherwise(F.col("keep.id")).alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("keep") == F.col("own"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.col("snap").alias("in_snapshot"),
+    )
+
+
+def same_texts(met: DataFrame, sides: list[tuple[DataFrame, bool]], id_col: str, text_col: str) -> DataFrame:
+    """The byte check, (digest, same): for digests that both sides have, whether the texts of the two rows that would stay are equal."""
+    row = F.explode(F.array("keep_new", "keep_old")).alias("x")
+    asked = met.select("digest", row).select(F.col("digest").alias("asked"), F.col("x.snap").alias("of"), F.col("x.id").alias("by"), F.col("x.n").alias("chars"))
+    held = None
+    for docs, snap in sides:
+        text = text_of(docs[text_col])
+        part = docs.select(docs[id_col].alias("id"), (-F.length(text)).alias("n"), F.lit(snap).alias("snap"), digest_of(text).alias("digest"), strip_ws(text).alias("bare"))
+        held = part if held is None else held.unionByName(part)
+    at = (held["digest"] == asked["asked"]) & (held["snap"] == asked["of"]) & (held["n"] == asked["chars"]) & held["id"].eqNullSafe(asked["by"])
+    return held.join(asked, at).groupBy("digest").agg((F.min("bare") == F.max("bare")).alias("same"))
 
 
 def halves(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -184,7 +234,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row of each text, with all its columns, decided per row: null ids rank last, rows of one id and text are copies too."""
     key = lambda df: df.select(row_key(df, id_col, text_col).alias("row"), df[text_col].alias("text"))
     out = exact_dedup(*map(key, halves(docs, id_col)), "row", "text")
-    return one_of_each(docs, row_key(docs, id_col, text_col), out.where(~F.col("kept")).select("row").distinct())
+    return one_of_each(docs, row_key(docs, id_col, text_col), out.where("keep_id <> row").select("row").distinct())
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
