@@ -4,8 +4,8 @@ Categories are predicted one after another by sparse logistic models over word a
 later model also sees the earlier categories' log-odds. In training these are out-of-fold, so that a model learns
 from what its predecessors say of unseen documents. A fold holds whole texts: equal texts are never split.
 
-The chain is fitted on at most `max_rows` labelled rows, the first ones by a hash of the id. Scoring reads every
-whole text once, on the executors, without a shuffle.
+The chain is fitted on the documents of at most `max_rows` labelled ids, the first ones by a hash of the id; of an id
+that several documents carry, the least text. Scoring reads every whole text once, on the executors, without a shuffle.
 
 Cases: a null or empty text gets the intercepts' probabilities; labels that are null, or contradict another row of
 the same id, count as the larger label present, and not at all if all are null; with no labelled row the operator
@@ -148,7 +148,8 @@ def labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_
     names = list(categories)
     y = labels.groupBy(labels[id_col].alias("id")).agg(*(F.max(F.expr(sql).cast("int")).alias(n) for n, sql in categories.items())).dropna()
     y = y.orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    rows = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text")).join(F.broadcast(y), "id").select("text", *names)
+    rows = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text")).join(F.broadcast(y), "id")
+    rows = rows.groupBy("id", *names).agg(F.min("text").alias("text")).orderBy("id").select("text", *names)  # max_rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,7 +213,8 @@ def toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, ddl)
 
 
-#: Categories of the labels table in the chain's order, each as an expression of its columns.
+#: Categories of the labels table in the chain's order, each as an expression of its columns. low_quality is no
+#: toxicity of its own: it is the chain's helper link, whose probability the later model may use.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 
 
