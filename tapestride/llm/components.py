@@ -7,24 +7,38 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: A node with more than a SHARE of all edges, and more than LEAST, is a hub; there are 2 / SHARE hubs at most.
+SHARE, LEAST = 1e-4, 1000
+
+
+def with_least(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """edges (a, b) with m, the least node that a sees.
+
+    least: (a, m, of), of the node's number of edges. The few hubs are broadcast, so that no hub's edges meet in one
+    task; other nodes are joined by key."""
+    few = F.broadcast(least.where(F.col("of") > hub).select(F.col("a").alias("hub"), F.col("m").alias("hub_m")))
+    at = edges.join(few, F.col("a") == F.col("hub"), "left")
+    rest = at.where("hub IS NULL").select("a", "b").join(least.where(F.col("of") <= hub).select("a", "m"), "a")
+    return rest.select("a", "b", "m").unionByName(at.where("hub IS NOT NULL").select("a", "b", F.col("hub_m").alias("m")))
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): for every node of the edges (a, b) the smallest node of its component.
 
     Each round links every node to the smallest one it sees; every round's edges are written to the shared folder.
-    Nodes without an edge don't appear; loops and repeated edges are harmless; a hub's edges are joined to its
-    minimum by a key, never gathered."""
+    Nodes without an edge don't appear; loops and repeated edges are harmless; a hub's edges are never gathered."""
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    state = None
-    while True:
+    state, n = None, e.count()
+    while n:
+        hub = max(LEAST, int(n * SHARE))
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("of"))
+        large = with_least(both.where("b > a"), least, hub).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("of"))
+        small = with_least(large, least, hub).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         e = cut(small)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == state:
             break
-        state = now
+        state, n = now, now[0]
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
