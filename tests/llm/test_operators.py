@@ -49,10 +49,10 @@ def brute_repeats(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("hot", "batch"), [(512, 1_000_000), (1, 300)])
+@pytest.mark.parametrize(("hot", "batch"), [(512, 6_000_000), (1, 2000)])
 def test_repeats(spark, rows, monkeypatch, hot, batch):
     monkeypatch.setattr(repeats, "HOT", hot)
-    monkeypatch.setattr(repeats, "BATCH_WORDS", batch)
+    monkeypatch.setattr(repeats, "BATCH_BYTES", batch)
     got = repeats.remove_repeats(frame(spark, rows))
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()), key=repr) == brute_repeats(rows)
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got.collect())
@@ -90,6 +90,19 @@ def test_decontaminate(spark):
     assert {r.doc_id for r in decontaminate.clean(frame(spark, docs), items).collect()} == {3, 4, 7, 8, 9}
 
 
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_decontaminate_both_joins(spark, monkeypatch, broadcast):
+    """Null and repeated ids, a very long text, a phrase that a text repeats, and no items; by broadcast and by shuffle."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", broadcast)
+    item = words(30, 5)
+    long = words(40_000, 3)
+    docs = [(1, " ".join(long[:20_000] + item + long[20_000:])), (2, " ".join(item * 200)), (None, " ".join(item[:14])), (None, "clean text"), (3, "again"), (3, " ".join(item)), (4, None), (1, " ".join(long))]
+    items = spark.createDataFrame([(100, " ".join(item)), (101, None)], "item_id long, text string")
+    got = decontaminate.overlaps(frame(spark, docs), items).collect()
+    assert sorted(((r.doc_id, r.item_id, r.words_equal, r.first_word) for r in got), key=repr) == sorted([(1, 100, 30, 20_000), (2, 100, 30, 0), (3, 100, 30, 0), (None, 100, 14, 0)], key=repr)
+    assert decontaminate.overlaps(frame(spark, docs), items.where("false")).count() == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t &amp; t</title><script>var a="</p><article>";</script><style>p{}</style></head><body class="has-sidebar">
 <header><h1>Site</h1><nav><ul><li><a href=x>Home</a></li></ul></nav></header><div class="cookie-notice"><p>We use cookies. Long sentences of a notice are no content.</p></div>
 <main><article><h1>The   title &amp; more</h1><p><b>First &quot;block&quot;<br>goes on.<br><p>Second block, with <a href=y>a link</a> in it.<div class=ad><p>Buy this now, please, it is good.</p></div>
@@ -233,16 +246,60 @@ def test_binary_fuse():
             assert len(f.prints) < 1.3 * n
 
 
-def test_exact_dedup(spark, rows):
-    rows = [x for x in rows if x[0] is not None]
-    got = exact_dedup.exact_dedup(*exact_dedup.halves(frame(spark, rows))).collect()
+def brute_dedup(rows):
+    """(id, keep_id, group_size, kept, digest) of each row; of rows equal in all any one is kept."""
     bare = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
     groups = collections.defaultdict(list)
     for k, t in rows:
-        groups[bare(t)].append((-len(t or ""), k))
-    want = sorted((k, min(groups[bare(t)])[1], len(groups[bare(t)]), min(groups[bare(t)])[1] == k, hashlib.sha256(bare(t).encode()).hexdigest()) for k, t in rows)
-    assert sorted((x.doc_id, x.keep_id, x.group_size, x.kept, x.text_sha256) for x in got) == want
-    assert {x.doc_id for x in exact_dedup.drop_copies(frame(spark, rows)).collect()} == {w[1] for w in want}
+        groups[bare(t)].append((-len(t or ""), k is None, k))
+    out = []
+    for text, own in groups.items():
+        own.sort(key=lambda x: (x[0], x[1], x[2] or 0))
+        out += [(k, own[0][2], len(own), at == 0, hashlib.sha256(text.encode()).hexdigest()) for at, (_, _, k) in enumerate(own)]
+    return sorted(out, key=repr)
+
+
+def dedup_rows(rows):
+    a, b, c = rows[0][1], "other text", "third text"
+    return [*rows, (1, b), (1, b), (2, b + " "), (None, c), (None, c), (None, c + "\n"), (7, "one"), (9, a), (9, a), (None, None), (3, a)]
+
+
+def test_exact_dedup(spark, rows):
+    rows = dedup_rows(rows)
+    got = exact_dedup.exact_dedup(*exact_dedup.halves(frame(spark, rows))).collect()
+    assert sorted(((x.doc_id, x.keep_id, x.group_size, x.kept, x.text_sha256) for x in got), key=repr) == brute_dedup(rows)
+    kept = [(x.doc_id, re.sub(r"\s", "", x.text or "")) for x in exact_dedup.drop_copies(frame(spark, rows)).collect()]
+    assert sorted((k, hashlib.sha256(t.encode()).hexdigest()) for k, t in kept if k is not None) == sorted((w[0], w[4]) for w in brute_dedup(rows) if w[3] and w[0] is not None)
+    assert len({t for _, t in kept}) == len(kept) == sum(w[3] for w in brute_dedup(rows))
+
+
+def test_snapshot_index_serves_batches(spark, rows, tmp_path):
+    """A stored index; a batch far larger than the snapshot, and one far smaller; sides chosen by position, not by id."""
+    rows = dedup_rows(rows)
+    old, new = rows[:12], rows[12:] + [(5000 + k, f"text {k}") for k in range(50)]
+    exact_dedup.index_snapshot(frame(spark, old)).save(str(tmp_path))
+    index = exact_dedup.Index.load(frame(spark, old), str(tmp_path))
+    for batch in (new, new[:1], []):
+        df = frame(spark, batch) if batch else frame(spark, new).where("false")
+        got = exact_dedup.exact_dedup(df, index).collect()
+        assert sorted(((x.doc_id, x.keep_id, x.group_size, x.kept, x.text_sha256) for x in got), key=repr) == brute_dedup(old + batch)
+        assert sum(x.in_snapshot for x in got) == len(old)
+
+
+def test_screen_lets_all_true_ones_through(spark):
+    digest = lambda a, b: spark.range(a, b).selectExpr("unhex(sha2(cast(id as string), 256)) AS digest")
+    filters = exact_dedup.build_filters(digest(0, 300), 2)
+    for parts in (1, 4):
+        through = {bytes(r[0]) for r in exact_dedup.screen(digest(200, 3000), filters, 2, parts).collect()}
+        true = {hashlib.sha256(str(k).encode()).digest() for k in range(200, 300)}
+        assert true <= through and len(through) < 200
+
+
+def test_byte_check_keeps_sides_apart(spark, monkeypatch):
+    """With a digest that all texts share, sides whose texts differ aren't merged."""
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda text: exact_dedup.F.unhex(exact_dedup.F.sha2(exact_dedup.F.lit("same"), 256)))
+    got = exact_dedup.exact_dedup(frame(spark, [(1, "a")]), frame(spark, [(2, "b")])).collect()
+    assert all(x.kept and x.group_size == 1 for x in got)
 
 
 def test_urls(spark):
@@ -292,16 +349,38 @@ def test_lm_score(spark, monkeypatch):
         t = tokens[x.doc_id]
         assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (held[x.doc_id], len(t), sum(c[w] > 0 for w in t), n)
         assert x.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t))
-        assert x.score < 0
+    # the whole model again, token by token: held-out EM, then every score
     import numpy as np
 
-    # every context's probabilities sum to one, whatever the weights
-    w = lm_score.learned([])
-    for ctx in [None, "t1", "zzz"]:
-        known = [x for x in c]
-        p = lm_score.probability(np.array([c[x] for x in known] + [0]), np.full(len(known) + 1, c[ctx]), np.array([pair[ctx, x] for x in known] + [0]), n, v, w)
-        total = p.sum() if c[ctx] else p.sum()
-        assert total == pytest.approx(1.0, abs=1e-6) or not c[ctx]
+    held_tokens = [(p, w) for k, x in tokens.items() if not held[k] for p, w in zip([None, *x], x)]
+    before = np.array([c[p] - 1 for p, _ in held_tokens])
+    of = np.array([0 if x <= 0 else 1 + math.ceil(math.log2(x)) for x in before])
+    p = np.array([[(pair[e] - 1) / x if x > 0 else 0.0, (c[e[1]] - 1) / (n - 1), 1 / (v + 1)] for e, x in zip(held_tokens, before)])
+    mix = {b: np.array([0.0, 0.5, 0.5] if b == 0 else [1 / 3] * 3) for b in range(lm_score.BUCKETS)}
+    for b in set(of.tolist()):
+        for _ in range(lm_score.EM_ROUNDS):
+            share = mix[b] * p[of == b]
+            mix[b] = (share / share.sum(axis=1, keepdims=True)).mean(axis=0)
+    worst = 0.0
+    for x in got:
+        t, want = tokens[x.doc_id], 0.0
+        for prev, w in zip([None, *t], t):
+            m = mix[int(lm_score.bucket(np.array([c[prev]]))[0])]
+            want += math.log10(m[0] * pair[prev, w] / max(c[prev], 1) + m[1] * c[w] / n + m[2] / (v + 1))
+        worst = max(worst, abs(x.score / want - 1))
+    assert worst < 0.005, worst
+
+
+def test_probabilities_sum_to_one():
+    """Over all words of the vocabulary and the unknown one, for a seen context and weights of any bucket."""
+    import numpy as np
+
+    counts, after = np.array([5, 3, 2]), np.array([2, 1, 1])  # three words; what followed a context seen 4 times
+    n, v = int(counts.sum()), len(counts)
+    weights = lm_score.learned([(((3 * 2) * 512 + 4 + 256) * 512 - 6 + 256, 10), (((3 * 2) * 512 - 3 + 256) * 512 - 2 + 256, 7)])
+    assert (weights[3] > 0).all()
+    p = lm_score.probability(np.append(counts, 0), np.full(4, 4), np.append(after, 0), n, v, weights)
+    assert p.sum() == pytest.approx(1.0)
 
 
 def test_em_prefers_what_predicts():
@@ -359,7 +438,93 @@ def test_near_join(spark, monkeypatch, block):
     assert {x.doc_id for x in near_join.one_of_each_group(frame(spark, rows)).collect()} == {root(k) for k in sets}
 
 
-def test_prefix_length():
-    assert near_join.prefix_length() == 5
+def test_depth_follows_the_recall():
+    floor = near_join.shortest_prefix()
+    assert near_join.found(0.8, floor) >= near_join.RECALL > near_join.found(0.8, floor + 1)
     with pytest.raises(ValueError, match="more trees"):
-        near_join.prefix_length(trees=1)
+        near_join.shortest_prefix(trees=1)
+    equal = lambda s: round((s * 0.75 + 0.25) * near_join.PERMUTATIONS)
+    assert near_join.next_depth({}, 8) == floor  # nothing found says nothing
+    assert near_join.next_depth({equal(0.5): 100}, 8) == floor  # nothing near the threshold either
+    assert near_join.next_depth({equal(1.0): 100}, 8) == 8  # all found at full depth
+    assert near_join.next_depth({equal(0.8): 100}, 8) == floor
+    depths = [near_join.next_depth({equal(s): 100}, 8) for s in (0.8, 0.85, 0.9, 0.95, 1.0)]
+    assert depths == sorted(depths) and len(set(depths)) > 2
+    mixed = {equal(0.9): 100_000, equal(0.8): 1}
+    assert near_join.next_depth(mixed, 8) == near_join.next_depth({equal(0.9): 100}, 8)
+
+
+def test_trie_keys_sort_by_prefix():
+    import numpy as np
+
+    a = np.arange(near_join.PERMUTATIONS, dtype=np.uint32) * 77_777
+    b = a.copy()
+    places = near_join.layout()
+    b[places[3, 5]] += 1  # differs from level 6 on in the fourth tree
+    (a1, a2), (b1, b2) = near_join.trie_keys(a, places), near_join.trie_keys(b, places)
+    assert a1[3] == b1[3] and a2[3] != b2[3]
+    assert a2[3] >> np.uint64(14 * 3) == b2[3] >> np.uint64(14 * 3) and a2[3] >> np.uint64(14 * 2) != b2[3] >> np.uint64(14 * 2)
+    assert (a1 >> np.uint64(56) == np.arange(near_join.TREES)).all()
+
+
+def brute_links(rows):
+    def grams(t):
+        w = WORD.findall(t or "")
+        k = min(5, len(w))
+        return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset()
+
+    sets = [grams(t) for _, t in rows]
+    links = [0] * len(rows)
+    for a, b in combinations(range(len(rows)), 2):
+        if sets[a] == sets[b] or (sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+            links[a] += 1
+            links[b] += 1
+    return links
+
+
+def test_near_join_odd_rows(spark):
+    """Null and repeated ids, a very long text beside its near copy."""
+    long = words(30_000, 8)
+    near = [*long[:500], "other", *long[501:]]
+    a, b = words(100, 1), words(100, 2)
+    rows = [(None, " ".join(a)), (None, " ".join([*a[:-1], "x"])), (5, " ".join(b)), (5, " ".join([*b, "y"])), (5, " ".join(b)), (7, " ".join(long)), (8, " ".join(near)), (None, None), (9, "a\tb\nc d  e")]
+    got = near_join.near_join(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    want = collections.Counter((k, n) for (k, _), n in zip(rows, brute_links(rows)))
+    assert collections.Counter((x.doc_id, x.n_links) for x in got) == want
+
+
+@pytest.mark.parametrize("node", [1024, 40])
+def test_one_large_node(spark, monkeypatch, node):
+    """A group of near copies larger than a node that is compared in place, and classes that share nothing with it."""
+    monkeypatch.setattr(near_join, "NODE", node)
+    r, base, rows = random.Random(7), words(200, 4), []
+    for k in range(150):
+        own = list(base)
+        own[r.randrange(200)] = f"x{k}"
+        rows.append((k, " ".join(own)))
+    rows += [(1000 + k, " ".join(words(60, 5000 + k))) for k in range(100)]
+    got = {x.doc_id: x.n_links for x in near_join.near_join(frame(spark, rows)).collect()}
+    assert [got[k] for k, _ in rows] == brute_links(rows)
+
+
+def test_components(spark, monkeypatch):
+    from tapestride.llm import components
+
+    monkeypatch.setattr(components, "LEAST", 5)
+    r = random.Random(3)
+    edges = [(0, k) for k in range(1, 60)] + [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(70)] + [(300 + k, 301 + k) for k in range(40)] + [(7, 7), (150, 150)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    got = {x.node: x.label for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: root(k) for k in list(parent)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
