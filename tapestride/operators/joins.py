@@ -1,4 +1,4 @@
-"""As-of, range and calendar joins. An as-of join is a union and one ordered window: one shuffle on the key, no pairs."""
+"""As-of, range and calendar joins. An as-of join is a union and one ordered window: one shuffle on key and day, no pairs."""
 
 from __future__ import annotations
 
@@ -6,21 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], tolerance: str | None = None, direction: str = "backward", strict: bool = False) -> DataFrame:
+def asof(
+    left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], tolerance: str | None = None, direction: str = "backward", strict: bool = False, order: list[str] | None = None
+) -> DataFrame:
     """left with right's `values` (prefixed r_) at the last right row not after it (or the first not before it).
 
-    Equal times match unless strict. Of right rows with one time, the one with the largest values counts. r_at is the
-    matched time; beyond the tolerance (an interval) nothing matches. A left row is never multiplied or lost."""
+    Equal times match unless strict. Of right rows with one time, the last by `order` counts; without it, the one with
+    the largest values. r_at is the matched time; beyond the tolerance (an interval) nothing matches. A left row is
+    never multiplied or lost. Windows hold one day of a key; what earlier days (or later ones) leave is carried on a
+    row a day."""
     forward = direction == "forward"
-    r = right.groupBy(*by, at).agg(F.max(F.struct(*values)).alias("_r"))
+    pick = F.min_by if forward else F.max_by
+    value = F.struct(*values)
+    r = right.groupBy(*by, at).agg((F.max_by(value, F.struct(*order)) if order else F.max(value)).alias("_r"))
+    r = r.withColumn("_day", F.to_date(at)).withColumn("_at", F.col(at))
     tags = (1, 0) if strict == forward else (0, 1)  # (left, right) among equal times
-    rows = left.withColumn("_side", F.lit(tags[0])).withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)).withColumn("_at", F.lit(None).cast(r.schema[at].dataType)).withColumn("_left", F.lit(True))
-    both = rows.unionByName(r.withColumn("_side", F.lit(tags[1])).withColumn("_at", F.col(at)).withColumn("_left", F.lit(False)), allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(at, "_side")
+    rows = left.withColumn("_side", F.lit(tags[0])).withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)).withColumn("_at", F.lit(None).cast(r.schema[at].dataType))
+    rows = rows.withColumn("_day", F.to_date(at)).withColumn("_left", F.lit(True))
+    both = rows.unionByName(r.withColumn("_side", F.lit(tags[1])).withColumn("_left", F.lit(False)), allowMissingColumns=True)
+    days = left.select(*by, F.to_date(at).alias("_day")).distinct().join(
+        r.groupBy(*by, "_day").agg(pick(F.struct("_r", "_at"), "_at").alias("_end")), [*by, "_day"], "full")
+    w = Window.partitionBy(*by).orderBy(F.desc("_day") if forward else F.asc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*by, "_day", F.last("_end", True).over(w).alias("_carried"))
+    w = Window.partitionBy(*by, "_day").orderBy(at, "_side")
     frame = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
-    pick = F.first if forward else F.last
-    hit = pick(F.when(~F.col("_left"), F.struct("_r", "_at")), True).over(frame)
-    out = both.withColumn("_hit", hit).where("_left")
+    own = (F.first if forward else F.last)(F.when(~F.col("_left"), F.struct("_r", "_at")), True).over(frame)
+    out = both.withColumn("_own", own).where("_left").join(days, [*by, "_day"], "left").withColumn("_hit", F.coalesce("_own", "_carried"))
     if tolerance:
         gap = F.expr(f"INTERVAL {tolerance}")
         near = F.col("_hit._at") <= F.col(at) + gap if forward else F.col("_hit._at") >= F.col(at) - gap
@@ -28,6 +39,16 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list
     return out.select(*left.columns, F.col("_hit._at").alias("r_at"), *(F.col(f"_hit._r.{v}").alias(f"r_{v}") for v in values))
 
 
+def running_sum(df: DataFrame, by: list[str], at: str, then: list[str], value: str, name: str) -> DataFrame:
+    """Adds the running sum of value by (at, then): sums within a day, on top of the days before."""
+    d = df.withColumn("_day", F.to_date(at))
+    days = d.groupBy(*by, "_day").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*by, "_day", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    w = Window.partitionBy(*by, "_day").orderBy(at, *then).rowsBetween(Window.unboundedPreceding, 0)
+    return d.withColumn(name, F.sum(value).over(w)).join(days, [*by, "_day"]).withColumn(name, F.col(name) + F.col("_before")).drop("_day", "_before")
+
+
 def nearest(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str]) -> DataFrame:
     """The right row nearest in time; of two equally near the earlier."""
     back = asof(left, right, by, at, values)

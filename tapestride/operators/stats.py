@@ -24,6 +24,33 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return d.groupBy(*keys).agg(F.count("*").alias("n"), F.round(correlation(x, y), 6).alias("pearson"), F.round(correlation("_x", "_y"), 6).alias("spearman"))
 
 
+def quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float], cells: int = 4096) -> DataFrame:
+    """Exact quantiles (linear between ranks) of any number of rows a key: a column for each of probs.
+
+    A first pass counts the rows of equal value ranges, so that only the ranges that hold a wanted rank are looked into;
+    there values are counted, not listed. No buffer grows with a key's rows. Null values are left out."""
+    d = df.select(key, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    span = d.groupBy(key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    d = d.join(span, key)
+    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / cells).otherwise(1.0)
+    d = d.withColumn("_cell", F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(cells - 1)))
+    w = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    counts = d.groupBy(key, "_cell").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+    counts = counts.withColumn("_to", F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c"))
+    ranks = F.array(*(F.struct(F.lit(n).alias("p"), (F.lit(p) * (F.col("_n") - 1)).alias("h")) for n, p in probs.items()))
+    held = F.exists(ranks, lambda x: (F.floor(x["h"]) < F.col("_to")) & (F.ceil(x["h"]) >= F.col("_from")))
+    found = d.join(counts.where(held).select(key, "_cell", "_from"), [key, "_cell"]).groupBy(key, "_cell", "_v").agg(F.count("*").alias("_c"), F.first("_from").alias("_from"), F.first("_n").alias("_n"))
+    w = Window.partitionBy(key, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("_to", F.col("_from") + F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c"))
+    out = []
+    for n, p in probs.items():
+        h = F.lit(p) * (F.col("_n") - 1)
+        at = lambda k: F.max(F.when((k >= F.col("_from")) & (k < F.col("_to")), F.col("_v")))
+        lo, hi, part = at(F.floor(h)), at(F.ceil(h)), F.max(h - F.floor(h))
+        out.append((lo + (hi - lo) * part).alias(n))
+    return found.groupBy(key).agg(*out)
+
+
 def log_bin(x: Column, steps: int = 4) -> Column:
     """Signed logarithmic bin of a value."""
     return (F.signum(x) * F.floor(steps * F.log1p(F.abs(x)))).cast("int")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -63,29 +65,67 @@ def cci(bars: DataFrame, n: int, name: str = "cci") -> DataFrame:
 
 
 def ewm(bars: DataFrame, specs: dict[str, tuple[str, float]]) -> DataFrame:
-    """Adds recursive averages y = a*x + (1-a)*y', seeded with the first value: {name: (column, a)}.
+    """Adds recursive averages y = a*x + (1-a)*y', seeded with the first value: {name: (column, a)}; nulls keep y.
 
-    Inherently ordered, so one task a symbol, one pass over its bars for all specs; bars are an aggregate, small
-    beside the tape."""
+    A stretch of bars maps its start y to its end y linearly, so each symbol and day is one group that starts from
+    zero, days are chained on one row each, and the day's start is added to its bars. No group holds a symbol's bars."""
     import pandas as pd
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema), *(f"`{n}` double" for n in specs)])
+    key = ["symbol", "_day"]
+    days = bars.withColumn("_day", F.to_date("ts"))
+    ddl = [f"`{f.name}` {f.dataType.simpleString()}" for f in days.schema]
+    more = [c for n in specs for c in (f"`{n}` double", f"`_{n}` double", f"`_first_{n}` double")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_id")
-        return pdf.assign(**{n: pdf[c].ewm(alpha=a, adjust=False, ignore_na=True).mean() for n, (c, a) in specs.items()})
-
-    return bars.groupBy("symbol").applyInPandas(run, schema)
-
-
-def rsi(bars: DataFrame, n: int) -> DataFrame:
-    """Adds rsi (Wilder averages of gains and losses, 50 where there is no loss and no gain) and both averages."""
+        out = {}
+        for n, (c, a) in specs.items():
+            x = pdf[c].astype(float)
+            out[n] = pd.concat([pd.Series([0.0]), x]).ewm(alpha=a, adjust=False, ignore_na=True).mean().to_numpy()[1:]
+            out[f"_{n}"] = (1 - a) ** x.notna().cumsum().to_numpy()  # what is left of the day's start
+            out[f"_first_{n}"] = x.bfill().iloc[0]
+        return pdf.assign(**out)
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_day")
+        for n in specs:
+            start, now = [], None
+            for first, add, keep in zip(pdf[f"_first_{n}"], pdf[n], pdf[f"_{n}"]):
+                now = first if now is None and first == first else now
+                start.append(now)
+                now = None if now is None else keep * now + add
+            pdf[f"_start_{n}"] = pd.Series(start, index=pdf.index, dtype=float)
+        return pdf[["symbol", "_day", *(f"_start_{n}" for n in specs)]]
+
+    own = days.groupBy(*key).applyInPandas(within, ", ".join(ddl + more))
+    ends = own.groupBy(*key).agg(*(F.max_by(c, "bar_id").alias(c) for n in specs for c in (n, f"_{n}")), *(F.first(f"_first_{n}").alias(f"_first_{n}") for n in specs))
+    kind = bars.schema["symbol"].dataType.simpleString()
+    starts = ends.groupBy("symbol").applyInPandas(chain, f"symbol {kind}, _day date, " + ", ".join(f"`_start_{n}` double" for n in specs))
+    out = own.join(starts, key)
+    return out.select(*bars.columns, *((F.col(f"_{n}") * F.col(f"_start_{n}") + F.col(n)).alias(n) for n in specs))
+
+
+def rsi(bars: DataFrame, n: int, more: dict[str, tuple[str, float]] | None = None) -> DataFrame:
+    """Adds rsi (Wilder averages of gains and losses, 50 where there is no loss and no gain), both averages, and those of `more`."""
     d = F.col("close") - F.lag("close").over(by_symbol())
     b = bars.withColumns({"gain": F.coalesce(F.greatest(d, F.lit(0.0)), F.lit(0.0)), "loss": F.coalesce(F.greatest(-d, F.lit(0.0)), F.lit(0.0))})
-    b = ewm(b, {"avg_gain": ("gain", 1 / n), "avg_loss": ("loss", 1 / n)})
+    b = ewm(b, {"avg_gain": ("gain", 1 / n), "avg_loss": ("loss", 1 / n)} | (more or {}))
     return b.withColumn("rsi", F.when(F.col("avg_gain") + F.col("avg_loss") > 0, 100 * F.col("avg_gain") / (F.col("avg_gain") + F.col("avg_loss"))).otherwise(50.0))
 
 
+def trailing_time(df: DataFrame, keys: list[str], at: str, seconds: int, cell: int, made: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+    """Adds columns over the last `seconds` before each row, itself and equal times included.
+
+    Rows are dealt into time cells and those near a cell's end are copied to the next one, so that no window holds a
+    key's whole history; a cell must be longer than the window."""
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    d = df.withColumn("_t", us).withColumn("_own", F.floor(F.col("_t") / (cell * 1_000_000)))
+    late = (F.col("_own") + 1) * (cell * 1_000_000) - F.col("_t") <= seconds * 1_000_000
+    d = d.withColumn("_cell", F.explode(F.when(late, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    w = Window.partitionBy(*keys, "_cell").orderBy("_t").rangeBetween(-seconds * 1_000_000, 0)
+    return d.withColumns(made(w)).where("_cell = _own").drop("_t", "_own", "_cell")
+
+
 def session_vwap(bars: DataFrame) -> DataFrame:
     """Adds day, vwap (running within the day) and vwap_sd: the running deviation from the running vwap, two stages."""
     w = Window.partitionBy("symbol", "day").orderBy("ts")
@@ -163,3 +203,78 @@ def packed_sequence(bars: DataFrame, n: int) -> DataFrame:
     b = bars.withColumn("_l", letter)
     code = sum((F.lag("_l", k).over(w) * 3**k for k in range(1, n)), F.col("_l") * 1)
     return b.withColumn("code", code).drop("_l")
+
+
+def close_range() -> Column:
+    """The true range without the low's distance from the close before; the mean of 14 is another ATR."""
+    before = F.lag("close").over(by_symbol())
+    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("close") - before))
+
+
+def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """Adds macd, its signal line and the histogram."""
+    b = ewm(bars, {"_f": ("close", 2 / (fast + 1)), "_s": ("close", 2 / (slow + 1))}).withColumn("macd", F.col("_f") - F.col("_s")).drop("_f", "_s")
+    return ewm(b, {"macd_signal": ("macd", 2 / (signal + 1))}).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+
+
+def forms(bars: DataFrame, col: str) -> DataFrame:
+    """Adds six questions about a column: z288, changes over 21 and 89 bars, place in the range of 55 and 233 bars, acceleration."""
+    w, c = by_symbol(), F.col(col)
+    least = lambda agg, n, m: F.when(F.count(col).over(last_n(n)) >= m, agg(col).over(last_n(n)))
+    sd = least(F.stddev_samp, 288, 72)
+    place = lambda n: (c - least(F.min, n, n // 3)) / F.nullif(least(F.max, n, n // 3) - least(F.min, n, n // 3), F.lit(0.0))
+    b = bars.withColumn("_d", c - F.lag(col).over(w))
+    return b.withColumns({
+        "z288": (c - least(F.avg, 288, 72)) / F.when(sd > 1e-12, sd), "d21": c - F.lag(col, 21).over(w), "d89": c - F.lag(col, 89).over(w),
+        "rk55": place(55), "rk233": place(233), "acc": F.col("_d") - F.lag("_d", 21).over(w),
+    }).drop("_d")
+
+
+def unique_fractals(bars: DataFrame, k: int) -> DataFrame:
+    """Adds peak and trough: the bar alone has the extreme of the 2k+1 bars around it; known only k bars later."""
+    frame = by_symbol().rowsBetween(-k, k)
+    full = F.count("*").over(frame) == 2 * k + 1
+    b = bars.withColumns({"_h": F.max("high").over(frame), "_l": F.min("low").over(frame), "_hs": F.collect_list("high").over(frame), "_ls": F.collect_list("low").over(frame)})
+    alone = lambda c, x, xs: full & (F.col(c) == F.col(x)) & (F.size(F.filter(xs, lambda v: v == F.col(x))) == 1)
+    return b.withColumns({"peak": alone("high", "_h", "_hs"), "trough": alone("low", "_l", "_ls")}).drop("_h", "_l", "_hs", "_ls")
+
+
+def open_gaps(bars: DataFrame, life: int) -> DataFrame:
+    """Adds gap_floor and gap_ceiling: the nearest three-bar gap below and above that no later bar has filled, of the last `life` bars.
+
+    A gap lives from its bar to the bar that fills it, which a forward window finds; each live gap then meets the bars of
+    its life by key, `life` rows at most."""
+    w = by_symbol()
+    path = F.collect_list(F.struct("low", "high")).over(w.rowsBetween(0, life - 1))
+    b = bars.select("symbol", "bar_id", "ts", F.lag("high", 2).over(w).alias("_h2"), F.lag("low", 2).over(w).alias("_l2"), "low", "high", path.alias("_p"))
+    first = lambda ok: F.coalesce(F.get(F.filter(F.transform("_p", lambda x, i: F.when(ok(x), i)), lambda k: k.isNotNull()), 0), F.size("_p"))
+    up = F.when(F.col("_h2") < F.col("low"), F.struct(F.lit(True).alias("up"), F.col("_h2").alias("edge"), first(lambda x: x["low"] <= F.col("_h2")).alias("n")))
+    down = F.when(F.col("_l2") > F.col("high"), F.struct(F.lit(False).alias("up"), F.col("_l2").alias("edge"), first(lambda x: x["high"] >= F.col("_l2")).alias("n")))
+    g = b.select("symbol", "bar_id", F.explode(F.array_compact(F.array(up, down))).alias("g")).where("g.n > 0")
+    g = g.select("symbol", F.explode(F.sequence(F.col("bar_id"), F.col("bar_id") + F.col("g.n") - 1)).alias("bar_id"), "g.up", "g.edge")
+    near = g.groupBy("symbol", "bar_id").agg(F.max(F.when(F.col("up"), F.col("edge"))).alias("gap_floor"), F.min(F.when(~F.col("up"), F.col("edge"))).alias("gap_ceiling"))
+    return bars.join(near, ["symbol", "bar_id"], "left")
+
+
+def level_sweeps(bars: DataFrame) -> DataFrame:
+    """Adds sweeps of the previous day's levels (pdh, pdl) and of the 20 bars before: three bars reach beyond, the close is back."""
+    w = by_symbol()
+    h3, l3 = strict(F.max("high"), 3), strict(F.min("low"), 3)
+    before = w.rowsBetween(-20, -1)
+    full = F.count("*").over(before) == 20
+    sh, sl = F.when(full, F.max("high").over(before)), F.when(full, F.min("low").over(before))
+    c = F.col("close")
+    flag = lambda x: F.coalesce(x, F.lit(False))
+    return bars.withColumns({
+        "sweep_pdh": flag((h3 > F.col("pdh")) & (c < F.col("pdh"))), "sweep_pdl": flag((l3 < F.col("pdl")) & (c > F.col("pdl"))),
+        "sweep_high": flag((h3 > sh) & (c < sh)), "sweep_low": flag((l3 < sl) & (c > sl)),
+    })
+
+
+def equal_highs(bars: DataFrame, n: int, share: float) -> DataFrame:
+    """Adds equal_highs: how many of the last n highs were within `share` of the symbol's median range of the n-bar high at their time."""
+    typical = bars.groupBy("symbol").agg(F.percentile(F.col("high") - F.col("low"), F.lit(0.5)).alias("_m"))
+    b = bars.join(typical, "symbol")
+    top = strict(F.max("high"), n)
+    b = b.withColumn("_e", F.coalesce((top - F.col("high") < share * F.col("_m")).cast("int"), F.lit(0)))
+    return b.withColumn("equal_highs", F.when(F.count("*").over(last_n(n)) == n, F.sum("_e").over(last_n(n)))).drop("_m", "_e")

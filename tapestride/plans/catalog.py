@@ -152,10 +152,10 @@ e AS (SELECT symbol, bar_id, close AS f, close AS s, gain AS g, loss AS l, tr AS
  SELECT d.symbol, d.bar_id, e.f + (d.close - e.f) * 2 / 13.0, e.s + (d.close - e.s) * 2 / 27.0, e.g + (d.gain - e.g) / 14.0, e.l + (d.loss - e.l) / 14.0, e.a + (d.tr - e.a) / 14.0 FROM e JOIN d ON d.symbol = e.symbol AND d.bar_id = e.bar_id + 1)
 SELECT symbol, bar_id, round(f, 4) AS ema12, round(f - s, 4) AS macd, round(CASE WHEN g + l > 0 THEN 100 * g / (g + l) ELSE 50 END, 4) AS rsi14, round(a, 4) AS atr14 FROM e""")
 def indicators_ewm(spark, sf):
-    """EMA, MACD line, Wilder RSI and ATR; one recursive pass a symbol."""
+    """EMA, MACD line, Wilder RSI and ATR from one recursive pass."""
     b = hourly(spark, sf).withColumn("tr", F.coalesce(W.true_range(), F.col("high") - F.col("low")))
-    b = W.ewm(b, {"fast": ("close", 2 / 13), "slow": ("close", 2 / 27), "atr": ("tr", 1 / 14)})
-    return W.rsi(b, 14).select("symbol", "bar_id", r("fast", 4).alias("ema12"), r(F.col("fast") - F.col("slow"), 4).alias("macd"), r("rsi", 4).alias("rsi14"), r("atr", 4).alias("atr14"))
+    b = W.rsi(b, 14, {"fast": ("close", 2 / 13), "slow": ("close", 2 / 27), "atr": ("tr", 1 / 14)})
+    return b.select("symbol", "bar_id", r("fast", 4).alias("ema12"), r(F.col("fast") - F.col("slow"), 4).alias("macd"), r("rsi", 4).alias("rsi14"), r("atr", 4).alias("atr14"))
 
 
 @query(f"""WITH {BARS}, v AS (SELECT *, CAST(ts AS DATE) AS day, (high + low + close) / 3 AS tp, greatest(CAST(volume AS DOUBLE), 1) AS vv FROM bars),
@@ -216,9 +216,9 @@ def path_shape(spark, sf):
 
 @query(f"WITH {TAPE} SELECT symbol, id, CAST(sum(size) OVER w AS BIGINT) AS vol_1h, count(*) OVER w AS n_1h, round(px - first(px) OVER w, 6) AS move_1h FROM tape WINDOW w AS (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)")
 def rolling_time_range(spark, sf):
-    t = tape(spark, sf).withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy("symbol").orderBy("_t").rangeBetween(-3_600_000_000, 0)
-    return t.select("symbol", "id", F.sum("size").over(w).alias("vol_1h"), F.count("*").over(w).alias("n_1h"), r(F.col("px") - F.first("px").over(w)).alias("move_1h"))
+    t = W.trailing_time(tape(spark, sf), ["symbol"], "ts", 3600, 86_400, lambda w: {
+        "vol_1h": F.sum("size").over(w), "n_1h": F.count("*").over(w), "move_1h": F.col("px") - F.first("px").over(w)})
+    return t.select("symbol", "id", "vol_1h", "n_1h", r("move_1h").alias("move_1h"))
 
 
 @query(f"""WITH {BARS}, d AS (SELECT *, CAST(ts AS DATE) AS day FROM bars), x AS (SELECT symbol, day, max(high) AS h, min(low) AS l, arg_max(close, ts) AS c FROM d GROUP BY 1, 2),
@@ -293,8 +293,8 @@ a AS (SELECT q2.*, p.cv AS c1 FROM q2 ASOF LEFT JOIN p ON q2.symbol = p.symbol A
 SELECT symbol, ts, CAST(coalesce(c1, 0) - coalesce(c0, 0) AS BIGINT) AS vol_6h FROM b""")
 def asof_prefix_difference(spark, sf):
     """Volume of the last six hours as a difference of two samples of the running sum."""
-    t, q = sides(spark, sf)
-    c = tape(spark, sf).withColumn("cv", F.sum("size").over(Window.partitionBy("symbol").orderBy("ts", "id")))
+    _, q = sides(spark, sf)
+    c = J.running_sum(tape(spark, sf), ["symbol"], "ts", ["id"], "size", "cv")
     now = J.asof(q.select("symbol", "ts"), c, ["symbol"], "ts", ["cv"]).select("symbol", "ts", F.col("r_cv").alias("c1"))
     then = J.asof(now.select("symbol", F.col("ts").alias("at"), "c1", (F.col("ts") - F.expr("INTERVAL 6 HOURS")).alias("ts")), c, ["symbol"], "ts", ["cv"])
     return then.select("symbol", F.col("at").alias("ts"), (F.coalesce("c1", F.lit(0)) - F.coalesce("r_cv", F.lit(0))).alias("vol_6h"))
@@ -307,7 +307,7 @@ def interval_join(spark, sf):
     return J.within(t, n, ["symbol"], "ts", "a", "b", 600).groupBy("symbol", "news").agg(F.count("*").alias("n"), r(F.avg("px")).alias("mean_px"))
 
 
-@query("""WITH d AS (SELECT o_orderpriority AS k, CAST(o_orderdate AS DATE) AS day, round(sum(o_totalprice), 2) AS v FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 5 = 0 GROUP BY 1, 2), s AS (SELECT k, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY k)
+@query("""WITH d AS (SELECT o_orderpriority AS k, CAST(o_orderdate AS DATE) AS day, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2), s AS (SELECT k, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY k)
 SELECT k, day, last_value(v IGNORE NULLS) OVER (PARTITION BY k ORDER BY day ROWS UNBOUNDED PRECEDING) AS v FROM s LEFT JOIN d USING (k, day)""")
 def calendar_ffill(spark, sf):
     d = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("k"), F.to_date("o_orderdate").alias("day")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))

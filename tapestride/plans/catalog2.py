@@ -159,7 +159,10 @@ def permutation_test(spark, sf):
     return V.permutation_test(trades(spark, sf), "symbol", "pnl", "side", "bar_id", 50)
 
 
-@query(f"""WITH {ENTRY}, t AS (SELECT symbol, pnl, bar_id, unnest(range(1, 41)) AS trial FROM trades), u AS (SELECT *, {DRAW.format("'boot|' || trial || '|' || bar_id")} AS u FROM t), k AS (SELECT symbol, trial, pnl, CASE WHEN u < 0.36787944 THEN 0 WHEN u < 0.73575888 THEN 1 WHEN u < 0.91969860 THEN 2 ELSE 3 END AS k FROM u),
+POISSON = "CASE " + " ".join(f"WHEN u < {p!r} THEN {k}" for k, p in enumerate(V.POISSON)) + f" ELSE {len(V.POISSON)} END"
+
+
+@query(f"""WITH {ENTRY}, t AS (SELECT symbol, pnl, bar_id, unnest(range(1, 41)) AS trial FROM trades), u AS (SELECT *, {DRAW.format("'boot|' || trial || '|' || bar_id")} AS u FROM t), k AS (SELECT symbol, trial, pnl, {POISSON} AS k FROM u),
 m AS (SELECT symbol, trial, sum(pnl * k) / sum(k) AS m FROM k GROUP BY 1, 2) SELECT symbol, round(quantile_cont(m, 0.05), 6) AS p05, round(quantile_cont(m, 0.5), 6) AS p50, round(quantile_cont(m, 0.95), 6) AS p95 FROM m GROUP BY 1""")
 def bootstrap_mean(spark, sf):
     return V.bootstrap_mean(trades(spark, sf), "symbol", "pnl", "bar_id", 40)
@@ -217,8 +220,10 @@ def pivot_by_signal(spark, sf):
 
 @query(f"WITH {LEDGER} SELECT signal, round(quantile_cont(pnl, 0.05), 4) AS p05, round(median(pnl), 4) AS p50, round(quantile_cont(pnl, 0.95), 4) AS p95, count(DISTINCT l_orderkey) AS orders FROM l GROUP BY 1")
 def exact_quantiles(spark, sf):
-    q = lambda p: r(F.percentile("pnl", F.lit(p)), 4)
-    return ledger(spark, sf).groupBy("signal").agg(q(0.05).alias("p05"), q(0.5).alias("p50"), q(0.95).alias("p95"), F.countDistinct("l_orderkey").alias("orders"))
+    l = ledger(spark, sf)
+    q = A.quantiles(l, "signal", "pnl", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    orders = l.select("signal", "l_orderkey").distinct().groupBy("signal").agg(F.count("*").alias("orders"))
+    return q.join(orders, "signal").select("signal", *(r(c, 4).alias(c) for c in ("p05", "p50", "p95")), "orders")
 
 
 @query(f"""WITH {LEDGER}, k AS (SELECT CAST(sign(pnl) * floor(4 * ln(1 + abs(pnl))) AS INT) AS bin, qty FROM l), s AS (SELECT bin, count(*) AS n, sum(qty) AS s FROM k GROUP BY 1) SELECT bin, n, CAST(sum(n) OVER w AS BIGINT) AS n_from, round(sum(s) OVER w / sum(n) OVER w, 6) AS mean_from FROM s WINDOW w AS (ORDER BY bin DESC)""")

@@ -33,7 +33,7 @@ def parity_spot(spark, sf):
     return M.parity_spot(chain(spark, sf), ["day"]).select("day", "strike", r("spot").alias("spot"))
 
 
-@query(f"""WITH {TAPE}, o AS (SELECT symbol, id AS order_id, ts AS placed, round(px * 0.5, 2) AS lim, size AS ahead FROM tape WHERE id % 10 = 0), t AS (SELECT o.symbol, order_id, t.ts, t.id, px, lim, ahead, sum(CASE WHEN px = lim THEN size ELSE 0 END) OVER (PARTITION BY o.symbol, order_id ORDER BY t.ts, t.id) AS done FROM o JOIN tape t ON t.symbol = o.symbol AND t.ts > placed AND t.ts <= placed + INTERVAL 3 HOUR AND px <= lim),
+@query(f"""WITH {TAPE}, o AS (SELECT symbol, id AS order_id, ts AS placed, round(px * 0.5, 2) AS lim, size AS ahead FROM tape), t AS (SELECT o.symbol, order_id, t.ts, t.id, px, lim, ahead, sum(CASE WHEN px = lim THEN size ELSE 0 END) OVER (PARTITION BY o.symbol, order_id ORDER BY t.ts, t.id) AS done FROM o JOIN tape t ON t.symbol = o.symbol AND t.ts > placed AND t.ts <= placed + INTERVAL 3 HOUR AND px <= lim),
 h AS (SELECT symbol, order_id, arg_min(ts, (ts, id)) AS fill_ts, arg_min(px < lim, (ts, id)) AS through FROM t WHERE px < lim OR done > ahead GROUP BY 1, 2) SELECT o.symbol, o.order_id, fill_ts, through FROM o LEFT JOIN h USING (symbol, order_id)""")
 def queue_fills(spark, sf):
     t = tape(spark, sf)
@@ -48,7 +48,7 @@ def round_trips(spark, sf):
     return M.round_trips(e, ["user_id"], ["ts", "event_id"])
 
 
-@query("""WITH g AS (SELECT l_returnflag AS flag, l_discount AS disc, l_tax AS tax, avg(l_quantity) AS v FROM lineitem WHERE l_discount <= 0.05 AND l_tax <= 0.05 GROUP BY 1, 2, 3), i AS (SELECT *, CAST(round(disc * 100) AS INT) AS a, CAST(round(tax * 100) AS INT) AS b FROM g)
+@query("""WITH g AS (SELECT l_returnflag AS flag, l_discount AS disc, l_tax AS tax, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3), i AS (SELECT *, dense_rank() OVER (ORDER BY disc) AS a, dense_rank() OVER (ORDER BY tax) AS b FROM g)
 SELECT x.flag, x.disc, x.tax, round(any_value(x.v), 6) AS v, count(*) AS n_near, round(avg(y.v), 6) AS near_mean FROM i x JOIN i y ON x.flag = y.flag AND abs(x.a - y.a) + abs(x.b - y.b) = 1 GROUP BY 1, 2, 3""")
 def parameter_neighbours(spark, sf):
     g = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax")).agg(F.avg("l_quantity").alias("v"))
@@ -142,7 +142,7 @@ def market_regimes(spark, sf):
     return L.regimes(f, ["z20", "range_ratio", "volume_ratio"]).groupBy("symbol", "regime").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, ts, md5(event_type) AS h FROM events ORDER BY ts, event_id LIMIT 200")
+@query("SELECT event_id, ts, md5(event_type) AS h FROM events ORDER BY ts, event_id")
 def stable_order(spark, sf):
     return table(spark, sf, "events").select("event_id", "ts", F.md5("event_type").alias("h")).orderBy("ts", "event_id")
 

@@ -96,7 +96,10 @@ def condition_triples(spark, sf):
 
 
 @query(f"""WITH {BARS}, w AS (SELECT symbol, bar_id, list(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 5 PRECEDING) AS w FROM bars), z AS (SELECT symbol, bar_id, CASE WHEN len(w) = 6 AND list_stddev_pop(w) > 1e-9 THEN list_transform(w, lambda x: (x - list_avg(w)) / list_stddev_pop(w)) END AS z FROM w),
-l AS (SELECT symbol, bar_id, z, lag(z, 6) OVER o AS z1, lag(z, 12) OVER o AS z2, lag(z, 18) OVER o AS z3, lag(z, 24) OVER o AS z4, lag(z, 30) OVER o AS z5 FROM z WINDOW o AS (PARTITION BY symbol ORDER BY bar_id)) SELECT symbol, bar_id, round(least(list_distance(z, z1), list_distance(z, z2), list_distance(z, z3), list_distance(z, z4), list_distance(z, z5)), 5) AS motif FROM l""")
+k AS (SELECT * FROM z WHERE z IS NOT NULL), p AS (SELECT x.symbol, x.bar_id AS i, y.bar_id AS j, list_distance(x.z, y.z) ** 2 AS d FROM k x JOIN k y ON x.symbol = y.symbol AND y.bar_id - x.bar_id >= 6),
+c AS (SELECT symbol, i, j, least(4095, CAST(floor(d / (24 / 4096.0)) AS BIGINT)) AS cell FROM p), h AS (SELECT symbol, cell, sum(count(*)) OVER (PARTITION BY symbol ORDER BY cell) AS upto, sum(count(*)) OVER (PARTITION BY symbol) AS total FROM c GROUP BY symbol, cell),
+t AS (SELECT symbol, min(cell) AS cut FROM h WHERE upto >= 0.02 * total GROUP BY 1), n AS (SELECT symbol, bar_id, count(*) AS n FROM (SELECT symbol, unnest([i, j]) AS bar_id FROM c JOIN t USING (symbol) WHERE cell <= cut) GROUP BY 1, 2), m AS (SELECT symbol, j AS bar_id, min(d) AS d FROM p GROUP BY 1, 2)
+SELECT symbol, bar_id, round(sqrt(d), 5) AS motif, CASE WHEN z IS NOT NULL THEN coalesce(n, 0) END AS density FROM z LEFT JOIN m USING (symbol, bar_id) LEFT JOIN n USING (symbol, bar_id)""")
 def motif_distance(spark, sf):
     return O.motif_distance(hourly(spark, sf), 6).select("symbol", "bar_id", r("motif", 5).alias("motif"), "density")
 
