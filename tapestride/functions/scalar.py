@@ -100,3 +100,45 @@ def impulse_setup(opens: Column, close: Column, hi: Column, lo: Column, impulse:
     side = F.when(net >= impulse, 1).when(net <= -impulse, -1)
     entry = F.when(side > 0, hi - pullback * (hi - lo)).otherwise(lo + pullback * (hi - lo))
     return F.when(side.isNotNull(), F.struct(side.alias("side"), net.alias("net"), F.round(entry, 2).alias("entry"), F.round(entry - side * stop, 2).alias("stop"), F.round(entry + side * target, 2).alias("target")))
+
+
+def available_mean(weights: dict[str, float]) -> Column:
+    """Weighted mean of the columns that aren't null; null if none is there."""
+    total = sum((F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, w in weights.items()), F.lit(0.0))
+    return sum((F.coalesce(F.col(c) * w, F.lit(0.0)) for c, w in weights.items()), F.lit(0.0)) / F.nullif(total, F.lit(0.0))
+
+
+def rule_terms(text: Column) -> Column:
+    """Terms of a rule such as "f>q0.7 & g<=q0.6": array of (feature, op, q)."""
+    term = r"^\s*(\w+)\s*(<=|>=|<|>)\s*q([0-9.]+)\s*$"
+    part = lambda t, k: F.regexp_extract(t, term, k)
+    return F.transform(F.split(text, "&"), lambda t: F.struct(part(t, 1).alias("feature"), part(t, 2).alias("op"), part(t, 3).cast("double").alias("q")))
+
+
+def padded_key(*parts: Column, width: int) -> Column:
+    """The first part zero-padded, joined to the others by an underscore."""
+    first, *rest = (p.cast("string") for p in parts)
+    return F.concat_ws("_", F.lpad(first, width, "0"), *rest)
+
+
+def round_level(px: Column, step: float) -> Column:
+    """The nearest multiple of step, ties to even."""
+    return F.bround(px / step) * step
+
+
+def slippage(volume_ratio: Column, contracts: Column, base: float = 1.5, size: float = 30.0) -> Column:
+    """Points lost by an order: more for size, more on a thin book, half a point at least."""
+    thin = F.greatest(F.lit(0.0), 1 - F.coalesce(volume_ratio, F.lit(1.0))) * 1.5
+    return F.greatest(F.lit(0.5), base + 0.5 * (contracts / size - 1) + thin)
+
+
+def looked_up(key: Column, table: dict) -> Column:
+    """The key's value in a small fixed table, or null."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
+
+
+def kelly_from_profit_factor(win_rate: Column, profit_factor: Column) -> Column:
+    """Kelly fraction from win rate and profit factor, clipped to [0, 1]; 0 where either says nothing."""
+    odds = profit_factor * (1 - win_rate) / win_rate
+    f = win_rate - (1 - win_rate) / odds
+    return F.when((win_rate > 0) & (win_rate < 1) & (profit_factor > 0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), f))).otherwise(0.0)

@@ -17,8 +17,9 @@ def ohlcv(tape: DataFrame, *keys: str) -> DataFrame:
 
 
 def time_bars(tape: DataFrame, unit: str = "hour") -> DataFrame:
-    """Left-labelled bars; empty ones don't exist."""
-    t = tape.withColumn("bar_ts", F.date_trunc(unit, "ts").cast("timestamp_ntz"))
+    """Left-labelled, left-closed bars of a calendar unit ("hour") or of any width ("5 minutes"); empty ones don't exist."""
+    start = F.window("ts", unit)["start"] if " " in unit else F.date_trunc(unit, "ts")
+    t = tape.withColumn("bar_ts", start.cast("timestamp_ntz"))
     return ohlcv(t, "symbol", "bar_ts").withColumnRenamed("bar_ts", "ts")
 
 
@@ -44,6 +45,12 @@ def tick_sign(tape: DataFrame, keys: tuple[str, ...] = ("symbol",), default: int
     return run.withColumn("sign", F.coalesce(F.last("_m", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(default))).drop("_m")
 
 
+def quote_sign(tape: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Adds sign: -1 where the price falls, else +1; a tie is a buy."""
+    w = Window.partitionBy(*keys).orderBy(*ORDER)
+    return tape.withColumn("sign", F.when(F.col("px") < F.lag("px").over(w), -1).otherwise(1))
+
+
 def volume_bars(tape: DataFrame, size: int, big: int) -> DataFrame:
     """Event bars of `size` traded a symbol and day, with order flow; a tick belongs to the bar its first unit falls in."""
     keys = ("symbol", "day")

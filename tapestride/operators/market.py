@@ -115,3 +115,16 @@ def shapes(mask: Column, w) -> dict[str, Column]:
     """Forms of a condition over time: its rising edge, held four rows, and its aftermath of eight rows."""
     on = mask.cast("int")
     return {"edge": mask & ~F.coalesce(F.lag(mask).over(w), F.lit(False)), "hold4": F.coalesce(F.min(on).over(w.rowsBetween(-3, 0)) == 1, F.lit(False)) & (F.count("*").over(w.rowsBetween(-3, 0)) == 4), "after8": F.coalesce(F.max(on).over(w.rowsBetween(-8, -1)) == 1, F.lit(False)) & ~mask}
+
+
+def gamma_flip(chain: DataFrame, keys: list[str], grid: list[float]) -> DataFrame:
+    """Per keys the lowest spot at which the signed gamma exposure of (strike, years, vol, call, oi) changes sign, between
+    points of the grid, and the number of such crossings. Contracts are summed by equal terms before they meet the grid."""
+    c = chain.groupBy(*keys, "strike", "years", "vol").agg(F.sum(F.when(F.col("call"), F.col("oi")).otherwise(-F.col("oi"))).alias("_net"))
+    c = c.withColumn("spot", F.explode(F.array(*map(F.lit, map(float, grid)))))
+    g = c.groupBy(*keys, "spot").agg(F.sum(S.option_gamma(F.col("spot"), F.col("strike"), F.col("years"), F.col("vol")) * F.col("_net") * F.pow("spot", F.lit(2)) * 0.01).alias("_g"))
+    w = Window.partitionBy(*keys).orderBy("spot")
+    g = g.withColumns({"_pg": F.lag("_g").over(w), "_ps": F.lag("spot").over(w)})
+    turn = F.signum("_g") != F.signum("_pg")
+    at = F.col("_ps") - F.col("_pg") * (F.col("spot") - F.col("_ps")) / (F.col("_g") - F.col("_pg"))
+    return g.groupBy(*keys).agg(F.min(F.when(turn, at)).alias("flip"), F.count_if(turn).alias("crossings"))
