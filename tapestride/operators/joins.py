@@ -70,9 +70,9 @@ def within(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: s
 
 
 def forward_path(bars: DataFrame, h: int) -> DataFrame:
-    """Adds path: array of the next h bars' (high, low, close); one window, no self-join."""
+    """Adds path: array of the next h bars' (high, low, close, open); one window, no self-join."""
     w = Window.partitionBy("symbol").orderBy("bar_id").rowsBetween(1, h)
-    return bars.withColumn("path", F.collect_list(F.struct("high", "low", "close")).over(w))
+    return bars.withColumn("path", F.collect_list(F.struct("high", "low", "close", "open")).over(w))
 
 
 def previous_day(bars: DataFrame) -> DataFrame:

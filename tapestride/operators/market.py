@@ -72,16 +72,17 @@ def order_shuffles(results: DataFrame, key: str, day: str, value: str, trials: i
 
 
 def greedy_uncorrelated(returns: DataFrame, name: str, at: str, value: str, cap: float, most: int) -> list[str]:
-    """Names chosen in order of total value, each correlated at most `cap` with those before.
-
-    Correlations come from one join on time; the choice runs over the names' matrix, which is of the book's size."""
-    totals = [r[name] for r in returns.groupBy(name).agg(F.sum(value).alias("t")).orderBy(F.desc("t"), name).collect()]
-    a, b = returns.select(F.col(name).alias("a"), at, F.col(value).alias("x")), returns.select(F.col(name).alias("b"), at, F.col(value).alias("y"))
-    c = {(r.a, r.b): r.c for r in a.join(b, at).groupBy("a", "b").agg(correlation("x", "y").alias("c")).collect()}
-    out: list[str] = []
-    for n in totals:
-        if len(out) < most and all((c.get((n, m)) or 0.0) <= cap for m in out):
-            out.append(n)
+    """Names chosen in order of total value, each correlated at most `cap` with those before; `most` of them at most.
+
+    Each round takes the best name that is left and one join on time of its results with those of all others; only the
+    chosen name comes to the driver, never a matrix. A null correlation forbids nothing."""
+    r = returns.groupBy(name, at).agg(F.sum(value).alias("_v"))
+    left, out = r.groupBy(name).agg(F.sum("_v").alias("_t")), []
+    while len(out) < most and (best := left.orderBy(F.desc("_t"), name).first()) is not None:
+        out.append(best[name])
+        own = r.where(F.col(name) == best[name]).select(at, F.col("_v").alias("_x"))
+        c = r.join(own, at).groupBy(name).agg(correlation("_v", "_x").alias("_c")).where(F.col("_c") > cap).select(name)
+        left = left.where(F.col(name) != best[name]).join(c, name, "left_anti")
     return out
 
 

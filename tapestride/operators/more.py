@@ -109,6 +109,12 @@ def latin_hypercube(spark, n: int, dims: dict[str, tuple[float, float]], seed: s
     return df
 
 
+def random_points(bounds: dict[str, tuple[float, float]], n: int, seed: str):
+    """Array of n structs (cfg from 1, each parameter drawn between its bounds); explode it beside what the parameters are tried on."""
+    at = lambda name, lo, hi, k: F.round(lo + (hi - lo) * draw(F.lit(seed), F.lit(name), F.lit(str(k))), 4).alias(name)
+    return F.array(*(F.struct(F.lit(k).alias("cfg"), *(at(name, lo, hi, k) for name, (lo, hi) in bounds.items())) for k in range(1, n + 1)))
+
+
 def largest_overlap(spans: DataFrame, queries: DataFrame) -> DataFrame:
     """For each query (symbol, q, a, b) the contract whose days (symbol, contract, start, end) overlap it most; ties by name."""
     j = queries.join(spans, "symbol").where("start <= b AND end >= a")

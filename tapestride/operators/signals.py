@@ -40,10 +40,14 @@ def gate(signals: DataFrame, checks: list[tuple[str, Column, float]]) -> DataFra
     """Adds veto (the first failed check's name, or null) and size, the product of the multipliers of soft checks that fail.
 
     A check: (name, passes, multiplier); multiplier 0 vetoes. A null test fails."""
-    fails = [(name, ~F.coalesce(ok, F.lit(False)), mult) for name, ok, mult in checks]
-    veto = F.coalesce(*(F.when(bad, name) for name, bad, mult in fails if not mult), F.lit(None).cast("string"))
+    veto = veto_of(checks)
     size = F.lit(1.0)
-    for _, bad, mult in fails:
+    for _, ok, mult in checks:
         if mult:
-            size = size * F.when(bad, mult).otherwise(1.0)
+            size = size * F.when(F.coalesce(ok, F.lit(False)), 1.0).otherwise(mult)
     return signals.withColumns({"veto": veto, "size": F.when(veto.isNull(), F.round(size, 6)).otherwise(0.0)})
+
+
+def veto_of(checks: list[tuple[str, Column, float]]) -> Column:
+    """The first check without a multiplier that fails, or null."""
+    return F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok, mult in checks if not mult), F.lit(None).cast("string"))

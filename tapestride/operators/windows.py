@@ -89,20 +89,22 @@ def ewm(bars: DataFrame, specs: dict[str, tuple[str, float]]) -> DataFrame:
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_day")
         for n in specs:
-            start, now = [], None
+            start, fresh, now = [], [], None
             for first, add, keep in zip(pdf[f"_first_{n}"], pdf[n], pdf[f"_{n}"]):
+                fresh.append(now is None)
                 now = first if now is None and first == first else now
                 start.append(now)
                 now = None if now is None else keep * now + add
-            pdf[f"_start_{n}"] = pd.Series(start, index=pdf.index, dtype=float)
-        return pdf[["symbol", "_day", *(f"_start_{n}" for n in specs)]]
+            pdf[f"_start_{n}"], pdf[f"_fresh_{n}"] = pd.Series(start, index=pdf.index, dtype=float), fresh
+        return pdf[["symbol", "_day", *(f"_{c}_{n}" for n in specs for c in ("start", "fresh"))]]
 
     own = days.groupBy(*key).applyInPandas(within, ", ".join(ddl + more))
     ends = own.groupBy(*key).agg(*(F.max_by(c, "bar_id").alias(c) for n in specs for c in (n, f"_{n}")), *(F.first(f"_first_{n}").alias(f"_first_{n}") for n in specs))
     kind = bars.schema["symbol"].dataType.simpleString()
-    starts = ends.groupBy("symbol").applyInPandas(chain, f"symbol {kind}, _day date, " + ", ".join(f"`_start_{n}` double" for n in specs))
+    starts = ends.groupBy("symbol").applyInPandas(chain, f"symbol {kind}, _day date, " + ", ".join(f"`_start_{n}` double, `_fresh_{n}` boolean" for n in specs))
     out = own.join(starts, key)
-    return out.select(*bars.columns, *((F.col(f"_{n}") * F.col(f"_start_{n}") + F.col(n)).alias(n) for n in specs))
+    begun = lambda n: ~F.col(f"_fresh_{n}") | (F.col(f"_{n}") != 1.0)  # noqa: E731  not before the first value of all
+    return out.select(*bars.columns, *(F.when(begun(n), F.col(f"_{n}") * F.col(f"_start_{n}") + F.col(n)).alias(n) for n in specs))
 
 
 def rsi(bars: DataFrame, n: int, more: dict[str, tuple[str, float]] | None = None) -> DataFrame:

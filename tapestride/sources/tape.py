@@ -26,8 +26,11 @@ def contract_minutes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bars_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Bars with a header; the last of rows with one time stays."""
-    return spark.read.schema("ts timestamp, open double, high double, low double, close double, volume double").option("header", True).csv(path)
+    """Bars with a header; the last of rows with one time stays, by file name, then by place in the file."""
+    raw = spark.read.schema("ts timestamp, open double, high double, low double, close double, volume double").option("header", True).csv(path)
+    at = F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    value = F.struct("open", "high", "low", "close", "volume")
+    return raw.select("ts", value.alias("b"), at.alias("at")).groupBy("ts").agg(F.max_by("b", "at").alias("b")).select("ts", "b.*")
 
 
 def preamble_csv(spark: SparkSession, path: str, date_col: str, columns: list[str]) -> DataFrame:
@@ -91,13 +94,14 @@ def option_chain(df: DataFrame, ticker: str = "ticker") -> DataFrame:
 
 
 #: Layout of the order messages read here: type, struct format after the 11-byte head, fields.
-ITCH = {"A": (">Qc I8sI", ("ref", "side", "shares", "stock", "price")), "E": (">QIQ", ("ref", "shares", "match")), "X": (">QI", ("ref", "shares")), "D": (">Q", ("ref",)), "U": (">QQII", ("ref", "new_ref", "shares", "price"))}
+ITCH = {"A": (">Qc I8sI", ("ref", "side", "shares", "stock", "price")), "E": (">QIQ", ("ref", "shares", "match")), "X": (">QI", ("ref", "shares")), "D": (">Q", ("ref",)), "U": (">QQII", ("ref", "new_ref", "shares", "price")), "C": (">QIQcI", ("ref", "shares", "match", "printable", "price")), "R": (">8s", ("stock",))}
 
 
 def itch_messages(spark: SparkSession, path: str) -> DataFrame:
     """Order messages of length-prefixed binary files: (file, seq, kind, locate, ns, ref, new_ref, side, shares, stock, price).
 
-    Files are read whole, one row each, as the format has no split points; a day's files are many."""
+    R names a locate's stock, C is an execution at another price. Files may be gzipped. Each is read whole, one row each,
+    as the format has no split points, so a file is of 2 GB at most; a day's files are many."""
     from collections.abc import Iterator
 
     import pyarrow as pa
@@ -106,12 +110,14 @@ def itch_messages(spark: SparkSession, path: str) -> DataFrame:
     names = [x.split()[0] for x in ddl.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gzip
         import struct
 
         formats = {k: (struct.Struct(f.replace(" ", "")), fields) for k, (f, fields) in ITCH.items()}
         for batch in batches:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data, at, seq, rows = data.as_py(), 0, 0, []
+                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 while at + 2 <= len(data):
                     size = int.from_bytes(data[at : at + 2], "big")
                     message, at = data[at + 2 : at + 2 + size], at + 2 + size
@@ -143,3 +149,35 @@ def first_fresh(prices: list[DataFrame], stale_seconds: int) -> DataFrame:
     newest = last.groupBy("symbol").agg(F.max("x.ts").alias("newest"))
     fresh = last.join(newest, "symbol").where(F.col("newest").cast("timestamp").cast("double") - F.col("x.ts").cast("timestamp").cast("double") <= stale_seconds)
     return fresh.groupBy("symbol").agg(F.min_by(F.struct("source", "x.ts", "x.px"), "source").alias("y")).select("symbol", "y.*")
+
+
+#: The places of a tick file's time, `yyyyMMdd HHmmss fffffff` (100 ns), in its first 23 characters.
+TICK_TIME = {"date": (1, 8), "clock": (10, 6), "part": (17, 7)}
+
+
+def tick_files(spark: SparkSession, path: str) -> DataFrame:
+    """Quoted ticks, `time;price;bid;ask;volume` without a header, the time of fixed width: (symbol, ts, ns, px, bid, ask, size).
+
+    Files are split by Spark like any text. Rows whose time doesn't parse fall out; a one-sided quote has a null side."""
+    raw = spark.read.schema("stamp string, px double, bid double, ask double, size bigint").option("sep", ";").csv(path)
+    part = lambda n: F.substring("stamp", *TICK_TIME[n])
+    second = F.try_to_timestamp(F.concat(part("date"), part("clock")), F.lit("yyyyMMddHHmmss"))
+    symbol = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]+)*$", 1)
+    t = raw.select(symbol.alias("symbol"), second.alias("second"), part("part").try_cast("bigint").alias("part"), "px", *(F.when(F.col(c) > 0, F.col(c)).alias(c) for c in ("bid", "ask")), "size")
+    t = t.where("second IS NOT NULL AND part IS NOT NULL")
+    ns = F.unix_seconds("second") * 1_000_000_000 + F.col("part") * 100
+    return t.select("symbol", F.timestamp_micros(F.floor(ns / 1000)).alias("ts"), ns.alias("ns"), "px", "bid", "ask", "size")
+
+
+def aggregate_json(spark: SparkSession, path: str) -> DataFrame:
+    """Landed answers of an aggregates service, {"ticker", "results": [{t, o, h, l, c, v}]}, t in milliseconds: bars."""
+    ddl = "ticker string, results array<struct<t bigint, o double, h double, l double, c double, v double>>"
+    raw = spark.read.schema(ddl).option("multiLine", True).json(path)
+    x = raw.select(F.col("ticker").alias("symbol"), F.explode("results").alias("x"))
+    return x.select("symbol", F.timestamp_millis("x.t").alias("ts"), *(F.col(f"x.{a}").alias(n) for a, n in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"), ("v", "volume"))))
+
+
+def filings(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of Atom feeds of filings: (title, updated, form); the form is what stands before the first dash of the title."""
+    raw = spark.read.format("xml").option("rowTag", "entry").schema("title string, updated string").load(path)
+    return raw.select("title", F.try_to_timestamp("updated").alias("updated"), F.trim(F.split_part("title", F.lit("-"), F.lit(1))).alias("form"))
