@@ -402,6 +402,66 @@ def test_licences(spark):
     assert rows[0][1][one.first_char : one.end_char] == "Released under the MIT License"
 
 
+def test_licence_notices(spark):
+    """Common phrasings, SPDX lines, whole texts; and sentences that only speak of licences."""
+    bsd = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+           "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n3. Neither the name of The Example Project nor the names of its contributors may be used to endorse or promote products\nderived from this software without specific prior written permission.")
+    texts = {
+        "// SPDX-License-Identifier: MIT": ["MIT"], "# SPDX-License-Identifier: (GPL-2.0+ OR Apache-2.0)\ncode": ["GPL-2.0-or-later", "Apache-2.0"], "SPDX-License-Identifier: Unknown-1.0": [],
+        "This project is licensed under the MIT License - see the LICENSE file.": ["MIT"], "This project is licensed under the MIT License - see the [LICENSE.md](LICENSE.md) file for details": ["MIT"],
+        "The MIT License (MIT)\n\nCopyright (c) 2020 Someone": ["MIT"], "Licensed under the BSD 3-Clause License.": ["BSD-3-Clause"], "Licensed under CC BY 4.0 International.": ["CC-BY-4.0"],
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.": ["CC-BY-SA-3.0"], "The code is distributed under the terms of the GNU LGPL v2.1 or later.": ["LGPL-2.1-or-later"], "Released under the GNU AGPLv3.": ["AGPL-3.0-only"], "Data is made available under CC0 1.0 Universal": ["CC0-1.0"],
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": ["LGPL-2.1-or-later"],
+        bsd: ["BSD-3-Clause"], "To the extent possible under law, Jane Q. Doe has waived all copyright and related or neighboring rights to this work.": ["CC0-1.0"],
+        "Everyone talks under the MIT License umbrella.": [], "It is not licensed under any terms.": [], "The licence was discussed under the GPL heading.": [], "mit": [],
+    }
+    rows = list(enumerate(texts)) + [(None, "Licensed under the MIT License."), (500, "x " * 300_000 + ". Licensed under the ISC license.")]
+    got = collections.defaultdict(list)
+    for x in licences.scan_licences(frame(spark, rows)).orderBy("first_char").collect():
+        got[x.doc_id].append(x.license)
+        text = next(t for k, t in rows if k == x.doc_id)
+        assert 0 <= x.first_char < x.end_char <= len(text)
+    assert {k: sorted(got[k]) for k, _ in enumerate(texts)} == {k: sorted(w) for k, w in enumerate(texts.values())}
+    assert got[None] == ["MIT"] and got[500] == ["ISC"]
+
+
+def test_licences_against_brute_force():
+    """Random texts of known and unknown sentences: every run of fragments is compared with every sentence, every rule tried at every place."""
+    r, scanner = random.Random(12), licences.Scanner()
+    norm = lambda t: tuple(re.findall("[a-z0-9]+", t.lower()))
+    fixed = {tuple(s.split()): n for n, s in licences.SENTENCES.items() if "*" not in s}
+    pieces = [" ".join(w) for w in fixed]
+    rules = sorted(licences.RULES, key=lambda x: -len(x[1]))
+    for _ in range(150):
+        parts = []
+        if r.random() < 0.7:
+            licence_rule = r.choice(licences.RULES)[1]
+            for name in licence_rule:
+                parts += [licences.SENTENCES[name].replace("*", "Some Holder")] + ["noise number %d here" % r.randrange(9)] * r.randrange(4)
+        parts += [r.choice([r.choice(pieces), "plain talk of %d things" % r.randrange(99)]) for _ in range(r.randrange(5))]
+        text = "".join(p.capitalize() + r.choice([". ", ".\n", "\n", "; "]) for p in parts)
+        fragments = [norm(text[m.start() : m.end()]) for m in licences.FRAGMENT.finditer(text)]
+        ids, k = [], 0
+        while k < len(fragments):
+            ends = [j for j in range(k, len(fragments)) if tuple(w for f in fragments[k : j + 1] for w in f) in fixed]
+            varied = [(j, n) for j in range(k, min(k + 16, len(fragments))) for n, s in licences.SENTENCES.items() if "*" in s and re.fullmatch(s.replace("*", r"\w+(?: \w+){0,7}"), " ".join(w for f in fragments[k : j + 1] for w in f))]
+            if ends:
+                ids.append(fixed[tuple(w for f in fragments[k : ends[-1] + 1] for w in f)])
+                k = ends[-1] + 1
+            elif varied:
+                ids.append(varied[-1][1])
+                k = varied[-1][0] + 1
+            else:
+                ids.append(None)
+                k += 1
+        want, known, at = [], [(p, i) for p, i in enumerate(ids) if i], 0
+        while at < len(known):
+            hit = next((rule for rule in rules if tuple(i for _, i in known[at : at + len(rule[1])]) == rule[1] and all(b[0] - a[0] <= 3 for a, b in zip(known[at:], known[at + 1 : at + len(rule[1])]))), None)
+            want += [(hit[0], list(hit[1]))] if hit else []
+            at += len(hit[1]) if hit else 1
+        assert [(x[0], x[1]) for x in scanner.scan(text)] == want, text
+
+
 @pytest.mark.parametrize("block", [512, 7])
 def test_near_join(spark, monkeypatch, block):
     monkeypatch.setattr(near_join, "BLOCK", block)
