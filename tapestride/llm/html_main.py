@@ -1,9 +1,10 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page becomes its text blocks in page order, each with its path of open elements. A classifier's log-odds from
-the block's own features and its ancestors set the block's terminal capacities; neighbouring blocks are joined by
-smoothness edges that weigh more the closer they stand in the element tree. The minimum cut, found by max-flow,
-separates content from boilerplate.
+the block's own features and its ancestors set the block's terminal capacities, all finite; all neighbouring blocks
+are joined by smoothness edges that weigh more the closer they stand in the element tree. The minimum cut, found by
+max-flow, separates content from boilerplate: a weak block between strong ones, such as a list or a short line of an
+article that no element marks as one, goes with its neighbours against its own sign.
 
 Blocks are cut at block-level tags; inline tags and <br> stay inside a block. Character references are decoded,
 white space inside a block becomes one space. Cases: a null or empty page, or one without content, gives an empty
@@ -39,24 +40,23 @@ BLOCK = frozenset("address article aside blockquote body button caption center d
 #: An element of the first kind ends where a block-level element, or one of the same kind, begins.
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
-#: Elements and roles under which no block is content; name parts, and forms, that speak against it.
+#: Elements and roles that are chrome; name parts, and forms, that speak against a block.
 CHROME = frozenset("nav footer aside menu dialog button fieldset search head".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 CHROME_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside widget widgets share sharing social related recommended recommendations comment comments disqus respond replies reply login signin signup subscribe subscription newsletter search searchbox pagination pager toolbar skip masthead topbar copyright disclaimer".split()
 )
-#: A header is chrome unless it heads the article itself.
+#: A header counts against its blocks, unless it heads the article itself: then its headings and paragraphs are the article's.
 HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-#: Capacity that no cut pays.
-HARD = 1e6
-#: Log-odds of the linear block classifier.
-WEIGHTS = {"bias": -1.0, "article": 5.0, "log_chars": 0.55, "sentence": 0.8, "link_share": -5.0, "paragraph": 0.8, "heading": 0.6, "list_item": -0.6}
+#: Log-odds of the linear block classifier. Pages carry no labels, so the weights are set by hand: chrome outweighs an
+#: article's five and any neighbours, a page's header anything but an article; a block's own form decides little.
+WEIGHTS = {"bias": -1.0, "article": 5.0, "log_chars": 0.55, "sentence": 0.8, "link_share": -5.0, "paragraph": 0.8, "heading": 0.6, "list_item": -0.6, "chrome": -40.0, "header": -20.0}
 #: Cost of a form, of a class or id all of whose parts are chrome names, and of one with other parts, such as has-sidebar.
 #: It falls from an element with half of the page's text to nothing for one with all of it.
 NAMED, PARTLY = 12.0, 1.5
 #: Smoothness between neighbours whose parents are the same, and at each further level of the tree.
-SMOOTH, FADE = 0.9, 0.5
+SMOOTH, FADE = 1.6, 0.5
 
 
 @dataclass
@@ -195,16 +195,15 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def log_odds(b: Block) -> float:
-    """For content; beyond +-HARD/2 there is no doubt."""
+    """For content, from the block's form, its ancestors and its names."""
     node = b.node
     heading = node.tag in HEADS
-    if node.chrome or node.header and not (node.article and heading):
-        return -HARD
     w, n = WEIGHTS, len(b.text)
     share = min(1.0, b.links / max(1, n))
     return (
         w["bias"] - node.paid + w["article"] * node.article + w["log_chars"] * math.log(n) / 1.5 + w["sentence"] * bool(re.search(r"[.!?…。]\W*$", b.text))
         + w["link_share"] * share + w["paragraph"] * (node.tag in ("p", "pre", "blockquote")) + w["heading"] * heading + w["list_item"] * (node.tag in ("li", "td", "th"))
+        + w["chrome"] * node.chrome + w["header"] * (node.header and not (node.article and (heading or node.tag == "p")))
     )
 
 
@@ -283,9 +282,8 @@ def main_blocks(page: str | None) -> list[str]:
     """The page's content blocks, in page order."""
     blocks = blocks_of(page or "")
     odds = [log_odds(b) for b in blocks]
-    sure = [o <= -HARD / 2 for o in odds]
     source, sink = [max(0.0, o) for o in odds], [max(0.0, -o) for o in odds]
-    edges = [(k, k + 1, SMOOTH * FADE ** distance(blocks[k].node, blocks[k + 1].node)) for k in range(len(blocks) - 1) if not (sure[k] or sure[k + 1])]
+    edges = [(k, k + 1, SMOOTH * FADE ** distance(blocks[k].node, blocks[k + 1].node)) for k in range(len(blocks) - 1)]
     return [b.text for b, keep in zip(blocks, min_cut(source, sink, edges)) if keep]
 
 
