@@ -1,11 +1,11 @@
 """URL rules by a sorted array of 64-bit digests.
 
-The rules' strings are hashed by xxhash64 into one sorted array, written once to the shared folder, handed to
-executors as a Spark file and memory-mapped there. A batch of urls makes its candidate keys, probes them by one
+The rules' strings are hashed by xxhash64 into a sorted array, written once to the shared folder, handed to
+executors as a Spark file and memory-mapped there; a long list becomes several arrays, dealt by digest. A batch of urls makes its candidate keys, probes them by one
 vectorised binary search, and confirms every hit against the stored full string, so a collision costs time only.
 
 Cases: a null url, or one without "://", has an empty host and path and no rule; a rule listed twice keeps its
-last verdict; an empty rule list gives the default verdict; only the key and url columns are read.
+last verdict; of rules of one length the one with the longer path wins; repeated rows and null ids are judged row by row; an empty rule list gives the default verdict; only the key and url columns are read.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from .common import field_ddl, shared_dir, table
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Verdict of the method itself for an url of which no key is in the array.
 DEFAULT = "allow"
-#: The array is held by the driver while it is built; beyond this many rules it must be built in parts.
+#: An array is built in the driver's memory, so one holds about this many rules; more of them make several arrays.
 MAX_RULES = 20_000_000
 
 URL = re.compile(r"(?s)^.*?://([^/?#]*)([^?#]*)")
@@ -43,8 +43,6 @@ def build(rules: Iterable[tuple[str, str, str]]) -> bytes:
     import xxhash
 
     of = {host.translate(UPPER) + path: (verdict, host.count(".") + 1, len(path)) for verdict, host, path in rules}
-    if len(of) > MAX_RULES:
-        raise ValueError(f"{len(of)} rules; one file holds {MAX_RULES}")
     order = sorted(of, key=lambda s: (xxhash.xxh64_intdigest(s), s))
     strings = [s.encode() for s in order]
     shapes = np.array(sorted({of[s][1:] for s in order}), "<u4").reshape(-1, 2)
@@ -58,6 +56,17 @@ def build(rules: Iterable[tuple[str, str, str]]) -> bytes:
     ])
 
 
+def dealt(rules: Iterable[tuple[str, str, str]], most: int | None = None) -> Iterator[list[tuple[str, str, str]]]:
+    """The rules in parts of about `most` (MAX_RULES), by a digest of their string, so that a repeated rule stays in one part."""
+    import xxhash
+
+    rules = list(rules)
+    parts: list[list] = [[] for _ in range(max(1, -(-len(rules) // (most or MAX_RULES))))]
+    for rule in rules:
+        parts[xxhash.xxh3_64_intdigest(rule[1].translate(UPPER) + rule[2]) % len(parts)].append(rule)
+    yield from parts
+
+
 class DigestArray:
     def __init__(self, path: str):
         import numpy as np
@@ -99,6 +108,13 @@ class DigestArray:
         return rules, verdicts
 
 
+def longest(judged: list[tuple[list[str | None], list[str]]]) -> tuple[list[str | None], list[str]]:
+    """Of what several arrays say of each url the longest rule, with its verdict."""
+    size = lambda rule: (len(rule), -rule.split("/")[0].count(".")) if rule else (0, 0)
+    best = [max(range(len(judged)), key=lambda a: size(judged[a][0][k])) for k in range(len(judged[0][0]))]  # noqa: B023
+    return [judged[a][0][k] for k, a in enumerate(best)], [judged[a][1][k] for k, a in enumerate(best)]
+
+
 def publish(spark: SparkSession, data: bytes) -> str:
     """Name of a Spark file with these bytes; written to the shared folder first, so any executor can fetch it."""
     sc, name = spark.sparkContext, f"digests-{hashlib.sha256(data).hexdigest()[:24]}.bin"
@@ -113,17 +129,17 @@ def publish(spark: SparkSession, data: bytes) -> str:
 
 def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT) -> DataFrame:
     """One row per input row: id, host, path, rule (null if none), verdict."""
-    name = publish(pages.sparkSession, build(rules))
+    names = [publish(pages.sparkSession, build(part)) for part in dealt(rules)]
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import SparkFiles
 
-        index = DigestArray(SparkFiles.get(name))
+        arrays = [DigestArray(SparkFiles.get(name)) for name in names]
         for batch in batches:
             parts = [split_url(u) for u in batch.column(1).to_pylist()]
             hosts, paths = [h for h, _ in parts], [p for _, p in parts]
-            found, verdicts = index.judge(hosts, paths, default)
+            found, verdicts = longest([a.judge(hosts, paths, default) for a in arrays])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string()) for x in (hosts, paths, found, verdicts))], names=[id_col, "host", "path", "rule", "verdict"])
 
     return rows.mapInArrow(run, f"{field_ddl(rows, 'id', id_col)}, host string, path string, rule string, verdict string")

@@ -319,6 +319,18 @@ def test_urls(spark):
     assert [tuple(g) for g in got] == [judge(u) for u in urls]
 
 
+def test_urls_in_parts_and_odd_rows(spark, monkeypatch):
+    """Several arrays judge like one; repeated rows, null ids and columns with the output's names."""
+    r = random.Random(3)
+    rules = [(r.choice(["allow", "block"]), ".".join(r.choices("abc", k=r.randrange(1, 4))), "/" + "/".join(r.choices("xy", k=r.randrange(3)))) for _ in range(60)] + [("block", "a.B", "/")]
+    urls = [(r.choice([None, k // 2]), f"http://{'.'.join(r.choices('abc', k=r.randrange(1, 5)))}/{'/'.join(r.choices('xyz', k=r.randrange(4)))}", "h", "v") for k in range(200)]
+    pages = spark.createDataFrame(urls, "page_id long, url string, host string, verdict string")
+    want = sorted(map(tuple, url_filter.filter_urls(pages, rules).collect()), key=repr)
+    assert len(want) == 200 and len({w[3] for w in want}) > 10
+    monkeypatch.setattr(url_filter, "MAX_RULES", 7)
+    assert sorted(map(tuple, url_filter.filter_urls(pages, rules).collect()), key=repr) == want
+
+
 def test_url_collisions(tmp_path, monkeypatch):
     import xxhash
 
