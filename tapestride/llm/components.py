@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: A node with more than a SHARE of all edges, and more than LEAST, is a hub; there are 2 / SHARE hubs at most.
-SHARE, LEAST = 1e-4, 1000
+SHARE, LEAST = 1e-4, 100
 
 
 def with_least(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
