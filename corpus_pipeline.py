@@ -1,13 +1,17 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Every stage decides row by row, so rows of one id or of none don't speak for each other. Null texts pass the filters as
+empty ones; an empty table passes all stages but the first, which needs labelled documents to learn from."""
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tapestride.llm import decontaminate, exact_dedup, near_join, packing, toxicity
-from tapestride.llm.common import shared_dir, table
+from tapestride.llm.common import remove, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group that links of near copies hold together stays, so of a chain of edits one end only."""
     return near_join.one_of_each_group(docs)
 
 
@@ -48,10 +52,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; a stage's folder goes once the next one is written, the last one's when the session ends."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(out := f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}")
             docs = spark.read.parquet(out)
+            if before:
+                remove(spark, before)
+            before = out
+    if before:
+        atexit.register(remove, spark, before)
     return docs

@@ -46,7 +46,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of intermediate data, wherever it is stored."""
+    """Deletes a folder of intermediate data, wherever it is stored; nothing once the session has ended."""
+    if spark.sparkContext._jsc is None:
+        return
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 

@@ -233,6 +233,44 @@ def test_toxicity_learns(spark):
     assert chain.names == ["low_quality", "toxic"]
 
 
+def test_toxicity_of_odd_rows(spark):
+    """Null and repeated ids, null labels and empty texts: every row is scored by its own text, as the model's sums say."""
+    r = random.Random(9)
+    docs, labels = [], []
+    for k in range(200):
+        bad = k % 4 == 0
+        docs.append((k, " ".join([f"word{'abcdefghij'[r.randrange(10)]}{'klmnop'[r.randrange(6)]}" for _ in range(30)] + ["scum"] * bad)))
+        labels.append((k, 1, int(bad)))
+    docs += [(None, "you scum"), (None, "kind words"), (0, "kind words"), (8, "a scum text"), (900, None), (901, "")] + [(4, "zz repeated " * 3)] * 50
+    labels += [(None, 1, 1), (6, None, None), (4, 0, 0)]
+    y = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    chain = toxicity.fitted(frame(spark, docs), y)
+    scorer = toxicity.Scorer(chain)
+    got = toxicity.toxicity(frame(spark, docs), chain).collect()
+    assert len(got) == len(docs)
+
+    def brute(text):  # each model's sum over the text's distinct features, earlier log-odds fed forward
+        present = {f for w in toxicity.LETTERS.findall((text or "").lower()) for f in toxicity.features(w)}
+        odds = []
+        for m in chain.models:
+            z = m.bias + sum(w for f, w in m.weights.items() if f in present) + sum(c * o for c, o in zip(m.chain, odds))
+            odds.append(max(-15.0, min(15.0, z)))
+        return [1 / (1 + math.exp(-z)) for z in odds]
+
+    want = sorted(((k, *brute(t)) for k, t in docs), key=repr)
+    assert [x[0] for x in sorted(((x.doc_id, x.low_quality, x.toxic) for x in got), key=repr)] == [w[0] for w in want]
+    by = collections.defaultdict(list)
+    for x in got:
+        by[x.doc_id].append((x.low_quality, x.toxic, x.is_toxic))
+    for k, own in by.items():
+        assert sorted(x[:2] for x in own) == [pytest.approx(w) for w in sorted(tuple(brute(t)) for i, t in docs if i == k)]
+        assert all(f == (p > chain.thresholds[1]) for _, p, f in own)
+    assert scorer.score("you scum") == pytest.approx(brute("you scum"))
+    assert {x.doc_id for x in got if x.is_toxic} >= {None, 8, 12}
+    again = toxicity.labelled(frame(spark, docs), y, toxicity.CATEGORIES, "doc_id", "text", 60)
+    assert len(again.models) == 2  # a bounded sample, whatever an id's number of documents
+
+
 def test_binary_fuse():
     import numpy as np
 

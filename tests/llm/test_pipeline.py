@@ -94,3 +94,28 @@ def test_pipeline(spark, tmp_path):
     assert kept[3] == {k for k in kept[2] if not leaks(k)}
     assert not kept[3] & set(range(2000, 2020))
     assert kept[4] == kept[3]
+
+
+def test_run_on_odd_rows(spark, tmp_path):
+    """Null and repeated ids through the whole pipeline: no clean text is lost, every text is packed once."""
+    docs, labels, items = corpus()
+    r = random.Random(5)
+    fresh = lambda: " ".join("".join(r.choices("klmnopqr", k=7)) for _ in range(60))
+    alone, two, leak = fresh(), fresh(), " ".join(items[0])
+    odd = [(None, alone), (None, leak), (1, two), (1, two), (1, leak), (None, docs[2][1]), (None, None)]
+    rows = docs[:500] + odd
+    sf = f"{tmp_path}/sf"
+    spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, sf).collect()
+    starts = [(p.doc_id, p.doc_tokens) for p in got if p.start == 0]
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokens = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1
+    assert (None, tokens(alone)) in starts and starts.count((1, tokens(two))) == 1 and (None, 1) in starts
+    assert (1, tokens(docs[1][1])) in starts  # the other text of an id whose second text leaks
+    assert sum(k is None for k, _ in starts) == 2  # the leak and the copy without an id are gone
