@@ -48,15 +48,18 @@ def round_trips(fills: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return t.where("_left = 0").drop("_left")
 
 
-def neighbours(grid: DataFrame, keys: list[str], axes: dict[str, list[float]], value: str) -> DataFrame:
-    """Adds n_near and near_mean of the cells one step away on one axis, the others equal."""
+def neighbours(grid: DataFrame, keys: list[str], axes: list[str], value: str) -> DataFrame:
+    """Adds n_near and near_mean of the cells one step away on one axis, the others equal; an axis' steps are its own distinct values.
+
+    A cell is copied to its neighbours' places, two for each axis, and met there by an equal join: no pairs inside a key."""
     g = grid
-    for a, steps in axes.items():
-        g = g.withColumn(f"_{a}", F.array_position(F.array(*map(F.lit, steps)), F.col(a)))
-    b = g.select(*keys, *(F.col(f"_{a}").alias(f"_o{a}") for a in axes), F.col(value).alias("_v"))
-    apart = sum((F.abs(F.col(f"_{a}") - F.col(f"_o{a}")) for a in axes), F.lit(0))
-    near = g.join(b, keys).where(apart == 1).groupBy(*keys, *axes).agg(F.count("*").alias("n_near"), F.avg("_v").alias("near_mean"))
-    return grid.join(near, [*keys, *axes])
+    for a in axes:  # an axis has a grid's few values
+        steps = grid.select(a).where(F.col(a).isNotNull()).distinct()
+        g = g.join(F.broadcast(steps.withColumn(f"_{a}", F.row_number().over(Window.orderBy(a)))), a)
+    at = lambda a, by: F.struct(*((F.col(f"_{x}") + (by if x == a else 0)).alias(f"_{x}") for x in axes))
+    near = g.select(*keys, F.explode(F.array(*(at(a, by) for a in axes for by in (-1, 1)))).alias("x"), F.col(value).alias("_v")).select(*keys, "x.*", "_v")
+    near = near.groupBy(*keys, *(f"_{a}" for a in axes)).agg(F.count("*").alias("n_near"), F.avg("_v").alias("near_mean"))
+    return g.join(near, [*keys, *(f"_{a}" for a in axes)]).select(*grid.columns, "n_near", "near_mean")
 
 
 def order_shuffles(results: DataFrame, key: str, day: str, value: str, trials: int) -> DataFrame:

@@ -66,6 +66,26 @@ def weekly_metrics(results: DataFrame, key: str, day: str, value: str) -> DataFr
     return w.join(days.groupBy(key).agg(F.round(F.min("p"), 4).alias("worst_day")), key)
 
 
+def risk_metrics(results: DataFrame, key: str, day: str, value: str) -> DataFrame:
+    """By key: ulcer index, worst drawdown, total, recovery, r2 of the equity line over days, worst five days, share of
+    winning days, payoff, worst month, and the median, best and spread of weeks."""
+    days = results.groupBy(key, F.col(day).alias("day")).agg(F.sum(value).alias("p"))
+    w = Window.partitionBy(key).orderBy("day")
+    run, five = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(-4, 0)
+    d = days.withColumns({"e": F.sum("p").over(run), "i": F.row_number().over(w), "roll": F.when(F.count("*").over(five) == 5, F.sum("p").over(five))})
+    d = d.withColumn("dd", F.col("e") - F.greatest(F.lit(0.0), F.max("e").over(run)))
+    win, lose = F.avg(F.when(F.col("p") > 0, F.col("p"))), -F.avg(F.when(F.col("p") < 0, F.col("p")))
+    rounded = lambda c, n, k=4: F.round(c, k).alias(n)
+    ulcer, mdd, total = F.sqrt(F.avg(F.col("dd") * F.col("dd"))), F.min("dd"), F.max_by("e", "day")
+    a = d.groupBy(key).agg(
+        rounded(ulcer, "ulcer"), rounded(mdd, "max_drawdown"), rounded(total, "total"), rounded(total / F.nullif(-mdd, F.lit(0.0)), "recovery", 6), rounded(total / F.nullif(ulcer, F.lit(0.0)), "ulcer_ratio", 6),
+        rounded(F.regr_r2("e", "i"), "r2", 6), rounded(F.min("roll"), "worst_five_days"), rounded(F.avg((F.col("p") > 0).cast("double")), "up_days", 6), rounded(win / F.nullif(lose, F.lit(0.0)), "payoff", 6),
+    )
+    months = days.groupBy(key, F.date_trunc("month", "day")).agg(F.sum("p").alias("m")).groupBy(key).agg(rounded(F.min("m"), "worst_month"))
+    weeks = days.groupBy(key, F.date_trunc("week", "day")).agg(F.sum("p").alias("x")).groupBy(key).agg(rounded(F.percentile("x", F.lit(0.5)), "median_week"), rounded(F.max("x"), "best_week"), rounded(F.stddev_samp("x"), "sd_week"))
+    return a.join(months, key).join(weeks, key)
+
+
 def leaderboard(results: DataFrame, config: list[str], family: str, score: str, per_family: int) -> DataFrame:
     """The best row of each configuration, then the best of each family (a top-k report); ties by configuration."""
     one = Window.partitionBy(*config).orderBy(F.desc(score))
@@ -116,12 +136,31 @@ def random_points(bounds: dict[str, tuple[float, float]], n: int, seed: str):
 
 
 def largest_overlap(spans: DataFrame, queries: DataFrame) -> DataFrame:
-    """For each query (symbol, q, a, b) the contract whose days (symbol, contract, start, end) overlap it most; ties by name."""
-    j = queries.join(spans, "symbol").where("start <= b AND end >= a")
+    """For each query (symbol, q, a, b) the contract whose days (symbol, contract, start, end) overlap it most; ties by name.
+
+    Both sides are dealt into the months they touch, so a query meets only contracts of its own time."""
+    months = lambda x, y: F.explode(F.sequence(F.trunc(x, "month"), F.trunc(y, "month"), F.expr("INTERVAL 1 MONTH"))).alias("_m")
+    s = spans.where("start <= end").select("symbol", "contract", "start", "end", months("start", "end"))
+    j = queries.where("a <= b").select("symbol", "q", "a", "b", months("a", "b")).join(s, ["symbol", "_m"]).where("start <= b AND end >= a").drop("_m").distinct()
     days = F.datediff(F.least("end", "b"), F.greatest("start", "a")) + 1
     return j.groupBy("symbol", "q").agg(F.min_by(F.struct("contract", days.alias("days")), F.struct(-days, F.col("contract"))).alias("x")).select("symbol", "q", "x.*")
 
 
+def facing_pivots(bars: DataFrame, k: int, back: int, most: int) -> DataFrame:
+    """Adds pivots: for each bar the nearest prior swing levels that face a trade in its direction, at most `most` of them.
+
+    A swing of k bars on either side is known k bars later; one that was known in the last `back` bars faces a long from
+    above the close, a short from below it. Candidates are a window's own array, so no bar is joined to others."""
+    b = W.fractals(bars, k)
+    frame = W.by_symbol().rowsBetween(-back, 0)
+    seen = F.collect_list(F.when(F.col("swing_high").isNotNull() | F.col("swing_low").isNotNull(), F.struct("bar_id", "swing_high", "swing_low"))).over(frame)
+    up = F.col("close") >= F.col("open")
+    level = lambda x: F.when(up, x["swing_high"]).otherwise(x["swing_low"])
+    ahead = lambda x: F.when(up, x["swing_high"] > F.col("close")).otherwise(x["swing_low"] < F.col("close"))
+    near = F.filter(F.reverse(seen), lambda x: F.coalesce(ahead(x), F.lit(False)))
+    return b.withColumn("pivots", F.transform(F.slice(near, 1, most), level)).drop("swing_high", "swing_low", "last_high", "last_low")
+
+
 #: Windows of a symbol that are compared with each other at a time, and cells of the histogram of squared distances.
 MOTIF_BLOCK, MOTIF_CELLS = 1024, 4096
 

@@ -67,44 +67,34 @@ def cci(bars: DataFrame, n: int, name: str = "cci") -> DataFrame:
 def ewm(bars: DataFrame, specs: dict[str, tuple[str, float]]) -> DataFrame:
     """Adds recursive averages y = a*x + (1-a)*y', seeded with the first value: {name: (column, a)}; nulls keep y.
 
-    A stretch of bars maps its start y to its end y linearly, so each symbol and day is one group that starts from
-    zero, days are chained on one row each, and the day's start is added to its bars. No group holds a symbol's bars."""
+    Inherently ordered: a symbol's bars pass one task in order, batch after batch, and only the averages are carried from
+    one batch to the next, so no group is held. One pass for all specs; bars are an aggregate, small beside the tape."""
+    from collections.abc import Iterator
+
     import pandas as pd
 
-    key = ["symbol", "_day"]
-    days = bars.withColumn("_day", F.to_date("ts"))
-    ddl = [f"`{f.name}` {f.dataType.simpleString()}" for f in days.schema]
-    more = [c for n in specs for c in (f"`{n}` double", f"`_{n}` double", f"`_first_{n}` double")]
-
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_id")
-        out = {}
-        for n, (c, a) in specs.items():
-            x = pdf[c].astype(float)
-            out[n] = pd.concat([pd.Series([0.0]), x]).ewm(alpha=a, adjust=False, ignore_na=True).mean().to_numpy()[1:]
-            out[f"_{n}"] = (1 - a) ** x.notna().cumsum().to_numpy()  # what is left of the day's start
-            out[f"_first_{n}"] = x.bfill().iloc[0]
-        return pdf.assign(**out)
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_day")
-        for n in specs:
-            start, fresh, now = [], [], None
-            for first, add, keep in zip(pdf[f"_first_{n}"], pdf[n], pdf[f"_{n}"]):
-                fresh.append(now is None)
-                now = first if now is None and first == first else now
-                start.append(now)
-                now = None if now is None else keep * now + add
-            pdf[f"_start_{n}"], pdf[f"_fresh_{n}"] = pd.Series(start, index=pdf.index, dtype=float), fresh
-        return pdf[["symbol", "_day", *(f"_{c}_{n}" for n in specs for c in ("start", "fresh"))]]
-
-    own = days.groupBy(*key).applyInPandas(within, ", ".join(ddl + more))
-    ends = own.groupBy(*key).agg(*(F.max_by(c, "bar_id").alias(c) for n in specs for c in (n, f"_{n}")), *(F.first(f"_first_{n}").alias(f"_first_{n}") for n in specs))
-    kind = bars.schema["symbol"].dataType.simpleString()
-    starts = ends.groupBy("symbol").applyInPandas(chain, f"symbol {kind}, _day date, " + ", ".join(f"`_start_{n}` double, `_fresh_{n}` boolean" for n in specs))
-    out = own.join(starts, key)
-    begun = lambda n: ~F.col(f"_fresh_{n}") | (F.col(f"_{n}") != 1.0)  # noqa: E731  not before the first value of all
-    return out.select(*bars.columns, *(F.when(begun(n), F.col(f"_{n}") * F.col(f"_start_{n}") + F.col(n)).alias(n) for n in specs))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema), *(f"`{n}` double" for n in specs)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        symbol, state = object(), {}
+        for pdf in batches:
+            parts = []
+            for key, own in pdf.groupby("symbol", sort=False, dropna=False):
+                if key != symbol and not (pd.isna(key) and symbol is None):
+                    symbol, state = None if pd.isna(key) else key, {}
+                out = {}
+                for n, (c, a) in specs.items():
+                    x = own[c].astype(float)
+                    before = [state[n]] if n in state else []
+                    y = pd.concat([pd.Series(before, dtype=float), x]).ewm(alpha=a, adjust=False, ignore_na=True).mean().to_numpy()[len(before) :]
+                    if y[-1] == y[-1]:
+                        state[n] = y[-1]
+                    out[n] = y
+                parts.append(own.assign(**out))
+            if parts:
+                yield pd.concat(parts)
+
+    return bars.repartition("symbol").sortWithinPartitions("symbol", "bar_id").mapInPandas(run, schema)
 
 
 def rsi(bars: DataFrame, n: int, more: dict[str, tuple[str, float]] | None = None) -> DataFrame:

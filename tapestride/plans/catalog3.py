@@ -52,8 +52,7 @@ def round_trips(spark, sf):
 SELECT x.flag, x.disc, x.tax, round(any_value(x.v), 6) AS v, count(*) AS n_near, round(avg(y.v), 6) AS near_mean FROM i x JOIN i y ON x.flag = y.flag AND abs(x.a - y.a) + abs(x.b - y.b) = 1 GROUP BY 1, 2, 3""")
 def parameter_neighbours(spark, sf):
     g = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax")).agg(F.avg("l_quantity").alias("v"))
-    steps = {a: sorted(x[0] for x in g.select(a).where(F.col(a).isNotNull()).distinct().collect()) for a in ("disc", "tax")}
-    return M.neighbours(g, ["flag"], steps, "v").select("flag", "disc", "tax", r("v").alias("v"), "n_near", r("near_mean").alias("near_mean"))
+    return M.neighbours(g, ["flag"], ["disc", "tax"], "v").select("flag", "disc", "tax", r("v").alias("v"), "n_near", r("near_mean").alias("near_mean"))
 
 
 @query(f"""WITH {ENTRY}, dy AS (SELECT symbol, CAST(ts AS DATE) AS day, sum(pnl) AS p FROM trades GROUP BY 1, 2), t AS (SELECT *, unnest(range(1, 31)) AS trial FROM dy), u AS (SELECT *, ('0x' || substr(md5('order|' || trial || '|' || symbol || '|' || day), 1, 8))::BIGINT / 4294967296.0 AS u FROM t),

@@ -347,3 +347,60 @@ def tape_speed(spark, sf):
     t = W.trailing_time(tape(spark, sf), ["symbol"], "ts", 600, 86_400, lambda w: {"n_fast": F.count("*").over(w)})
     t = W.trailing_time(t, ["symbol"], "ts", 3600, 86_400, lambda w: {"n_slow": F.count("*").over(w)})
     return t.select("id", "n_fast", "n_slow", r((F.col("n_fast") / 600) / (F.col("n_slow") / 3600)).alias("speed"))
+
+
+@query(f"""WITH {BARS}, f AS (SELECT *, CASE WHEN count(*) OVER c = 7 AND lag(high, 3) OVER o = max(high) OVER c THEN lag(high, 3) OVER o END AS sh, CASE WHEN count(*) OVER c = 7 AND lag(low, 3) OVER o = min(low) OVER c THEN lag(low, 3) OVER o END AS sl FROM bars
+ WINDOW o AS (PARTITION BY symbol ORDER BY ts), c AS (PARTITION BY symbol ORDER BY ts ROWS 6 PRECEDING)),
+j AS (SELECT b.symbol, b.bar_id, p.bar_id AS pos, CASE WHEN b.close >= b.open THEN p.sh ELSE p.sl END AS level FROM bars b JOIN f p ON p.symbol = b.symbol AND p.bar_id BETWEEN b.bar_id - 150 AND b.bar_id AND CASE WHEN b.close >= b.open THEN p.sh > b.close ELSE p.sl < b.close END),
+k AS (SELECT *, row_number() OVER (PARTITION BY symbol, bar_id ORDER BY pos DESC) AS n FROM j) SELECT symbol, bar_id, max(level) FILTER (WHERE n = 1) AS first_level, max(level) FILTER (WHERE n = 2) AS second_level, max(level) FILTER (WHERE n = 3) AS third_level FROM bars LEFT JOIN (SELECT * FROM k WHERE n <= 3) USING (symbol, bar_id) GROUP BY 1, 2""")
+def facing_pivots(spark, sf):
+    p = O.facing_pivots(hourly(spark, sf), 3, 150, 3)
+    return p.select("symbol", "bar_id", *(F.get("pivots", k).alias(f"{n}_level") for k, n in enumerate(("first", "second", "third"))))
+
+
+@query(f"""WITH {BARS}, l AS (SELECT symbol, bar_id, ts, lead(close, 4) OVER o - close AS fwd, CAST(sign(close - open) AS INT) + 1 AS a, lag(CAST(sign(close - open) AS INT) + 1, 2) OVER o AS b, lag(CAST(sign(close - open) AS INT) + 1, 5) OVER o AS c FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY ts))
+SELECT CAST(a + 3 * b + 9 * c AS INT) AS code, count(*) AS n, round(avg(fwd), 6) AS mean_fwd FROM l WHERE c IS NOT NULL AND fwd IS NOT NULL GROUP BY 1""")
+def skip_grams(spark, sf):
+    """Directions of a bar, of two and of five bars before, with gaps between them."""
+    w = W.by_symbol()
+    b = hourly(spark, sf).withColumn("a", F.signum(F.col("close") - F.col("open")).cast("int") + 1)
+    l = b.select((F.lead("close", 4).over(w) - F.col("close")).alias("fwd"), (F.col("a") + 3 * F.lag("a", 2).over(w) + 9 * F.lag("a", 5).over(w)).alias("code")).dropna()
+    return l.groupBy("code").agg(F.count("*").alias("n"), r(F.avg("fwd")).alias("mean_fwd"))
+
+
+@query(f"""WITH RECURSIVE {BARS}, d AS (SELECT *, coalesce(greatest(close - lag(close) OVER o, 0), 0) AS gain, coalesce(greatest(lag(close) OVER o - close, 0), 0) AS loss FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY ts)),
+e AS (SELECT symbol, bar_id, gain AS g, loss AS l, close AS a, close AS b, close AS c, (open + close) / 2 AS ho, (open + high + low + close) / 4 AS hc FROM d WHERE bar_id = 1 UNION ALL SELECT d.symbol, d.bar_id, e.g + (d.gain - e.g) / 14.0, e.l + (d.loss - e.l) / 14.0,
+ e.a + (d.close - e.a) * 2 / 10.0, e.b + (e.a + (d.close - e.a) * 2 / 10.0 - e.b) * 2 / 10.0, e.c + (e.b + (e.a + (d.close - e.a) * 2 / 10.0 - e.b) * 2 / 10.0 - e.c) * 2 / 10.0, (e.ho + e.hc) / 2, (d.open + d.high + d.low + d.close) / 4 FROM e JOIN d ON d.symbol = e.symbol AND d.bar_id = e.bar_id + 1),
+r AS (SELECT *, CASE WHEN g + l > 0 THEN 100 * g / (g + l) ELSE 50 END AS rsi, lag(c) OVER (PARTITION BY symbol ORDER BY bar_id) AS pc FROM e)
+SELECT symbol, bar_id, CASE WHEN count(*) OVER w = 14 AND round(max(rsi) OVER w - min(rsi) OVER w, 9) > 0 THEN round((rsi - min(rsi) OVER w) / (max(rsi) OVER w - min(rsi) OVER w), 4) END AS stoch_rsi, round((c - pc) / pc, 6) AS trix, round(ho, 4) AS ha_open, round(hc, 4) AS ha_close FROM r WINDOW w AS (PARTITION BY symbol ORDER BY bar_id ROWS 13 PRECEDING)""")
+def recursive_oscillators(spark, sf):
+    """Stochastic RSI, TRIX and Heikin-Ashi bars, all from recursive averages."""
+    b = W.rsi(hourly(spark, sf), 14, {"e1": ("close", 0.2)})
+    b = W.ewm(W.ewm(b, {"e2": ("e1", 0.2)}), {"e3": ("e2", 0.2)})
+    w, frame = W.by_symbol(), W.last_n(14)
+    lo, hi = F.min("rsi").over(frame), F.max("rsi").over(frame)
+    b = b.withColumns({"hc": (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4, "p": F.lag("e3").over(w)})
+    # an open is half of the last open and half of the last close: a recursive average of closes, begun with the first bar's middle
+    b = W.ewm(b.withColumn("x", F.coalesce(F.lag("hc").over(w), (F.col("open") + F.col("close")) / 2)), {"ho": ("x", 0.5)})
+    stoch = F.when((F.count("*").over(frame) == 14) & (F.round(hi - lo, 9) > 0), (F.col("rsi") - lo) / (hi - lo))
+    return b.select("symbol", "bar_id", r(stoch, 4).alias("stoch_rsi"), r((F.col("e3") - F.col("p")) / F.col("p")).alias("trix"), r("ho", 4).alias("ha_open"), r("hc", 4).alias("ha_close"))
+
+
+@query(f"""WITH {ENTRY}, dy AS (SELECT symbol, CAST(ts AS DATE) AS day, sum(pnl) AS p FROM trades GROUP BY 1, 2), wk AS (SELECT symbol, date_trunc('week', day) AS w, sum(p) AS p FROM dy GROUP BY 1, 2), mo AS (SELECT symbol, min(p) AS worst_month FROM (SELECT symbol, date_trunc('month', day) AS m, sum(p) AS p FROM dy GROUP BY 1, 2) GROUP BY 1),
+q AS (SELECT symbol, day, p, sum(p) OVER w AS e, row_number() OVER w AS i FROM dy WINDOW w AS (PARTITION BY symbol ORDER BY day)), k AS (SELECT *, e - greatest(0, max(e) OVER (PARTITION BY symbol ORDER BY day)) AS dd, sum(p) OVER (PARTITION BY symbol ORDER BY day ROWS 4 PRECEDING) AS roll, count(*) OVER (PARTITION BY symbol ORDER BY day ROWS 4 PRECEDING) AS rn FROM q),
+d AS (SELECT symbol, sqrt(avg(dd * dd)) AS ulcer, min(dd) AS mdd, max(e) AS top, arg_max(e, day) AS total, regr_r2(e, i) AS r2, min(roll) FILTER (WHERE rn = 5) AS worst5, avg(CAST(p > 0 AS DOUBLE)) AS up_days, avg(CASE WHEN p > 0 THEN p END) / nullif(-avg(CASE WHEN p < 0 THEN p END), 0) AS payoff, skewness(p) AS skew FROM k GROUP BY 1),
+w AS (SELECT symbol, quantile_cont(p, 0.5) AS median_week, max(p) AS best_week, stddev_samp(p) AS sd_week FROM wk GROUP BY 1)
+SELECT symbol, round(ulcer, 4) AS ulcer, round(mdd, 4) AS max_drawdown, round(total, 4) AS total, round(total / nullif(-mdd, 0), 6) AS recovery, round(total / nullif(ulcer, 0), 6) AS ulcer_ratio, round(r2, 6) AS r2, round(worst5, 4) AS worst_five_days, round(up_days, 6) AS up_days, round(payoff, 6) AS payoff, round(worst_month, 4) AS worst_month, round(median_week, 4) AS median_week, round(best_week, 4) AS best_week, round(sd_week, 4) AS sd_week FROM d JOIN w USING (symbol) JOIN mo USING (symbol)""")
+def risk_metrics(spark, sf):
+    """Ulcer index, drawdown, recovery, straightness of the equity line, worst stretches, payoff and weekly spread."""
+    return O.risk_metrics(trades(spark, sf).withColumn("day", F.to_date("ts")), "symbol", "day", "pnl")
+
+
+@query(f"""WITH {TAPE}, c AS (SELECT DISTINCT id, symbol, ts, px FROM tape) SELECT id, symbol, px FROM c""")
+def stream_deduplicated(spark, sf):
+    """A stream read twice over gives each id once."""
+    from ..streaming import engine
+    from .streams import folder
+
+    twice = engine.tick_stream(spark, sf)
+    return engine.run_to_end(engine.deduplicated(twice.unionByName(engine.tick_stream(spark, sf)), "40 days"), folder(spark)).select("id", "symbol", "px")

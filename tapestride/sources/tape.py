@@ -181,3 +181,131 @@ def filings(spark: SparkSession, path: str) -> DataFrame:
     """Entries of Atom feeds of filings: (title, updated, form); the form is what stands before the first dash of the title."""
     raw = spark.read.format("xml").option("rowTag", "entry").schema("title string, updated string").load(path)
     return raw.select("title", F.try_to_timestamp("updated").alias("updated"), F.trim(F.split_part("title", F.lit("-"), F.lit(1))).alias("form"))
+
+
+def binary_rows(spark: SparkSession, path: str, ddl: str, parse) -> DataFrame:
+    """Rows of (file, content) files that have no split points, by parse(name, bytes) -> iterable of dicts; a file is of 2 GB at most."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    names = [f.split()[0] for f in ddl.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, data in zip(batch["path"], batch["content"]):
+                rows = list(parse(name.rsplit("/", 1)[-1], bytes(data)))
+                yield pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ddl)
+
+
+def hourly_ticks(spark: SparkSession, path: str, scale: float) -> DataFrame:
+    """LZMA files of an hour's quotes, named SYMBOL_yyyyMMddHH, 20-byte records (ms, ask, bid, ask size, bid size): symbol, ms since the epoch, bid, ask."""
+
+    def parse(name: str, data: bytes):
+        import datetime as dt
+        import lzma
+        import struct
+
+        symbol, hour = name.split(".")[0].rsplit("_", 1)
+        start = int(dt.datetime.strptime(hour, "%Y%m%d%H").replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+        for ms, ask, bid, ask_size, bid_size in struct.iter_unpack(">IIIff", lzma.decompress(data) if data else b""):
+            yield {"symbol": symbol, "ms": start + ms, "bid": bid / scale, "ask": ask / scale, "bid_size": float(bid_size), "ask_size": float(ask_size)}
+
+    return binary_rows(spark, path, "symbol string, ms bigint, bid double, ask double, bid_size double, ask_size double", parse)
+
+
+def sqlite_table(spark: SparkSession, path: str, table: str, ddl: str) -> DataFrame:
+    """A table of landed SQLite files: the columns of ddl."""
+    names = [f.split()[0] for f in ddl.split(", ")]
+    if not all(n.replace("_", "").isalnum() for n in [table, *names]):
+        raise ValueError("names are letters, digits and underscores")
+
+    def parse(name: str, data: bytes):
+        import sqlite3
+
+        con = sqlite3.connect(":memory:")
+        con.deserialize(data)
+        for row in con.execute(f"SELECT {', '.join(names)} FROM {table}"):
+            yield dict(zip(names, row))
+
+    return binary_rows(spark, path, ddl, parse)
+
+
+def excel_sheet(spark: SparkSession, path: str, columns: list[str], skip: int = 1) -> DataFrame:
+    """The first sheet of landed workbooks: `columns` from left to right as strings, below `skip` rows; empty cells are null."""
+
+    def parse(name: str, data: bytes):
+        import io
+        import re
+        import zipfile
+        from xml.etree import ElementTree
+
+        ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+        with zipfile.ZipFile(io.BytesIO(data)) as book:
+            shared = []
+            if "xl/sharedStrings.xml" in book.namelist():
+                shared = ["".join(t.text or "" for t in si.iter(f"{ns}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{ns}si")]
+            sheet = ElementTree.fromstring(book.read("xl/worksheets/sheet1.xml"))
+        for row in list(sheet.iter(f"{ns}row"))[skip:]:
+            out = {}
+            for c in row.iter(f"{ns}c"):
+                at = 0
+                for letter in re.match("[A-Z]+", c.get("r"))[0]:
+                    at = at * 26 + ord(letter) - 64
+                v = c.find(f"{ns}v")
+                text = "".join(t.text or "" for t in c.iter(f"{ns}t")) if c.get("t") == "inlineStr" else None if v is None else shared[int(v.text)] if c.get("t") == "s" else v.text
+                if at <= len(columns) and text not in (None, ""):
+                    out[columns[at - 1]] = text
+            yield out
+
+    return binary_rows(spark, path, ", ".join(f"{c} string" for c in columns), parse)
+
+
+def array_shards(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """Arrays of one length in landed npz shards, as rows of doubles beside their shard's name."""
+
+    def parse(name: str, data: bytes):
+        import io
+
+        import numpy as np
+
+        with np.load(io.BytesIO(data)) as z:
+            for row in zip(*(z[n].tolist() for n in names)):
+                yield {"shard": name} | dict(zip(names, map(float, row)))
+
+    return binary_rows(spark, path, "shard string, " + ", ".join(f"{n} double" for n in names), parse)
+
+
+def socket_events(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Trade (T), quote (Q) and aggregate (A, AM) events of JSON arrays, one array a line; works on streams as on tables."""
+    ddl = "array<struct<ev string, sym string, t bigint, p double, s bigint, bp double, ap double, o double, h double, l double, c double, v double>>"
+    x = lines.select(F.explode(F.from_json(value, ddl)).alias("x")).where("x.ev IN ('T', 'Q', 'A', 'AM')")
+    return x.select(F.col("x.ev").alias("kind"), F.col("x.sym").alias("symbol"), F.timestamp_millis("x.t").alias("ts"), F.coalesce("x.p", "x.c", (F.col("x.bp") + F.col("x.ap")) / 2).alias("px"), F.coalesce("x.s", F.col("x.v").cast("bigint")).alias("size"), F.col("x.bp").alias("bid"), F.col("x.ap").alias("ask"))
+
+
+def synthetic_bars(spark: SparkSession, symbol: str, n: int, start: float, step: float, seed: str = "bars") -> DataFrame:
+    """n hourly bars of a random walk whose steps are hashes, the same on every run: what stands in where no data could be had."""
+    from pyspark.sql import Window
+
+    from ..operators.validate import draw
+
+    r = spark.range(1, n + 1).withColumnRenamed("id", "bar_id")
+    u = lambda k: draw(F.lit(seed), F.lit(k), F.lit(symbol), F.col("bar_id").cast("string"))
+    r = r.withColumns({"_m": (u("move") - 0.5) * 2 * step, "_a": u("up") * step, "_b": u("down") * step})
+    w = Window.partitionBy(F.lit(symbol)).orderBy("bar_id")
+    r = r.withColumn("close", start + F.sum("_m").over(w)).withColumn("open", F.col("close") - F.col("_m"))
+    ts = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("bar_id") * 3600).cast("timestamp_ntz")
+    return r.select(F.lit(symbol).alias("symbol"), ts.alias("ts"), F.col("bar_id").cast("int").alias("bar_id"), "open", (F.greatest("open", "close") + F.col("_a")).alias("high"), (F.least("open", "close") - F.col("_b")).alias("low"), "close", F.lit(1).cast("long").alias("volume"))
+
+
+def cached(spark: SparkSession, path: str, seconds: float, make) -> DataFrame:
+    """The table stored at path, made anew by make() and stored if it isn't there or older than `seconds`."""
+    import time
+
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(there) or time.time() - fs.getFileStatus(there).getModificationTime() / 1000 > seconds:
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -138,7 +138,9 @@ def test_quantiles(spark):
     assert got == {k: tuple(pytest.approx(pd.Series(v).quantile(q)) for q in (0.0, 0.5, 0.99)) for k, v in values.items()}
 
 
-def test_averages_over_days(spark):
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_averages_over_batches(spark, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     r = random.Random(3)
     rows = [(s, DAY + dt.timedelta(hours=7 * k), k + 1, None if r.random() < 0.2 or k < 2 and s == "b" else r.uniform(1, 9)) for s in "ab" for k in range(40)]
     got = windows.ewm(spark.createDataFrame(rows, "symbol string, ts timestamp, bar_id int, x double"), {"y": ("x", 0.3), "z": ("x", 0.05)}).toPandas()
@@ -146,6 +148,7 @@ def test_averages_over_days(spark):
         own = got[got.symbol == s].sort_values("bar_id")
         for name, a in (("y", 0.3), ("z", 0.05)):
             pd.testing.assert_series_equal(own[name].reset_index(drop=True), pd.Series([x[3] for x in rows if x[0] == s], dtype=float).ewm(alpha=a, adjust=False, ignore_na=True).mean(), check_names=False)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_asof_over_days_and_ties(spark):
