@@ -25,14 +25,17 @@ def folder(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-@query(f"""WITH {TAPE}, b AS (SELECT symbol, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, arg_min(px, (ts, id)) AS open, max(px) AS high, min(px) AS low, arg_max(px, (ts, id)) AS close, CAST(sum(size) AS BIGINT) AS volume, count(*) AS n_ticks FROM tape GROUP BY 1, 2)
+@query(f"""WITH {TAPE}, b AS (SELECT symbol, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, arg_min(px, (ts, id)) AS open, max(px) AS high, min(px) AS low,
+ arg_max(px, (ts, id)) AS close, CAST(sum(size) AS BIGINT) AS volume, count(*) AS n_ticks FROM tape GROUP BY 1, 2)
 SELECT * FROM b WHERE ts + INTERVAL 15 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM tape)""")
 def stream_window_bars(spark, sf):
     s = engine.run_to_end(engine.window_bars(engine.tick_stream(spark, sf), "15 minutes", "10 minutes"), folder(spark))
     return s.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query(f"""WITH {TAPE}, n AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY ts, id) - 1) // 25 AS bar FROM tape) SELECT symbol, CAST(bar AS BIGINT) AS bar, arg_min(px, (ts, id)) AS open, max(px) AS high, min(px) AS low, arg_max(px, (ts, id)) AS close, CAST(sum(size) AS BIGINT) AS volume FROM n GROUP BY 1, 2 HAVING count(*) = 25""")
+@query(f"""WITH {TAPE}, n AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY ts, id) - 1) // 25 AS bar FROM tape) SELECT symbol,
+ CAST(bar AS BIGINT) AS bar, arg_min(px, (ts, id)) AS open, max(px) AS high, min(px) AS low, arg_max(px, (ts, id)) AS close,
+ CAST(sum(size) AS BIGINT) AS volume FROM n GROUP BY 1, 2 HAVING count(*) = 25""")
 def stream_count_bars(spark, sf):
     return engine.run_to_end(engine.count_bars(engine.tick_stream(spark, sf), 25), folder(spark))
 
@@ -43,7 +46,8 @@ def stream_strategy(spark, sf):
     return engine.run_to_end(engine.strategy(engine.tick_stream(spark, sf), 5, 10.0, 15.0, 12.0, 3, 60.0), folder(spark))
 
 
-@query(f"""WITH {TAPE}, b AS (SELECT *, time_bucket(INTERVAL 10 MINUTE, ts) AS w FROM tape) SELECT time_bucket(INTERVAL 10 MINUTE, x.ts) AS ts, x.id AS a_id, y.id AS b_id, round(x.px - y.px, 6) AS gap FROM b x JOIN b y ON x.w = y.w AND x.symbol = 'click' AND y.symbol = 'view'""")
+@query(f"""WITH {TAPE}, b AS (SELECT *, time_bucket(INTERVAL 10 MINUTE, ts) AS w FROM tape) SELECT time_bucket(INTERVAL 10 MINUTE, x.ts) AS ts, x.id AS a_id,
+ y.id AS b_id, round(x.px - y.px, 6) AS gap FROM b x JOIN b y ON x.w = y.w AND x.symbol = 'click' AND y.symbol = 'view'""")
 def stream_price_gaps(spark, sf):
     """Two streams of ticks joined by time cell, the difference of their prices."""
     one = lambda kind: engine.tick_stream(spark, sf).where(F.col("symbol") == kind).withColumn("pair", F.lit("click-view"))
