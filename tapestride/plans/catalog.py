@@ -298,13 +298,14 @@ def expiry_calendar(spark, sf):
 
 # ---- joins
 
-SIDES = TAPE + ", trades AS (SELECT * FROM tape WHERE symbol IN ('click', 'purchase')), quotes AS (SELECT symbol, date_trunc('hour', ts) AS ts, max(px) AS bid, min(px) AS ask FROM tape GROUP BY 1, 2)"
+SIDES = TAPE + """, trades AS (SELECT * FROM tape),
+quotes AS (SELECT symbol, date_trunc('hour', ts) AS ts, max(px) AS bid, min(px) AS ask FROM tape GROUP BY 1, 2)"""
 
 
 def sides(spark, sf) -> tuple[DataFrame, DataFrame]:
     t = tape(spark, sf)
     q = t.groupBy("symbol", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(F.max("px").alias("bid"), F.min("px").alias("ask"))
-    return t.where(F.col("symbol").isin("click", "purchase")), q
+    return t, q
 
 
 @query(f"""WITH {SIDES} SELECT t.symbol, t.id, q.ts AS r_at, q.bid AS r_bid, q.ask AS r_ask FROM trades t ASOF LEFT JOIN quotes q ON t.symbol = q.symbol AND t.ts

@@ -384,11 +384,11 @@ def best_candidate(spark, sf):
 
 
 @query("""WITH a AS (SELECT o_custkey AS k, 1 AS prio, o_orderdate AS ts, o_orderkey AS id, o_totalprice AS v FROM orders WHERE o_orderstatus = 'F'),
- b AS (SELECT o_custkey, 0, o_orderdate, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O') SELECT k, id, v FROM (SELECT *,
+ b AS (SELECT o_custkey, 0, o_orderdate, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'F') SELECT k, id, v FROM (SELECT *,
  row_number() OVER (PARTITION BY k ORDER BY prio, ts DESC, id DESC) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) WHERE n = 1""")
 def live_over_history(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), "o_orderstatus", F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"))
-    both = o.where("o_orderstatus = 'F'").withColumn("prio", F.lit(1)).unionByName(o.where("o_orderstatus = 'O'").withColumn("prio", F.lit(0)))
+    both = o.where("o_orderstatus = 'F'").withColumn("prio", F.lit(1)).unionByName(o.where("o_orderstatus <> 'F'").withColumn("prio", F.lit(0)))
     w = Window.partitionBy("k").orderBy("prio", F.desc("ts"), F.desc("id"))
     return both.withColumn("n", F.row_number().over(w)).where("n = 1").select("k", "id", "v")
 

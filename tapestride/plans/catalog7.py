@@ -145,17 +145,15 @@ def position_sizes(spark, sf):
     return t.select("symbol", "bar_id", G.model_confirms(F.col("side"), F.col("pred"), F.col("conf")).alias("model"), G.position_size(F.col("kelly"), F.col("conf"), [F.col("mult")], cap=0.25).alias("contracts"))
 
 
-@query(f"""WITH {BARS}, v AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders GROUP BY 1), y AS (SELECT make_date(2024, month(d), day(d)) AS d,
- CAST(sum(n) AS BIGINT) AS n FROM v WHERE day(d) <= 28 AND day(d) % 4 = 1 GROUP BY 1),
-b AS (SELECT symbol, bar_id, make_date(2024, month(ts), least(day(ts), 28)) AS d FROM bars), a AS (SELECT b.*, y.d AS of,
- y.n FROM b ASOF LEFT JOIN y ON b.d > y.d) SELECT symbol, bar_id, n, coalesce(b_days <= 3 AND n < 200, false) AS gate_open FROM (SELECT *,
- date_diff('day', of, d) AS b_days FROM a)""")
+@query(f"""WITH {BARS}, y AS (SELECT make_date(2024, month(o_orderdate), 1) AS d, round(avg(o_totalprice), 2) AS v FROM orders GROUP BY 1),
+a AS (SELECT b.symbol, b.bar_id, CAST(b.ts AS DATE) AS day, y.d AS of, y.v FROM (SELECT *, CAST(ts AS DATE) AS k FROM bars) b ASOF LEFT JOIN y ON b.k > y.d)
+SELECT symbol, bar_id, v, coalesce(date_diff('day', of, day) <= 10 AND v > 1000, false) AS gate_open FROM a""")
 def fresh_gate(spark, sf):
-    """A daily value lets trades through while it is at most three days old and below its limit; missing is closed."""
-    d = F.to_date("o_orderdate")
-    v = table(spark, sf, "orders").where((F.dayofmonth(d) <= 28) & (F.dayofmonth(d) % 4 == 1)).groupBy(F.make_date(F.lit(2024), F.month(d), F.dayofmonth(d)).alias("d")).agg(F.count("*").alias("n"))
-    b = hourly(spark, sf).select("symbol", "bar_id", F.make_date(F.lit(2024), F.month("ts"), F.least(F.dayofmonth("ts"), F.lit(28))).cast("timestamp_ntz").alias("ts"))
-    return G.fresh_gate(b, v, "ts", "d", "n", F.col("r_n") < 200, 3).select("symbol", "bar_id", "n", "gate_open")
+    """A monthly value lets trades through while it is at most ten days old and large enough; missing is closed."""
+    month = F.make_date(F.lit(2024), F.month("o_orderdate"), F.lit(1))
+    v = table(spark, sf, "orders").groupBy(month.alias("d")).agg(F.round(F.avg("o_totalprice"), 2).alias("v"))
+    b = hourly(spark, sf).select("symbol", "bar_id", "ts")
+    return G.fresh_gate(b, v, "ts", "d", "v", F.col("r_v") > 1000, 10).select("symbol", "bar_id", "v", "gate_open")
 
 
 @query(f"""WITH {ENTRY}, d AS (SELECT symbol, CAST(ts AS DATE) AS day, sum(pnl) AS p FROM trades GROUP BY 1, 2), a AS (SELECT symbol, sum(p) AS s, count(*) AS n,
@@ -376,14 +374,14 @@ def expanding_cv(spark, sf):
     return V.expanding_cv(trades(spark, sf), "symbol", "bar_id", "pnl", 4, 10)
 
 
-@query(f"""WITH {ENTRY}, a AS (SELECT symbol, bar_id, round(pnl - 0.25 * (bar_id % 3), 6) AS actual FROM trades WHERE bar_id % 11 <> 0),
+@query(f"""WITH {ENTRY}, a AS (SELECT symbol, bar_id, round(pnl - 0.25 * (bar_id % 3), 6) AS actual FROM trades WHERE bars_held > 1),
  j AS (SELECT coalesce(t.symbol, a.symbol) AS symbol, t.pnl, a.actual FROM trades t FULL JOIN a ON a.symbol = t.symbol AND a.bar_id = t.bar_id)
 SELECT symbol, count(pnl) AS replayed, count(actual) AS filled, round(sum(pnl), 4) AS replay_pnl, round(sum(actual), 4) AS actual_pnl,
  round(avg(actual - pnl), 6) AS mean_slip FROM j GROUP BY 1""")
 def replay_against_actual(spark, sf):
     """Replayed trades beside the fills an account had, some of them missing."""
-    t = trades(spark, sf).select("symbol", "bar_id", "pnl")
-    a = t.where("bar_id % 11 <> 0").select("symbol", "bar_id", F.round(F.col("pnl") - 0.25 * (F.col("bar_id") % 3), 6).alias("actual"))
+    t = trades(spark, sf).select("symbol", "bar_id", "pnl", "bars_held")
+    a = t.where("bars_held > 1").select("symbol", "bar_id", F.round(F.col("pnl") - 0.25 * (F.col("bar_id") % 3), 6).alias("actual"))
     j = t.join(a, ["symbol", "bar_id"], "full")
     return j.groupBy("symbol").agg(F.count("pnl").alias("replayed"), F.count("actual").alias("filled"), r(F.sum("pnl"), 4).alias("replay_pnl"), r(F.sum("actual"), 4).alias("actual_pnl"), r(F.avg(F.col("actual") - F.col("pnl"))).alias("mean_slip"))
 
