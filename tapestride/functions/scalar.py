@@ -44,7 +44,8 @@ def new_york(ts: Column) -> Column:
 
 def epoch_time(n: Column) -> Column:
     """Timestamp of a number in s, ms, us or ns, told by its magnitude."""
-    return F.timestamp_micros(F.when(n > 10**17, F.floor(n / 1000)).when(n > 10**14, n).when(n > 10**11, n * 1000).otherwise(n * 1_000_000).cast("long"))
+    return F.timestamp_micros(F.when(n > 10**17, F.floor(n / 1000)).when(n > 10**14, n).when(n > 10**11,
+        n * 1000).otherwise(n * 1_000_000).cast("long"))
 
 
 def amount_midpoint(text: Column) -> Column:
@@ -94,12 +95,14 @@ def implied_vol(price: Column, spot: Column, strike: Column, years: Column, call
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), span, halve, lambda s: (s["lo"] + s["hi"]) / 2)
 
 
-def impulse_setup(opens: Column, close: Column, hi: Column, lo: Column, impulse: float = 5.0, pullback: float = 0.618, stop: float = 6.0, target: float = 12.0) -> Column:
+def impulse_setup(opens: Column, close: Column, hi: Column, lo: Column, impulse: float = 5.0, pullback: float = 0.618, stop: float = 6.0,
+    target: float = 12.0) -> Column:
     """Limit setup after an impulse of the last bars: struct of side, net, entry, stop, target; null below the impulse."""
     net = close - opens
     side = F.when(net >= impulse, 1).when(net <= -impulse, -1)
     entry = F.when(side > 0, hi - pullback * (hi - lo)).otherwise(lo + pullback * (hi - lo))
-    return F.when(side.isNotNull(), F.struct(side.alias("side"), net.alias("net"), F.round(entry, 2).alias("entry"), F.round(entry - side * stop, 2).alias("stop"), F.round(entry + side * target, 2).alias("target")))
+    return F.when(side.isNotNull(), F.struct(side.alias("side"), net.alias("net"), F.round(entry, 2).alias("entry"),
+        F.round(entry - side * stop, 2).alias("stop"), F.round(entry + side * target, 2).alias("target")))
 
 
 def available_mean(weights: dict[str, float]) -> Column:
@@ -112,7 +115,8 @@ def rule_terms(text: Column) -> Column:
     """Terms of a rule such as "f>q0.7 & g<=q0.6": array of (feature, op, q)."""
     term = r"^\s*(\w+)\s*(<=|>=|<|>)\s*q([0-9.]+)\s*$"
     part = lambda t, k: F.regexp_extract(t, term, k)
-    return F.transform(F.split(text, "&"), lambda t: F.struct(part(t, 1).alias("feature"), part(t, 2).alias("op"), part(t, 3).cast("double").alias("q")))
+    return F.transform(F.split(text, "&"), lambda t: F.struct(part(t, 1).alias("feature"), part(t, 2).alias("op"),
+        part(t, 3).cast("double").alias("q")))
 
 
 def padded_key(*parts: Column, width: int) -> Column:

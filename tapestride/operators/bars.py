@@ -12,7 +12,8 @@ def ohlcv(tape: DataFrame, *keys: str) -> DataFrame:
     """OHLCV and count by keys; first and last by (ts, id). One partial aggregation, no sort."""
     at = F.struct(*ORDER)
     return tape.groupBy(*keys).agg(
-        F.min_by("px", at).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", at).alias("close"), F.sum("size").alias("volume"), F.count("*").alias("n_ticks"),
+        F.min_by("px", at).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", at).alias("close"),
+        F.sum("size").alias("volume"), F.count("*").alias("n_ticks"),
     )
 
 
@@ -42,7 +43,8 @@ def tick_sign(tape: DataFrame, keys: tuple[str, ...] = ("symbol",), default: int
     w = Window.partitionBy(*keys).orderBy(*ORDER)
     moved = F.signum(F.col("px") - F.lag("px").over(w)).cast("int")
     run = tape.withColumn("_m", F.when(moved != 0, moved))
-    return run.withColumn("sign", F.coalesce(F.last("_m", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(default))).drop("_m")
+    return run.withColumn("sign", F.coalesce(F.last("_m", True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        F.lit(default))).drop("_m")
 
 
 def quote_sign(tape: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -62,8 +64,10 @@ def volume_bars(tape: DataFrame, size: int, big: int) -> DataFrame:
     at = F.struct(*ORDER)
     on = lambda c: F.coalesce(F.sum(F.when(c, F.col("size"))), F.lit(0))
     out = t.groupBy(*keys, "bar").agg(
-        F.min_by("px", at).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", at).alias("close"), F.sum("size").alias("volume"), F.count("*").alias("n_ticks"),
-        on(F.col("sign") > 0).alias("buyvol"), on(F.col("sign") < 0).alias("sellvol"), on(F.col("px") == F.col("_hi")).alias("highsz"), on(F.col("px") == F.col("_lo")).alias("lowsz"),
+        F.min_by("px", at).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", at).alias("close"),
+        F.sum("size").alias("volume"), F.count("*").alias("n_ticks"),
+        on(F.col("sign") > 0).alias("buyvol"), on(F.col("sign") < 0).alias("sellvol"), on(F.col("px") == F.col("_hi")).alias("highsz"),
+            on(F.col("px") == F.col("_lo")).alias("lowsz"),
         F.round(on(F.col("size") >= big) / F.nullif(F.sum("size"), F.lit(0)), 6).alias("bigratio"),
     )
     run = Window.partitionBy(*keys).orderBy("bar")
@@ -78,10 +82,14 @@ def count_bars(tape: DataFrame, k: int) -> DataFrame:
     t = t.withColumn("bar", F.floor((F.row_number().over(w) - 1) / k))
     inside = Window.partitionBy(*keys, "bar").orderBy(*ORDER)
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    t = t.withColumns({"_gap": us - F.lag(us).over(inside), "_turn": (F.col("sign") != F.lag("sign").over(inside)).cast("int"), "_step": F.col("px") - F.lag("px").over(inside)})
+    t = t.withColumns({"_gap": us - F.lag(us).over(inside), "_turn": (F.col("sign") != F.lag("sign").over(inside)).cast("int"),
+        "_step": F.col("px") - F.lag("px").over(inside)})
     return t.groupBy(*keys, "bar").agg(
-        F.count("*").alias("n_ticks"), F.max("_gap").alias("longest_gap_us"), F.round(F.max("size") / F.nullif(F.sum("size"), F.lit(0)), 6).alias("largest_share"), F.round(F.avg("_turn"), 6).alias("alternation"),
-        F.round(F.sum(F.abs("_step")) / F.nullif(F.sum("size"), F.lit(0)), 6).alias("amihud"), F.round(F.sum(F.col("px") * F.col("size")) / F.nullif(F.sum("size"), F.lit(0)), 6).alias("vwap"),
+        F.count("*").alias("n_ticks"), F.max("_gap").alias("longest_gap_us"),
+        F.round(F.max("size") / F.nullif(F.sum("size"), F.lit(0)), 6).alias("largest_share"),
+        F.round(F.avg("_turn"), 6).alias("alternation"),
+        F.round(F.sum(F.abs("_step")) / F.nullif(F.sum("size"), F.lit(0)), 6).alias("amihud"),
+        F.round(F.sum(F.col("px") * F.col("size")) / F.nullif(F.sum("size"), F.lit(0)), 6).alias("vwap"),
     )
 
 
@@ -92,7 +100,8 @@ def renko(tape: DataFrame, brick: float) -> DataFrame:
     t = tape.withColumn("day", day()).withColumn("level", F.floor(F.col("px") / brick))
     t = t.withColumn("_d", F.signum(F.col("level") - F.lag("level").over(w)).cast("int")).where("_d <> 0")
     t = t.withColumn("_new", F.when(F.col("_d") == F.lag("_d").over(w), 0).otherwise(1)).withColumn("run", F.sum("_new").over(w))
-    return t.groupBy(*keys, "run").agg(F.first("_d").alias("direction"), F.count("*").alias("moves"), F.min("level").alias("low_level"), F.max("level").alias("high_level"))
+    return t.groupBy(*keys, "run").agg(F.first("_d").alias("direction"), F.count("*").alias("moves"), F.min("level").alias("low_level"),
+        F.max("level").alias("high_level"))
 
 
 def volume_profile(tape: DataFrame, width: float, top: int) -> DataFrame:
@@ -116,4 +125,5 @@ def vpin(bars: DataFrame, size: float, window: int) -> DataFrame:
     """Mean absolute imbalance of the last `window` full buckets."""
     w = Window.partitionBy("symbol").orderBy("bucket").rowsBetween(1 - window, 0)
     b = bucket_shares(bars, size).where(F.col("up") + F.col("down") >= size * (1 - 1e-9))
-    return b.select("symbol", "bucket", F.when(F.count("*").over(w) == window, F.round(F.sum(F.abs(F.col("up") - F.col("down"))).over(w) / (size * window), 6)).alias("vpin"))
+    return b.select("symbol", "bucket", F.when(F.count("*").over(w) == window,
+        F.round(F.sum(F.abs(F.col("up") - F.col("down"))).over(w) / (size * window), 6)).alias("vpin"))

@@ -28,7 +28,8 @@ def fill_within(orders: DataFrame, ttl: int, tick: float) -> DataFrame:
     o = orders.withColumn("_p", F.slice("path", 1, ttl)).withColumn("fill_k", first_of("_p", ok))
     at = F.get("_p", F.col("fill_k") - 1)["open"]
     beyond = F.when(s > 0, F.greatest(at, px)).otherwise(F.least(at, px)) + s * tick
-    return o.withColumn("fill_px", F.when(F.col("fill_k").isNotNull(), F.when(F.col("kind") == "L", px).when(F.col("kind") == "M", at + s * tick).otherwise(beyond))).drop("_p", "path")
+    return o.withColumn("fill_px", F.when(F.col("fill_k").isNotNull(),
+        F.when(F.col("kind") == "L", px).when(F.col("kind") == "M", at + s * tick).otherwise(beyond))).drop("_p", "path")
 
 
 def break_even(trades: DataFrame, stop: float, target: float, trigger: float) -> DataFrame:
@@ -38,7 +39,8 @@ def break_even(trades: DataFrame, stop: float, target: float, trigger: float) ->
     gone = lambda b: F.when(s > 0, b["high"] - e).otherwise(e - b["low"])
     t = trades.withColumn("_a", first_of("path", lambda b, i: gone(b) >= trigger))
     level = lambda i: F.when(i + 1 > F.col("_a"), e).otherwise(e - s * stop)
-    hit = lambda b, i: F.when(F.when(s > 0, b["low"] <= level(i)).otherwise(b["high"] >= level(i)), F.struct((i + 1).alias("k"), F.lit("stop").alias("why"), level(i).alias("px"))).when(
+    hit = lambda b, i: F.when(F.when(s > 0, b["low"] <= level(i)).otherwise(b["high"] >= level(i)),
+        F.struct((i + 1).alias("k"), F.lit("stop").alias("why"), level(i).alias("px"))).when(
         gone(b) >= target, F.struct((i + 1).alias("k"), F.lit("target").alias("why"), (e + s * target).alias("px")))
     t = t.withColumn("_x", F.get(F.filter(F.transform("path", hit), lambda x: x.isNotNull()), 0))
     px = F.coalesce("_x.px", F.element_at("path", -1)["close"])
@@ -67,7 +69,8 @@ def tick_trades(signals: DataFrame, latency: int, spread: float, stop: float, ta
     why = lambda b: F.when(gain(b) <= -stop, "stop").when((gain(b) >= target) & (b["us"] >= F.col("_in.us") + hold), "target")
     hits = F.filter(F.transform(after, lambda b: F.struct(why(b).alias("why"), side_px(b).alias("px"))), lambda x: x["why"].isNotNull())
     t = t.withColumn("_x", F.get(hits, 0)).withColumn("_last", F.element_at("path", -1)["px"] - s * half)
-    return t.withColumns({"exit_reason": F.coalesce("_x.why", F.lit("timeout")), "pnl": s * (F.coalesce("_x.px", "_last") - F.col("entry_px"))}).drop("_k", "_in", "_x", "_last", "path")
+    return t.withColumns({"exit_reason": F.coalesce("_x.why", F.lit("timeout")),
+        "pnl": s * (F.coalesce("_x.px", "_last") - F.col("entry_px"))}).drop("_k", "_in", "_x", "_last", "path")
 
 
 def armed_limit(orders: DataFrame, arm: float) -> DataFrame:
@@ -101,9 +104,11 @@ def dead_band(bars: DataFrame, keys: list[str], order: str, wanted: str, band: f
 
     A key's bars are folded in order on one row, so make keys short (symbol and day)."""
     rows = bars.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, wanted))).alias("_r"))
-    step = lambda acc, x: F.array_append(acc, F.when(F.abs(x[wanted] - F.element_at(acc, -1)) > band, x[wanted]).otherwise(F.element_at(acc, -1)))
+    step = lambda acc, x: F.array_append(acc, F.when(F.abs(x[wanted] - F.element_at(acc, -1)) > band,
+        x[wanted]).otherwise(F.element_at(acc, -1)))
     out = rows.withColumn("_p", F.aggregate("_r", F.array(F.lit(0.0)), step))
-    out = out.select(*keys, F.posexplode("_r").alias("_i", "_x"), "_p").select(*keys, F.col(f"_x.{order}").alias(order), F.get("_p", F.col("_i") + 1).alias("position"))
+    out = out.select(*keys, F.posexplode("_r").alias("_i", "_x"), "_p").select(*keys, F.col(f"_x.{order}").alias(order),
+        F.get("_p", F.col("_i") + 1).alias("position"))
     return bars.join(out, [*keys, order])
 
 
@@ -118,8 +123,10 @@ def ratchet(trades: DataFrame, atr: str, k: float, tick: float) -> DataFrame:
     def step(acc, b):
         wanted = best(acc, b) - s * d
         moved = F.when(s * (wanted - acc["stop"]) >= tick, wanted).otherwise(acc["stop"])
-        state = lambda px, top, stop, k, done: F.struct(px.alias("px"), top.alias("best"), stop.alias("stop"), k.alias("k"), F.lit(done).alias("done"))
-        return F.when(acc["done"], acc).when(out(acc, b), state(acc["stop"], acc["best"], acc["stop"], acc["k"] + 1, True)).otherwise(state(b["close"], best(acc, b), moved, acc["k"] + 1, False))
+        state = lambda px, top, stop, k, done: F.struct(px.alias("px"), top.alias("best"), stop.alias("stop"), k.alias("k"),
+            F.lit(done).alias("done"))
+        return F.when(acc["done"], acc).when(out(acc, b), state(acc["stop"], acc["best"], acc["stop"], acc["k"] + 1,
+            True)).otherwise(state(b["close"], best(acc, b), moved, acc["k"] + 1, False))
 
     e = F.col("entry_px")
     start = F.struct(e.alias("px"), e.alias("best"), (e - s * d).alias("stop"), F.lit(0).alias("k"), F.lit(False).alias("done"))

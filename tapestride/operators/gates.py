@@ -12,8 +12,10 @@ from .stats import correlation
 
 # Families of signals that a check leaves alone, and least ratios of target to stop.
 BIAS_EXEMPT = ("GAP_FILL_", "PDL_", "PDH_", "FAILED_BREAKDOWN")
-ZONE_EXEMPT = ("PDL_BSL_SWEEP", "PDH_BSL_SWEEP", "PDL_TOUCH", "PDH_TOUCH", "POWERHOUR_REVERT_", "FAILED_BREAKDOWN_", "PDH_FLIP_", "THREE_HIGHER_LOWS_")
-LEVEL_EXEMPT = ("PDL_", "PDH_", "VWAP_", "THIRD_VWAP_", "STOPRUN_", "BIGBAR_", "ASIAN_BREAK_", "POWERHOUR_", "FAILED_BREAKDOWN_", "PDH_FLIP_", "THREE_HIGHER_LOWS_", "GAP_FILL_")
+ZONE_EXEMPT = ("PDL_BSL_SWEEP", "PDH_BSL_SWEEP", "PDL_TOUCH", "PDH_TOUCH", "POWERHOUR_REVERT_", "FAILED_BREAKDOWN_", "PDH_FLIP_",
+    "THREE_HIGHER_LOWS_")
+LEVEL_EXEMPT = ("PDL_", "PDH_", "VWAP_", "THIRD_VWAP_", "STOPRUN_", "BIGBAR_", "ASIAN_BREAK_", "POWERHOUR_", "FAILED_BREAKDOWN_",
+    "PDH_FLIP_", "THREE_HIGHER_LOWS_", "GAP_FILL_")
 LEAST_RATIO = {"GAP_FILL_SHORT": 4.0, "GAP_FILL_LONG": 1.3, "VWAP_RECLAIM_LONG": 1.5, "VWAP_REJECT_SHORT": 1.5}
 FAMILY_RATIO = {"MINED_": 2.0, "WR_": 0.8, "V3_": 1.8}
 
@@ -41,9 +43,11 @@ def derived_target(name: Column, side: Column, px: Column, previous_close: Colum
     """A signal's own anchor as target: a given hint, the close before, the middle of the range, or fixed points."""
     ahead = lambda points: px + points * side
     own = F.when(begins_with(name, ("GAP_FILL_", "PREV_CLOSE_")), F.coalesce(F.when(previous_close > 0, previous_close), middle, px))
-    own = own.when(begins_with(name, ("PDL_TOUCH", "PDH_TOUCH")), F.coalesce(middle, ahead(30))).when(begins_with(name, ("PDL_", "FAILED_BREAKDOWN_")), F.coalesce(middle, px + 30))
+    own = own.when(begins_with(name, ("PDL_TOUCH", "PDH_TOUCH")),
+        F.coalesce(middle, ahead(30))).when(begins_with(name, ("PDL_", "FAILED_BREAKDOWN_")), F.coalesce(middle, px + 30))
     own = own.when(begins_with(name, ("PDH_",)), F.coalesce(middle, px - 30)).when(begins_with(name, ("EQ50_",)), F.coalesce(middle, px))
-    own = own.when(begins_with(name, ("ZSCORE_",)), ahead(25)).when(begins_with(name, ("VWAP_", "THIRD_VWAP_")), ahead(20)).otherwise(ahead(30))
+    own = own.when(begins_with(name, ("ZSCORE_",)), ahead(25)).when(begins_with(name, ("VWAP_", "THIRD_VWAP_")),
+        ahead(20)).otherwise(ahead(30))
     return own if hint is None else F.when(hint > 0, hint).otherwise(own)
 
 
@@ -70,7 +74,8 @@ def vol_regime(bars: DataFrame) -> DataFrame:
     ratio = F.when(F.count("_r").over(long) == 20, F.avg("_r").over(short) / F.nullif(F.avg("_r").over(long), F.lit(0.0)))
     regime = F.when(ratio > 1.5, "HIGH").when(ratio < 0.7, "LOW").otherwise("NORMAL")
     d = d.withColumn("regime", regime)
-    return d.select("symbol", "day", "regime", F.when(F.col("regime") == "HIGH", 20.0).when(F.col("regime") == "LOW", 10.0).otherwise(15.0).alias("stop_points"), F.when(F.col("regime") == "HIGH", 0.5).otherwise(1.0).alias("size_mult"))
+    return d.select("symbol", "day", "regime", F.when(F.col("regime") == "HIGH", 20.0).when(F.col("regime") == "LOW",
+        10.0).otherwise(15.0).alias("stop_points"), F.when(F.col("regime") == "HIGH", 0.5).otherwise(1.0).alias("size_mult"))
 
 
 def adverse_selection(bars: DataFrame) -> DataFrame:
@@ -78,14 +83,17 @@ def adverse_selection(bars: DataFrame) -> DataFrame:
     w = W.by_symbol()
     unit = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
     before = F.lag("close").over(w)
-    b = bars.withColumns({"_s": F.col("high") - F.col("low"), "_ret": F.ln("close") - F.ln(before), "_dir": F.when(F.col("close") < before, -1).otherwise(1)})
-    b = b.withColumns({"_base": F.greatest(F.when(F.count("_s").over(W.last_n(20)) >= 5, F.avg("_s").over(W.last_n(20))), F.lit(1e-9)), "_ds": F.col("_s") - F.lag("_s").over(w), "_pr": F.lag("_ret").over(w)})
+    b = bars.withColumns({"_s": F.col("high") - F.col("low"), "_ret": F.ln("close") - F.ln(before),
+        "_dir": F.when(F.col("close") < before, -1).otherwise(1)})
+    b = b.withColumns({"_base": F.greatest(F.when(F.count("_s").over(W.last_n(20)) >= 5, F.avg("_s").over(W.last_n(20))), F.lit(1e-9)),
+        "_ds": F.col("_s") - F.lag("_s").over(w), "_pr": F.lag("_ret").over(w)})
     imbalance = F.abs(F.sum(F.col("volume") * F.col("_dir")).over(W.last_n(20))) / F.nullif(F.sum("volume").over(W.last_n(20)), F.lit(0))
     serial = F.least(F.lit(1.0), F.abs(F.coalesce(correlation("_ret", "_pr", W.last_n(49)), F.lit(0.0))))
     score = 0.35 * unit((F.col("_s") / F.col("_base") - 1) / 2) + 0.2 * unit(F.avg("_ds").over(W.last_n(5)) / F.col("_base") * 5) + 0.25 * serial + 0.2 * F.coalesce(imbalance, F.lit(0.0))
     mean = lambda c: F.when(F.count("*").over(W.last_n(50)) == 50, F.avg(c).over(W.last_n(50)))
     shut = (F.col("_s") > 3 * mean("_s")) & (mean("_s") > 0) & (F.col("volume") < 0.3 * mean("volume")) & (mean("volume") > 0)
-    b = b.withColumn("score", F.when(F.row_number().over(w) < 30, 0.3).otherwise(F.when(F.coalesce(shut, F.lit(False)), F.greatest(unit(score), F.lit(0.9))).otherwise(unit(score))))
+    b = b.withColumn("score", F.when(F.row_number().over(w) < 30,
+        0.3).otherwise(F.when(F.coalesce(shut, F.lit(False)), F.greatest(unit(score), F.lit(0.9))).otherwise(unit(score))))
     s = F.round("score", 9)
     regime = F.when(s < 0.3, "LOW").when(s < 0.5, "NORMAL").when(s < 0.7, "ELEVATED").when(s < 0.85, "HIGH").otherwise("EXTREME")
     return b.withColumn("as_regime", regime).drop("_s", "_ret", "_dir", "_base", "_ds", "_pr")
@@ -98,7 +106,8 @@ def fresh_gate(rows: DataFrame, daily: DataFrame, at: str, day: str, value: str,
     d = daily.select(F.date_add(day, 1).cast("timestamp_ntz").alias(at), F.col(day).alias("_of"), value).withColumn("_k", F.lit(1))
     x = asof(rows.withColumn("_k", F.lit(1)), d, ["_k"], at, ["_of", value])
     ok = (F.datediff(F.to_date(at), "r__of") <= days) & limit
-    return x.withColumn(value, F.col(f"r_{value}")).withColumn("gate_open", F.coalesce(ok, F.lit(False))).drop("_k", "r_at", "r__of", f"r_{value}")
+    return x.withColumn(value, F.col(f"r_{value}")).withColumn("gate_open", F.coalesce(ok, F.lit(False))).drop("_k", "r_at", "r__of",
+        f"r_{value}")
 
 
 def position_size(kelly: Column, confidence: Column, mults: list[Column], base: float = 2.0, cap: float = 0.25, most: int = 10) -> Column:
@@ -120,7 +129,8 @@ def prop_audit(days: DataFrame, book: str, day: str, value: str, target: float,
     """Per book: profit, trading days, the best day's share of the profit, and whether a payout may be asked for."""
     a = days.groupBy(book).agg(F.sum(value).alias("profit"), F.count("*").alias("days"), F.max(value).alias("best_day"))
     part = F.when(F.col("profit") > 0, F.col("best_day") / F.col("profit"))
-    why = F.when(F.col("profit") < target, "profit").when(F.col("days") < least_days, "days").when(part > share, "consistency").otherwise("eligible")
+    why = F.when(F.col("profit") < target, "profit").when(F.col("days") < least_days, "days").when(part > share,
+        "consistency").otherwise("eligible")
     return a.select(book, F.round("profit", 4).alias("profit"), "days", F.round(part, 6).alias("best_share"), why.alias("verdict"))
 
 
@@ -205,7 +215,8 @@ def account_gates(trades: DataFrame, book: str, limits: Limits) -> DataFrame:
     return trades.groupBy(book).applyInPandas(run, ddl)
 
 
-def book_limits(trades: DataFrame, book: str, root: str, most_open: int, margin_cap: float, glide: tuple[float, float] = (1.0, 0.0)) -> DataFrame:
+def book_limits(trades: DataFrame, book: str, root: str, most_open: int, margin_cap: float,
+    glide: tuple[float, float] = (1.0, 0.0)) -> DataFrame:
     """The trades of a book, over all its streams, with `denied`: netting (an open trade of the same root and the other
     side), root (the same side is open already), open (too many) or margin (dollars in use beyond the cap).
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def asof(
-    left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], tolerance: str | None = None, direction: str = "backward", strict: bool = False, order: list[str] | None = None
+    left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], tolerance: str | None = None, direction: str = "backward",
+        strict: bool = False, order: list[str] | None = None
 ) -> DataFrame:
     """left with right's `values` (prefixed r_) at the last right row not after it (or the first not before it).
 
@@ -21,7 +22,8 @@ def asof(
     r = right.groupBy(*by, at).agg((F.max_by(value, F.struct(*order)) if order else F.max(value)).alias("_r"))
     r = r.withColumn("_day", F.to_date(at)).withColumn("_at", F.col(at))
     tags = (1, 0) if strict == forward else (0, 1)  # (left, right) among equal times
-    rows = left.withColumn("_side", F.lit(tags[0])).withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)).withColumn("_at", F.lit(None).cast(r.schema[at].dataType))
+    rows = left.withColumn("_side", F.lit(tags[0])).withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)).withColumn("_at",
+        F.lit(None).cast(r.schema[at].dataType))
     rows = rows.withColumn("_day", F.to_date(at)).withColumn("_left", F.lit(True))
     both = rows.unionByName(r.withColumn("_side", F.lit(tags[1])).withColumn("_left", F.lit(False)), allowMissingColumns=True)
     days = left.select(*by, F.to_date(at).alias("_day")).distinct().join(
@@ -46,7 +48,8 @@ def running_sum(df: DataFrame, by: list[str], at: str, then: list[str], value: s
     before = Window.partitionBy(*by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.select(*by, "_day", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     w = Window.partitionBy(*by, "_day").orderBy(at, *then).rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn(name, F.sum(value).over(w)).join(days, [*by, "_day"]).withColumn(name, F.col(name) + F.col("_before")).drop("_day", "_before")
+    return d.withColumn(name, F.sum(value).over(w)).join(days, [*by, "_day"]).withColumn(name, F.col(name) + F.col("_before")).drop("_day",
+        "_before")
 
 
 def nearest(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str]) -> DataFrame:
@@ -56,7 +59,8 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], at: str, values: l
     both = asof(named, right, by, at, values, direction="forward")
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     use_back = F.col("r_at").isNull() | (F.col("b_r_at").isNotNull() & (us(at) - us("b_r_at") <= us("r_at") - us(at)))
-    return both.select(*left.columns, *(F.when(use_back, F.col(f"b_{c}")).otherwise(F.col(c)).alias(c) for c in ["r_at", *(f"r_{v}" for v in values)]))
+    return both.select(*left.columns, *(F.when(use_back, F.col(f"b_{c}")).otherwise(F.col(c)).alias(c) for c in ["r_at",
+        *(f"r_{v}" for v in values)]))
 
 
 def within(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str, cell_seconds: int) -> DataFrame:
@@ -82,7 +86,8 @@ def previous_day(bars: DataFrame) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("day")
     d = d.select("symbol", "day", F.lag("h").over(w).alias("pdh"), F.lag("l").over(w).alias("pdl"), F.lag("c").over(w).alias("pdc"))
     d = d.withColumn("pivot", (F.col("pdh") + F.col("pdl") + F.col("pdc")) / 3)
-    d = d.withColumns({"r1": 2 * F.col("pivot") - F.col("pdl"), "s1": 2 * F.col("pivot") - F.col("pdh"), "r2": F.col("pivot") + F.col("pdh") - F.col("pdl"), "s2": F.col("pivot") - F.col("pdh") + F.col("pdl")})
+    d = d.withColumns({"r1": 2 * F.col("pivot") - F.col("pdl"), "s1": 2 * F.col("pivot") - F.col("pdh"),
+        "r2": F.col("pivot") + F.col("pdh") - F.col("pdl"), "s2": F.col("pivot") - F.col("pdh") + F.col("pdl")})
     return b.join(d, ["symbol", "day"])
 
 
@@ -106,7 +111,9 @@ def pairs_of_masks(masks: DataFrame, least: int) -> DataFrame:
 
     masks: one row per bar, with conds (ascending array of condition names that hold) and fwd. Pairs are made inside
     a bar's own short array, then counted with partial aggregation."""
-    each = masks.select("fwd", F.explode(F.transform("conds", lambda x, i: F.struct(x.alias("a"), F.slice(F.col("conds"), i + 2, F.size("conds")).alias("rest")))).alias("x"))
+    each = masks.select("fwd", F.explode(F.transform("conds", lambda x,
+        i: F.struct(x.alias("a"), F.slice(F.col("conds"), i + 2, F.size("conds")).alias("rest")))).alias("x"))
     both = each.select("fwd", F.col("x.a").alias("a"), F.explode("x.rest").alias("b"))
-    out = both.groupBy("a", "b").agg(F.count("fwd").alias("n"), F.avg("fwd").alias("mean_fwd"), F.stddev_samp("fwd").alias("sd")).where(F.col("n") >= least)
+    out = both.groupBy("a", "b").agg(F.count("fwd").alias("n"), F.avg("fwd").alias("mean_fwd"),
+        F.stddev_samp("fwd").alias("sd")).where(F.col("n") >= least)
     return out.withColumn("score", F.col("mean_fwd") * F.sqrt("n") / F.when(F.col("sd") > 0, F.col("sd"))).drop("sd")

@@ -15,8 +15,10 @@ def features(bars: DataFrame, horizon: int, band: float) -> DataFrame:
     ahead = W.by_symbol().rowsBetween(1, horizon)
     move = F.avg("close").over(ahead) - F.col("close")
     b = bars.withColumns({
-        "z20": W.zscore("close", 20), "roc5": W.roc("close", 5), "stoch": W.stochastic_k(14), "range_ratio": (F.col("high") - F.col("low")) / F.nullif(F.avg(F.col("high") - F.col("low")).over(W.last_n(20)), F.lit(0.0)),
-        "volume_ratio": F.col("volume") / F.nullif(W.sma("volume", 20), F.lit(0.0)), "label": F.when(move > band, 2.0).when(move < -band, 0.0).otherwise(1.0),
+        "z20": W.zscore("close", 20), "roc5": W.roc("close", 5), "stoch": W.stochastic_k(14),
+        "range_ratio": (F.col("high") - F.col("low")) / F.nullif(F.avg(F.col("high") - F.col("low")).over(W.last_n(20)), F.lit(0.0)),
+        "volume_ratio": F.col("volume") / F.nullif(W.sma("volume", 20), F.lit(0.0)),
+        "label": F.when(move > band, 2.0).when(move < -band, 0.0).otherwise(1.0),
     }).withColumn("_full", F.count("close").over(ahead))
     return b.where(F.col("_full") == horizon).drop("_full").dropna(subset=list(FEATURES))
 
@@ -27,12 +29,14 @@ def forest(train: DataFrame, test: DataFrame, trees: int = 20, depth: int = 5, s
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="x"), RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)]).fit(train)
+    model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="x"),
+        RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)]).fit(train)
     return model.transform(test), model
 
 
 def confusion(scored: DataFrame) -> DataFrame:
-    return scored.groupBy(F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction")).agg(F.count("*").alias("n"))
+    return scored.groupBy(F.col("label").cast("int").alias("label"),
+        F.col("prediction").cast("int").alias("prediction")).agg(F.count("*").alias("n"))
 
 
 def regimes(rows: DataFrame, cols: list[str], k: int = 3, seed: int = 7) -> DataFrame:
@@ -44,4 +48,5 @@ def regimes(rows: DataFrame, cols: list[str], k: int = 3, seed: int = 7) -> Data
     model = GaussianMixture(featuresCol="_x", predictionCol="_p", probabilityCol="_prob", k=k, seed=seed).fit(v)
     size = {k: float(sum(r.cov.toArray().diagonal())) for k, r in enumerate(model.gaussiansDF.collect())}
     place = {state: n for n, state in enumerate(sorted(size, key=size.get))}
-    return model.transform(v).withColumn("regime", F.element_at(F.create_map(*(F.lit(x) for kv in place.items() for x in kv)), F.col("_p"))).drop("_x", "_p", "_prob")
+    return model.transform(v).withColumn("regime", F.element_at(F.create_map(*(F.lit(x) for kv in place.items() for x in kv)),
+        F.col("_p"))).drop("_x", "_p", "_prob")

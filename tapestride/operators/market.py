@@ -22,7 +22,8 @@ def parity_spot(chain: DataFrame, keys: list[str]) -> DataFrame:
     c = chain.where("call").groupBy(*keys, "strike").agg(F.avg("price").alias("c"))
     p = chain.where("NOT call").groupBy(*keys, "strike").agg(F.avg("price").alias("p"))
     gap = F.col("c") - F.col("p")
-    return c.join(p, [*keys, "strike"]).groupBy(*keys).agg(F.min_by(F.struct("strike", (F.col("strike") + gap).alias("spot")), F.struct(F.round(F.abs(gap), 9), "strike")).alias("x")).select(*keys, "x.*")
+    return c.join(p, [*keys, "strike"]).groupBy(*keys).agg(F.min_by(F.struct("strike", (F.col("strike") + gap).alias("spot")),
+        F.struct(F.round(F.abs(gap), 9), "strike")).alias("x")).select(*keys, "x.*")
 
 
 def queue_fills(orders: DataFrame, ticks: DataFrame, ttl_seconds: int) -> DataFrame:
@@ -31,20 +32,25 @@ def queue_fills(orders: DataFrame, ticks: DataFrame, ttl_seconds: int) -> DataFr
     The running sum runs in the order's own window of ticks, found by a cell join."""
     from .joins import within
 
-    o = orders.select("symbol", "order_id", F.col("ts").alias("placed"), "limit", "ahead", (F.col("ts") + F.make_dt_interval(secs=F.lit(ttl_seconds))).alias("dies"))
+    o = orders.select("symbol", "order_id", F.col("ts").alias("placed"), "limit", "ahead",
+        (F.col("ts") + F.make_dt_interval(secs=F.lit(ttl_seconds))).alias("dies"))
     t = within(ticks, o, ["symbol"], "ts", "placed", "dies", ttl_seconds).where("ts > placed AND px <= limit")
     w = Window.partitionBy("symbol", "order_id").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("_done", F.sum(F.when(F.col("px") == F.col("limit"), F.col("size")).otherwise(0)).over(w))
-    hit = t.where("px < limit OR _done > ahead").groupBy("symbol", "order_id").agg(F.min_by(F.struct("ts", (F.col("px") < F.col("limit")).alias("through")), F.struct("ts", "id")).alias("f"))
-    return o.select("symbol", "order_id").join(hit, ["symbol", "order_id"], "left").select("symbol", "order_id", F.col("f.ts").alias("fill_ts"), F.col("f.through").alias("through"))
+    hit = t.where("px < limit OR _done > ahead").groupBy("symbol",
+        "order_id").agg(F.min_by(F.struct("ts", (F.col("px") < F.col("limit")).alias("through")), F.struct("ts", "id")).alias("f"))
+    return o.select("symbol", "order_id").join(hit, ["symbol", "order_id"], "left").select("symbol", "order_id",
+        F.col("f.ts").alias("fill_ts"), F.col("f.through").alias("through"))
 
 
 def round_trips(fills: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Trips from flat to flat of (qty signed, px): entry and exit times, peak position and cash result; an open trip is left out."""
     w = Window.partitionBy(*keys).orderBy(*order)
     f = fills.withColumn("_pos", F.sum("qty").over(w))
-    f = f.withColumn("trip", F.coalesce(F.sum((F.col("_pos") == 0).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    t = f.groupBy(*keys, "trip").agg(F.count("*").alias("fills"), F.max(F.abs("_pos")).alias("peak"), F.round(F.sum(-F.col("qty") * F.col("px")), 6).alias("pnl"), F.sum("qty").alias("_left"))
+    f = f.withColumn("trip", F.coalesce(F.sum((F.col("_pos") == 0).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)))
+    t = f.groupBy(*keys, "trip").agg(F.count("*").alias("fills"), F.max(F.abs("_pos")).alias("peak"),
+        F.round(F.sum(-F.col("qty") * F.col("px")), 6).alias("pnl"), F.sum("qty").alias("_left"))
     return t.where("_left = 0").drop("_left")
 
 
@@ -57,7 +63,8 @@ def neighbours(grid: DataFrame, keys: list[str], axes: list[str], value: str) ->
         steps = grid.select(a).where(F.col(a).isNotNull()).distinct()
         g = g.join(F.broadcast(steps.withColumn(f"_{a}", F.row_number().over(Window.orderBy(a)))), a)
     at = lambda a, by: F.struct(*((F.col(f"_{x}") + (by if x == a else 0)).alias(f"_{x}") for x in axes))
-    near = g.select(*keys, F.explode(F.array(*(at(a, by) for a in axes for by in (-1, 1)))).alias("x"), F.col(value).alias("_v")).select(*keys, "x.*", "_v")
+    near = g.select(*keys, F.explode(F.array(*(at(a, by) for a in axes for by in (-1, 1)))).alias("x"),
+        F.col(value).alias("_v")).select(*keys, "x.*", "_v")
     near = near.groupBy(*keys, *(f"_{a}" for a in axes)).agg(F.count("*").alias("n_near"), F.avg("_v").alias("near_mean"))
     return g.join(near, [*keys, *(f"_{a}" for a in axes)]).select(*grid.columns, "n_near", "near_mean")
 
@@ -71,7 +78,8 @@ def order_shuffles(results: DataFrame, key: str, day: str, value: str, trials: i
     w = Window.partitionBy(key, "trial").orderBy("_u", day).rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("_u", u).withColumn("_e", F.sum(value).over(w)).withColumn("_p", F.greatest(F.max("_e").over(w), F.lit(0.0)))
     d = t.groupBy(key, "trial").agg(F.min(F.col("_e") - F.col("_p")).alias("dd"))
-    return d.groupBy(key).agg(*(F.round(F.percentile("dd", F.lit(p)), 6).alias(n) for p, n in ((0.05, "dd05"), (0.5, "dd50"), (0.95, "dd95"))))
+    return d.groupBy(key).agg(*(F.round(F.percentile("dd", F.lit(p)), 6).alias(n) for p,
+        n in ((0.05, "dd05"), (0.5, "dd50"), (0.95, "dd95"))))
 
 
 def greedy_uncorrelated(returns: DataFrame, name: str, at: str, value: str, cap: float, most: int) -> list[str]:
@@ -89,7 +97,8 @@ def greedy_uncorrelated(returns: DataFrame, name: str, at: str, value: str, cap:
     return out
 
 
-def pair_trades(spread: DataFrame, key: str, order: str, z: str, value: str, enter: float, leave: float, stop: float, longest: int) -> DataFrame:
+def pair_trades(spread: DataFrame, key: str, order: str, z: str, value: str, enter: float, leave: float, stop: float,
+    longest: int) -> DataFrame:
     """Mean-reversion trades on a z-score: enter beyond `enter` against it, leave within `leave`, beyond `stop` or after `longest` steps.
 
     Whether a step can enter depends on the trade before, so a key is walked in order, in one task."""
@@ -118,7 +127,9 @@ def pair_trades(spread: DataFrame, key: str, order: str, z: str, value: str, ent
 def shapes(mask: Column, w) -> dict[str, Column]:
     """Forms of a condition over time: its rising edge, held four rows, and its aftermath of eight rows."""
     on = mask.cast("int")
-    return {"edge": mask & ~F.coalesce(F.lag(mask).over(w), F.lit(False)), "hold4": F.coalesce(F.min(on).over(w.rowsBetween(-3, 0)) == 1, F.lit(False)) & (F.count("*").over(w.rowsBetween(-3, 0)) == 4), "after8": F.coalesce(F.max(on).over(w.rowsBetween(-8, -1)) == 1, F.lit(False)) & ~mask}
+    return {"edge": mask & ~F.coalesce(F.lag(mask).over(w), F.lit(False)),
+        "hold4": F.coalesce(F.min(on).over(w.rowsBetween(-3, 0)) == 1, F.lit(False)) & (F.count("*").over(w.rowsBetween(-3, 0)) == 4),
+        "after8": F.coalesce(F.max(on).over(w.rowsBetween(-8, -1)) == 1, F.lit(False)) & ~mask}
 
 
 def gamma_flip(chain: DataFrame, keys: list[str], grid: list[float]) -> DataFrame:
@@ -126,7 +137,8 @@ def gamma_flip(chain: DataFrame, keys: list[str], grid: list[float]) -> DataFram
     points of the grid, and the number of such crossings. Contracts are summed by equal terms before they meet the grid."""
     c = chain.groupBy(*keys, "strike", "years", "vol").agg(F.sum(F.when(F.col("call"), F.col("oi")).otherwise(-F.col("oi"))).alias("_net"))
     c = c.withColumn("spot", F.explode(F.array(*map(F.lit, map(float, grid)))))
-    g = c.groupBy(*keys, "spot").agg(F.sum(S.option_gamma(F.col("spot"), F.col("strike"), F.col("years"), F.col("vol")) * F.col("_net") * F.pow("spot", F.lit(2)) * 0.01).alias("_g"))
+    g = c.groupBy(*keys, "spot").agg(F.sum(S.option_gamma(F.col("spot"), F.col("strike"), F.col("years"),
+        F.col("vol")) * F.col("_net") * F.pow("spot", F.lit(2)) * 0.01).alias("_g"))
     w = Window.partitionBy(*keys).orderBy("spot")
     g = g.withColumns({"_pg": F.lag("_g").over(w), "_ps": F.lag("spot").over(w)})
     turn = F.signum("_g") != F.signum("_pg")

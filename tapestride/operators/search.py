@@ -18,13 +18,16 @@ def chance(*parts) -> float:
 
 def exit_fitness(entries: DataFrame, people: list[dict]) -> dict[int, float]:
     """Mean result of every entry (side, entry_px, path) under each person's stop and target: one pass, a row a person."""
-    g = F.array(*(F.struct(F.lit(k).alias("who"), F.lit(float(p["stop"])).alias("s"), F.lit(float(p["target"])).alias("t")) for k, p in enumerate(people)))
+    g = F.array(*(F.struct(F.lit(k).alias("who"), F.lit(float(p["stop"])).alias("s"), F.lit(float(p["target"])).alias("t")) for k,
+        p in enumerate(people)))
     e = entries.select("side", "entry_px", "path", F.explode(g).alias("g"))
-    e = e.select("side", "entry_px", "path", (F.col("entry_px") - F.col("side") * F.col("g.s")).alias("stop"), (F.col("entry_px") + F.col("side") * F.col("g.t")).alias("target"), F.col("g.who").alias("who"))
+    e = e.select("side", "entry_px", "path", (F.col("entry_px") - F.col("side") * F.col("g.s")).alias("stop"),
+        (F.col("entry_px") + F.col("side") * F.col("g.t")).alias("target"), F.col("g.who").alias("who"))
     return {r["who"]: r["m"] for r in first_touch(e).groupBy("who").agg(F.avg("pnl").alias("m")).collect()}  # a row a person
 
 
-def evolve(spark: SparkSession, bounds: dict[str, tuple[float, float]], fitness: Callable[[list[dict]], dict[int, float]], people: int, generations: int, seed: str = "evolve") -> DataFrame:
+def evolve(spark: SparkSession, bounds: dict[str, tuple[float, float]], fitness: Callable[[list[dict]], dict[int, float]], people: int,
+    generations: int, seed: str = "evolve") -> DataFrame:
     """(generation, person, each parameter, fitness) of a genetic search: the better half lives on, children take each
     parameter of one of two parents and are moved by up to a tenth of its span. The driver holds a generation's parameters."""
     now = [{n: round(lo + (hi - lo) * chance(seed, 0, k, n), 4) for n, (lo, hi) in bounds.items()} for k in range(people)]

@@ -11,7 +11,8 @@ from . import windows as W
 from .stats import quantiles
 
 
-def streamed(bars: DataFrame, key: str, order: str, ddl: str, start: Callable[[], object], step: Callable[[object, object], list[tuple]]) -> DataFrame:
+def streamed(bars: DataFrame, key: str, order: str, ddl: str, start: Callable[[], object],
+    step: Callable[[object, object], list[tuple]]) -> DataFrame:
     """Rows that step(state, row) gives, called for a key's rows in order; a fresh state from start() for each key.
 
     Rows stream through one task a key, batch after batch; only the state is held."""
@@ -49,14 +50,16 @@ def parabolic(bars: DataFrame, first: float = 0.02, add: float = 0.02, most: flo
                 s.update(best=b.high if up else b.low, af=min(most, s["af"] + add))
         return [(b.symbol, b.bar_id, float(s["sar"]), s["trend"])]
 
-    return streamed(bars.select("symbol", "bar_id", "high", "low"), "symbol", "bar_id", "symbol string, bar_id int, sar double, trend int", dict, step)
+    return streamed(bars.select("symbol", "bar_id", "high", "low"), "symbol", "bar_id", "symbol string, bar_id int, sar double, trend int",
+        dict, step)
 
 
 def replay(bars: DataFrame, setups: DataFrame, ttl: int, hold: int, cooldown: int) -> DataFrame:
     """Setups (symbol, bar_id, side, entry, stop, target) replayed bar by bar: a pending limit lives `ttl` bars, one order
     or position at a time, stop before target inside a bar, no target on the bar of the fill, out after `hold` bars,
     then `cooldown` bars of rest. Per trade: setup_id, fill_id, exit_id, side, entry, exit_px, why."""
-    j = bars.select("symbol", "bar_id", "high", "low", "close").join(setups.select("symbol", "bar_id", "side", "entry", "stop", "target"), ["symbol", "bar_id"], "left")
+    j = bars.select("symbol", "bar_id", "high", "low", "close").join(setups.select("symbol", "bar_id", "side", "entry", "stop", "target"),
+        ["symbol", "bar_id"], "left")
 
     def step(s: dict, b) -> list[tuple]:
         out, p = [], s.get("p")
@@ -120,7 +123,8 @@ def mined_masks(rows: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:
     its thresholds exact quantiles of the feature within the key, found in one pass a feature."""
     import re
 
-    terms = {name: [re.fullmatch(r"\s*(\w+)\s*(<=|>=|<|>)\s*q([0-9.]+)\s*", t).groups() for t in text.split("&")] for name, text in rules.items()}
+    terms = {name: [re.fullmatch(r"\s*(\w+)\s*(<=|>=|<|>)\s*q([0-9.]+)\s*", t).groups() for t in text.split("&")] for name,
+        text in rules.items()}
     wanted: dict[str, set[str]] = {}
     for parts in terms.values():
         for feature, _, q in parts:
@@ -158,7 +162,8 @@ def half_levels(bars: DataFrame, k: int) -> DataFrame:
     level, fast, slow = (F.col("last_high") + F.col("last_low")) / 2, W.sma("close", 20), W.sma("close", 60)
     b = b.withColumns({"level": level, "_f": fast, "_s": slow})
     touch = (F.col("low") <= F.col("level")) & (F.col("high") >= F.col("level"))
-    side = F.when((F.col("_f") > F.col("_s")) & (F.col("close") > F.col("level")), 1).when((F.col("_f") < F.col("_s")) & (F.col("close") < F.col("level")), -1)
+    side = F.when((F.col("_f") > F.col("_s")) & (F.col("close") > F.col("level")),
+        1).when((F.col("_f") < F.col("_s")) & (F.col("close") < F.col("level")), -1)
     return b.withColumn("side", side).where(touch & F.col("side").isNotNull()).select("symbol", "bar_id", "side", "level")
 
 

@@ -58,7 +58,8 @@ def trading_day_vwap(bars: DataFrame, hours: int = 2) -> DataFrame:
 def overnight_gap(bars: DataFrame, hours: int = 21) -> DataFrame:
     """Per symbol and session day (it begins at `hours` UTC): first open, last close, and the gap from the close before."""
     day = F.to_date(F.col("ts") - F.expr(f"INTERVAL {hours} HOURS"))
-    d = bars.groupBy("symbol", day.alias("session_day")).agg(F.min_by("open", "ts").alias("first_open"), F.max_by("close", "ts").alias("last_close"))
+    d = bars.groupBy("symbol", day.alias("session_day")).agg(F.min_by("open", "ts").alias("first_open"),
+        F.max_by("close", "ts").alias("last_close"))
     before = F.lag("last_close").over(Window.partitionBy("symbol").orderBy("session_day"))
     return d.withColumn("gap", F.col("first_open") - before)
 

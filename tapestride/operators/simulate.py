@@ -18,7 +18,8 @@ def first_touch(trades: DataFrame, tick: float = 0.0, cost: float = 0.0) -> Data
         "path",
         lambda b, i: F.struct(
             (i + 1).alias("k"),
-            F.when(F.when(up, b["low"] <= F.col("stop")).otherwise(b["high"] >= F.col("stop")), "stop").when(F.when(up, b["high"] >= F.col("target")).otherwise(b["low"] <= F.col("target")), "target").alias("why"),
+            F.when(F.when(up, b["low"] <= F.col("stop")).otherwise(b["high"] >= F.col("stop")),
+            "stop").when(F.when(up, b["high"] >= F.col("target")).otherwise(b["low"] <= F.col("target")), "target").alias("why"),
         ),
     )
     t = trades.where(F.size("path") > 0).withColumn("_h", F.get(F.filter(hit, lambda x: x["why"].isNotNull()), 0))
@@ -32,7 +33,8 @@ def excursions(trades: DataFrame) -> DataFrame:
     """Adds mae and mfe of (side, entry_px, path)."""
     hi, lo = F.array_max(F.transform("path", lambda b: b["high"])), F.array_min(F.transform("path", lambda b: b["low"]))
     up = F.col("side") > 0
-    return trades.withColumns({"mfe": F.when(up, hi - F.col("entry_px")).otherwise(F.col("entry_px") - lo), "mae": F.when(up, lo - F.col("entry_px")).otherwise(F.col("entry_px") - hi)})
+    return trades.withColumns({"mfe": F.when(up, hi - F.col("entry_px")).otherwise(F.col("entry_px") - lo),
+        "mae": F.when(up, lo - F.col("entry_px")).otherwise(F.col("entry_px") - hi)})
 
 
 def trailing(trades: DataFrame, distance: float) -> DataFrame:
@@ -41,21 +43,29 @@ def trailing(trades: DataFrame, distance: float) -> DataFrame:
     The best close of earlier bars is a running extreme, so the exit is the first bar beyond it: no state across trades."""
     s = F.col("side")
     step = lambda acc, b: F.when(acc["done"], acc).otherwise(
-        F.when(F.when(s > 0, b["low"] <= acc["best"] - distance).otherwise(b["high"] >= acc["best"] + distance), F.struct((acc["best"] - s * distance).alias("px"), acc["best"].alias("best"), (acc["k"] + 1).alias("k"), F.lit(True).alias("done")))
-        .otherwise(F.struct(b["close"].alias("px"), F.when(s > 0, F.greatest(acc["best"], b["close"])).otherwise(F.least(acc["best"], b["close"])).alias("best"), (acc["k"] + 1).alias("k"), F.lit(False).alias("done")))
+        F.when(F.when(s > 0, b["low"] <= acc["best"] - distance).otherwise(b["high"] >= acc["best"] + distance),
+        F.struct((acc["best"] - s * distance).alias("px"), acc["best"].alias("best"), (acc["k"] + 1).alias("k"), F.lit(True).alias("done")))
+        .otherwise(F.struct(b["close"].alias("px"), F.when(s > 0,
+            F.greatest(acc["best"], b["close"])).otherwise(F.least(acc["best"], b["close"])).alias("best"), (acc["k"] + 1).alias("k"),
+            F.lit(False).alias("done")))
     )
     start = F.struct(F.col("entry_px").alias("px"), F.col("entry_px").alias("best"), F.lit(0).alias("k"), F.lit(False).alias("done"))
     t = trades.withColumn("_x", F.aggregate("path", start, step))
-    return t.withColumns({"exit_px": F.col("_x.px"), "bars_held": F.col("_x.k"), "trailed": F.col("_x.done"), "pnl": s * (F.col("_x.px") - F.col("entry_px"))}).drop("_x", "path")
+    return t.withColumns({"exit_px": F.col("_x.px"), "bars_held": F.col("_x.k"), "trailed": F.col("_x.done"),
+        "pnl": s * (F.col("_x.px") - F.col("entry_px"))}).drop("_x", "path")
 
 
 def pending_fill(orders: DataFrame) -> DataFrame:
     """First bar within the path that fills (kind, side, px): a limit on touch at its price, a stop at the worse of price and close of the bar before, a market order at the first close. Unfilled orders have no fill_k."""
     s, px = F.col("side"), F.col("px")
-    fills = F.transform("path", lambda b, i: F.struct((i + 1).alias("k"), F.when(F.col("kind") == "M", True).when(F.col("kind") == "L", F.when(s > 0, b["low"] <= px).otherwise(b["high"] >= px)).otherwise(F.when(s > 0, b["high"] >= px).otherwise(b["low"] <= px)).alias("ok"), b["close"].alias("close")))
+    fills = F.transform("path", lambda b, i: F.struct((i + 1).alias("k"),
+        F.when(F.col("kind") == "M", True).when(F.col("kind") == "L",
+        F.when(s > 0, b["low"] <= px).otherwise(b["high"] >= px)).otherwise(F.when(s > 0,
+        b["high"] >= px).otherwise(b["low"] <= px)).alias("ok"), b["close"].alias("close")))
     f = F.get(F.filter(fills, lambda x: x["ok"]), 0)
     o = orders.withColumn("_f", f)
-    return o.withColumns({"fill_k": F.col("_f.k"), "fill_px": F.when(F.col("_f.k").isNotNull(), F.when(F.col("kind") == "M", F.col("_f.close")).otherwise(px))}).drop("_f", "path")
+    return o.withColumns({"fill_k": F.col("_f.k"), "fill_px": F.when(F.col("_f.k").isNotNull(),
+        F.when(F.col("kind") == "M", F.col("_f.close")).otherwise(px))}).drop("_f", "path")
 
 
 def first_passage(bars: DataFrame, h: int, ladder: list[float]) -> DataFrame:
@@ -64,10 +74,12 @@ def first_passage(bars: DataFrame, h: int, ladder: list[float]) -> DataFrame:
 
     b = forward_path(bars, h).select("symbol", "bar_id", "close", "path", F.explode(F.array(*map(F.lit, ladder))).alias("d"))
     tau = lambda test: F.get(F.filter(F.transform("path", lambda x, i: F.when(test(x), i + 1)), lambda k: k.isNotNull()), 0)
-    return b.select("symbol", "bar_id", "d", tau(lambda x: x["high"] >= F.col("close") + F.col("d")).alias("tau_up"), tau(lambda x: x["low"] <= F.col("close") - F.col("d")).alias("tau_down"))
+    return b.select("symbol", "bar_id", "d", tau(lambda x: x["high"] >= F.col("close") + F.col("d")).alias("tau_up"),
+        tau(lambda x: x["low"] <= F.col("close") - F.col("d")).alias("tau_down"))
 
 
-def one_position(trades: DataFrame, keys: list[str], start: str, end: str, cooldown: int = 0, per_day: int | None = None, day: str | None = None) -> DataFrame:
+def one_position(trades: DataFrame, keys: list[str], start: str, end: str, cooldown: int = 0, per_day: int | None = None,
+    day: str | None = None) -> DataFrame:
     """The trades taken when a key holds one position at a time: greedy in order of (start, id).
 
     Sequential by nature; a key's trades are processed in one task, so make keys as fine as the book allows (symbol and
@@ -93,7 +105,8 @@ def trade_stats(trades: DataFrame, *keys: str) -> DataFrame:
     gain, pain = F.coalesce(F.sum(win), F.lit(0.0)), F.coalesce(-F.sum(loss), F.lit(0.0))
     r = lambda c: F.round(c, 6)
     return trades.groupBy(*keys).agg(
-        F.count("*").alias("n"), r(F.avg((F.col("pnl") > 0).cast("double"))).alias("win_rate"), r(F.avg(win)).alias("avg_win"), r(F.avg(loss)).alias("avg_loss"),
+        F.count("*").alias("n"), r(F.avg((F.col("pnl") > 0).cast("double"))).alias("win_rate"), r(F.avg(win)).alias("avg_win"),
+        r(F.avg(loss)).alias("avg_loss"),
         r(F.avg("pnl")).alias("expectancy"), r(gain / F.when(pain > 0, pain)).alias("profit_factor"),
     )
 
@@ -112,4 +125,5 @@ def kelly(trades: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     p = F.avg((F.col("pnl") > 0).cast("double")).over(w)
     win, loss = F.avg(F.when(F.col("pnl") > 0, F.col("pnl"))).over(w), -F.avg(F.when(F.col("pnl") <= 0, F.col("pnl"))).over(w)
     f = p - (1 - p) * loss / win
-    return trades.withColumn("kelly", F.when((F.count("*").over(w) == n) & win.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(f, p)))))
+    return trades.withColumn("kelly", F.when((F.count("*").over(w) == n) & win.isNotNull(),
+        F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(f, p)))))

@@ -21,7 +21,8 @@ def average_rank(df: DataFrame, keys: list[str], col: str, name: str) -> DataFra
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     d = average_rank(average_rank(df, keys, x, "_x"), keys, y, "_y")
-    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.round(correlation(x, y), 6).alias("pearson"), F.round(correlation("_x", "_y"), 6).alias("spearman"))
+    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.round(correlation(x, y), 6).alias("pearson"),
+        F.round(correlation("_x", "_y"), 6).alias("spearman"))
 
 
 def quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float], cells: int = 4096) -> DataFrame:
@@ -39,7 +40,8 @@ def quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float], cell
     counts = counts.withColumn("_to", F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c"))
     ranks = F.array(*(F.struct(F.lit(n).alias("p"), (F.lit(p) * (F.col("_n") - 1)).alias("h")) for n, p in probs.items()))
     held = F.exists(ranks, lambda x: (F.floor(x["h"]) < F.col("_to")) & (F.ceil(x["h"]) >= F.col("_from")))
-    found = d.join(counts.where(held).select(key, "_cell", "_from"), [key, "_cell"]).groupBy(key, "_cell", "_v").agg(F.count("*").alias("_c"), F.first("_from").alias("_from"), F.first("_n").alias("_n"))
+    found = d.join(counts.where(held).select(key, "_cell", "_from"), [key, "_cell"]).groupBy(key, "_cell",
+        "_v").agg(F.count("*").alias("_c"), F.first("_from").alias("_from"), F.first("_n").alias("_n"))
     w = Window.partitionBy(key, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("_to", F.col("_from") + F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c"))
     out = []
@@ -67,7 +69,8 @@ def lag_variance_slope(df: DataFrame, key: str, order: str, col: str, lags: list
     """Hurst exponent: half the slope of ln variance of k-step differences over ln k."""
     w = Window.partitionBy(key).orderBy(order)
     steps = df.select(key, *((F.col(col) - F.lag(col, k).over(w)).alias(f"_{k}") for k in lags))
-    d = steps.select(key, F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"_{k}").alias("d")) for k in lags))).alias("x")).select(key, "x.*")
+    d = steps.select(key, F.explode(F.array(*(F.struct(F.lit(k).alias("k"),
+        F.col(f"_{k}").alias("d")) for k in lags))).alias("x")).select(key, "x.*")
     v = d.groupBy(key, "k").agg(F.var_pop("d").alias("v")).where("v > 0")
     return v.groupBy(key).agg(F.round(F.regr_slope(F.ln("v"), F.ln("k")) / 2, 6).alias("hurst"))
 
@@ -80,7 +83,8 @@ def overlap(df: DataFrame, item: str, member: str) -> DataFrame:
     n = s.groupBy(item).agg(F.count("*").alias("n"))
     a, b = s.withColumnRenamed(item, "a"), s.withColumnRenamed(item, "b")
     c = a.join(b, member).where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    c = c.join(n.select(F.col(item).alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col(item).alias("b"), F.col("n").alias("nb")), "b")
+    c = c.join(n.select(F.col(item).alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col(item).alias("b"), F.col("n").alias("nb")),
+        "b")
     return c.select("a", "b", "common", F.round(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 6).alias("jaccard"))
 
 

@@ -21,7 +21,8 @@ def permutation_test(df: DataFrame, key: str, value: str, side: str, row: str, t
     flip = F.when(draw(F.lit("perm"), F.col("trial").cast("string"), F.col(row).cast("string")) < 0.5, -1).otherwise(1)
     null = t.groupBy(key, "trial").agg(F.avg(F.col(value) * F.col(side) * flip).alias("null"))
     b = F.sum((F.col("null") >= F.col("real")).cast("int"))
-    return null.join(real, key).groupBy(key).agg(F.round(F.first("real"), 6).alias("real_mean"), b.alias("beaten_by"), F.round((b + 1) / (F.count("*") + 1), 6).alias("p_value"))
+    return null.join(real, key).groupBy(key).agg(F.round(F.first("real"), 6).alias("real_mean"), b.alias("beaten_by"),
+        F.round((b + 1) / (F.count("*") + 1), 6).alias("p_value"))
 
 
 def poisson_ladder(mean: float = 1.0) -> list[float]:
@@ -46,7 +47,8 @@ def bootstrap_mean(df: DataFrame, key: str, value: str, row: str, trials: int) -
     k = F.coalesce(*(F.when(F.col("_u") < p, n) for n, p in enumerate(POISSON)), F.lit(len(POISSON)))
     m = t.withColumn("_k", k).groupBy(key, "trial").agg((F.sum(F.col(value) * F.col("_k")) / F.sum("_k")).alias("m"))
     q = F.percentile("m", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return m.groupBy(key).agg(q.alias("_q")).select(key, *(F.round(F.get("_q", k), 6).alias(n) for k, n in enumerate(("p05", "p50", "p95"))))
+    return m.groupBy(key).agg(q.alias("_q")).select(key, *(F.round(F.get("_q", k), 6).alias(n) for k,
+        n in enumerate(("p05", "p50", "p95"))))
 
 
 def walk_forward(df: DataFrame, key: str, order: list[str], value: str, folds: int, train: float) -> DataFrame:
@@ -56,7 +58,9 @@ def walk_forward(df: DataFrame, key: str, order: list[str], value: str, folds: i
     fold = F.when(pos < train, 0).otherwise(F.floor((pos - train) / (1 - train) * folds) + 1)
     s = df.withColumn("fold", F.least(fold, F.lit(folds))).groupBy(key, "fold").agg(F.count("*").alias("n"), F.sum(value).alias("s"))
     before = Window.partitionBy(key).orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
-    return s.select(key, "fold", "n", F.round(F.col("s") / F.col("n"), 6).alias("test_mean"), F.round(F.sum("s").over(before) / F.sum("n").over(before), 6).alias("train_mean"), F.sum("n").over(before).alias("train_n")).where("fold > 0")
+    return s.select(key, "fold", "n", F.round(F.col("s") / F.col("n"), 6).alias("test_mean"),
+        F.round(F.sum("s").over(before) / F.sum("n").over(before), 6).alias("train_mean"),
+        F.sum("n").over(before).alias("train_n")).where("fold > 0")
 
 
 def cpcv(df: DataFrame, key: str, bar: str, value: str, groups: int, purge: int) -> DataFrame:
@@ -66,16 +70,20 @@ def cpcv(df: DataFrame, key: str, bar: str, value: str, groups: int, purge: int)
     from itertools import combinations
 
     w = Window.partitionBy(key)
-    d = df.withColumn("_n", F.max(bar).over(w)).withColumn("_size", F.ceil(F.col("_n") / groups)).withColumn("_g", F.floor((F.col(bar) - 1) / F.col("_size")))
-    combos = F.array(*(F.struct(F.lit(f"{a}-{b}").alias("combo"), F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in combinations(range(groups), 2)))
+    d = df.withColumn("_n", F.max(bar).over(w)).withColumn("_size", F.ceil(F.col("_n") / groups)).withColumn("_g",
+        F.floor((F.col(bar) - 1) / F.col("_size")))
+    combos = F.array(*(F.struct(F.lit(f"{a}-{b}").alias("combo"), F.lit(a).alias("a"), F.lit(b).alias("b")) for a,
+        b in combinations(range(groups), 2)))
     d = d.withColumn("_c", F.explode(combos))
     near = lambda g: (F.col(bar) > g * F.col("_size") - purge) & (F.col(bar) <= (g + 1) * F.col("_size") + purge)
     test = (F.col("_g") == F.col("_c.a")) | (F.col("_g") == F.col("_c.b"))
     part = F.when(test, "test").when(near(F.col("_c.a")) | near(F.col("_c.b")), "purged").otherwise("train")
     d = d.withColumn("part", part)
     return d.groupBy(key, F.col("_c.combo").alias("combo")).agg(
-        F.count_if(F.col("part") == "train").alias("n_train"), F.count_if(F.col("part") == "test").alias("n_test"), F.count_if(F.col("part") == "purged").alias("n_purged"),
-        F.round(F.avg(F.when(F.col("part") == "train", F.col(value))), 6).alias("train_mean"), F.round(F.avg(F.when(F.col("part") == "test", F.col(value))), 6).alias("test_mean"),
+        F.count_if(F.col("part") == "train").alias("n_train"), F.count_if(F.col("part") == "test").alias("n_test"),
+        F.count_if(F.col("part") == "purged").alias("n_purged"),
+        F.round(F.avg(F.when(F.col("part") == "train", F.col(value))), 6).alias("train_mean"),
+        F.round(F.avg(F.when(F.col("part") == "test", F.col(value))), 6).alias("test_mean"),
     )
 
 
@@ -84,13 +92,16 @@ def circular_shift(df: DataFrame, key: str, bar: str, signal: str, value: str, s
     n = df.groupBy(key).agg(F.max(bar).alias("_n"))
     on = df.where(F.col(signal)).select(key, bar).join(n, key).withColumn("shift", F.explode(F.array(*map(F.lit, shifts))))
     on = on.select(key, "shift", (F.pmod(F.col(bar) - 1 + F.col("shift"), F.col("_n")) + 1).alias(bar))
-    return on.join(df.select(key, bar, value), [key, bar]).groupBy(key, "shift").agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean_value"))
+    return on.join(df.select(key, bar, value), [key, bar]).groupBy(key, "shift").agg(F.count(value).alias("n"),
+        F.round(F.avg(value), 6).alias("mean_value"))
 
 
 def week_bootstrap(weeks: DataFrame, key: str, week: str, value: str, trials: int, length: int = 52) -> DataFrame:
     """Years of `length` weeks drawn with replacement from a key's own: 5 % and 50 % of the sum, 5 % of the worst drawdown."""
-    n = weeks.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(week))).withColumn("_n", F.count("*").over(Window.partitionBy(key)))
-    picks = n.groupBy(key).agg(F.first("_n").alias("_n")).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(length))))
+    n = weeks.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(week))).withColumn("_n",
+        F.count("*").over(Window.partitionBy(key)))
+    picks = n.groupBy(key).agg(F.first("_n").alias("_n")).withColumn("trial",
+        F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(length))))
     at = (F.floor(draw(F.lit("weeks"), F.col("trial").cast("string"), F.col("step").cast("string")) * F.col("_n")) + 1).cast("int")
     y = picks.select(key, "trial", "step", at.alias("_i")).join(n.select(key, "_i", F.col(value).alias("_v")), [key, "_i"])
     w = Window.partitionBy(key, "trial").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
@@ -125,18 +136,22 @@ def verdicts(df: DataFrame, key: str, value: str, split: str, least: int) -> Dat
     a, b = F.when(F.col(split), F.col(value)), F.when(~F.col(split), F.col(value))
     s = df.groupBy(key).agg(F.count(a).alias("n_train"), F.count(b).alias("n_hold"), t(a).alias("t_train"), t(b).alias("t_hold"))
     thin = (F.col("n_train") < least) | (F.col("n_hold") < least)
-    word = F.when(thin, "thin").when((F.abs("t_train") >= 2) & (F.signum("t_train") == F.signum("t_hold")), "holds").when(F.abs("t_train") >= 2, "reverses").otherwise("none")
-    return s.select(key, "n_train", "n_hold", F.round("t_train", 6).alias("t_train"), F.round("t_hold", 6).alias("t_hold"), word.alias("verdict"))
+    word = F.when(thin, "thin").when((F.abs("t_train") >= 2) & (F.signum("t_train") == F.signum("t_hold")),
+        "holds").when(F.abs("t_train") >= 2, "reverses").otherwise("none")
+    return s.select(key, "n_train", "n_hold", F.round("t_train", 6).alias("t_train"), F.round("t_hold", 6).alias("t_hold"),
+        word.alias("verdict"))
 
 
 def contributions(results: DataFrame, name: str, period: str, value: str) -> DataFrame:
     """Weekly Sharpe of the whole book, and of the book without each name; periods without a result count as zero."""
     s = results.groupBy(name, period).agg(F.sum(value).alias("_v"))
     total = s.groupBy(period).agg(F.sum("_v").alias("_t"))
-    every = s.select(name).distinct().withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k").join(s, [name, period], "left")
+    every = s.select(name).distinct().withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k").join(s, [name, period],
+        "left")
     rest = F.col("_t") - F.coalesce("_v", F.lit(0.0))
     sharpe = lambda c: F.avg(c) / F.when(F.stddev_samp(c) > 1e-12, F.stddev_samp(c))
-    return every.groupBy(name).agg(F.round(sharpe(F.col("_t")), 6).alias("book"), F.round(sharpe(rest), 6).alias("without"), F.round(sharpe(F.col("_t")) - sharpe(rest), 6).alias("contribution"))
+    return every.groupBy(name).agg(F.round(sharpe(F.col("_t")), 6).alias("book"), F.round(sharpe(rest), 6).alias("without"),
+        F.round(sharpe(F.col("_t")) - sharpe(rest), 6).alias("contribution"))
 
 
 def expanding_cv(df: DataFrame, key: str, bar: str, value: str, folds: int, embargo: int) -> DataFrame:
@@ -146,4 +161,5 @@ def expanding_cv(df: DataFrame, key: str, bar: str, value: str, folds: int, emba
     d = d.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
     train, test = F.col(bar) <= F.col("fold") * F.col("_size") - embargo, F.col("_g") == F.col("fold")
     a, b = F.when(train, F.col(value)), F.when(test, F.col(value))
-    return d.groupBy(key, "fold").agg(F.count(a).alias("n_train"), F.count(b).alias("n_test"), F.round(F.avg(a), 6).alias("train_mean"), F.round(F.avg(b), 6).alias("test_mean"))
+    return d.groupBy(key, "fold").agg(F.count(a).alias("n_train"), F.count(b).alias("n_test"), F.round(F.avg(a), 6).alias("train_mean"),
+        F.round(F.avg(b), 6).alias("test_mean"))

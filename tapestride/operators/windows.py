@@ -86,7 +86,8 @@ def ewm(bars: DataFrame, specs: dict[str, tuple[str, float]]) -> DataFrame:
                 for n, (c, a) in specs.items():
                     x = own[c].astype(float)
                     before = [state[n]] if n in state else []
-                    y = pd.concat([pd.Series(before, dtype=float), x]).ewm(alpha=a, adjust=False, ignore_na=True).mean().to_numpy()[len(before) :]
+                    y = pd.concat([pd.Series(before, dtype=float), x]).ewm(alpha=a, adjust=False,
+                        ignore_na=True).mean().to_numpy()[len(before) :]
                     if y[-1] == y[-1]:
                         state[n] = y[-1]
                     out[n] = y
@@ -100,12 +101,15 @@ def ewm(bars: DataFrame, specs: dict[str, tuple[str, float]]) -> DataFrame:
 def rsi(bars: DataFrame, n: int, more: dict[str, tuple[str, float]] | None = None) -> DataFrame:
     """Adds rsi (Wilder averages of gains and losses, 50 where there is no loss and no gain), both averages, and those of `more`."""
     d = F.col("close") - F.lag("close").over(by_symbol())
-    b = bars.withColumns({"gain": F.coalesce(F.greatest(d, F.lit(0.0)), F.lit(0.0)), "loss": F.coalesce(F.greatest(-d, F.lit(0.0)), F.lit(0.0))})
+    b = bars.withColumns({"gain": F.coalesce(F.greatest(d, F.lit(0.0)), F.lit(0.0)),
+        "loss": F.coalesce(F.greatest(-d, F.lit(0.0)), F.lit(0.0))})
     b = ewm(b, {"avg_gain": ("gain", 1 / n), "avg_loss": ("loss", 1 / n)} | (more or {}))
-    return b.withColumn("rsi", F.when(F.col("avg_gain") + F.col("avg_loss") > 0, 100 * F.col("avg_gain") / (F.col("avg_gain") + F.col("avg_loss"))).otherwise(50.0))
+    return b.withColumn("rsi", F.when(F.col("avg_gain") + F.col("avg_loss") > 0,
+        100 * F.col("avg_gain") / (F.col("avg_gain") + F.col("avg_loss"))).otherwise(50.0))
 
 
-def trailing_time(df: DataFrame, keys: list[str], at: str, seconds: int, cell: int, made: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+def trailing_time(df: DataFrame, keys: list[str], at: str, seconds: int, cell: int,
+    made: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
     """Adds columns over the last `seconds` before each row, itself and equal times included.
 
     Rows are dealt into time cells and those near a cell's end are copied to the next one, so that no window holds a
@@ -130,7 +134,8 @@ def session_vwap(bars: DataFrame) -> DataFrame:
 def drawdown(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """Adds equity (running sum), peak and drawdown per key."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("equity", F.sum(value).over(w)).withColumn("peak", F.greatest(F.max("equity").over(w), F.lit(0.0))).withColumn("drawdown", F.col("equity") - F.col("peak"))
+    return df.withColumn("equity", F.sum(value).over(w)).withColumn("peak",
+        F.greatest(F.max("equity").over(w), F.lit(0.0))).withColumn("drawdown", F.col("equity") - F.col("peak"))
 
 
 def run_lengths(df: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
@@ -153,7 +158,8 @@ def fractals(bars: DataFrame, k: int) -> DataFrame:
     w, frame = by_symbol(), by_symbol().rowsBetween(-2 * k, 0)
     full = F.count("*").over(frame) == 2 * k + 1
     hi, lo = F.lag("high", k).over(w), F.lag("low", k).over(w)
-    b = bars.withColumns({"swing_high": F.when(full & (hi == F.max("high").over(frame)), hi), "swing_low": F.when(full & (lo == F.min("low").over(frame)), lo)})
+    b = bars.withColumns({"swing_high": F.when(full & (hi == F.max("high").over(frame)), hi),
+        "swing_low": F.when(full & (lo == F.min("low").over(frame)), lo)})
     up_to = w.rowsBetween(Window.unboundedPreceding, 0)
     return b.withColumns({"last_high": F.last("swing_high", True).over(up_to), "last_low": F.last("swing_low", True).over(up_to)})
 
@@ -168,10 +174,14 @@ def structure(bars: DataFrame, displacement: float) -> DataFrame:
     return bars.withColumns({
         "fvg_up": F.when((F.col("low") > F.lag("high", 2).over(w)) & strong, F.col("low") - F.lag("high", 2).over(w)),
         "fvg_down": F.when((F.col("high") < F.lag("low", 2).over(w)) & strong, F.lag("low", 2).over(w) - F.col("high")),
-        "block_up": F.when(strong & (F.col("close") > F.col("open")), F.last(F.when(F.col("close") < F.col("open"), F.col("low")), True).over(back)),
-        "block_down": F.when(strong & (F.col("close") < F.col("open")), F.last(F.when(F.col("close") > F.col("open"), F.col("high")), True).over(back)),
-        "shift": F.when((F.col("close") > F.col("last_high")) & (F.lag("close").over(w) <= F.lag("last_high").over(w)), 1).when((F.col("close") < F.col("last_low")) & (F.lag("close").over(w) >= F.lag("last_low").over(w)), -1).otherwise(0),
-        "sweep": F.when((F.col("high") > F.col("last_high")) & (F.col("close") < F.col("last_high")), -1).when((F.col("low") < F.col("last_low")) & (F.col("close") > F.col("last_low")), 1).otherwise(0),
+        "block_up": F.when(strong & (F.col("close") > F.col("open")),
+        F.last(F.when(F.col("close") < F.col("open"), F.col("low")), True).over(back)),
+        "block_down": F.when(strong & (F.col("close") < F.col("open")),
+        F.last(F.when(F.col("close") > F.col("open"), F.col("high")), True).over(back)),
+        "shift": F.when((F.col("close") > F.col("last_high")) & (F.lag("close").over(w) <= F.lag("last_high").over(w)),
+        1).when((F.col("close") < F.col("last_low")) & (F.lag("close").over(w) >= F.lag("last_low").over(w)), -1).otherwise(0),
+        "sweep": F.when((F.col("high") > F.col("last_high")) & (F.col("close") < F.col("last_high")),
+        -1).when((F.col("low") < F.col("last_low")) & (F.col("close") > F.col("last_low")), 1).otherwise(0),
     })
 
 
@@ -205,7 +215,8 @@ def close_range() -> Column:
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """Adds macd, its signal line and the histogram."""
-    b = ewm(bars, {"_f": ("close", 2 / (fast + 1)), "_s": ("close", 2 / (slow + 1))}).withColumn("macd", F.col("_f") - F.col("_s")).drop("_f", "_s")
+    b = ewm(bars, {"_f": ("close", 2 / (fast + 1)), "_s": ("close", 2 / (slow + 1))}).withColumn("macd",
+        F.col("_f") - F.col("_s")).drop("_f", "_s")
     return ewm(b, {"macd_signal": ("macd", 2 / (signal + 1))}).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 
@@ -226,7 +237,8 @@ def unique_fractals(bars: DataFrame, k: int) -> DataFrame:
     """Adds peak and trough: the bar alone has the extreme of the 2k+1 bars around it; known only k bars later."""
     frame = by_symbol().rowsBetween(-k, k)
     full = F.count("*").over(frame) == 2 * k + 1
-    b = bars.withColumns({"_h": F.max("high").over(frame), "_l": F.min("low").over(frame), "_hs": F.collect_list("high").over(frame), "_ls": F.collect_list("low").over(frame)})
+    b = bars.withColumns({"_h": F.max("high").over(frame), "_l": F.min("low").over(frame), "_hs": F.collect_list("high").over(frame),
+        "_ls": F.collect_list("low").over(frame)})
     alone = lambda c, x, xs: full & (F.col(c) == F.col(x)) & (F.size(F.filter(xs, lambda v: v == F.col(x))) == 1)
     return b.withColumns({"peak": alone("high", "_h", "_hs"), "trough": alone("low", "_l", "_ls")}).drop("_h", "_l", "_hs", "_ls")
 
@@ -238,13 +250,18 @@ def open_gaps(bars: DataFrame, life: int) -> DataFrame:
     its life by key, `life` rows at most."""
     w = by_symbol()
     path = F.collect_list(F.struct("low", "high")).over(w.rowsBetween(0, life - 1))
-    b = bars.select("symbol", "bar_id", "ts", F.lag("high", 2).over(w).alias("_h2"), F.lag("low", 2).over(w).alias("_l2"), "low", "high", path.alias("_p"))
-    first = lambda ok: F.coalesce(F.get(F.filter(F.transform("_p", lambda x, i: F.when(ok(x), i)), lambda k: k.isNotNull()), 0), F.size("_p"))
-    up = F.when(F.col("_h2") < F.col("low"), F.struct(F.lit(True).alias("up"), F.col("_h2").alias("edge"), first(lambda x: x["low"] <= F.col("_h2")).alias("n")))
-    down = F.when(F.col("_l2") > F.col("high"), F.struct(F.lit(False).alias("up"), F.col("_l2").alias("edge"), first(lambda x: x["high"] >= F.col("_l2")).alias("n")))
+    b = bars.select("symbol", "bar_id", "ts", F.lag("high", 2).over(w).alias("_h2"), F.lag("low", 2).over(w).alias("_l2"), "low", "high",
+        path.alias("_p"))
+    first = lambda ok: F.coalesce(F.get(F.filter(F.transform("_p", lambda x, i: F.when(ok(x), i)), lambda k: k.isNotNull()), 0),
+        F.size("_p"))
+    up = F.when(F.col("_h2") < F.col("low"), F.struct(F.lit(True).alias("up"), F.col("_h2").alias("edge"),
+        first(lambda x: x["low"] <= F.col("_h2")).alias("n")))
+    down = F.when(F.col("_l2") > F.col("high"), F.struct(F.lit(False).alias("up"), F.col("_l2").alias("edge"),
+        first(lambda x: x["high"] >= F.col("_l2")).alias("n")))
     g = b.select("symbol", "bar_id", F.explode(F.array_compact(F.array(up, down))).alias("g")).where("g.n > 0")
     g = g.select("symbol", F.explode(F.sequence(F.col("bar_id"), F.col("bar_id") + F.col("g.n") - 1)).alias("bar_id"), "g.up", "g.edge")
-    near = g.groupBy("symbol", "bar_id").agg(F.max(F.when(F.col("up"), F.col("edge"))).alias("gap_floor"), F.min(F.when(~F.col("up"), F.col("edge"))).alias("gap_ceiling"))
+    near = g.groupBy("symbol", "bar_id").agg(F.max(F.when(F.col("up"), F.col("edge"))).alias("gap_floor"),
+        F.min(F.when(~F.col("up"), F.col("edge"))).alias("gap_ceiling"))
     return bars.join(near, ["symbol", "bar_id"], "left")
 
 

@@ -69,7 +69,9 @@ def bars_weekly_sunday(spark, sf):
     o = table(spark, sf, "orders").select("o_orderpriority", "o_orderdate", "o_orderkey", "o_totalprice")
     at = F.struct("o_orderdate", "o_orderkey")
     week = F.date_add(F.date_trunc("week", "o_orderdate"), 6)
-    return o.groupBy(F.col("o_orderpriority").alias("symbol"), week.alias("week_end")).agg(F.min_by("o_totalprice", at).alias("open"), F.max("o_totalprice").alias("high"), F.min("o_totalprice").alias("low"), F.max_by("o_totalprice", at).alias("close"), F.count("*").alias("n"))
+    return o.groupBy(F.col("o_orderpriority").alias("symbol"), week.alias("week_end")).agg(F.min_by("o_totalprice", at).alias("open"),
+        F.max("o_totalprice").alias("high"), F.min("o_totalprice").alias("low"), F.max_by("o_totalprice", at).alias("close"),
+        F.count("*").alias("n"))
 
 
 SIGNED = TAPE + """, s0 AS (SELECT *, CAST(ts AS DATE) AS day, nullif(sign(px - lag(px) OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts, id)),
@@ -82,7 +84,8 @@ signed AS (SELECT *, coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY symb
 def tick_rule_flow(spark, sf):
     t = B.tick_sign(tape(spark, sf).withColumn("day", B.day()), ("symbol", "day"))
     on = lambda c: F.sum(F.when(c, F.col("size")).otherwise(0))
-    return t.groupBy("symbol", "day").agg(on(F.col("sign") > 0).alias("buyvol"), on(F.col("sign") < 0).alias("sellvol"), F.count("*").alias("n"))
+    return t.groupBy("symbol", "day").agg(on(F.col("sign") > 0).alias("buyvol"), on(F.col("sign") < 0).alias("sellvol"),
+        F.count("*").alias("n"))
 
 
 @query(f"""WITH {SIGNED}, v AS (SELECT *, CAST(floor((sum(size) OVER (PARTITION BY symbol, day ORDER BY ts, id) - size) / 500.0) AS BIGINT) AS bar FROM signed),
@@ -154,7 +157,10 @@ W20 = "WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING), o AS (PA
  CASE WHEN count(*) OVER w = 20 THEN round(volume / nullif(avg(volume) OVER w, 0), 6) END AS volume_ratio FROM bars {W20}""")
 def indicators_rolling(spark, sf):
     b = hourly(spark, sf)
-    return b.select("symbol", "bar_id", r(W.sma("close", 20)).alias("sma20"), r(W.zscore("close", 20)).alias("z20"), r(W.bollinger_b("close", 20, 2.0)).alias("boll_b"), r(W.stochastic_k(14)).alias("stoch_k"), r(W.williams_r(14)).alias("williams"), r(W.roc("close", 10)).alias("roc10"), r(W.true_range()).alias("tr"), r(F.col("volume") / F.nullif(W.sma("volume", 20), F.lit(0.0))).alias("volume_ratio"))
+    return b.select("symbol", "bar_id", r(W.sma("close", 20)).alias("sma20"), r(W.zscore("close", 20)).alias("z20"),
+        r(W.bollinger_b("close", 20, 2.0)).alias("boll_b"), r(W.stochastic_k(14)).alias("stoch_k"), r(W.williams_r(14)).alias("williams"),
+        r(W.roc("close", 10)).alias("roc10"), r(W.true_range()).alias("tr"),
+        r(F.col("volume") / F.nullif(W.sma("volume", 20), F.lit(0.0))).alias("volume_ratio"))
 
 
 @query(f"""WITH {BARS}, t AS (SELECT *, (high + low + close) / 3 AS tp FROM bars), m AS (SELECT *,
@@ -179,7 +185,8 @@ def indicators_ewm(spark, sf):
     """EMA, MACD line, Wilder RSI and ATR from one recursive pass."""
     b = hourly(spark, sf).withColumn("tr", F.coalesce(W.true_range(), F.col("high") - F.col("low")))
     b = W.rsi(b, 14, {"fast": ("close", 2 / 13), "slow": ("close", 2 / 27), "atr": ("tr", 1 / 14)})
-    return b.select("symbol", "bar_id", r("fast", 4).alias("ema12"), r(F.col("fast") - F.col("slow"), 4).alias("macd"), r("rsi", 4).alias("rsi14"), r("atr", 4).alias("atr14"))
+    return b.select("symbol", "bar_id", r("fast", 4).alias("ema12"), r(F.col("fast") - F.col("slow"), 4).alias("macd"),
+        r("rsi", 4).alias("rsi14"), r("atr", 4).alias("atr14"))
 
 
 @query(f"""WITH {BARS}, v AS (SELECT *, CAST(ts AS DATE) AS day, (high + low + close) / 3 AS tp, greatest(CAST(volume AS DOUBLE), 1) AS vv FROM bars),
@@ -195,10 +202,12 @@ SELECT symbol, bar_id, CASE WHEN count(dc) OVER w = 30 AND stddev_samp(dc) OVER
  6) END AS corr30, CASE WHEN count(dc) OVER w = 30 THEN round(covar_samp(dc, v) OVER w / nullif(var_samp(v) OVER w, 0),
  6) END AS beta30 FROM y WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 29 PRECEDING)""")
 def rolling_beta(spark, sf):
-    b = hourly(spark, sf).withColumn("dc", F.col("close") - F.lag("close").over(W.by_symbol())).withColumn("v", F.col("volume").cast("double"))
+    b = hourly(spark, sf).withColumn("dc", F.col("close") - F.lag("close").over(W.by_symbol())).withColumn("v",
+        F.col("volume").cast("double"))
     w = W.last_n(30)
     full = F.count("dc").over(w) == 30
-    return b.select("symbol", "bar_id", F.when(full, r(correlation("dc", "v", w))).alias("corr30"), F.when(full, r(F.covar_samp("dc", "v").over(w) / F.nullif(F.var_samp("v").over(w), F.lit(0.0)))).alias("beta30"))
+    return b.select("symbol", "bar_id", F.when(full, r(correlation("dc", "v", w))).alias("corr30"),
+        F.when(full, r(F.covar_samp("dc", "v").over(w) / F.nullif(F.var_samp("v").over(w), F.lit(0.0)))).alias("beta30"))
 
 
 @query(f"""WITH {BARS} SELECT symbol, bar_id, CASE WHEN count(*) OVER w = 24 THEN round((len(list_filter(list(close) OVER w,
@@ -208,7 +217,8 @@ def rolling_beta(spark, sf):
 def rolling_rank(spark, sf):
     b = W.rank_pct(hourly(spark, sf), "close", 24, "rank24")
     w = W.last_n(24)
-    return b.select("symbol", "bar_id", r("rank24").alias("rank24"), r(F.percentile("close", F.lit(0.5)).over(w)).alias("median24"), r(F.percentile("close", F.lit(0.9)).over(w)).alias("p90"))
+    return b.select("symbol", "bar_id", r("rank24").alias("rank24"), r(F.percentile("close", F.lit(0.5)).over(w)).alias("median24"),
+        r(F.percentile("close", F.lit(0.9)).over(w)).alias("p90"))
 
 
 FRACTAL = BARS + """, f AS (SELECT *, CASE WHEN count(*) OVER c = 7 AND lag(high, 3) OVER o = max(high) OVER c THEN lag(high, 3) OVER o END AS swing_high,
@@ -235,7 +245,8 @@ SELECT symbol, bar_id, CASE WHEN low > lag(high, 2) OVER o AND strong THEN round
 FROM s WINDOW o AS (PARTITION BY symbol ORDER BY ts), k AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""")
 def market_structure(spark, sf):
     b = W.structure(W.fractals(hourly(spark, sf), 3), 1.2)
-    return b.select("symbol", "bar_id", r("fvg_up").alias("fvg_up"), r("fvg_down").alias("fvg_down"), "block_up", "block_down", "shift", "sweep")
+    return b.select("symbol", "bar_id", r("fvg_up").alias("fvg_up"), r("fvg_down").alias("fvg_down"), "block_up", "block_down", "shift",
+        "sweep")
 
 
 @query(f"""WITH {BARS}, s AS (SELECT *, close - lag(close) OVER o AS st, greatest(high - low, abs(high - lag(close) OVER o), abs(low - lag(close) OVER o)) AS tr,
@@ -267,7 +278,8 @@ p AS (SELECT symbol, day, lag(h) OVER o AS pdh, lag(l) OVER o AS pdl, lag(c) OVE
 SELECT symbol, bar_id, pdh, pdl, pdc, round((pdh + pdl + pdc) / 3, 6) AS pivot, round(2 * (pdh + pdl + pdc) / 3 - pdl, 6) AS r1,
  round(2 * (pdh + pdl + pdc) / 3 - pdh, 6) AS s1 FROM d JOIN p USING (symbol, day)""")
 def previous_day_levels(spark, sf):
-    return J.previous_day(hourly(spark, sf)).select("symbol", "bar_id", "pdh", "pdl", "pdc", r("pivot").alias("pivot"), r("r1").alias("r1"), r("s1").alias("s1"))
+    return J.previous_day(hourly(spark, sf)).select("symbol", "bar_id", "pdh", "pdl", "pdc", r("pivot").alias("pivot"), r("r1").alias("r1"),
+        r("s1").alias("s1"))
 
 
 @query(f"""WITH {BARS} SELECT symbol, bar_id, max(CASE WHEN hour(ts) < 3 THEN high END) OVER d AS or_high,
@@ -282,7 +294,10 @@ def opening_range(spark, sf):
     u = d.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     h = F.hour("ts")
     b = b.withColumn("mh", F.max("high").over(u))
-    return b.select("symbol", "bar_id", F.max(F.when(h < 3, F.col("high"))).over(d).alias("or_high"), F.min(F.when(h < 3, F.col("low"))).over(d).alias("or_low"), F.when(h < 8, "asia").when(h < 13, "eu").when(h < 21, "us").otherwise("other").alias("session"), (F.col("bar_id") - F.last(F.when(F.col("high") == F.col("mh"), F.col("bar_id")), True).over(u)).alias("bars_since_high"))
+    return b.select("symbol", "bar_id", F.max(F.when(h < 3, F.col("high"))).over(d).alias("or_high"),
+        F.min(F.when(h < 3, F.col("low"))).over(d).alias("or_low"),
+        F.when(h < 8, "asia").when(h < 13, "eu").when(h < 21, "us").otherwise("other").alias("session"),
+        (F.col("bar_id") - F.last(F.when(F.col("high") == F.col("mh"), F.col("bar_id")), True).over(u)).alias("bars_since_high"))
 
 
 @query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), f AS (SELECT day, CAST(date_trunc('month', day) AS DATE) AS m FROM d),
@@ -293,7 +308,11 @@ def expiry_calendar(spark, sf):
     d = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
     third = F.date_add(F.next_day(F.date_add(F.trunc("day", "month"), -1), "Fri"), 14)
     d = d.withColumn("third_friday", third)
-    return d.select("day", "third_friday", (F.col("day") == F.col("third_friday")).alias("is_expiry"), ((F.month("day") % 3 == 0) & F.col("day").between(F.date_add("third_friday", -11), F.date_add("third_friday", -7))).alias("roll_week"), F.datediff("third_friday", "day").alias("days_to"), (F.col("day") == F.last_day("day")).alias("month_end"), (F.extract(F.lit("YEAROFWEEK"), F.col("day")) * 100 + F.weekofyear("day")).cast("int").alias("iso_week"))
+    return d.select("day", "third_friday", (F.col("day") == F.col("third_friday")).alias("is_expiry"),
+        ((F.month("day") % 3 == 0) & F.col("day").between(F.date_add("third_friday", -11),
+        F.date_add("third_friday", -7))).alias("roll_week"), F.datediff("third_friday", "day").alias("days_to"),
+        (F.col("day") == F.last_day("day")).alias("month_end"), (F.extract(F.lit("YEAROFWEEK"),
+        F.col("day")) * 100 + F.weekofyear("day")).cast("int").alias("iso_week"))
 
 
 # ---- joins
@@ -304,7 +323,8 @@ quotes AS (SELECT symbol, date_trunc('hour', ts) AS ts, max(px) AS bid, min(px)
 
 def sides(spark, sf) -> tuple[DataFrame, DataFrame]:
     t = tape(spark, sf)
-    q = t.groupBy("symbol", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(F.max("px").alias("bid"), F.min("px").alias("ask"))
+    q = t.groupBy("symbol", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(F.max("px").alias("bid"),
+        F.min("px").alias("ask"))
     return t, q
 
 
@@ -347,7 +367,8 @@ def asof_prefix_difference(spark, sf):
     _, q = sides(spark, sf)
     c = J.running_sum(tape(spark, sf), ["symbol"], "ts", ["id"], "size", "cv")
     now = J.asof(q.select("symbol", "ts"), c, ["symbol"], "ts", ["cv"]).select("symbol", "ts", F.col("r_cv").alias("c1"))
-    then = J.asof(now.select("symbol", F.col("ts").alias("at"), "c1", (F.col("ts") - F.expr("INTERVAL 6 HOURS")).alias("ts")), c, ["symbol"], "ts", ["cv"])
+    then = J.asof(now.select("symbol", F.col("ts").alias("at"), "c1", (F.col("ts") - F.expr("INTERVAL 6 HOURS")).alias("ts")), c,
+        ["symbol"], "ts", ["cv"])
     return then.select("symbol", F.col("at").alias("ts"), (F.coalesce("c1", F.lit(0)) - F.coalesce("r_cv", F.lit(0))).alias("vol_6h"))
 
 
@@ -355,15 +376,18 @@ def asof_prefix_difference(spark, sf):
  n.news, count(*) AS n, round(avg(px), 6) AS mean_px FROM tape t JOIN n ON t.symbol = n.symbol AND t.ts BETWEEN n.a AND n.b GROUP BY 1, 2""")
 def interval_join(spark, sf):
     t = tape(spark, sf)
-    n = t.where("size >= 98").select("symbol", F.col("id").alias("news"), (F.col("ts") - F.expr("INTERVAL 5 MINUTES")).alias("a"), (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("b"))
-    return J.within(t, n, ["symbol"], "ts", "a", "b", 600).groupBy("symbol", "news").agg(F.count("*").alias("n"), r(F.avg("px")).alias("mean_px"))
+    n = t.where("size >= 98").select("symbol", F.col("id").alias("news"), (F.col("ts") - F.expr("INTERVAL 5 MINUTES")).alias("a"),
+        (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("b"))
+    return J.within(t, n, ["symbol"], "ts", "a", "b", 600).groupBy("symbol", "news").agg(F.count("*").alias("n"),
+        r(F.avg("px")).alias("mean_px"))
 
 
 @query("""WITH d AS (SELECT o_orderpriority AS k, CAST(o_orderdate AS DATE) AS day, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2), s AS (SELECT k,
  CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY k)
 SELECT k, day, last_value(v IGNORE NULLS) OVER (PARTITION BY k ORDER BY day ROWS UNBOUNDED PRECEDING) AS v FROM s LEFT JOIN d USING (k, day)""")
 def calendar_ffill(spark, sf):
-    d = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("k"), F.to_date("o_orderdate").alias("day")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
+    d = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("k"),
+        F.to_date("o_orderdate").alias("day")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
     return J.on_calendar(d, "k", "day", ["v"])
 
 
@@ -373,7 +397,8 @@ def calendar_ffill(spark, sf):
 def reconcile_full(spark, sf):
     a = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), "c_acctbal", F.lit(1).alias("in_a"))
     b = table(spark, sf, "orders").where("o_totalprice > 400000").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
-    return a.join(b, "k", "full").select("k", "c_acctbal", "n", F.when(F.col("in_a").isNull(), "right").when(F.col("n").isNull(), "left").otherwise("both").alias("side"))
+    return a.join(b, "k", "full").select("k", "c_acctbal", "n", F.when(F.col("in_a").isNull(), "right").when(F.col("n").isNull(),
+        "left").otherwise("both").alias("side"))
 
 
 @query("""SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AND c_custkey NOT IN
@@ -382,7 +407,8 @@ def semi_anti(spark, sf):
     o = table(spark, sf, "orders")
     urgent, pending = o.where("o_orderpriority = '1-URGENT'").select("o_custkey"), o.where("o_orderstatus = 'P'").select("o_custkey")
     c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    return c.join(urgent, c["c_custkey"] == urgent["o_custkey"], "left_semi").join(pending, c["c_custkey"] == pending["o_custkey"], "left_anti")
+    return c.join(urgent, c["c_custkey"] == urgent["o_custkey"], "left_semi").join(pending, c["c_custkey"] == pending["o_custkey"],
+        "left_anti")
 
 
 CONDS = BARS + """, c AS (SELECT *, lead(close, 4) OVER o - close AS fwd, close > open AS c_up, volume > avg(volume) OVER w AS c_vol,
@@ -396,7 +422,10 @@ m AS (SELECT symbol, bar_id, fwd, unnest(list_filter(['down1', 'trend', 'up', 'v
 def masks(spark, sf) -> DataFrame:
     b, o, w = hourly(spark, sf), W.by_symbol(), W.last_n(20)
     on = lambda name, c: F.when(c, F.lit(name))
-    conds = F.array_compact(F.array(on("down1", F.col("close") < F.lag("close").over(o)), on("trend", F.col("close") > F.avg("close").over(w)), on("up", F.col("close") > F.col("open")), on("vol", F.col("volume") > F.avg("volume").over(w)), on("wide", F.col("high") - F.col("low") > F.avg(F.col("high") - F.col("low")).over(w))))
+    conds = F.array_compact(F.array(on("down1", F.col("close") < F.lag("close").over(o)),
+        on("trend", F.col("close") > F.avg("close").over(w)), on("up", F.col("close") > F.col("open")),
+            on("vol", F.col("volume") > F.avg("volume").over(w)),
+                on("wide", F.col("high") - F.col("low") > F.avg(F.col("high") - F.col("low")).over(w))))
     return b.select("symbol", "bar_id", (F.lead("close", 4).over(o) - F.col("close")).alias("fwd"), conds.alias("conds"))
 
 
@@ -412,6 +441,8 @@ def condition_pairs(spark, sf):
  (SELECT count(fwd) FROM k j WHERE j.k >= q.k) AS n, (SELECT round(avg(fwd),
  6) FROM k j WHERE j.k >= q.k) AS mean_fwd FROM (SELECT DISTINCT k FROM k) q""")
 def k_of_n_conditions(spark, sf):
-    d = masks(spark, sf).withColumn("k", F.size("conds").cast("long")).where("k > 0").groupBy("k").agg(F.count("fwd").alias("n"), F.sum("fwd").alias("s"))
+    d = masks(spark, sf).withColumn("k", F.size("conds").cast("long")).where("k > 0").groupBy("k").agg(F.count("fwd").alias("n"),
+        F.sum("fwd").alias("s"))
     w = Window.orderBy(F.desc("k"))  # as many rows as there are conditions
-    return d.select(F.col("k").alias("at_least"), F.sum("n").over(w).alias("n"), r(F.sum("s").over(w) / F.sum("n").over(w)).alias("mean_fwd"))
+    return d.select(F.col("k").alias("at_least"), F.sum("n").over(w).alias("n"),
+        r(F.sum("s").over(w) / F.sum("n").over(w)).alias("mean_fwd"))

@@ -41,25 +41,29 @@ def entries(spark, sf) -> DataFrame:
 
 def trades(spark, sf) -> DataFrame:
     e = entries(spark, sf)
-    return X.first_touch(e.withColumns({"stop": F.col("entry_px") - F.col("side") * 15, "target": F.col("entry_px") + F.col("side") * 30}), tick=0.25).drop("stop", "target")
+    return X.first_touch(e.withColumns({"stop": F.col("entry_px") - F.col("side") * 15, "target": F.col("entry_px") + F.col("side") * 30}),
+        tick=0.25).drop("stop", "target")
 
 
 @query(f"""WITH {ENTRY} SELECT symbol, bar_id, side, round(entry_px, 6) AS entry_px, exit_reason, bars_held, round(exit_px, 6) AS exit_px, round(pnl,
  6) AS pnl FROM trades""")
 def first_touch_trades(spark, sf):
-    return trades(spark, sf).select("symbol", "bar_id", "side", r("entry_px").alias("entry_px"), "exit_reason", "bars_held", r("exit_px").alias("exit_px"), r("pnl").alias("pnl"))
+    return trades(spark, sf).select("symbol", "bar_id", "side", r("entry_px").alias("entry_px"), "exit_reason", "bars_held",
+        r("exit_px").alias("exit_px"), r("pnl").alias("pnl"))
 
 
 @query(f"WITH {ENTRY} SELECT symbol, bar_id, CASE exit_reason WHEN 'target' THEN 1 WHEN 'stop' THEN -1 ELSE 0 END AS label, bars_held FROM trades")
 def triple_barrier(spark, sf):
-    return trades(spark, sf).select("symbol", "bar_id", F.when(F.col("exit_reason") == "target", 1).when(F.col("exit_reason") == "stop", -1).otherwise(0).alias("label"), "bars_held")
+    return trades(spark, sf).select("symbol", "bar_id", F.when(F.col("exit_reason") == "target", 1).when(F.col("exit_reason") == "stop",
+        -1).otherwise(0).alias("label"), "bars_held")
 
 
 @query(f"""WITH {ENTRY} SELECT symbol, bar_id, round(CASE WHEN any_value(side) > 0 THEN max(b.h) - any_value(entry_px) ELSE any_value(entry_px) - min(b.l) END,
  6) AS mfe, round(CASE WHEN any_value(side) > 0 THEN min(b.l) - any_value(entry_px) ELSE any_value(entry_px) - max(b.h) END,
  6) AS mae FROM x GROUP BY 1, 2""")
 def excursions(spark, sf):
-    return X.excursions(entries(spark, sf).where(F.size("path") > 0)).select("symbol", "bar_id", r("mfe").alias("mfe"), r("mae").alias("mae"))
+    return X.excursions(entries(spark, sf).where(F.size("path") > 0)).select("symbol", "bar_id", r("mfe").alias("mfe"),
+        r("mae").alias("mae"))
 
 
 @query(f"""WITH {ENTRY}, bb AS (SELECT symbol, bar_id, side, entry_px, k, b, n, last_c, coalesce(CASE WHEN side > 0 THEN greatest(entry_px,
@@ -83,7 +87,9 @@ SELECT symbol, bar_id, 'L' AS kind, CAST(lk AS INT) AS fill_k, CASE WHEN lk IS N
  6) END AS fill_px FROM l UNION ALL SELECT symbol, bar_id, 'S', CAST(sk AS INT), CASE WHEN sk IS NOT NULL THEN round(stp, 6) END FROM l""")
 def pending_orders(spark, sf):
     e = entries(spark, sf).where(F.size("path") > 0)
-    o = e.withColumn("o", F.explode(F.array(F.struct(F.lit("L").alias("kind"), (F.col("entry_px") - F.col("side") * 10).alias("px")), F.struct(F.lit("S").alias("kind"), (F.col("entry_px") + F.col("side") * 10).alias("px"))))).select("symbol", "bar_id", "side", "path", "o.kind", "o.px")
+    o = e.withColumn("o", F.explode(F.array(F.struct(F.lit("L").alias("kind"), (F.col("entry_px") - F.col("side") * 10).alias("px")),
+        F.struct(F.lit("S").alias("kind"), (F.col("entry_px") + F.col("side") * 10).alias("px"))))).select("symbol", "bar_id", "side",
+        "path", "o.kind", "o.px")
     return X.pending_fill(o).select("symbol", "bar_id", "kind", "fill_k", r("fill_px").alias("fill_px"))
 
 
@@ -140,7 +146,8 @@ def kelly_fraction(spark, sf):
  g.bar_id WHERE m.symbol = g.symbol AND m.bar_id > c.until) FROM g WHERE g.bar_id IS NOT NULL)
 SELECT g.symbol, g.bar_id, n.until FROM g JOIN n ON n.symbol = g.symbol AND n.bar_id = g.bar_id""")
 def one_position(spark, sf):
-    t = trades(spark, sf).select("symbol", F.col("bar_id").cast("long").alias("bar_id"), (F.col("bar_id") + F.col("bars_held")).cast("long").alias("until"), F.col("bar_id").cast("long").alias("id"))
+    t = trades(spark, sf).select("symbol", F.col("bar_id").cast("long").alias("bar_id"),
+        (F.col("bar_id") + F.col("bars_held")).cast("long").alias("until"), F.col("bar_id").cast("long").alias("id"))
     return X.one_position(t, ["symbol"], "bar_id", "until").drop("id")
 
 
@@ -172,8 +179,10 @@ SELECT symbol, bar_id, CASE WHEN NOT (hour(ts) BETWEEN 6 AND 20) THEN 'session'
  CASE WHEN NOT (hour(ts) BETWEEN 6 AND 20) OR NOT coalesce(rg > 0, false) THEN 0.0 ELSE round((CASE WHEN coalesce(rg < 2 * ar,
  false) THEN 1.0 ELSE 0.5 END) * (CASE WHEN coalesce(close > pc, false) THEN 1.0 ELSE 0.7 END), 6) END AS size FROM f""")
 def filter_chain(spark, sf):
-    b = hourly(spark, sf).withColumns({"_ar": F.avg(F.col("high") - F.col("low")).over(W.last_n(20)), "_pc": F.lag("close").over(W.by_symbol())})
-    g = G.gate(b, [("session", F.hour("ts").between(6, 20), 0), ("no range", F.col("high") > F.col("low"), 0), ("wide", F.col("high") - F.col("low") < 2 * F.col("_ar"), 0.5), ("bias", F.col("close") > F.col("_pc"), 0.7)])
+    b = hourly(spark, sf).withColumns({"_ar": F.avg(F.col("high") - F.col("low")).over(W.last_n(20)),
+        "_pc": F.lag("close").over(W.by_symbol())})
+    g = G.gate(b, [("session", F.hour("ts").between(6, 20), 0), ("no range", F.col("high") > F.col("low"), 0),
+        ("wide", F.col("high") - F.col("low") < 2 * F.col("_ar"), 0.5), ("bias", F.col("close") > F.col("_pc"), 0.7)])
     return g.select("symbol", "bar_id", "veto", "size")
 
 
@@ -191,8 +200,11 @@ pn AS (SELECT symbol, CAST(stop AS DOUBLE) AS stop, CAST(target AS DOUBLE) AS ta
 def exit_grid(spark, sf):
     """Every exit of a parameter grid on every entry; the grid is exploded beside the path, not joined."""
     e = entries(spark, sf).withColumn("g", F.explode(J.grid(stop=[8.0, 15.0], target=[10.0, 20.0, 40.0])))
-    t = X.first_touch(e.select("symbol", "bar_id", "side", "entry_px", "path", (F.col("entry_px") - F.col("side") * F.col("g.stop")).alias("stop"), (F.col("entry_px") + F.col("side") * F.col("g.target")).alias("target"), "g"))
-    return t.groupBy("symbol", F.col("g.stop").alias("stop"), F.col("g.target").alias("target")).agg(F.count("*").alias("n"), r(F.avg("pnl")).alias("mean_pnl"))
+    t = X.first_touch(e.select("symbol", "bar_id", "side", "entry_px", "path",
+        (F.col("entry_px") - F.col("side") * F.col("g.stop")).alias("stop"),
+        (F.col("entry_px") + F.col("side") * F.col("g.target")).alias("target"), "g"))
+    return t.groupBy("symbol", F.col("g.stop").alias("stop"), F.col("g.target").alias("target")).agg(F.count("*").alias("n"),
+        r(F.avg("pnl")).alias("mean_pnl"))
 
 
 # ---- validation
@@ -259,7 +271,8 @@ LEDGER = """l AS (SELECT l_returnflag || l_linestatus AS signal, l_shipdate, l_o
 
 def ledger(spark, sf) -> DataFrame:
     l = table(spark, sf, "lineitem")
-    return l.select(F.concat("l_returnflag", "l_linestatus").alias("signal"), "l_shipdate", "l_orderkey", "l_linenumber", F.col("l_quantity").alias("qty"), (F.col("l_extendedprice") * (1 - F.col("l_discount")) - 30000).alias("pnl"), "l_discount")
+    return l.select(F.concat("l_returnflag", "l_linestatus").alias("signal"), "l_shipdate", "l_orderkey", "l_linenumber",
+        F.col("l_quantity").alias("qty"), (F.col("l_extendedprice") * (1 - F.col("l_discount")) - 30000).alias("pnl"), "l_discount")
 
 
 @query(f"""WITH {LEDGER}, c AS (SELECT signal, CASE WHEN qty < 17 THEN 'lo' WHEN qty < 34 THEN 'mid' ELSE 'hi' END AS size,
@@ -267,7 +280,8 @@ def ledger(spark, sf) -> DataFrame:
  6) AS mean_value FROM c GROUP BY CUBE (signal, size, disc)""")
 def filter_lattice(spark, sf):
     l = ledger(spark, sf)
-    c = l.select("signal", F.when(F.col("qty") < 17, "lo").when(F.col("qty") < 34, "mid").otherwise("hi").alias("size"), F.when(F.col("l_discount") > 0.05, "hi").otherwise("lo").alias("disc"), "pnl")
+    c = l.select("signal", F.when(F.col("qty") < 17, "lo").when(F.col("qty") < 34, "mid").otherwise("hi").alias("size"),
+        F.when(F.col("l_discount") > 0.05, "hi").otherwise("lo").alias("disc"), "pnl")
     return A.lattice(c, ["signal", "size", "disc"], "pnl")
 
 
@@ -277,13 +291,16 @@ SELECT d.signal, count(*) AS days, round(avg(d.p), 4) AS mean_day, round(stddev_
  any_value(x.n) AS weeks FROM d JOIN (SELECT signal, avg(CAST(p > 0 AS DOUBLE)) AS pos, count(*) AS n FROM w GROUP BY 1) x USING (signal) GROUP BY 1""")
 def two_level_stats(spark, sf):
     d = ledger(spark, sf).groupBy("signal", F.to_date("l_shipdate").alias("day")).agg(F.sum("pnl").alias("p"))
-    w = d.groupBy("signal", F.date_trunc("week", "day").alias("wk")).agg(F.sum("p").alias("p")).groupBy("signal").agg(r(F.avg((F.col("p") > 0).cast("double"))).alias("positive_weeks"), F.count("*").alias("weeks"))
-    return d.groupBy("signal").agg(F.count("*").alias("days"), r(F.avg("p"), 4).alias("mean_day"), r(F.stddev_samp("p"), 4).alias("sd_day")).join(w, "signal")
+    w = d.groupBy("signal", F.date_trunc("week",
+        "day").alias("wk")).agg(F.sum("p").alias("p")).groupBy("signal").agg(r(F.avg((F.col("p") > 0).cast("double"))).alias("positive_weeks"), F.count("*").alias("weeks"))
+    return d.groupBy("signal").agg(F.count("*").alias("days"), r(F.avg("p"), 4).alias("mean_day"),
+        r(F.stddev_samp("p"), 4).alias("sd_day")).join(w, "signal")
 
 
 @query(f"WITH {LEDGER} SELECT year(l_shipdate) AS yr, " + ", ".join(f"round(sum(pnl) FILTER (WHERE signal = '{s}'), 2) AS \"{s}\"" for s in ("AF", "AO", "NF", "NO", "RF", "RO")) + " FROM l GROUP BY 1")
 def pivot_by_signal(spark, sf):
-    return ledger(spark, sf).groupBy(F.year("l_shipdate").alias("yr")).pivot("signal", ["AF", "AO", "NF", "NO", "RF", "RO"]).agg(r(F.sum("pnl"), 2))
+    return ledger(spark, sf).groupBy(F.year("l_shipdate").alias("yr")).pivot("signal",
+        ["AF", "AO", "NF", "NO", "RF", "RO"]).agg(r(F.sum("pnl"), 2))
 
 
 @query(f"""WITH {LEDGER} SELECT signal, round(quantile_cont(pnl, 0.05), 4) AS p05, round(median(pnl), 4) AS p50, round(quantile_cont(pnl, 0.95), 4) AS p95,
@@ -318,9 +335,12 @@ SELECT symbol, round(regr_slope(close, bar_id), 9) AS trend, round(regr_intercep
  6) END AS half_life FROM y GROUP BY 1""")
 def regression_stats(spark, sf):
     o = W.by_symbol()
-    y = hourly(spark, sf).select("symbol", "bar_id", "close", F.lag("close").over(o).alias("p"), (F.col("close") - F.lag("close").over(o)).alias("d"), (F.lag("close").over(o) - F.lag("close", 2).over(o)).alias("pd"))
+    y = hourly(spark, sf).select("symbol", "bar_id", "close", F.lag("close").over(o).alias("p"),
+        (F.col("close") - F.lag("close").over(o)).alias("d"), (F.lag("close").over(o) - F.lag("close", 2).over(o)).alias("pd"))
     s = F.regr_slope("close", "p")
-    return y.groupBy("symbol").agg(r(F.regr_slope("close", "bar_id"), 9).alias("trend"), r(F.regr_intercept("close", "bar_id")).alias("level"), r(A.correlation("d", "pd")).alias("autocorr1"), r(s).alias("ar1"), r(F.when(s > 0, -F.ln(F.lit(2.0)) / F.ln(s))).alias("half_life"))
+    return y.groupBy("symbol").agg(r(F.regr_slope("close", "bar_id"), 9).alias("trend"),
+        r(F.regr_intercept("close", "bar_id")).alias("level"), r(A.correlation("d", "pd")).alias("autocorr1"), r(s).alias("ar1"),
+        r(F.when(s > 0, -F.ln(F.lit(2.0)) / F.ln(s))).alias("half_life"))
 
 
 @query(f"""WITH {BARS}, d AS (SELECT symbol, unnest([1, 2, 4, 8, 16]) AS k, unnest([close - lag(close, 1) OVER o, close - lag(close, 2) OVER o,
@@ -343,8 +363,10 @@ def set_overlap(spark, sf):
  2) OVER o) AS INT) + 1) AS code FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY ts)) SELECT code, count(*) AS n, round(avg(fwd), 6) AS mean_fwd,
  round(avg(fwd) * sqrt(count(*)), 6) AS score FROM l WHERE code IS NOT NULL AND fwd IS NOT NULL GROUP BY 1 HAVING count(*) >= 20""")
 def sequence_grams(spark, sf):
-    b = W.packed_sequence(hourly(spark, sf).withColumn("fwd", F.lead("close", 4).over(W.by_symbol()) - F.col("close")), 3).where("code IS NOT NULL AND fwd IS NOT NULL")
-    return b.groupBy("code").agg(F.count("*").alias("n"), r(F.avg("fwd")).alias("mean_fwd"), r(F.avg("fwd") * F.sqrt(F.count("*"))).alias("score")).where("n >= 20")
+    b = W.packed_sequence(hourly(spark, sf).withColumn("fwd", F.lead("close", 4).over(W.by_symbol()) - F.col("close")),
+        3).where("code IS NOT NULL AND fwd IS NOT NULL")
+    return b.groupBy("code").agg(F.count("*").alias("n"), r(F.avg("fwd")).alias("mean_fwd"),
+        r(F.avg("fwd") * F.sqrt(F.count("*"))).alias("score")).where("n >= 20")
 
 
 @query(f"""WITH {TAPE}, b AS (SELECT symbol, CASE WHEN px < 5 THEN 'low' WHEN px < 20 THEN 'mid' WHEN px < 60 THEN 'high' ELSE 'top' END AS regime, size,
@@ -352,15 +374,18 @@ def sequence_grams(spark, sf):
  round(CASE WHEN count(*) >= 30 THEN stddev_samp(size) ELSE 1.5 * 28.87 END, 6) AS fill_sd FROM b GROUP BY 1, 2""")
 def regime_calibration(spark, sf):
     """Mean and deviation by regime; a thin regime falls back to fixed values, its deviation widened."""
-    b = tape(spark, sf).withColumn("regime", F.when(F.col("px") < 5, "low").when(F.col("px") < 20, "mid").when(F.col("px") < 60, "high").otherwise("top"))
+    b = tape(spark, sf).withColumn("regime", F.when(F.col("px") < 5, "low").when(F.col("px") < 20, "mid").when(F.col("px") < 60,
+        "high").otherwise("top"))
     n = F.count("*")
-    return b.groupBy("symbol", "regime").agg(n.alias("n"), F.when(n >= 30, r(F.avg("size"))).otherwise(50.0).alias("fill_mean"), r(F.when(n >= 30, F.stddev_samp("size")).otherwise(1.5 * 28.87)).alias("fill_sd"))
+    return b.groupBy("symbol", "regime").agg(n.alias("n"), F.when(n >= 30, r(F.avg("size"))).otherwise(50.0).alias("fill_mean"),
+        r(F.when(n >= 30, F.stddev_samp("size")).otherwise(1.5 * 28.87)).alias("fill_sd"))
 
 
 @query(f"""WITH {TAPE} SELECT hour(ts) AS hr, CAST(isodow(ts) - 1 AS INT) AS dow, count(*) AS n, round(avg(px), 6) AS mean_px,
  round(avg(CAST(px > 25 AS DOUBLE)), 6) AS hit FROM tape GROUP BY 1, 2""")
 def hour_day_table(spark, sf):
-    return tape(spark, sf).groupBy(F.hour("ts").alias("hr"), F.weekday("ts").alias("dow")).agg(F.count("*").alias("n"), r(F.avg("px")).alias("mean_px"), r(F.avg((F.col("px") > 25).cast("double"))).alias("hit"))
+    return tape(spark, sf).groupBy(F.hour("ts").alias("hr"), F.weekday("ts").alias("dow")).agg(F.count("*").alias("n"),
+        r(F.avg("px")).alias("mean_px"), r(F.avg((F.col("px") > 25).cast("double"))).alias("hit"))
 
 
 # ---- top-k, sets, scalars
@@ -370,25 +395,30 @@ def hour_day_table(spark, sf):
  o_orderkey) AS INT) AS rank FROM orders) WHERE rank <= 2""")
 def top_k_per_key(spark, sf):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice").withColumn("rank", F.row_number().over(w)).where("rank <= 2")
+    return table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice").withColumn("rank",
+        F.row_number().over(w)).where("rank <= 2")
 
 
 @query("SELECT o_orderkey, o_totalprice, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 500")
 def latest_orders(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(500)
+    return table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate").orderBy(F.desc("o_orderdate"),
+        F.desc("o_orderkey")).limit(500)
 
 
 @query("""SELECT o_custkey, arg_min(o_orderkey, (CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, -o_totalprice, o_orderkey)) AS best FROM orders GROUP BY 1""")
 def best_candidate(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct(F.when(F.col("o_orderstatus") == "F", 0).otherwise(1), -F.col("o_totalprice"), "o_orderkey")).alias("best"))
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey",
+        F.struct(F.when(F.col("o_orderstatus") == "F", 0).otherwise(1), -F.col("o_totalprice"), "o_orderkey")).alias("best"))
 
 
 @query("""WITH a AS (SELECT o_custkey AS k, 1 AS prio, o_orderdate AS ts, o_orderkey AS id, o_totalprice AS v FROM orders WHERE o_orderstatus = 'F'),
  b AS (SELECT o_custkey, 0, o_orderdate, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'F') SELECT k, id, v FROM (SELECT *,
  row_number() OVER (PARTITION BY k ORDER BY prio, ts DESC, id DESC) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) WHERE n = 1""")
 def live_over_history(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), "o_orderstatus", F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"))
-    both = o.where("o_orderstatus = 'F'").withColumn("prio", F.lit(1)).unionByName(o.where("o_orderstatus <> 'F'").withColumn("prio", F.lit(0)))
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), "o_orderstatus", F.col("o_orderdate").alias("ts"),
+        F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"))
+    both = o.where("o_orderstatus = 'F'").withColumn("prio", F.lit(1)).unionByName(o.where("o_orderstatus <> 'F'").withColumn("prio",
+        F.lit(0)))
     w = Window.partitionBy("k").orderBy("prio", F.desc("ts"), F.desc("id"))
     return both.withColumn("n", F.row_number().over(w)).where("n = 1").select("k", "id", "v")
 
@@ -410,18 +440,24 @@ def calendar_sets(spark, sf):
 def scalar_functions(spark, sf):
     p = table(spark, sf, "part")
     px = F.col("p_retailprice")
-    return p.select("p_partkey", S.to_tick(px, 0.25).alias("nearest"), S.to_tick(px, 0.25, "down").alias("down"), S.to_tick(px, 0.25, "up").alias("up"), S.clip(px, 1000.0, 1500.0).alias("clipped"), F.regexp_extract("p_brand", r"(\d+)", 1).alias("brand_no"), F.upper(F.substring("p_type", 1, 3)).alias("head"), F.sha2("p_name", 256).alias("digest"), F.md5("p_brand").alias("brand_md5"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("first_word"))
+    return p.select("p_partkey", S.to_tick(px, 0.25).alias("nearest"), S.to_tick(px, 0.25, "down").alias("down"),
+        S.to_tick(px, 0.25, "up").alias("up"), S.clip(px, 1000.0, 1500.0).alias("clipped"),
+            F.regexp_extract("p_brand", r"(\d+)", 1).alias("brand_no"), F.upper(F.substring("p_type", 1, 3)).alias("head"),
+            F.sha2("p_name", 256).alias("digest"), F.md5("p_brand").alias("brand_md5"),
+            F.split_part("p_name", F.lit(" "), F.lit(1)).alias("first_word"))
 
 
 @query("""SELECT event_id, CAST((ts + INTERVAL 2 HOUR) AS DATE) AS trading_day, CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS TIMESTAMP) AS
  ny, CAST(isodow(ts) - 1 AS INT) AS dow, quarter(ts) AS q, date_trunc('minute', ts) AS minute FROM events""")
 def date_functions(spark, sf):
     e = table(spark, sf, "events").select("event_id", "ts")
-    return e.select("event_id", S.trading_day(F.col("ts")).alias("trading_day"), S.new_york(F.col("ts")).cast("timestamp_ntz").alias("ny"), F.weekday("ts").alias("dow"), F.quarter("ts").alias("q"), F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute"))
+    return e.select("event_id", S.trading_day(F.col("ts")).alias("trading_day"), S.new_york(F.col("ts")).cast("timestamp_ntz").alias("ny"),
+        F.weekday("ts").alias("dow"), F.quarter("ts").alias("q"), F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute"))
 
 
 @query(r"""SELECT conv_id, turn, CAST(len(regexp_extract_all(lower(text), '\b(the|and|for)\b')) AS INT) AS hits, contains(text, 'the') AS has_the,
  length(trim(text)) AS n FROM conversations""")
 def keyword_counts(spark, sf):
     c = table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", S.mentions(F.col("text"), ["the", "and", "for"]).alias("hits"), F.contains("text", F.lit("the")).alias("has_the"), F.length(F.trim("text")).alias("n"))
+    return c.select("conv_id", "turn", S.mentions(F.col("text"), ["the", "and", "for"]).alias("hits"),
+        F.contains("text", F.lit("the")).alias("has_the"), F.length(F.trim("text")).alias("n"))

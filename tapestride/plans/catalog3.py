@@ -21,7 +21,10 @@ CHAIN = """chain AS (SELECT CAST(ts AS DATE) AS day, 100.0 AS spot, 50 + 10 * fl
 def chain(spark, sf) -> DataFrame:
     e = table(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("long")
-    return e.select(F.to_date("ts").alias("day"), F.lit(100.0).alias("spot"), (50 + 10 * F.floor(F.least("value", F.lit(99.0)) / 10)).cast("double").alias("strike"), ((1 + F.col("user_id") % 12) / 12).alias("years"), (0.2 + k / 200).alias("vol"), F.col("event_type").isin("click", "purchase").alias("call"), k.alias("oi"), F.col("value").alias("price"))
+    return e.select(F.to_date("ts").alias("day"), F.lit(100.0).alias("spot"),
+        (50 + 10 * F.floor(F.least("value", F.lit(99.0)) / 10)).cast("double").alias("strike"),
+        ((1 + F.col("user_id") % 12) / 12).alias("years"), (0.2 + k / 200).alias("vol"),
+        F.col("event_type").isin("click", "purchase").alias("call"), k.alias("oi"), F.col("value").alias("price"))
 
 
 @query(f"""WITH {CHAIN}, d AS (SELECT *, (ln(spot / strike) + vol * vol / 2 * years) / (vol * sqrt(years)) AS d1 FROM chain), g AS (SELECT day, strike, call, oi,
@@ -49,7 +52,8 @@ h AS (SELECT symbol, order_id, arg_min(ts, (ts, id)) AS fill_ts, arg_min(px < li
  order_id)""")
 def queue_fills(spark, sf):
     t = tape(spark, sf)
-    o = t.select("symbol", F.col("id").alias("order_id"), "ts", (F.round(F.col("px") * 0.5 * 100) / 100).alias("limit"), F.col("size").alias("ahead"))
+    o = t.select("symbol", F.col("id").alias("order_id"), "ts", (F.round(F.col("px") * 0.5 * 100) / 100).alias("limit"),
+        F.col("size").alias("ahead"))
     return M.queue_fills(o, t, 10_800)
 
 
@@ -60,7 +64,8 @@ def queue_fills(spark, sf):
 SELECT user_id, CAST(trip AS BIGINT) AS trip, count(*) AS fills, CAST(max(abs(pos)) AS BIGINT) AS peak, round(sum(-qty * px),
  6) AS pnl FROM t GROUP BY 1, 2 HAVING sum(qty) = 0""")
 def round_trips(spark, sf):
-    e = table(spark, sf, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type").isin("click", "purchase"), 1).otherwise(-1).alias("qty"), F.col("value").alias("px"))
+    e = table(spark, sf, "events").select("user_id", "ts", "event_id",
+        F.when(F.col("event_type").isin("click", "purchase"), 1).otherwise(-1).alias("qty"), F.col("value").alias("px"))
     return M.round_trips(e, ["user_id"], ["ts", "event_id"])
 
 
@@ -69,8 +74,10 @@ def round_trips(spark, sf):
 SELECT x.flag, x.disc, x.tax, round(any_value(x.v), 6) AS v, count(*) AS n_near, round(avg(y.v),
  6) AS near_mean FROM i x JOIN i y ON x.flag = y.flag AND abs(x.a - y.a) + abs(x.b - y.b) = 1 GROUP BY 1, 2, 3""")
 def parameter_neighbours(spark, sf):
-    g = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax")).agg(F.avg("l_quantity").alias("v"))
-    return M.neighbours(g, ["flag"], ["disc", "tax"], "v").select("flag", "disc", "tax", r("v").alias("v"), "n_near", r("near_mean").alias("near_mean"))
+    g = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_discount").alias("disc"),
+        F.col("l_tax").alias("tax")).agg(F.avg("l_quantity").alias("v"))
+    return M.neighbours(g, ["flag"], ["disc", "tax"], "v").select("flag", "disc", "tax", r("v").alias("v"), "n_near",
+        r("near_mean").alias("near_mean"))
 
 
 @query(f"""WITH {ENTRY}, dy AS (SELECT symbol, CAST(ts AS DATE) AS day, sum(pnl) AS p FROM trades GROUP BY 1, 2), t AS (SELECT *, unnest(range(1,
@@ -90,8 +97,10 @@ def shuffled_drawdown(spark, sf):
  pnl - 2 * slip AS p FROM trades CROSS JOIN c) SELECT symbol, slip, count(*) AS n, round(avg(p), 6) AS mean_pnl, round(avg(CAST(p > 0 AS DOUBLE)),
  6) AS win_rate FROM s GROUP BY 1, 2""")
 def slippage_stress(spark, sf):
-    s = trades(spark, sf).withColumn("slip", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.5, 1.0))))).withColumn("p", F.col("pnl") - 2 * F.col("slip"))
-    return s.groupBy("symbol", "slip").agg(F.count("*").alias("n"), r(F.avg("p")).alias("mean_pnl"), r(F.avg((F.col("p") > 0).cast("double"))).alias("win_rate"))
+    s = trades(spark, sf).withColumn("slip", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.5, 1.0))))).withColumn("p",
+        F.col("pnl") - 2 * F.col("slip"))
+    return s.groupBy("symbol", "slip").agg(F.count("*").alias("n"), r(F.avg("p")).alias("mean_pnl"),
+        r(F.avg((F.col("p") > 0).cast("double"))).alias("win_rate"))
 
 
 @query(f"""WITH {SIDES}, l AS (SELECT unnest([0, 60, 600]) AS lag_s), t AS (SELECT symbol, id, lag_s, ts + to_seconds(lag_s) AS ts,
@@ -101,8 +110,10 @@ def latency_sweep(spark, sf):
     from .catalog import sides
 
     t, q = sides(spark, sf)
-    late = t.withColumn("lag_s", F.explode(F.array(*map(F.lit, (0, 60, 600))))).withColumn("ts", F.col("ts") + F.make_dt_interval(secs=F.col("lag_s")))
-    return J.asof(late, q, ["symbol"], "ts", ["bid"]).groupBy("lag_s").agg(F.count("r_bid").alias("n"), r(F.avg(F.col("r_bid") - F.col("px"))).alias("edge"))
+    late = t.withColumn("lag_s", F.explode(F.array(*map(F.lit, (0, 60, 600))))).withColumn("ts",
+        F.col("ts") + F.make_dt_interval(secs=F.col("lag_s")))
+    return J.asof(late, q, ["symbol"], "ts", ["bid"]).groupBy("lag_s").agg(F.count("r_bid").alias("n"),
+        r(F.avg(F.col("r_bid") - F.col("px"))).alias("edge"))
 
 
 @query(f"""WITH {BARS}, m AS (SELECT *, close > avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 9 PRECEDING) AS on_ FROM bars), s AS (SELECT symbol,
@@ -116,7 +127,9 @@ def condition_shapes(spark, sf):
     b = hourly(spark, sf).withColumn("on", F.col("close") > F.avg("close").over(W.last_n(10)))
     day = Window.partitionBy("symbol", F.to_date("ts")).orderBy("ts")
     bit = lambda c, k: F.shiftleft(c.cast("int"), k)
-    return b.select("symbol", "bar_id", *(c.alias(n) for n, c in M.shapes(F.col("on"), W.by_symbol()).items()), (F.col("on") & (F.sum(F.col("on").cast("int")).over(day) == 1)).alias("first_today"), bit(F.col("on"), 0).bitwiseOR(bit(F.col("volume") > 150, 1)).bitwiseOR(bit(F.hour("ts") >= 12, 2)).alias("cell"))
+    return b.select("symbol", "bar_id", *(c.alias(n) for n, c in M.shapes(F.col("on"), W.by_symbol()).items()),
+        (F.col("on") & (F.sum(F.col("on").cast("int")).over(day) == 1)).alias("first_today"),
+        bit(F.col("on"), 0).bitwiseOR(bit(F.col("volume") > 150, 1)).bitwiseOR(bit(F.hour("ts") >= 12, 2)).alias("cell"))
 
 
 @query(f"""WITH {BARS}, d AS (SELECT *, CAST(ts AS DATE) AS day FROM bars), x AS (SELECT symbol, day, max(high) - min(low) AS rg, arg_min(open, ts) AS op,
@@ -127,10 +140,13 @@ SELECT symbol, bar_id, max(CASE WHEN hour(ts) < 1 THEN high END) OVER (PARTITION
  gap FROM d JOIN e USING (symbol, day)""")
 def initial_balance(spark, sf):
     b = hourly(spark, sf).withColumn("day", F.to_date("ts"))
-    d = b.groupBy("symbol", "day").agg((F.max("high") - F.min("low")).alias("rg"), F.min_by("open", "ts").alias("op"), F.max_by("close", "ts").alias("cl"))
+    d = b.groupBy("symbol", "day").agg((F.max("high") - F.min("low")).alias("rg"), F.min_by("open", "ts").alias("op"),
+        F.max_by("close", "ts").alias("cl"))
     w = Window.partitionBy("symbol").orderBy("day")
-    d = d.select("symbol", "day", r(F.col("rg") / F.nullif(F.percentile("rg", F.lit(0.5)).over(w.rowsBetween(-10, -1)), F.lit(0.0))).alias("expansion"), r(F.col("op") - F.lag("cl").over(w)).alias("gap"))
-    return b.withColumn("ib_high", F.max(F.when(F.hour("ts") < 1, F.col("high"))).over(Window.partitionBy("symbol", "day").orderBy("ts"))).join(d, ["symbol", "day"]).select("symbol", "bar_id", "ib_high", "expansion", "gap")
+    d = d.select("symbol", "day", r(F.col("rg") / F.nullif(F.percentile("rg", F.lit(0.5)).over(w.rowsBetween(-10, -1)),
+        F.lit(0.0))).alias("expansion"), r(F.col("op") - F.lag("cl").over(w)).alias("gap"))
+    return b.withColumn("ib_high", F.max(F.when(F.hour("ts") < 1, F.col("high"))).over(Window.partitionBy("symbol",
+        "day").orderBy("ts"))).join(d, ["symbol", "day"]).select("symbol", "bar_id", "ib_high", "expansion", "gap")
 
 
 @query("""WITH s AS (SELECT c_mktsegment AS k, c_custkey, c_acctbal FROM customer), b AS (SELECT *,
@@ -140,7 +156,8 @@ def initial_balance(spark, sf):
 def ranking(spark, sf):
     w = Window.partitionBy("k")
     c = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("k"), "c_custkey", "c_acctbal")
-    return c.select("k", "c_custkey", F.row_number().over(w.orderBy(F.desc("c_acctbal"), "c_custkey")).alias("n"), F.ntile(4).over(w.orderBy("c_acctbal", "c_custkey")).alias("q"), r(F.percent_rank().over(w.orderBy("c_acctbal"))).alias("pr"))
+    return c.select("k", "c_custkey", F.row_number().over(w.orderBy(F.desc("c_acctbal"), "c_custkey")).alias("n"),
+        F.ntile(4).over(w.orderBy("c_acctbal", "c_custkey")).alias("q"), r(F.percent_rank().over(w.orderBy("c_acctbal"))).alias("pr"))
 
 
 @query(f"""WITH {BARS}, a AS (SELECT ts, close FROM bars WHERE symbol = 'click'), b AS (SELECT ts, close FROM bars WHERE symbol = 'view'),
@@ -161,12 +178,14 @@ def spread(spark, sf) -> DataFrame:
     j = j.withColumns({"x": F.last("x", True).over(w), "y": F.last("y", True).over(w)}).withColumn("spread", F.col("x") - F.col("y"))
     k = Window.partitionBy("pair").orderBy("ts").rowsBetween(-19, 0)
     sd = F.when(F.count("spread").over(k) == 20, F.stddev_pop("spread").over(k))
-    return j.withColumns({"z": (F.col("spread") - F.avg("spread").over(k)) / F.when(sd > 1e-12, sd), "step": F.row_number().over(Window.partitionBy("pair").orderBy("ts"))})
+    return j.withColumns({"z": (F.col("spread") - F.avg("spread").over(k)) / F.when(sd > 1e-12, sd),
+        "step": F.row_number().over(Window.partitionBy("pair").orderBy("ts"))})
 
 
 @query()
 def pair_trades(spark, sf):
-    return M.pair_trades(spread(spark, sf).select("pair", F.col("step").cast("long").alias("step"), "z", "spread"), "pair", "step", "z", "spread", 1.5, 0.2, 4.0, 40)
+    return M.pair_trades(spread(spark, sf).select("pair", F.col("step").cast("long").alias("step"), "z", "spread"), "pair", "step", "z",
+        "spread", 1.5, 0.2, 4.0, 40)
 
 
 @query()

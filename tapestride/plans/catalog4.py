@@ -23,7 +23,8 @@ SELECT symbol, bar_id, CASE WHEN n = 14 THEN round(100.0 * (14 - (bar_id - hi))
  CASE WHEN n = 14 THEN round((CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END) + (CASE WHEN p < 1 THEN -(1 - p) * log2(1 - p) ELSE 0 END),
  6) END AS entropy FROM f""")
 def oscillators(spark, sf):
-    return O.oscillators(hourly(spark, sf), 14).select("symbol", "bar_id", *(r(c).alias(c) for c in ("aroon_up", "aroon_down", "demarker", "cmo", "entropy")))
+    return O.oscillators(hourly(spark, sf), 14).select("symbol", "bar_id",
+        *(r(c).alias(c) for c in ("aroon_up", "aroon_down", "demarker", "cmo", "entropy")))
 
 
 @query(f"""WITH {BARS}, e AS (SELECT symbol, CAST(ts AS DATE) AS day, max(bar_id) AS eod_id FROM bars GROUP BY 1, 2) SELECT b.symbol, b.bar_id,
@@ -62,7 +63,8 @@ def weekly_metrics(spark, sf):
  p_type ORDER BY p_retailprice DESC) AS n FROM part), k AS (SELECT family, cfg, score,
  CAST(row_number() OVER (PARTITION BY family ORDER BY score DESC, family, cfg) AS INT) AS rank FROM b WHERE n = 1) SELECT * FROM k WHERE rank <= 3""")
 def leaderboard(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_brand").alias("family"), F.col("p_type").alias("cfg"), F.col("p_retailprice").alias("score"))
+    p = table(spark, sf, "part").select(F.col("p_brand").alias("family"), F.col("p_type").alias("cfg"),
+        F.col("p_retailprice").alias("score"))
     return O.leaderboard(p, ["family", "cfg"], "family", "score", 3)
 
 
@@ -110,9 +112,11 @@ j AS (SELECT symbol, q, contract, CAST(least(en, b) - greatest(st, a) + 1 AS INT
 def largest_overlap(spark, sf):
     o = table(spark, sf, "orders")
     cut = F.when(F.col("o_orderstatus") == "F", 400).when(F.col("o_orderstatus") == "O", 200).otherwise(900)
-    s = o.groupBy(F.col("o_orderpriority").alias("symbol"), F.col("o_orderstatus")).agg(F.to_date(F.min("o_orderdate")).alias("start"), F.to_date(F.max("o_orderdate")).alias("last"))
+    s = o.groupBy(F.col("o_orderpriority").alias("symbol"), F.col("o_orderstatus")).agg(F.to_date(F.min("o_orderdate")).alias("start"),
+        F.to_date(F.max("o_orderdate")).alias("last"))
     s = s.select("symbol", F.col("o_orderstatus").alias("contract"), "start", F.date_sub("last", cut).alias("end"))
-    q = o.groupBy(F.col("o_orderpriority").alias("symbol"), F.year("o_orderdate").alias("q")).agg(F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("b"))
+    q = o.groupBy(F.col("o_orderpriority").alias("symbol"),
+        F.year("o_orderdate").alias("q")).agg(F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("b"))
     return O.largest_overlap(s, q)
 
 
@@ -123,7 +127,8 @@ def condition_triples(spark, sf):
     """Triples from a bar's own short list of conditions, counted with partial aggregation."""
     m = masks(spark, sf)
     one = m.select("fwd", "conds", F.posexplode("conds").alias("i", "a"))
-    two = one.select("fwd", "conds", "a", F.explode(F.transform("conds", lambda x, j: F.when(j > F.col("i"), F.struct(j.alias("j"), x.alias("b"))))).alias("y")).where("y IS NOT NULL")
+    two = one.select("fwd", "conds", "a", F.explode(F.transform("conds", lambda x,
+        j: F.when(j > F.col("i"), F.struct(j.alias("j"), x.alias("b"))))).alias("y")).where("y IS NOT NULL")
     three = two.select("fwd", "a", F.col("y.b").alias("b"), F.explode(F.slice("conds", F.col("y.j") + 2, F.size("conds"))).alias("c"))
     return three.groupBy("a", "b", "c").agg(F.count("fwd").alias("n"), r(F.avg("fwd")).alias("mean_fwd")).where("n >= 30")
 
@@ -151,10 +156,13 @@ def first_fill_near(spark, sf):
     """Of the fills within six hours the first in the list's order, not the nearest."""
     from ..operators.joins import within
 
-    e = table(spark, sf, "events").select(F.col("user_id").alias("symbol"), "event_id", "ts", "value", F.col("event_type").isin("click", "purchase").alias("paper"))
+    e = table(spark, sf, "events").select(F.col("user_id").alias("symbol"), "event_id", "ts", "value",
+        F.col("event_type").isin("click", "purchase").alias("paper"))
     six = F.expr("INTERVAL 6 HOURS")
-    p = e.where("paper").select("symbol", F.col("event_id").alias("order"), F.col("value").alias("px"), (F.col("ts") - six).alias("a"), (F.col("ts") + six).alias("b"))
+    p = e.where("paper").select("symbol", F.col("event_id").alias("order"), F.col("value").alias("px"), (F.col("ts") - six).alias("a"),
+        (F.col("ts") + six).alias("b"))
     j = within(e.where("NOT paper"), p, ["symbol"], "ts", "a", "b", 43_200)
-    return j.groupBy(F.col("order")).agg(F.min_by(F.struct("event_id", (F.col("value") - F.col("px")).alias("slip")), "event_id").alias("x")).select(F.col("order").alias("event_id"), F.col("x.event_id").alias("fill"), r("x.slip").alias("slip"))
+    return j.groupBy(F.col("order")).agg(F.min_by(F.struct("event_id", (F.col("value") - F.col("px")).alias("slip")),
+        "event_id").alias("x")).select(F.col("order").alias("event_id"), F.col("x.event_id").alias("fill"), r("x.slip").alias("slip"))
 
 

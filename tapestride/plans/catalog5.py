@@ -40,7 +40,8 @@ def half_hours(spark, sf) -> DataFrame:
 
 
 def width_query(name: str, width: str) -> None:
-    query(f"WITH {wide_sql(width)} SELECT symbol, ts, open, high, low, close, volume, n_ticks, bar_id FROM bars", name)(lambda spark, sf: wide(spark, sf, width))
+    query(f"WITH {wide_sql(width)} SELECT symbol, ts, open, high, low, close, volume, n_ticks, bar_id FROM bars", name)(lambda spark,
+        sf: wide(spark, sf, width))
 
 
 width_query("bars_5min", "5 minutes")
@@ -58,7 +59,8 @@ SELECT symbol, bar_id, CAST({NY} AS DATE) AS ny_day, {ZONE} AS zone,
  CASE isodow(ts) WHEN 6 THEN false WHEN 7 THEN hour(ts) >= 22 WHEN 5 THEN hour(ts) < 21 ELSE hour(ts) <> 21 END AS is_open FROM n""")
 def kill_zones(spark, sf):
     ts = F.col("ts")
-    return half_hours(spark, sf).select("symbol", "bar_id", Z.ny_date(ts).alias("ny_day"), Z.kill_zone(ts).alias("zone"), Z.market_open(ts).alias("is_open"))
+    return half_hours(spark, sf).select("symbol", "bar_id", Z.ny_date(ts).alias("ny_day"), Z.kill_zone(ts).alias("zone"),
+        Z.market_open(ts).alias("is_open"))
 
 
 @query(f"""WITH {HALF}, n AS (SELECT *, {NY_MINUTE} AS m, CAST({NY} AS DATE) AS d, (high + low + close) / 3 AS tp FROM bars),
@@ -101,7 +103,8 @@ FROM f JOIN t ON t.symbol = f.symbol AND t.day = CAST(f.ts AS DATE) WHERE n = 1"
 def calendar_signals(spark, sf):
     """Hold-at-hour entries with the turn of the month and the week's first session marked."""
     b = Z.turn_of_month(half_hours(spark, sf), 3)
-    return Z.first_bar_of_hour(b, 13).select("symbol", "bar_id", F.col("close").alias("entry_px"), "turn", (F.weekday("ts") == 0).alias("week_open"))
+    return Z.first_bar_of_hour(b, 13).select("symbol", "bar_id", F.col("close").alias("entry_px"), "turn",
+        (F.weekday("ts") == 0).alias("week_open"))
 
 
 # ---- windows
@@ -137,9 +140,11 @@ def threshold_masks(spark, sf):
     b = hourly(spark, sf)
     q = b.groupBy("symbol").agg(F.percentile("volume", F.lit(0.7)).alias("hi"), F.percentile("volume", F.lit(0.3)).alias("lo"))
     z = b.withColumns({"z": W.zscore("close", 20), "fwd": F.lead("close", 4).over(W.by_symbol()) - F.col("close")}).join(q, "symbol")
-    k = z.withColumn("strength", F.explode(F.array(*map(F.lit, (0.5, 1.0, 1.5))))).withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1)))).where("z * side > strength")
+    k = z.withColumn("strength", F.explode(F.array(*map(F.lit, (0.5, 1.0, 1.5))))).withColumn("side",
+        F.explode(F.array(F.lit(1), F.lit(-1)))).where("z * side > strength")
     loud = (F.col("volume") > F.col("hi")) | (F.col("volume") < F.col("lo"))
-    return k.groupBy("symbol", "strength", "side").agg(F.count("*").alias("n"), F.count_if(loud).alias("n_loud"), r(F.avg("fwd")).alias("mean_fwd"))
+    return k.groupBy("symbol", "strength", "side").agg(F.count("*").alias("n"), F.count_if(loud).alias("n_loud"),
+        r(F.avg("fwd")).alias("mean_fwd"))
 
 
 @query(f"""WITH RECURSIVE {BARS}, e AS (SELECT symbol, bar_id, close AS f, close AS s, CAST(0 AS DOUBLE) AS g FROM bars WHERE bar_id = 1 UNION ALL
@@ -164,7 +169,8 @@ def averages_of_ranges(spark, sf):
     """%D, the mean-of-ranges ATR, and the mean of the day so far."""
     b = hourly(spark, sf).withColumns({"k": W.stochastic_k(14), "cr": W.close_range()})
     day = Window.partitionBy("symbol", F.to_date("ts")).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return b.select("symbol", "bar_id", r(W.strict(F.avg("k"), 3, "k")).alias("stoch_d"), r(W.strict(F.avg("cr"), 14, "cr")).alias("atr_mean"), r(F.avg("close").over(day)).alias("day_mean"))
+    return b.select("symbol", "bar_id", r(W.strict(F.avg("k"), 3, "k")).alias("stoch_d"),
+        r(W.strict(F.avg("cr"), 14, "cr")).alias("atr_mean"), r(F.avg("close").over(day)).alias("day_mean"))
 
 
 @query(f"""WITH {SIGNED}, q AS (SELECT *, CASE WHEN px < lag(px) OVER w THEN -1 ELSE 1 END AS tie_buy,
@@ -178,7 +184,8 @@ def sign_variants(spark, sf):
     keys = ("symbol", "day")
     both = B.tick_sign(B.quote_sign(t, keys).withColumnRenamed("sign", "tie"), keys, 0)
     net = lambda c: F.sum(F.col("size") * c)
-    return both.groupBy(*keys).agg(net(F.col("tie")).alias("tie_buy"), net(F.col("sign")).alias("from_zero"), net(F.when(F.col("sign") == 0, 1).otherwise(F.col("sign"))).alias("from_buy"))
+    return both.groupBy(*keys).agg(net(F.col("tie")).alias("tie_buy"), net(F.col("sign")).alias("from_zero"),
+        net(F.when(F.col("sign") == 0, 1).otherwise(F.col("sign"))).alias("from_buy"))
 
 
 @query(f"""WITH {BARS}, f AS (SELECT *, count(*) OVER c AS n, max(high) OVER c AS mh, min(low) OVER c AS ml, list(high) OVER c AS hs,
@@ -244,8 +251,10 @@ def half_year_persistence(spark, sf):
     l = ledger(spark, sf).withColumn("first", F.month("l_shipdate") <= 6)
     part = lambda on: F.when(on, F.col("pnl"))
     a, b = part(F.col("first")), part(~F.col("first"))
-    h = l.groupBy("signal").agg(F.count(a).alias("n_first"), F.count(b).alias("n_second"), F.avg(a).alias("ma"), F.avg(b).alias("mb")).where("n_first > 0 AND n_second > 0")
-    return h.select("signal", "n_first", "n_second", r("ma").alias("mean_first"), r("mb").alias("mean_second"), (F.signum("ma") == F.signum("mb")).alias("persists"))
+    h = l.groupBy("signal").agg(F.count(a).alias("n_first"), F.count(b).alias("n_second"), F.avg(a).alias("ma"),
+        F.avg(b).alias("mb")).where("n_first > 0 AND n_second > 0")
+    return h.select("signal", "n_first", "n_second", r("ma").alias("mean_first"), r("mb").alias("mean_second"),
+        (F.signum("ma") == F.signum("mb")).alias("persists"))
 
 
 @query("""WITH p AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'signup'), f AS (SELECT user_id, event_id,
@@ -255,15 +264,18 @@ SELECT p.event_id, arg_min(f.event_id, (f.ts, f.event_id)) AS fill, min(f.ts) AS
 def earliest_fill(spark, sf):
     """For each setup the earliest fill of its reference at or after it: one ordered window, no pairs."""
     e = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type").where(F.col("event_type").isin("signup", "purchase"))
-    w = Window.partitionBy("user_id").orderBy("ts", F.when(F.col("event_type") == "signup", 0).otherwise(1), "event_id").rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy("user_id").orderBy("ts", F.when(F.col("event_type") == "signup", 0).otherwise(1), "event_id").rowsBetween(0,
+        Window.unboundedFollowing)
     hit = F.first(F.when(F.col("event_type") == "purchase", F.struct("event_id", "ts")), True).over(w)
-    return e.withColumn("x", hit).where("event_type = 'signup'").select("event_id", F.col("x.event_id").alias("fill"), F.col("x.ts").alias("fill_ts"))
+    return e.withColumn("x", hit).where("event_type = 'signup'").select("event_id", F.col("x.event_id").alias("fill"),
+        F.col("x.ts").alias("fill_ts"))
 
 
 @query(f"""WITH {BARS}, d AS (SELECT symbol, CAST(ts AS DATE) AS day, arg_max(bar_id, (high, -bar_id)) AS high_at, arg_min(bar_id, (low,
  bar_id)) AS low_at FROM bars GROUP BY 1, 2) SELECT *, high_at < low_at AS high_first FROM d""")
 def high_before_low(spark, sf):
-    d = hourly(spark, sf).groupBy("symbol", F.to_date("ts").alias("day")).agg(F.max_by("bar_id", F.struct("high", -F.col("bar_id"))).alias("high_at"), F.min_by("bar_id", F.struct("low", "bar_id")).alias("low_at"))
+    d = hourly(spark, sf).groupBy("symbol", F.to_date("ts").alias("day")).agg(F.max_by("bar_id",
+        F.struct("high", -F.col("bar_id"))).alias("high_at"), F.min_by("bar_id", F.struct("low", "bar_id")).alias("low_at"))
     return d.withColumn("high_first", F.col("high_at") < F.col("low_at"))
 
 
@@ -289,17 +301,21 @@ SELECT symbol, part, count(*) AS n, round(corr(rx, rf), 6) AS ic, round(corr(rx,
 def information_split(spark, sf):
     """Rank correlation of a feature with the forward move in training and holdout bars, beside a shuffled control."""
     w = W.by_symbol()
-    y = hourly(spark, sf).select("symbol", "bar_id", F.col("volume").cast("double").alias("x"), (F.lead("close", 4).over(w) - F.col("close")).alias("f")).where("f IS NOT NULL")
+    y = hourly(spark, sf).select("symbol", "bar_id", F.col("volume").cast("double").alias("x"),
+        (F.lead("close", 4).over(w) - F.col("close")).alias("f")).where("f IS NOT NULL")
     last = F.max("bar_id").over(Window.partitionBy("symbol"))
-    k = hourly(spark, sf).select("symbol", "bar_id", last.alias("last")).join(y, ["symbol", "bar_id"]).withColumn("part", F.when(F.col("bar_id") <= 0.7 * (F.col("last") - 4), "train").otherwise("holdout"))
+    k = hourly(spark, sf).select("symbol", "bar_id", last.alias("last")).join(y, ["symbol", "bar_id"]).withColumn("part",
+        F.when(F.col("bar_id") <= 0.7 * (F.col("last") - 4), "train").otherwise("holdout"))
     key = ["symbol", "part"]
     p = Window.partitionBy(*key)
     u = draw(F.lit("ic"), "symbol", F.col("bar_id").cast("string"))
-    s = k.withColumns({"i": F.row_number().over(p.orderBy("bar_id")), "u": u}).withColumn("j", F.row_number().over(p.orderBy("u", "bar_id")))
+    s = k.withColumns({"i": F.row_number().over(p.orderBy("bar_id")), "u": u}).withColumn("j",
+        F.row_number().over(p.orderBy("u", "bar_id")))
     s = s.select(*key, "i", "x", "f").join(s.select(*key, F.col("j").alias("i"), F.col("f").alias("g")), [*key, "i"])
     for c in "xfg":
         s = average_rank(s, key, c, f"r{c}")
-    return s.groupBy(*key).agg(F.count("*").alias("n"), r(correlation("rx", "rf")).alias("ic"), r(correlation("rx", "rg")).alias("shuffled"))
+    return s.groupBy(*key).agg(F.count("*").alias("n"), r(correlation("rx", "rf")).alias("ic"),
+        r(correlation("rx", "rg")).alias("shuffled"))
 
 
 @query(f"""WITH {LEDGER}, w AS (SELECT signal, avg(CAST(pnl > 0 AS DOUBLE)) AS a, CASE WHEN count(*) FILTER (WHERE l_discount > 0.05) >= 500 THEN avg(pnl) FILTER
@@ -310,7 +326,8 @@ SELECT signal, round((coalesce(0.5 * a, 0) + coalesce(0.3 * b, 0) + coalesce(0.2
 def weighted_available(spark, sf):
     """Weighted mean of the components that a signal has, weights re-normalised."""
     deep = F.col("l_discount") > 0.05
-    w = ledger(spark, sf).groupBy("signal").agg(F.avg((F.col("pnl") > 0).cast("double")).alias("a"), F.when(F.count_if(deep) >= 500, F.avg(F.when(deep, F.col("pnl"))) / 30000).alias("b"), (F.avg("qty") / 50).alias("c"))
+    w = ledger(spark, sf).groupBy("signal").agg(F.avg((F.col("pnl") > 0).cast("double")).alias("a"),
+        F.when(F.count_if(deep) >= 500, F.avg(F.when(deep, F.col("pnl"))) / 30000).alias("b"), (F.avg("qty") / 50).alias("c"))
     return w.select("signal", r(S.available_mean({"a": 0.5, "b": 0.3, "c": 0.2})).alias("score"))
 
 
@@ -320,7 +337,9 @@ def weighted_available(spark, sf):
 def ledger_lifetime(spark, sf):
     o, closed = table(spark, sf, "orders"), F.col("o_orderstatus") == "F"
     age = F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date"))
-    return o.groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(closed).alias("closed"), F.round(F.coalesce(F.sum(F.when(closed, F.col("o_totalprice"))), F.lit(0.0)), 2).alias("closed_value"), F.round(F.max("o_totalprice"), 2).alias("best"), r(F.avg(age), 4).alias("mean_age"))
+    return o.groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(closed).alias("closed"),
+        F.round(F.coalesce(F.sum(F.when(closed, F.col("o_totalprice"))), F.lit(0.0)), 2).alias("closed_value"),
+        F.round(F.max("o_totalprice"), 2).alias("best"), r(F.avg(age), 4).alias("mean_age"))
 
 
 @query(f"""WITH {ENTRY} SELECT CAST(ts - INTERVAL 4 HOUR AS DATE) AS day, count(*) AS n, CAST(sum(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) AS BIGINT) AS wins,
@@ -328,7 +347,8 @@ def ledger_lifetime(spark, sf):
 def ledger_by_day(spark, sf):
     """The ledger's day is UTC less four hours all year."""
     day = F.to_date(F.col("ts") - F.expr("INTERVAL 4 HOURS"))
-    return trades(spark, sf).groupBy(day.alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("pnl") > 0).alias("wins"), r(F.sum("pnl"), 4).alias("pnl"))
+    return trades(spark, sf).groupBy(day.alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("pnl") > 0).alias("wins"),
+        r(F.sum("pnl"), 4).alias("pnl"))
 
 
 @query("""WITH g AS (SELECT event_type, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS gap FROM events)
@@ -341,7 +361,8 @@ def latency_report(spark, sf):
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
     g = table(spark, sf, "events").select("event_type", ((us - F.lag(us).over(w)) / 1000).alias("ms")).where("ms IS NOT NULL")
     q = quantiles(g, "event_type", "ms", {"p50_ms": 0.5, "p90_ms": 0.9, "p99_ms": 0.99})
-    return g.groupBy("event_type").agg(F.count("*").alias("n")).join(q, "event_type").select("event_type", "n", *(r(c, 3).alias(c) for c in ("p50_ms", "p90_ms", "p99_ms")))
+    return g.groupBy("event_type").agg(F.count("*").alias("n")).join(q, "event_type").select("event_type", "n",
+        *(r(c, 3).alias(c) for c in ("p50_ms", "p90_ms", "p99_ms")))
 
 
 @query(f"""WITH {ENTRY}, f AS (SELECT CAST(yearweek(ts) AS INT) AS week, symbol, pnl, bars_held FROM trades), fp AS (SELECT week, sum(pnl) AS touch,
@@ -353,8 +374,10 @@ def fill_requirements(spark, sf):
     """Weekly results under fill conventions of rising strictness, the share that survives and what is retained."""
     week = (F.extract(F.lit("YEAROFWEEK"), F.col("ts")) * 100 + F.weekofyear("ts")).cast("int")
     on = lambda k: F.sum(F.when(F.col("bars_held") >= k, F.col("pnl")))
-    p = trades(spark, sf).groupBy(week.alias("week")).agg(F.sum("pnl").alias("touch"), on(2).alias("through"), on(4).alias("late"), F.count("*").alias("n"), F.count_if(F.col("bars_held") >= 2).alias("n2"))
-    return p.select("week", *(r(c, 4).alias(c) for c in ("touch", "through", "late")), r(F.col("n2") / F.col("n")).alias("survival"), r(F.col("through") / F.nullif("touch", F.lit(0.0))).alias("retained"))
+    p = trades(spark, sf).groupBy(week.alias("week")).agg(F.sum("pnl").alias("touch"), on(2).alias("through"), on(4).alias("late"),
+        F.count("*").alias("n"), F.count_if(F.col("bars_held") >= 2).alias("n2"))
+    return p.select("week", *(r(c, 4).alias(c) for c in ("touch", "through", "late")), r(F.col("n2") / F.col("n")).alias("survival"),
+        r(F.col("through") / F.nullif("touch", F.lit(0.0))).alias("retained"))
 
 
 @query(f"""WITH {BARS}, n AS (SELECT *, max(bar_id) OVER (PARTITION BY symbol) AS n FROM bars), k AS (SELECT symbol, unnest(range(0, 25)) AS i,
@@ -364,7 +387,8 @@ def even_subsample(spark, sf):
     """25 evenly spaced bars of each symbol (a sampling operator)."""
     b = hourly(spark, sf)
     n = b.groupBy("symbol").agg(F.max("bar_id").alias("n"))
-    k = n.select("symbol", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("i"), "n").select("symbol", (1 + F.floor(F.col("i") * (F.col("n") - 1) / 24.0)).cast("int").alias("bar_id")).distinct()
+    k = n.select("symbol", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("i"), "n").select("symbol",
+        (1 + F.floor(F.col("i") * (F.col("n") - 1) / 24.0)).cast("int").alias("bar_id")).distinct()
     return b.join(k, ["symbol", "bar_id"]).select("symbol", "bar_id", "close")
 
 
@@ -374,7 +398,8 @@ SELECT list_has_any(conds, ['up', 'vol']) AS any_on, list_has_all(conds, ['up',
 def condition_or(spark, sf):
     m = masks(spark, sf).where(F.size("conds") > 0)
     want = F.array(F.lit("up"), F.lit("vol"))
-    return m.groupBy(F.arrays_overlap("conds", want).alias("any_on"), (F.size(F.array_except(want, "conds")) == 0).alias("all_on")).agg(F.count("*").alias("n"), r(F.avg("fwd")).alias("mean_fwd"))
+    return m.groupBy(F.arrays_overlap("conds", want).alias("any_on"),
+        (F.size(F.array_except(want, "conds")) == 0).alias("all_on")).agg(F.count("*").alias("n"), r(F.avg("fwd")).alias("mean_fwd"))
 
 
 GRID = "[50 + 0.5 * k FOR k IN range(0, 101)]"
@@ -405,12 +430,17 @@ SELECT p_partkey, substr(p_name, 1, 4) AS head, split_part(p_type, ' ', 2) AS se
  greatest(0.5, 1.5 + 0.5 * (p_size / 30.0 - 1) + greatest(0, 1 - p_size / 25.0) * 1.5) AS slippage,
  coalesce(map_extract(MAP {'SMALL': 1, 'MEDIUM': 2, 'LARGE': 3}, split_part(p_type, ' ', 1))[1], 0) AS class_no FROM p""")
 def text_functions(spark, sf):
-    p = table(spark, sf, "part").withColumn("rule", F.concat(F.lit("f"), F.col("p_size").cast("string"), F.lit(">q0."), (F.col("p_partkey") % 9 + 1).cast("string"), F.lit(" & g"), (F.col("p_partkey") % 5).cast("string"), F.lit("<=q0.5")))
+    p = table(spark, sf, "part").withColumn("rule", F.concat(F.lit("f"), F.col("p_size").cast("string"), F.lit(">q0."),
+        (F.col("p_partkey") % 9 + 1).cast("string"), F.lit(" & g"), (F.col("p_partkey") % 5).cast("string"), F.lit("<=q0.5")))
     terms = S.rule_terms(F.col("rule"))
     first = F.get(terms, 0)
     px = F.col("p_retailprice")
     return p.select(
-        "p_partkey", F.substring("p_name", 1, 4).alias("head"), F.split_part("p_type", F.lit(" "), F.lit(2)).alias("second"), S.padded_key(F.col("p_partkey"), F.col("p_size"), width=8).alias("key"),
-        F.size(terms).alias("n_terms"), first["feature"].alias("feature"), first["op"].alias("op"), first["q"].alias("q"), S.round_level(px, 50.0).alias("round_level"), r(F.abs(px - S.round_level(px, 50.0))).alias("off_level"),
-        S.slippage(F.col("p_size") / 25.0, F.col("p_size")).alias("slippage"), F.coalesce(S.looked_up(F.split_part("p_type", F.lit(" "), F.lit(1)), {"SMALL": 1, "MEDIUM": 2, "LARGE": 3}), F.lit(0)).alias("class_no"),
+        "p_partkey", F.substring("p_name", 1, 4).alias("head"), F.split_part("p_type", F.lit(" "), F.lit(2)).alias("second"),
+        S.padded_key(F.col("p_partkey"), F.col("p_size"), width=8).alias("key"),
+        F.size(terms).alias("n_terms"), first["feature"].alias("feature"), first["op"].alias("op"), first["q"].alias("q"),
+        S.round_level(px, 50.0).alias("round_level"), r(F.abs(px - S.round_level(px, 50.0))).alias("off_level"),
+        S.slippage(F.col("p_size") / 25.0, F.col("p_size")).alias("slippage"),
+            F.coalesce(S.looked_up(F.split_part("p_type", F.lit(" "), F.lit(1)), {"SMALL": 1, "MEDIUM": 2, "LARGE": 3}),
+            F.lit(0)).alias("class_no"),
     )

@@ -187,15 +187,19 @@ def context_triggers(spark, sf):
 
     w = Wn.by_symbol()
     b = half_hours(spark, sf).withColumns({
-        "rg": F.col("high") - F.col("low"), "avg20": F.avg("close").over(Wn.last_n(20)), "avgrg": F.avg(F.col("high") - F.col("low")).over(Wn.last_n(20)), "max10": F.max("high").over(Wn.last_n(10)),
+        "rg": F.col("high") - F.col("low"), "avg20": F.avg("close").over(Wn.last_n(20)),
+        "avgrg": F.avg(F.col("high") - F.col("low")).over(Wn.last_n(20)), "max10": F.max("high").over(Wn.last_n(10)),
         "fwd": F.lead("close", 4).over(w) - F.col("close"),
     })
     on = lambda d: F.array_compact(F.array(*(F.when(F.expr(e), F.lit(n)) for n, e in d.items())))
-    x = b.select("fwd", on(CONTEXTS).alias("c"), on(TRIGGERS).alias("t")).select("fwd", "t", F.explode("c").alias("context")).select("fwd", "context", F.explode("t").alias("trigger"))
+    x = b.select("fwd", on(CONTEXTS).alias("c"), on(TRIGGERS).alias("t")).select("fwd", "t", F.explode("c").alias("context")).select("fwd",
+        "context", F.explode("t").alias("trigger"))
     return x.groupBy("context", "trigger").agg(F.count("*").alias("n"), r(F.avg("fwd")).alias("mean_fwd"))
 
 
-FAMILIES = ["keltrev_L", "keltrev_S", "engulf_L", "engulf_S", "hammer_L", "hammer_S", "insidebrk_L", "insidebrk_S", "outsidefade_L", "outsidefade_S", "dayopenrev_L", "dayopenrev_S", "wickfade_L", "wickfade_S", "volclimax_L", "volclimax_S", "donchian_L", "donchian_S", "momcont_L", "momcont_S"]
+FAMILIES = ["keltrev_L", "keltrev_S", "engulf_L", "engulf_S", "hammer_L", "hammer_S", "insidebrk_L", "insidebrk_S", "outsidefade_L",
+    "outsidefade_S", "dayopenrev_L", "dayopenrev_S", "wickfade_L", "wickfade_S", "volclimax_L", "volclimax_S", "donchian_L", "donchian_S",
+    "momcont_L", "momcont_S"]
 
 
 @query(f"""WITH {HALF}, a AS (SELECT *, avg(close) OVER w AS ma, avg(high - low) OVER w AS ar, avg(volume) OVER w AS av, lag(open) OVER o AS po,

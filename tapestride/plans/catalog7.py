@@ -89,7 +89,8 @@ SELECT symbol, bar_id, signal_name, veto, round(target, 6) AS target, round(CASE
 def signal_chain(spark, sf):
     """The core signals through the whole chain of checks in the MODERATE mode: first veto, target, product of sizes."""
     g = S.gate(checked(spark, sf), chain_checks("MODERATE"))
-    return g.select("symbol", "bar_id", "signal_name", "veto", r("target").alias("target"), r(F.when(F.col("veto").isNull(), F.col("size") * F.col("size_mult")).otherwise(0.0)).alias("size"))
+    return g.select("symbol", "bar_id", "signal_name", "veto", r("target").alias("target"),
+        r(F.when(F.col("veto").isNull(), F.col("size") * F.col("size_mult")).otherwise(0.0)).alias("size"))
 
 
 def checked(spark, sf) -> DataFrame:
@@ -102,8 +103,10 @@ def checked(spark, sf) -> DataFrame:
     j = j.withColumn("target", G.derived_target(name, side, px, F.col("pdc"), F.col("_eq")))
     ratio = G.reward_ratio(side, px, F.col("stop_points"), F.col("target"))
     return j.withColumns({
-        "ok_bias": G.bias_allows(name, side, F.col("bias")), "ok_zone": G.begins_with(name, G.ZONE_EXEMPT) | Z.kill_zone(F.col("signal_time")).isNotNull(),
-        "ok_level": G.near_level(name, px, [F.col("pdh"), F.col("pdl"), F.col("_eq")], 30.0), "ok_ratio": ratio >= G.least_ratio(name), "ok_adverse": ~F.col("as_regime").isin("HIGH", "EXTREME"),
+        "ok_bias": G.bias_allows(name, side, F.col("bias")), "ok_zone": G.begins_with(name,
+        G.ZONE_EXEMPT) | Z.kill_zone(F.col("signal_time")).isNotNull(),
+        "ok_level": G.near_level(name, px, [F.col("pdh"), F.col("pdl"), F.col("_eq")], 30.0), "ok_ratio": ratio >= G.least_ratio(name),
+        "ok_adverse": ~F.col("as_regime").isin("HIGH", "EXTREME"),
     })
 
 
@@ -136,13 +139,15 @@ def position_sizes(spark, sf):
     from ..functions.scalar import kelly_from_profit_factor
 
     t = trades(spark, sf)
-    f = t.groupBy("symbol").agg(F.avg((F.col("pnl") > 0).cast("double")).alias("w"), (F.sum(F.when(F.col("pnl") > 0, F.col("pnl"))) / -F.sum(F.when(F.col("pnl") <= 0, F.col("pnl")))).alias("pf"))
+    f = t.groupBy("symbol").agg(F.avg((F.col("pnl") > 0).cast("double")).alias("w"),
+        (F.sum(F.when(F.col("pnl") > 0, F.col("pnl"))) / -F.sum(F.when(F.col("pnl") <= 0, F.col("pnl")))).alias("pf"))
     f = f.select("symbol", kelly_from_profit_factor(F.col("w"), F.col("pf")).alias("kelly"))
     k = F.col("bar_id")
     conf, pred = (k % 10) / 10 + 0.05, F.when(k % 3 == 0, -F.col("side")).otherwise(F.col("side"))
     mult = F.when(k % 7 == 0, 0.0).when(k % 5 == 0, 0.5).otherwise(1.0)
     t = t.select("symbol", "bar_id", "side", conf.alias("conf"), pred.alias("pred"), mult.alias("mult")).join(f, "symbol")
-    return t.select("symbol", "bar_id", G.model_confirms(F.col("side"), F.col("pred"), F.col("conf")).alias("model"), G.position_size(F.col("kelly"), F.col("conf"), [F.col("mult")], cap=0.25).alias("contracts"))
+    return t.select("symbol", "bar_id", G.model_confirms(F.col("side"), F.col("pred"), F.col("conf")).alias("model"),
+        G.position_size(F.col("kelly"), F.col("conf"), [F.col("mult")], cap=0.25).alias("contracts"))
 
 
 @query(f"""WITH {BARS}, y AS (SELECT make_date(2024, month(o_orderdate), 1) AS d, round(avg(o_totalprice), 2) AS v FROM orders GROUP BY 1),
@@ -169,13 +174,16 @@ def timed(spark, sf) -> DataFrame:
     """Trades with entry and exit times (an hour a bar), one book for all symbols."""
     t = trades(spark, sf)
     hours = F.make_dt_interval(hours=F.col("bars_held"))
-    return t.select(F.lit("book").alias("book"), "symbol", F.concat_ws("-", "symbol", F.lpad(F.col("bar_id").cast("string"), 9, "0")).alias("id"), F.col("ts").alias("entry"), (F.col("ts") + hours).alias("exit"), "side", "pnl")
+    return t.select(F.lit("book").alias("book"), "symbol", F.concat_ws("-", "symbol",
+        F.lpad(F.col("bar_id").cast("string"), 9, "0")).alias("id"), F.col("ts").alias("entry"), (F.col("ts") + hours).alias("exit"),
+        "side", "pnl")
 
 
 @query()
 def account_gates(spark, sf):
     """Each symbol's trades through the gates of an account of its own."""
-    limits = G.Limits(cooldown=3600, per_day=3, losses=3, pause=7200, day_loss=40.0, start=1000.0, trail=400.0, buffer=50.0, windows=((2, 22),), sizes=((300.0, 2), (0.0, 1)))
+    limits = G.Limits(cooldown=3600, per_day=3, losses=3, pause=7200, day_loss=40.0, start=1000.0, trail=400.0, buffer=50.0,
+        windows=((2, 22),), sizes=((300.0, 2), (0.0, 1)))
     return G.account_gates(timed(spark, sf).drop("book", "side"), "symbol", limits).select("symbol", "id", "denied", "qty")
 
 
@@ -243,7 +251,8 @@ SELECT id, any_value(side) AS side, round(any_value(entry_px), 6) AS entry_px, c
 def tick_trades(spark, sf):
     """Every tick as a signal: entered a minute later at the quote, left on the other side of it, the target after ten minutes at the earliest."""
     t = X.tick_paths(B.quote_sign(tape(spark, sf).withColumn("day", B.day()), ("symbol", "day")).withColumnRenamed("sign", "side"), 20)
-    return X.tick_trades(t, 60_000_000, 0.5, 10.0, 20.0, 600_000_000).select("id", "side", r("entry_px").alias("entry_px"), "exit_reason", r("pnl").alias("pnl"))
+    return X.tick_trades(t, 60_000_000, 0.5, 10.0, 20.0, 600_000_000).select("id", "side", r("entry_px").alias("entry_px"), "exit_reason",
+        r("pnl").alias("pnl"))
 
 
 @query(f"""WITH {PATHS}, o AS (SELECT *, entry_px - side * 5 AS px FROM x), a AS (SELECT symbol, bar_id,
@@ -273,10 +282,13 @@ def passive_or_crossing(spark, sf):
     """A resting limit that needs a trade through it, beside paying the spread at once, on the same entries."""
     o = ordered(spark, sf, 5.0)
     s, px = F.col("side"), F.col("px")
-    hit = lambda strict: X.first_of("path", lambda b, i: F.when(s > 0, b["low"] < px if strict else b["low"] <= px).otherwise(b["high"] > px if strict else b["high"] >= px))
+    hit = lambda strict: X.first_of("path", lambda b, i: F.when(s > 0,
+        b["low"] < px if strict else b["low"] <= px).otherwise(b["high"] > px if strict else b["high"] >= px))
     o = o.withColumns({"through": hit(True), "touch": hit(False), "c": F.element_at("path", -1)["close"]})
     filled, paid = F.col("through").isNotNull(), s * (F.col("c") - F.col("entry_px")) - 0.5
-    return o.groupBy("symbol").agg(F.count("*").alias("n"), F.count("touch").alias("touched"), F.count("through").alias("passive_n"), r(F.avg(F.when(filled, s * (F.col("c") - px)))).alias("passive_mean"), r(F.avg(paid)).alias("crossing_mean"), r(F.avg(F.when(filled, paid))).alias("crossing_where_filled"))
+    return o.groupBy("symbol").agg(F.count("*").alias("n"), F.count("touch").alias("touched"), F.count("through").alias("passive_n"),
+        r(F.avg(F.when(filled, s * (F.col("c") - px)))).alias("passive_mean"), r(F.avg(paid)).alias("crossing_mean"),
+        r(F.avg(F.when(filled, paid))).alias("crossing_where_filled"))
 
 
 @query(f"""WITH {ENTRY}, w AS (SELECT symbol, CAST(yearweek(ts) AS INT) AS week, side, side * (pnl + 0.5) AS move, pnl FROM trades), m AS (SELECT symbol, week,
@@ -285,10 +297,12 @@ SELECT symbol, week, side, count(*) AS n, round(avg(pnl), 6) AS mean_pnl, round(
  6) AS without_drift FROM w JOIN m USING (symbol, week) GROUP BY 1, 2, 3""")
 def drift_removed(spark, sf):
     """Outcomes less the mean move of the same symbol and week, net of the cost."""
-    t = trades(spark, sf).withColumn("week", (F.extract(F.lit("YEAROFWEEK"), F.col("ts")) * 100 + F.weekofyear("ts")).cast("int")).withColumn("move", F.col("side") * (F.col("pnl") + 0.5))
+    t = trades(spark, sf).withColumn("week", (F.extract(F.lit("YEAROFWEEK"),
+        F.col("ts")) * 100 + F.weekofyear("ts")).cast("int")).withColumn("move", F.col("side") * (F.col("pnl") + 0.5))
     drift = F.avg("move").over(Window.partitionBy("symbol", "week"))
     t = t.withColumn("net", F.col("side") * (F.col("move") - drift) - 0.5)
-    return t.groupBy("symbol", "week", "side").agg(F.count("*").alias("n"), r(F.avg("pnl")).alias("mean_pnl"), r(F.avg("net")).alias("without_drift"))
+    return t.groupBy("symbol", "week", "side").agg(F.count("*").alias("n"), r(F.avg("pnl")).alias("mean_pnl"),
+        r(F.avg("net")).alias("without_drift"))
 
 
 @query(f"""WITH RECURSIVE {BARS}, w AS (SELECT symbol, CAST(ts AS DATE) AS day, bar_id, (close - open) / 20 AS wanted, row_number() OVER (PARTITION BY symbol,
@@ -304,8 +318,10 @@ def dead_band(spark, sf):
 @query()
 def ratchet_stop(spark, sf):
     """A stop behind the extreme by the mean range at the entry, moved a tick at least."""
-    b = J.forward_path(hourly(spark, sf).withColumn("atr", F.avg(F.col("high") - F.col("low")).over(W.last_n(14))), 10).where(F.size("path") > 0)
-    e = b.select("symbol", "bar_id", F.when(F.col("close") >= F.col("open"), 1).otherwise(-1).alias("side"), F.col("close").alias("entry_px"), "atr", "path")
+    b = J.forward_path(hourly(spark, sf).withColumn("atr", F.avg(F.col("high") - F.col("low")).over(W.last_n(14))),
+        10).where(F.size("path") > 0)
+    e = b.select("symbol", "bar_id", F.when(F.col("close") >= F.col("open"), 1).otherwise(-1).alias("side"),
+        F.col("close").alias("entry_px"), "atr", "path")
     return X.ratchet(e, "atr", 0.5, 0.25).select("symbol", "bar_id", r("exit_px").alias("exit_px"), "bars_held", "stopped")
 
 
@@ -352,7 +368,8 @@ SELECT key, n_train, n_hold, round(a, 6) AS t_train, round(b, 6) AS t_hold, CASE
  n_hold) < 20 THEN 'thin' WHEN abs(a) >= 2 AND sign(a) = sign(b) THEN 'holds' WHEN abs(a) >= 2 THEN 'reverses' ELSE 'none' END AS verdict FROM g""")
 def behaviour_verdicts(spark, sf):
     t = trades(spark, sf)
-    s = t.select(F.concat("symbol", F.when(F.col("side") > 0, "L").otherwise("S")).alias("key"), "pnl", (10 * F.col("bar_id") <= 7 * F.max("bar_id").over(Window.partitionBy("symbol"))).alias("train"))
+    s = t.select(F.concat("symbol", F.when(F.col("side") > 0, "L").otherwise("S")).alias("key"), "pnl",
+        (10 * F.col("bar_id") <= 7 * F.max("bar_id").over(Window.partitionBy("symbol"))).alias("train"))
     return V.verdicts(s, "key", "pnl", "train", 20)
 
 
@@ -383,7 +400,9 @@ def replay_against_actual(spark, sf):
     t = trades(spark, sf).select("symbol", "bar_id", "pnl", "bars_held")
     a = t.where("bars_held > 1").select("symbol", "bar_id", F.round(F.col("pnl") - 0.25 * (F.col("bar_id") % 3), 6).alias("actual"))
     j = t.join(a, ["symbol", "bar_id"], "full")
-    return j.groupBy("symbol").agg(F.count("pnl").alias("replayed"), F.count("actual").alias("filled"), r(F.sum("pnl"), 4).alias("replay_pnl"), r(F.sum("actual"), 4).alias("actual_pnl"), r(F.avg(F.col("actual") - F.col("pnl"))).alias("mean_slip"))
+    return j.groupBy("symbol").agg(F.count("pnl").alias("replayed"), F.count("actual").alias("filled"),
+        r(F.sum("pnl"), 4).alias("replay_pnl"), r(F.sum("actual"), 4).alias("actual_pnl"),
+        r(F.avg(F.col("actual") - F.col("pnl"))).alias("mean_slip"))
 
 
 # ---- searches
@@ -403,8 +422,11 @@ def random_exits(spark, sf):
     from ..operators.simulate import first_touch
 
     e = entries(spark, sf).withColumn("g", F.explode(g))
-    t = first_touch(e.select("symbol", "bar_id", "side", "entry_px", "path", (F.col("entry_px") - F.col("side") * F.col("g.stop")).alias("stop"), (F.col("entry_px") + F.col("side") * F.col("g.target")).alias("target"), "g"))
-    return t.groupBy(F.col("g.cfg").alias("cfg"), F.col("g.stop").alias("stop"), F.col("g.target").alias("target")).agg(F.count("*").alias("n"), r(F.avg("pnl")).alias("mean_pnl"))
+    t = first_touch(e.select("symbol", "bar_id", "side", "entry_px", "path",
+        (F.col("entry_px") - F.col("side") * F.col("g.stop")).alias("stop"),
+        (F.col("entry_px") + F.col("side") * F.col("g.target")).alias("target"), "g"))
+    return t.groupBy(F.col("g.cfg").alias("cfg"), F.col("g.stop").alias("stop"),
+        F.col("g.target").alias("target")).agg(F.count("*").alias("n"), r(F.avg("pnl")).alias("mean_pnl"))
 
 
 @query()
@@ -423,7 +445,9 @@ def leaf_rules(spark, sf):
 
     b = hourly(spark, sf)
     w = W.by_symbol()
-    f = b.select("symbol", "bar_id", r(W.zscore("close", 20)).alias("z"), r(F.col("volume") / F.nullif(W.sma("volume", 20), F.lit(0.0))).alias("vr"), (F.lead("close", 4).over(w) - F.col("close")).alias("fwd")).dropna()
+    f = b.select("symbol", "bar_id", r(W.zscore("close", 20)).alias("z"),
+        r(F.col("volume") / F.nullif(W.sma("volume", 20), F.lit(0.0))).alias("vr"),
+        (F.lead("close", 4).over(w) - F.col("close")).alias("fwd")).dropna()
     return rules(f, ["z", "vr"], "fwd", 3, 20)
 
 
@@ -458,7 +482,8 @@ def skip_grams(spark, sf):
     """Directions of a bar, of two and of five bars before, with gaps between them."""
     w = W.by_symbol()
     b = hourly(spark, sf).withColumn("a", F.signum(F.col("close") - F.col("open")).cast("int") + 1)
-    l = b.select((F.lead("close", 4).over(w) - F.col("close")).alias("fwd"), (F.col("a") + 3 * F.lag("a", 2).over(w) + 9 * F.lag("a", 5).over(w)).alias("code")).dropna()
+    l = b.select((F.lead("close", 4).over(w) - F.col("close")).alias("fwd"),
+        (F.col("a") + 3 * F.lag("a", 2).over(w) + 9 * F.lag("a", 5).over(w)).alias("code")).dropna()
     return l.groupBy("code").agg(F.count("*").alias("n"), r(F.avg("fwd")).alias("mean_fwd"))
 
 
@@ -484,7 +509,8 @@ def recursive_oscillators(spark, sf):
     # an open is half of the last open and half of the last close: a recursive average of closes, begun with the first bar's middle
     b = W.ewm(b.withColumn("x", F.coalesce(F.lag("hc").over(w), (F.col("open") + F.col("close")) / 2)), {"ho": ("x", 0.5)})
     stoch = F.when((F.count("*").over(frame) == 14) & (F.round(hi - lo, 9) > 0), (F.col("rsi") - lo) / (hi - lo))
-    return b.select("symbol", "bar_id", r(stoch, 4).alias("stoch_rsi"), r((F.col("e3") - F.col("p")) / F.col("p")).alias("trix"), r("ho", 4).alias("ha_open"), r("hc", 4).alias("ha_close"))
+    return b.select("symbol", "bar_id", r(stoch, 4).alias("stoch_rsi"), r((F.col("e3") - F.col("p")) / F.col("p")).alias("trix"),
+        r("ho", 4).alias("ha_open"), r("hc", 4).alias("ha_close"))
 
 
 @query(f"""WITH {ENTRY}, dy AS (SELECT symbol, CAST(ts AS DATE) AS day, sum(pnl) AS p FROM trades GROUP BY 1, 2), wk AS (SELECT symbol, date_trunc('week',
@@ -513,4 +539,5 @@ def stream_deduplicated(spark, sf):
     from .streams import folder
 
     twice = engine.tick_stream(spark, sf)
-    return engine.run_to_end(engine.deduplicated(twice.unionByName(engine.tick_stream(spark, sf)), "40 days"), folder(spark)).select("id", "symbol", "px")
+    return engine.run_to_end(engine.deduplicated(twice.unionByName(engine.tick_stream(spark, sf)), "40 days"), folder(spark)).select("id",
+        "symbol", "px")

@@ -24,7 +24,8 @@ def atr_regime(spark, sf):
     """The range's mean against its own month-long recursive average, which begins with its first value."""
     b = hourly(spark, sf).withColumn("rg", F.col("high") - F.col("low"))
     b = W.ewm(b.withColumn("atr", W.strict(F.avg("rg"), 14, "rg")), {"m": ("atr", 2 / 481)})
-    return b.select("symbol", "bar_id", r("atr").alias("atr"), r("m").alias("month_mean"), F.coalesce(F.round(F.col("atr") - F.col("m"), 9) <= 0, F.lit(False)).alias("calm"))
+    return b.select("symbol", "bar_id", r("atr").alias("atr"), r("m").alias("month_mean"),
+        F.coalesce(F.round(F.col("atr") - F.col("m"), 9) <= 0, F.lit(False)).alias("calm"))
 
 
 @query(f"""WITH {BARS}, a AS (SELECT ts, close FROM bars WHERE symbol = 'click'), b AS (SELECT ts, close FROM bars WHERE symbol = 'view'),
@@ -75,7 +76,8 @@ RULES = {"calm_high": "rg<=q0.4 & cl>q0.7", "wide_low": "rg>q0.6 & cl<q0.3", "bu
 SELECT symbol, bar_id, 'calm_high' AS rule FROM j WHERE rg <= r4 AND cl > c7 UNION ALL SELECT symbol, bar_id,
  'wide_low' FROM j WHERE rg > r6 AND cl < c3 UNION ALL SELECT symbol, bar_id, 'busy' FROM j WHERE vol >= v8""")
 def mined_rules(spark, sf):
-    f = hourly(spark, sf).select("symbol", "bar_id", (F.col("high") - F.col("low")).alias("rg"), F.col("close").alias("cl"), F.col("volume").cast("double").alias("vol"))
+    f = hourly(spark, sf).select("symbol", "bar_id", (F.col("high") - F.col("low")).alias("rg"), F.col("close").alias("cl"),
+        F.col("volume").cast("double").alias("vol"))
     return N.mined_masks(f, "symbol", RULES).select("symbol", "bar_id", "rule")
 
 
@@ -91,7 +93,8 @@ def structure_search(spark, sf):
     m = masks(spark, sf).select("symbol", "bar_id", F.explode("conds").alias("cond"))
     up, down = F.col("tau_up"), F.col("tau_down")
     won = F.when(up < F.coalesce(down, F.lit(99)), F.col("d")).when(down <= F.coalesce(up, F.lit(99)), -F.col("d")).otherwise(0.0)
-    return m.join(t, ["symbol", "bar_id"]).groupBy("cond", "d").agg(F.count("*").alias("n"), F.count_if(up.isNotNull() | down.isNotNull()).alias("resolved"), r(F.avg(won)).alias("mean_result"))
+    return m.join(t, ["symbol", "bar_id"]).groupBy("cond", "d").agg(F.count("*").alias("n"),
+        F.count_if(up.isNotNull() | down.isNotNull()).alias("resolved"), r(F.avg(won)).alias("mean_result"))
 
 
 @query(f"""WITH {BARS}, y AS (SELECT symbol, bar_id, CAST(volume AS DOUBLE) AS x, lead(close, 4) OVER (PARTITION BY symbol ORDER BY ts) - close AS f,
@@ -104,13 +107,17 @@ def regression_cv(spark, sf):
     """A line fitted before each fold, less the bars whose outcome reaches into it, and judged on the fold."""
     w = W.by_symbol()
     b = hourly(spark, sf).withColumn("sz", F.ceil(F.max("bar_id").over(Window.partitionBy("symbol")) / 5))
-    y = b.select("symbol", "bar_id", F.col("volume").cast("double").alias("x"), (F.lead("close", 4).over(w) - F.col("close")).alias("f"), "sz").where("f IS NOT NULL")
+    y = b.select("symbol", "bar_id", F.col("volume").cast("double").alias("x"), (F.lead("close", 4).over(w) - F.col("close")).alias("f"),
+        "sz").where("f IS NOT NULL")
     z = y.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(4))))
-    fit = z.where("bar_id <= fold * sz - 4").groupBy("symbol", "fold").agg(F.regr_slope("f", "x").alias("b"), F.regr_intercept("f", "x").alias("a"), F.count("*").alias("n_train"))
+    fit = z.where("bar_id <= fold * sz - 4").groupBy("symbol", "fold").agg(F.regr_slope("f", "x").alias("b"),
+        F.regr_intercept("f", "x").alias("a"), F.count("*").alias("n_train"))
     t = z.where("floor((bar_id - 1) / sz) = fold").join(fit, ["symbol", "fold"])
     guess = F.col("a") + F.col("b") * F.col("x")
     miss = F.col("f") - guess
-    return t.groupBy("symbol", "fold").agg(F.first("n_train").alias("n_train"), F.count("*").alias("n_test"), r(F.first("b")).alias("slope"), r(F.sqrt(F.avg(miss * miss))).alias("rmse"), r(F.avg(F.signum(guess) * F.col("f"))).alias("follow_mean"))
+    return t.groupBy("symbol", "fold").agg(F.first("n_train").alias("n_train"), F.count("*").alias("n_test"),
+        r(F.first("b")).alias("slope"), r(F.sqrt(F.avg(miss * miss))).alias("rmse"),
+        r(F.avg(F.signum(guess) * F.col("f"))).alias("follow_mean"))
 
 
 @query(f"""WITH RECURSIVE {BARS}, p AS (SELECT symbol, bar_id, 1 AS trend, low AS sar, high AS best,
@@ -141,5 +148,7 @@ def setup_replay(spark, sf):
 def q_learning(spark, sf):
     """Values of holding short, nothing or long in each state, the state being the last three bars' directions."""
     w = W.by_symbol()
-    b = W.packed_sequence(hourly(spark, sf), 3).withColumn("move", F.lead("close").over(w) - F.col("close")).where("code IS NOT NULL AND move IS NOT NULL")
-    return N.q_table(b.select("symbol", "bar_id", F.col("code").cast("int").alias("state"), "move"), cost=0.25).withColumn("value", r("value"))
+    b = W.packed_sequence(hourly(spark, sf), 3).withColumn("move",
+        F.lead("close").over(w) - F.col("close")).where("code IS NOT NULL AND move IS NOT NULL")
+    return N.q_table(b.select("symbol", "bar_id", F.col("code").cast("int").alias("state"), "move"), cost=0.25).withColumn("value",
+        r("value"))

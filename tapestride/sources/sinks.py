@@ -63,7 +63,8 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
 def append_by_day(stream: DataFrame, at: str, path: str, checkpoint: str):
     """Archives a stream of events as JSON lines in a folder for each day; takes what there is, then stops."""
     days = stream.withColumn("day", F.to_date(at))
-    return days.writeStream.format("json").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return days.writeStream.format("json").partitionBy("day").option("path", path).option("checkpointLocation",
+        checkpoint).trigger(availableNow=True).start()
 
 
 def save_model(model, path: str) -> None:

@@ -14,7 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tick tape (symbol, ts, id, px, size) of the events table; columns and filters reach the scan."""
     e = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value", "props")
-    return e.select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("id"), F.col("value").alias("px"), F.get_json_object("props", "$.k").cast("long").alias("size"))
+    return e.select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("id"), F.col("value").alias("px"),
+        F.get_json_object("props", "$.k").cast("long").alias("size"))
 
 
 def contract_minutes(spark: SparkSession, path: str) -> DataFrame:
@@ -22,12 +23,14 @@ def contract_minutes(spark: SparkSession, path: str) -> DataFrame:
     ddl = "stamp string, open double, high double, low double, close double, volume double"
     raw = spark.read.schema(ddl).option("sep", ";").csv(path)
     contract = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]+)*$", 1)
-    return raw.select(contract.alias("symbol"), F.try_to_timestamp("stamp", F.lit("yyyyMMdd HHmmss")).alias("ts"), "open", "high", "low", "close", "volume").where("ts IS NOT NULL")
+    return raw.select(contract.alias("symbol"), F.try_to_timestamp("stamp", F.lit("yyyyMMdd HHmmss")).alias("ts"), "open", "high", "low",
+        "close", "volume").where("ts IS NOT NULL")
 
 
 def bars_csv(spark: SparkSession, path: str) -> DataFrame:
     """Bars with a header; the last of rows with one time stays, by file name, then by place in the file."""
-    raw = spark.read.schema("ts timestamp, open double, high double, low double, close double, volume double").option("header", True).csv(path)
+    raw = spark.read.schema("ts timestamp, open double, high double, low double, close double, volume double").option("header",
+        True).csv(path)
     at = F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     value = F.struct("open", "high", "low", "close", "volume")
     return raw.select("ts", value.alias("b"), at.alias("at")).groupBy("ts").agg(F.max_by("b", "at").alias("b")).select("ts", "b.*")
@@ -90,11 +93,14 @@ def calendar_xml(spark: SparkSession, path: str) -> DataFrame:
 def option_chain(df: DataFrame, ticker: str = "ticker") -> DataFrame:
     """Adds root, expiry, cp and strike, as an OCC option symbol holds them."""
     part = lambda k: F.regexp_extract(ticker, r"^(?:O:)?([A-Z]{1,6})(\d{6})([CP])(\d{8})$", k)
-    return df.withColumns({"root": part(1), "expiry": F.try_to_timestamp(part(2), F.lit("yyMMdd")).cast("date"), "cp": part(3), "strike": part(4).try_cast("double") / 1000}).where("root <> ''")
+    return df.withColumns({"root": part(1), "expiry": F.try_to_timestamp(part(2), F.lit("yyMMdd")).cast("date"), "cp": part(3),
+        "strike": part(4).try_cast("double") / 1000}).where("root <> ''")
 
 
 #: Layout of the order messages read here: type, struct format after the 11-byte head, fields.
-ITCH = {"A": (">Qc I8sI", ("ref", "side", "shares", "stock", "price")), "E": (">QIQ", ("ref", "shares", "match")), "X": (">QI", ("ref", "shares")), "D": (">Q", ("ref",)), "U": (">QQII", ("ref", "new_ref", "shares", "price")), "C": (">QIQcI", ("ref", "shares", "match", "printable", "price")), "R": (">8s", ("stock",))}
+ITCH = {"A": (">Qc I8sI", ("ref", "side", "shares", "stock", "price")), "E": (">QIQ", ("ref", "shares", "match")),
+    "X": (">QI", ("ref", "shares")), "D": (">Q", ("ref",)), "U": (">QQII", ("ref", "new_ref", "shares", "price")),
+    "C": (">QIQcI", ("ref", "shares", "match", "printable", "price")), "R": (">8s", ("stock",))}
 
 
 def itch_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -126,7 +132,9 @@ def itch_messages(spark: SparkSession, path: str) -> DataFrame:
                     if layout and len(message) >= 11 + layout[0].size:
                         got = dict(zip(layout[1], layout[0].unpack_from(message, 11)))
                         text = {k: v.decode().strip() for k, v in got.items() if isinstance(v, bytes)}
-                        rows.append({"file": file, "seq": seq, "kind": kind, "locate": int.from_bytes(message[1:3], "big"), "ns": int.from_bytes(message[5:11], "big")} | got | text | ({"price": got["price"] / 1e4} if "price" in got else {}))
+                        rows.append({"file": file, "seq": seq, "kind": kind, "locate": int.from_bytes(message[1:3], "big"),
+                            "ns": int.from_bytes(message[5:11],
+                            "big")} | got | text | ({"price": got["price"] / 1e4} if "price" in got else {}))
                     seq += 1
                     if len(rows) >= 50_000:
                         yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], schema=schema)
@@ -163,7 +171,8 @@ def tick_files(spark: SparkSession, path: str) -> DataFrame:
     part = lambda n: F.substring("stamp", *TICK_TIME[n])
     second = F.try_to_timestamp(F.concat(part("date"), part("clock")), F.lit("yyyyMMddHHmmss"))
     symbol = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]+)*$", 1)
-    t = raw.select(symbol.alias("symbol"), second.alias("second"), part("part").try_cast("bigint").alias("part"), "px", *(F.when(F.col(c) > 0, F.col(c)).alias(c) for c in ("bid", "ask")), "size")
+    t = raw.select(symbol.alias("symbol"), second.alias("second"), part("part").try_cast("bigint").alias("part"), "px",
+        *(F.when(F.col(c) > 0, F.col(c)).alias(c) for c in ("bid", "ask")), "size")
     t = t.where("second IS NOT NULL AND part IS NOT NULL")
     ns = F.unix_seconds("second") * 1_000_000_000 + F.col("part") * 100
     return t.select("symbol", F.timestamp_micros(F.floor(ns / 1000)).alias("ts"), ns.alias("ns"), "px", "bid", "ask", "size")
@@ -174,13 +183,15 @@ def aggregate_json(spark: SparkSession, path: str) -> DataFrame:
     ddl = "ticker string, results array<struct<t bigint, o double, h double, l double, c double, v double>>"
     raw = spark.read.schema(ddl).option("multiLine", True).json(path)
     x = raw.select(F.col("ticker").alias("symbol"), F.explode("results").alias("x"))
-    return x.select("symbol", F.timestamp_millis("x.t").alias("ts"), *(F.col(f"x.{a}").alias(n) for a, n in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"), ("v", "volume"))))
+    return x.select("symbol", F.timestamp_millis("x.t").alias("ts"),
+        *(F.col(f"x.{a}").alias(n) for a, n in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"), ("v", "volume"))))
 
 
 def filings(spark: SparkSession, path: str) -> DataFrame:
     """Entries of Atom feeds of filings: (title, updated, form); the form is what stands before the first dash of the title."""
     raw = spark.read.format("xml").option("rowTag", "entry").schema("title string, updated string").load(path)
-    return raw.select("title", F.try_to_timestamp("updated").alias("updated"), F.trim(F.split_part("title", F.lit("-"), F.lit(1))).alias("form"))
+    return raw.select("title", F.try_to_timestamp("updated").alias("updated"),
+        F.trim(F.split_part("title", F.lit("-"), F.lit(1))).alias("form"))
 
 
 def binary_rows(spark: SparkSession, path: str, ddl: str, parse) -> DataFrame:
@@ -211,7 +222,8 @@ def hourly_ticks(spark: SparkSession, path: str, scale: float) -> DataFrame:
         symbol, hour = name.split(".")[0].rsplit("_", 1)
         start = int(dt.datetime.strptime(hour, "%Y%m%d%H").replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
         for ms, ask, bid, ask_size, bid_size in struct.iter_unpack(">IIIff", lzma.decompress(data) if data else b""):
-            yield {"symbol": symbol, "ms": start + ms, "bid": bid / scale, "ask": ask / scale, "bid_size": float(bid_size), "ask_size": float(ask_size)}
+            yield {"symbol": symbol, "ms": start + ms, "bid": bid / scale, "ask": ask / scale, "bid_size": float(bid_size),
+                "ask_size": float(ask_size)}
 
     return binary_rows(spark, path, "symbol string, ms bigint, bid double, ask double, bid_size double, ask_size double", parse)
 
@@ -282,7 +294,9 @@ def socket_events(lines: DataFrame, value: str = "value") -> DataFrame:
     """Trade (T), quote (Q) and aggregate (A, AM) events of JSON arrays, one array a line; works on streams as on tables."""
     ddl = "array<struct<ev string, sym string, t bigint, p double, s bigint, bp double, ap double, o double, h double, l double, c double, v double>>"
     x = lines.select(F.explode(F.from_json(value, ddl)).alias("x")).where("x.ev IN ('T', 'Q', 'A', 'AM')")
-    return x.select(F.col("x.ev").alias("kind"), F.col("x.sym").alias("symbol"), F.timestamp_millis("x.t").alias("ts"), F.coalesce("x.p", "x.c", (F.col("x.bp") + F.col("x.ap")) / 2).alias("px"), F.coalesce("x.s", F.col("x.v").cast("bigint")).alias("size"), F.col("x.bp").alias("bid"), F.col("x.ap").alias("ask"))
+    return x.select(F.col("x.ev").alias("kind"), F.col("x.sym").alias("symbol"), F.timestamp_millis("x.t").alias("ts"),
+        F.coalesce("x.p", "x.c", (F.col("x.bp") + F.col("x.ap")) / 2).alias("px"),
+        F.coalesce("x.s", F.col("x.v").cast("bigint")).alias("size"), F.col("x.bp").alias("bid"), F.col("x.ap").alias("ask"))
 
 
 def synthetic_bars(spark: SparkSession, symbol: str, n: int, start: float, step: float, seed: str = "bars") -> DataFrame:
@@ -297,7 +311,9 @@ def synthetic_bars(spark: SparkSession, symbol: str, n: int, start: float, step:
     w = Window.partitionBy(F.lit(symbol)).orderBy("bar_id")
     r = r.withColumn("close", start + F.sum("_m").over(w)).withColumn("open", F.col("close") - F.col("_m"))
     ts = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("bar_id") * 3600).cast("timestamp_ntz")
-    return r.select(F.lit(symbol).alias("symbol"), ts.alias("ts"), F.col("bar_id").cast("int").alias("bar_id"), "open", (F.greatest("open", "close") + F.col("_a")).alias("high"), (F.least("open", "close") - F.col("_b")).alias("low"), "close", F.lit(1).cast("long").alias("volume"))
+    return r.select(F.lit(symbol).alias("symbol"), ts.alias("ts"), F.col("bar_id").cast("int").alias("bar_id"), "open",
+        (F.greatest("open", "close") + F.col("_a")).alias("high"), (F.least("open", "close") - F.col("_b")).alias("low"), "close",
+        F.lit(1).cast("long").alias("volume"))
 
 
 def cached(spark: SparkSession, path: str, seconds: float, make) -> DataFrame:

@@ -13,7 +13,8 @@ TICKS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value
 
 def tick_stream(spark: SparkSession, folder: str, glob: str = "events.parquet", files_per_batch: int = 1) -> DataFrame:
     s = spark.readStream.schema(TICKS).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    return s.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.col("value").alias("px"), F.get_json_object("props", "$.k").cast("long").alias("size"))
+    return s.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"),
+        F.col("value").alias("px"), F.get_json_object("props", "$.k").cast("long").alias("size"))
 
 
 def window_bars(ticks: DataFrame, width: str, delay: str, slide: str | None = None) -> DataFrame:
@@ -21,7 +22,8 @@ def window_bars(ticks: DataFrame, width: str, delay: str, slide: str | None = No
     at = F.struct("ts", "id")
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
     return ticks.withWatermark("ts", delay).groupBy("symbol", w.alias("w")).agg(
-        F.min_by("px", at).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", at).alias("close"), F.sum("size").alias("volume"), F.count("*").alias("n_ticks"),
+        F.min_by("px", at).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", at).alias("close"),
+        F.sum("size").alias("volume"), F.count("*").alias("n_ticks"),
     ).select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume", "n_ticks")
 
 
@@ -50,7 +52,8 @@ def count_bars(ticks: DataFrame, k: int) -> DataFrame:
         state.update((bar, n, float(o), float(h), float(lo), v))
         yield pd.DataFrame(rows, columns=["symbol", "bar", "open", "high", "low", "close", "volume"])
 
-    return ticks.groupBy("symbol").applyInPandasWithState(run, out, "bar long, n long, o double, h double, l double, v long", "append", GroupStateTimeout.NoTimeout)
+    return ticks.groupBy("symbol").applyInPandasWithState(run, out, "bar long, n long, o double, h double, l double, v long", "append",
+        GroupStateTimeout.NoTimeout)
 
 
 def run_to_end(stream: DataFrame, folder: str, name: str | None = None) -> DataFrame:
@@ -58,7 +61,8 @@ def run_to_end(stream: DataFrame, folder: str, name: str | None = None) -> DataF
 
     A run of the same name goes on from the checkpoint that the one before left; without a name a run is its own."""
     at = f"{folder}/stream-{name or uuid.uuid4().hex}"
-    query = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    query = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation",
+        f"{at}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
 
@@ -107,7 +111,8 @@ def order_book(messages: DataFrame, every: int) -> DataFrame:
             if n % every == 0:
                 bid, ask = max(levels["B"], default=None), min(levels["S"], default=None)
                 rows.append((m.file, m.locate, m.seq, bid, levels["B"].get(bid), ask, levels["S"].get(ask)))
-        return pd.DataFrame(rows, columns=["file", "locate", "seq", "bid", "bid_size", "ask", "ask_size"]).astype({"bid_size": "Int64", "ask_size": "Int64"})
+        return pd.DataFrame(rows, columns=["file", "locate", "seq", "bid", "bid_size", "ask", "ask_size"]).astype({"bid_size": "Int64",
+            "ask_size": "Int64"})
 
     return messages.where("kind <> 'R'").groupBy("file", "locate").applyInPandas(run, ddl)
 
@@ -158,7 +163,9 @@ def closest_quotes(left: DataFrame, right: DataFrame, key: str, width: str, dela
     """Pairs of two streams' rows (key, ts, px) of one key and one time cell, with the difference of their prices.
 
     Both sides carry a watermark, so a cell's rows leave the state once it is over."""
-    cell = lambda df, side: df.withWatermark("ts", delay).select(F.col(key).alias(f"{side}_{key}"), F.window("ts", width).alias(f"{side}_w"), F.col("id").alias(f"{side}_id"), F.col("px").alias(f"{side}_px"))
+    cell = lambda df, side: df.withWatermark("ts", delay).select(F.col(key).alias(f"{side}_{key}"),
+        F.window("ts", width).alias(f"{side}_w"), F.col("id").alias(f"{side}_id"), F.col("px").alias(f"{side}_px"))
     a, b = cell(left, "a"), cell(right, "b")
     j = a.join(b, (F.col(f"a_{key}") == F.col(f"b_{key}")) & (F.col("a_w") == F.col("b_w")))
-    return j.select(F.col(f"a_{key}").alias(key), F.col("a_w.start").alias("ts"), "a_id", "b_id", (F.col("a_px") - F.col("b_px")).alias("gap"))
+    return j.select(F.col(f"a_{key}").alias(key), F.col("a_w.start").alias("ts"), "a_id", "b_id",
+        (F.col("a_px") - F.col("b_px")).alias("gap"))
