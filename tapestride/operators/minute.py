@@ -254,3 +254,58 @@ def bar_families(bars: DataFrame, n: int = 20) -> DataFrame:
     }
     on = emit(b, {f"{n}_{s}": (side, mask) for n, pair in both.items() for s, side, mask in (("L", 1, pair[0]), ("S", -1, pair[1]))})
     return on.select("symbol", "bar_id", F.col("signal_name").alias("family"), "side")
+
+
+def indicator_families(bars: DataFrame) -> DataFrame:
+    """Families of signals from indicators and levels, long and short: (symbol, bar_id, family, side); one recursive pass, then windows."""
+    from .joins import previous_day
+
+    w = W.by_symbol()
+    lag = lambda c, k=1: F.lag(c, k).over(w)
+    b = W.rsi(bars, 14, {"fast": ("close", 2 / 13), "slow": ("close", 2 / 27)}).withColumn("macd", F.col("fast") - F.col("slow"))
+    b = W.ewm(b, {"line": ("macd", 0.2)}).drop("gain", "loss", "avg_gain", "avg_loss")
+    b = W.cci(W.session_vwap(previous_day(b).drop("day")), 20)
+    o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
+    day = Window.partitionBy("symbol", "day")
+    run = day.orderBy("ts")
+    sd = W.strict(F.stddev_pop("close"), 20)
+    slot = Window.partitionBy("symbol", F.hour("ts"), F.minute("ts")).orderBy("ts")
+    b = b.withColumns({
+        "ma20": W.sma("close", 20), "ma60": W.sma("close", 60), "ma120": W.sma("close", 120), "sd": sd, "k": W.stochastic_k(14),
+        "ar": W.strict(F.avg(h - lo), 20), "top": F.max("high").over(w.rowsBetween(-20, -1)), "floor": F.min("low").over(w.rowsBetween(-20, -1)),
+        "clv": (c - lo) / F.nullif(h - lo, F.lit(0.0)), "m": ny_minute(F.col("ts")), "nth": F.row_number().over(run),
+        "same": F.lag(c - o).over(slot), "up1": F.coalesce((c > lag("close")).cast("int"), F.lit(0)),
+        "dn1": F.coalesce((c < lag("close")).cast("int"), F.lit(0)),
+    })
+    b = b.withColumns({
+        "width": 4 * F.col("sd") / F.nullif("ma20", F.lit(0.0)), "hour_high": F.max(F.when((F.col("m") >= 570) & (F.col("m") < 630), h)).over(run),
+        "hour_low": F.min(F.when((F.col("m") >= 570) & (F.col("m") < 630), lo)).over(run), "ups": F.sum("up1").over(W.last_n(5)),
+        "downs": F.sum("dn1").over(W.last_n(5)), "pv": F.lag("vwap").over(run),
+    })
+    at100 = W.last_n(100)
+    b = b.withColumns({
+        "tight": F.when(F.count("width").over(at100) == 100, F.percentile("width", F.lit(0.25)).over(at100)),
+        **{f"p_{x}": lag(x) for x in ("macd", "line", "k", "cci", "close", "clv")}, "p2_clv": lag("clv", 2), "c10": lag("close", 10), "rsi10": lag("rsi", 10),
+    })
+    x = {k: F.col(k) for k in b.columns}
+    band = 2 * x["sd"]
+    # fixed values: the names of the families
+    both = {
+        "rsirev": ((x["rsi"] < 30) & (c > o), (x["rsi"] > 70) & (c < o)), "bollbrk": (c > x["ma20"] + band, c < x["ma20"] - band),
+        "squeeze": ((x["width"] <= x["tight"]) & (c > x["top"]), (x["width"] <= x["tight"]) & (c < x["floor"])),
+        "macdx": ((x["macd"] > x["line"]) & (x["p_macd"] <= x["p_line"]), (x["macd"] < x["line"]) & (x["p_macd"] >= x["p_line"])),
+        "stochx": ((x["k"] > 20) & (x["p_k"] <= 20), (x["k"] < 80) & (x["p_k"] >= 80)),
+        "cciext": ((x["p_cci"] < -100) & (x["cci"] > x["p_cci"]), (x["p_cci"] > 100) & (x["cci"] < x["p_cci"])),
+        "pdhbrk": ((c > x["pdh"]) & (x["p_close"] <= x["pdh"]), (c < x["pdl"]) & (x["p_close"] >= x["pdl"])),
+        "pdhfade": ((lo < x["pdl"]) & (c > x["pdl"]), (h > x["pdh"]) & (c < x["pdh"])), "pivfade": ((lo <= x["s1"]) & (c > x["s1"]), (h >= x["r1"]) & (c < x["r1"])),
+        "mapull": ((x["ma20"] > x["ma60"]) & (lo <= x["ma20"]) & (c > x["ma20"]), (x["ma20"] < x["ma60"]) & (h >= x["ma20"]) & (c < x["ma20"])),
+        "htfalign": ((c > x["ma20"]) & (x["ma20"] > x["ma60"]) & (x["ma60"] > x["ma120"]), (c < x["ma20"]) & (x["ma20"] < x["ma60"]) & (x["ma60"] < x["ma120"])),
+        "clvper": ((x["clv"] > 0.8) & (x["p_clv"] > 0.8) & (x["p2_clv"] > 0.8), (x["clv"] < 0.2) & (x["p_clv"] < 0.2) & (x["p2_clv"] < 0.2)),
+        "firsthr": ((x["m"] >= 630) & (x["m"] < 720) & (c > x["hour_high"]), (x["m"] >= 630) & (x["m"] < 720) & (c < x["hour_low"])),
+        "todmom": (x["same"] > 0, x["same"] < 0), "gap": ((x["nth"] == 1) & (o > x["pdh"]), (x["nth"] == 1) & (o < x["pdl"])),
+        "exhaust": (x["downs"] == 5, x["ups"] == 5), "vwaptrend": ((c > x["vwap"]) & (x["vwap"] > x["pv"]), (c < x["vwap"]) & (x["vwap"] < x["pv"])),
+        "vwaprev": (c < x["vwap"] - 1.5 * x["vwap_sd"], c > x["vwap"] + 1.5 * x["vwap_sd"]), "atrexp": ((h - lo > 2 * x["ar"]) & (c > o), (h - lo > 2 * x["ar"]) & (c < o)),
+        "rsidiv": ((c < x["c10"]) & (x["rsi"] > x["rsi10"]) & (x["rsi"] < 40), (c > x["c10"]) & (x["rsi"] < x["rsi10"]) & (x["rsi"] > 60)),
+    }
+    on = emit(b, {f"{n}_{s}": (side, mask) for n, pair in both.items() for s, side, mask in (("L", 1, pair[0]), ("S", -1, pair[1]))})
+    return on.select("symbol", "bar_id", F.col("signal_name").alias("family"), "side")

@@ -220,3 +220,47 @@ z AS (SELECT symbol, bar_id, unnest({FAMILIES}) AS family, unnest([close < ma -
 def bar_families(spark, sf):
     """Ten families of bar patterns, both sides each."""
     return Q.bar_families(half_hours(spark, sf))
+
+
+INDICATORS = """rsirev bollbrk squeeze macdx stochx cciext pdhbrk pdhfade pivfade mapull htfalign clvper firsthr todmom gap exhaust
+vwaptrend vwaprev atrexp rsidiv""".split()
+NAMES = "[" + ", ".join(f"'{n}_{s}'" for n in INDICATORS for s in "LS") + "]"
+
+
+@query(f"""WITH RECURSIVE {HALF}, d AS (SELECT *, coalesce(greatest(close - lag(close) OVER o, 0), 0) AS gain, coalesce(greatest(lag(close) OVER o - close, 0), 0) AS loss
+ FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY ts)),
+e AS (SELECT symbol, bar_id, gain AS g, loss AS l, close AS f, close AS s, CAST(0 AS DOUBLE) AS line FROM d WHERE bar_id = 1 UNION ALL
+ SELECT d.symbol, d.bar_id, e.g + (d.gain - e.g) / 14.0, e.l + (d.loss - e.l) / 14.0, e.f + (d.close - e.f) * 2 / 13.0, e.s + (d.close - e.s) * 2 / 27.0,
+  e.line + ((e.f + (d.close - e.f) * 2 / 13.0) - (e.s + (d.close - e.s) * 2 / 27.0) - e.line) * 0.2 FROM e JOIN d ON d.symbol = e.symbol AND d.bar_id = e.bar_id + 1),
+dd AS (SELECT b.*, CAST(ts AS DATE) AS day, CASE WHEN g + l > 0 THEN 100 * g / (g + l) ELSE 50 END AS rsi, f - s AS macd, line, (high + low + close) / 3 AS tp,
+ greatest(CAST(volume AS DOUBLE), 1) AS vv, {NY_MINUTE} AS m FROM bars b JOIN e ON e.symbol = b.symbol AND e.bar_id = b.bar_id),
+pd AS (SELECT symbol, day, max(high) AS h, min(low) AS l, arg_max(close, ts) AS c FROM dd GROUP BY 1, 2),
+pv AS (SELECT symbol, day, lag(h) OVER o AS pdh, lag(l) OVER o AS pdl, lag(c) OVER o AS pdc FROM pd WINDOW o AS (PARTITION BY symbol ORDER BY day)),
+v AS (SELECT dd.*, pdh, pdl, 2 * (pdh + pdl + pdc) / 3 - pdl AS r1, 2 * (pdh + pdl + pdc) / 3 - pdh AS s1, sum(tp * vv) OVER r / sum(vv) OVER r AS vwap
+ FROM dd JOIN pv USING (symbol, day) WINDOW r AS (PARTITION BY symbol, day ORDER BY ts)),
+a AS (SELECT *, sqrt(avg((tp - vwap) * (tp - vwap)) OVER r) AS vsd, lag(vwap) OVER r AS pvw, {full('avg(close)', 20)} AS ma20, {full('avg(close)', 60)} AS ma60,
+ {full('avg(close)', 120)} AS ma120, {full('stddev_pop(close)', 20)} AS sd, {full('avg(high - low)', 20)} AS ar, {full('avg(tp)', 20)} AS mt,
+ CASE WHEN count(*) OVER w14 = 14 AND max(high) OVER w14 > min(low) OVER w14 THEN 100 * (close - min(low) OVER w14) / (max(high) OVER w14 - min(low) OVER w14) END AS k,
+ max(high) OVER pr AS top, min(low) OVER pr AS flr, (close - low) / nullif(high - low, 0) AS clv, row_number() OVER r AS nth,
+ lag(close - open) OVER (PARTITION BY symbol, hour(ts), minute(ts) ORDER BY ts) AS same, close > lag(close) OVER o AS u1, close < lag(close) OVER o AS d1,
+ max(CASE WHEN m >= 570 AND m < 630 THEN high END) OVER r AS hh, min(CASE WHEN m >= 570 AND m < 630 THEN low END) OVER r AS hl
+ FROM v WINDOW r AS (PARTITION BY symbol, day ORDER BY ts), w14 AS (PARTITION BY symbol ORDER BY ts ROWS 13 PRECEDING), o AS (PARTITION BY symbol ORDER BY ts),
+ pr AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+x AS (SELECT *, CASE WHEN count(abs(tp - mt)) OVER w = 20 AND avg(abs(tp - mt)) OVER w > 1e-12 THEN (tp - mt) / (0.015 * avg(abs(tp - mt)) OVER w) END AS cci,
+ 4 * sd / nullif(ma20, 0) AS width, sum(CAST(coalesce(u1, false) AS INT)) OVER w5 AS ups, sum(CAST(coalesce(d1, false) AS INT)) OVER w5 AS downs
+ FROM a WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING), w5 AS (PARTITION BY symbol ORDER BY ts ROWS 4 PRECEDING)),
+t AS (SELECT *, CASE WHEN count(width) OVER w = 100 THEN quantile_cont(width, 0.25) OVER w END AS tight, lag(macd) OVER o AS pm, lag(line) OVER o AS pl, lag(k) OVER o AS pk,
+ lag(cci) OVER o AS pcci, lag(close) OVER o AS pc, lag(clv) OVER o AS c1, lag(clv, 2) OVER o AS c2, lag(close, 10) OVER o AS c10, lag(rsi, 10) OVER o AS r10
+ FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 99 PRECEDING), o AS (PARTITION BY symbol ORDER BY ts)),
+z AS (SELECT symbol, bar_id, unnest({NAMES}) AS family, unnest([rsi < 30 AND close > open, rsi > 70 AND close < open, close > ma20 + 2 * sd, close < ma20 - 2 * sd,
+ width <= tight AND close > top, width <= tight AND close < flr, macd > line AND pm <= pl, macd < line AND pm >= pl, k > 20 AND pk <= 20, k < 80 AND pk >= 80,
+ pcci < -100 AND cci > pcci, pcci > 100 AND cci < pcci, close > pdh AND pc <= pdh, close < pdl AND pc >= pdl, low < pdl AND close > pdl, high > pdh AND close < pdh,
+ low <= s1 AND close > s1, high >= r1 AND close < r1, ma20 > ma60 AND low <= ma20 AND close > ma20, ma20 < ma60 AND high >= ma20 AND close < ma20,
+ close > ma20 AND ma20 > ma60 AND ma60 > ma120, close < ma20 AND ma20 < ma60 AND ma60 < ma120, clv > 0.8 AND c1 > 0.8 AND c2 > 0.8, clv < 0.2 AND c1 < 0.2 AND c2 < 0.2,
+ m >= 630 AND m < 720 AND close > hh, m >= 630 AND m < 720 AND close < hl, same > 0, same < 0, nth = 1 AND open > pdh, nth = 1 AND open < pdl, downs = 5, ups = 5,
+ close > vwap AND vwap > pvw, close < vwap AND vwap < pvw, close < vwap - 1.5 * vsd, close > vwap + 1.5 * vsd, high - low > 2 * ar AND close > open,
+ high - low > 2 * ar AND close < open, close < c10 AND rsi > r10 AND rsi < 40, close > c10 AND rsi < r10 AND rsi > 60]) AS ok FROM t)
+SELECT symbol, bar_id, family, CASE WHEN family LIKE '%L' THEN 1 ELSE -1 END AS side FROM z WHERE ok""")
+def indicator_families(spark, sf):
+    """Twenty families of signals from indicators and levels, both sides each."""
+    return Q.indicator_families(half_hours(spark, sf))
