@@ -231,10 +231,10 @@ f AS (SELECT symbol, bar_id, any_value(side) AS side, any_value(entry_px) AS e,
  min(k) FILTER (WHERE s OR t) AS k, arg_min(CASE WHEN s THEN 'stop' ELSE 'target' END, k) FILTER (WHERE s OR t) AS why,
  arg_min(CASE WHEN s THEN stop ELSE entry_px + side * 30 END, k) FILTER (WHERE s OR t) AS px FROM h GROUP BY 1, 2)
 SELECT symbol, bar_id, coalesce(a < coalesce(k, n), false) AS moved, CAST(coalesce(k, n) AS INT) AS bars_held, coalesce(why,
- 'timeout') AS exit_reason, round(side * (coalesce(px, last_c) - e), 6) AS pnl FROM f""")
+ 'timeout') AS exit_reason, CASE WHEN coalesce(px, last_c) = e THEN 0 ELSE round(side * (coalesce(px, last_c) - e), 6) END AS pnl FROM f""")
 def break_even_stop(spark, sf):
     t = X.break_even(entries(spark, sf).where(F.size("path") > 0), 15.0, 30.0, 10.0)
-    return t.select("symbol", "bar_id", "moved", "bars_held", "exit_reason", r("pnl").alias("pnl"))
+    return t.select("symbol", "bar_id", "moved", "bars_held", "exit_reason", F.when(F.col("pnl") == 0, 0.0).otherwise(r("pnl")).alias("pnl"))
 
 
 @query(f"""WITH {TAPE}, d AS (SELECT *, CAST(ts AS DATE) AS day, epoch_us(ts) AS us FROM tape), p AS (SELECT *, CASE WHEN px < lag(px) OVER (PARTITION BY symbol,
