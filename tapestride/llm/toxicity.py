@@ -96,8 +96,15 @@ def fit_chain(docs: list, groups: list[int], labels, names: list[str]) -> Chain:
 
     if not len(docs):
         raise ValueError("no labelled rows")
-    sizes = np.array([len(d) for d in docs])
-    at, (known, codes) = np.repeat(np.arange(len(docs)), sizes), np.unique(np.concatenate([np.asarray(d, np.int64) for d in docs]), return_inverse=True)
+    at = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
+    flat = np.concatenate([np.asarray(d, np.uint32) for d in docs])
+    known, times = np.unique(flat, return_counts=True)
+    known = known[times >= LEAST_DOCS]  # rarer features never enter a model, so the rest of the sample is let go
+    codes = np.searchsorted(known, flat).astype(np.int32)
+    held = codes < len(known)
+    held[held] = known[codes[held]] == flat[held]
+    at, codes = at[held], codes[held]
+    del flat, times, held
     fold = np.array([zlib.crc32(str(g).encode()) % FOLDS for g in groups])
     earlier = np.zeros((len(docs), 0))
     out = Chain(list(names), [], [], [])
