@@ -26,21 +26,136 @@ def parity_spot(chain: DataFrame, keys: list[str]) -> DataFrame:
         F.struct(F.round(F.abs(gap), 9), "strike")).alias("x")).select(*keys, "x.*")
 
 
+QUEUE_CELL = 4  #: length of a cell of queue_fills in times to live; a tick is copied to 1 + 1 / QUEUE_CELL cells on average
+
+
 def queue_fills(orders: DataFrame, ticks: DataFrame, ttl_seconds: int) -> DataFrame:
-    """First tick that fills each resting buy (symbol, order_id, ts, limit, ahead): trade-through below the limit, or the size ahead traded at it.
-
-    The running sum runs in the order's own window of ticks, found by a cell join."""
-    from .joins import within
-
-    o = orders.select("symbol", "order_id", F.col("ts").alias("placed"), "limit", "ahead",
-        (F.col("ts") + F.make_dt_interval(secs=F.lit(ttl_seconds))).alias("dies"))
-    t = within(ticks, o, ["symbol"], "ts", "placed", "dies", ttl_seconds).where("ts > placed AND px <= limit")
-    w = Window.partitionBy("symbol", "order_id").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("_done", F.sum(F.when(F.col("px") == F.col("limit"), F.col("size")).otherwise(0)).over(w))
-    hit = t.where("px < limit OR _done > ahead").groupBy("symbol",
-        "order_id").agg(F.min_by(F.struct("ts", (F.col("px") < F.col("limit")).alias("through")), F.struct("ts", "id")).alias("f"))
-    return o.select("symbol", "order_id").join(hit, ["symbol", "order_id"], "left").select("symbol", "order_id",
-        F.col("f.ts").alias("fill_ts"), F.col("f.through").alias("through"))
+    """First tick that fills each resting buy (symbol, order_id, ts, limit, ahead): trade-through below the limit, or the
+    size ahead traded at it.
+
+    Sizes are whole numbers. Orders meet the ticks of their cell of time as two tables, never as pairs, and each searches
+    them (`queue_hits`). An order is never lost; one without symbol, order_id or ts is not filled.
+
+    Rows of one symbol and order_id are one order: what trades for each of them counts together, and the first fill is
+    theirs all. Whether there are any is asked at once. Equal rows then count several times, rows that differ meet their
+    ticks in pairs (`mixed_fills`)."""
+    from pyspark.sql import types as T
+
+    at = ticks.schema["ts"].dataType
+    local = isinstance(at, T.TimestampNTZType)  # has no zone, so none may decide on its cell
+    day = F.unix_date(F.to_date("ts")).cast("long") * 86_400
+    sec = day + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts") if local else F.unix_seconds("ts")
+    cell = lambda s: F.floor(s / max(QUEUE_CELL * ttl_seconds, 1))
+    apart = -F.pmod(F.xxhash64("order_id"), F.lit(4096)) - (1 << 40)  # cells without ticks for orders without a time
+    o = orders.select("symbol", "order_id", F.col("ts").cast(at).alias("ts"), F.col("limit").cast("double").alias("limit"), "ahead")
+    named = F.col("symbol").isNotNull() & F.col("order_id").isNotNull()
+    t = ticks.select("symbol", "ts", "id", F.col("px").cast("double").alias("px"), "size").where(
+        "symbol IS NOT NULL AND ts IS NOT NULL AND px IS NOT NULL")
+    t = t.withColumn("_cell", F.explode(F.sequence(cell(sec - ttl_seconds), cell(sec))))
+    mixed = None
+    if o.where(named).groupBy("symbol", "order_id").count().where("count > 1").isEmpty():
+        own = o.withColumn("_n", F.lit(1).cast("long"))
+    else:
+        w = Window.partitionBy("symbol", "order_id")
+        one = lambda c: F.min(c).over(w).eqNullSafe(F.max(c).over(w)) & F.count(c).over(w).isin(F.lit(0), F.col("_n"))
+        own = o.withColumn("_n", F.count("*").over(w)).withColumn("_mixed", named & ~(one("ts") & one("limit") & one("ahead")))
+        mixed = own.where("_mixed").drop("_mixed").withColumn("_cell", cell(sec))
+        own = own.where("NOT _mixed").drop("_mixed")
+    field = lambda c: T.StructField(c, o.schema[c].dataType)
+    out = T.StructType([field("symbol"), field("order_id"), T.StructField("fill_ts", at), T.StructField("through", T.BooleanType())])
+    own = own.withColumn("_cell", F.coalesce(cell(sec), apart)).groupBy("symbol", "_cell")
+    found = own.cogroup(t.groupBy("symbol", "_cell")).applyInArrow(queue_hits(ttl_seconds * 1_000_000), out)
+    return found if mixed is None else found.unionByName(mixed_fills(mixed, t, ttl_seconds))
+
+
+def queue_hits(ttl: int):
+    """Function of one symbol's orders (symbol, order_id, ts, limit, ahead, _n) and ticks (ts, id, px, size) in Arrow:
+    (symbol, order_id, fill_ts, through) of each order.
+
+    Two searches in the ticks by time: the first price below the limit, and, among the ticks at the limit, the first
+    place where the running size, taken `_n` times, exceeds the size ahead. Equal (ts, id) are one moment; a
+    trade-through in it comes first."""
+    import numpy as np
+    import pyarrow as pa
+
+    def first_beyond(values, start, least):
+        """For each start the first place from it on whose value exceeds `least`, or one behind the last: a tree of maxima,
+        climbed, then descended."""
+        n = len(values)
+        if n == 0:
+            return np.zeros(len(start), "int64")
+        tree = [np.concatenate([values, np.repeat(values[-1:], (1 << (n - 1).bit_length()) - n)])]
+        while len(tree[-1]) > 1:
+            tree.append(np.maximum(tree[-1][::2], tree[-1][1::2]))
+        at, height = np.array(start, "int64"), np.full(len(start), -1)
+        for k, top in enumerate(tree):  # an even place is asked with its parent
+            ask = np.flatnonzero((height < 0) & (at < len(top)) & ((at % 2 == 1) | (len(top) == 1)))
+            height[ask[(top[at[ask]] > least[ask]).astype(bool)]] = k
+            left = height < 0
+            at[left] = (at[left] + 1) // 2
+        for k in range(len(tree) - 2, -1, -1):
+            down = np.flatnonzero(height > k)
+            at[down] *= 2
+            at[down] += ~(tree[k][at[down]] > least[down]).astype(bool)
+        return np.where(height < 0, n, at)
+
+    def run(orders, ticks):
+        ticks = ticks.sort_by([("ts", "ascending"), ("id", "ascending")])  # nulls last
+        n = ticks.num_rows
+        has = lambda *names: np.logical_and.reduce([orders[c].is_valid().to_numpy() for c in names])
+        whole = lambda c: c.cast(pa.int64()).fill_null(0).to_numpy()
+        us, placed = whole(ticks["ts"]), whole(orders["ts"])
+        first, last = np.searchsorted(us, placed, "right"), np.searchsorted(us, placed + ttl, "right")
+        rank = np.unique(np.concatenate([ticks["px"].to_numpy(), orders["limit"].fill_null(0.0).to_numpy()]), return_inverse=True)[1]
+        px, limit = rank[:n], rank[n:]  # NaN the highest
+        ids = ticks["id"].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        moment = np.cumsum(np.append(False, (us[1:] != us[:-1]) | (ids[1:] != ids[:-1])))[:n]
+
+        below = first_beyond(-px, first, -limit)
+        below[(below >= last) | ~has("symbol", "order_id", "ts", "limit")] = n
+
+        sized = np.flatnonzero(ticks["size"].is_valid().to_numpy())
+        at = sized[np.argsort(px[sized], kind="stable")]  # by price, then time
+        size = whole(ticks["size"])[at]
+        total = sum(map(abs, size.tolist()))
+        kind = np.int64 if total < 1 << 61 else object  # object: Python's numbers don't overflow
+        done = np.cumsum(size.astype(kind))
+        key = px[at] * (n + 1) + at
+        begin, end = np.searchsorted(key, limit * (n + 1) + first), np.searchsorted(key, limit * (n + 1) + last)
+        turn = (px[at][1:] != px[at][:-1]) | (moment[at][1:] != moment[at][:-1])
+        ends = np.append(np.flatnonzero(turn), len(at) - 1)
+        together = done[ends[np.searchsorted(ends, np.arange(len(at)))]]
+        ahead = np.clip((whole(orders["ahead"]) // whole(orders["_n"])).astype(kind), -total - 1, total)
+        found = first_beyond(together, begin, np.concatenate([np.zeros(1, kind), done])[begin] + ahead)
+        ok = (found < end) & has("symbol", "order_id", "ts", "limit", "ahead")
+        queue = np.full(len(placed), n)
+        queue[ok] = at[found[ok]]
+
+        moment = np.append(moment, n)
+        through = moment[below] <= moment[queue]
+        hit = np.where(through, below, queue)
+        none = hit == n
+        return orders.select(["symbol", "order_id"]).append_column("fill_ts", ticks["ts"].take(pa.array(hit,
+            mask=none))).append_column("through", pa.array(through, mask=none))
+
+    return run
+
+
+def mixed_fills(orders: DataFrame, ticks: DataFrame, ttl_seconds: int) -> DataFrame:
+    """queue_fills of orders of several different rows (with their number _n): each row's ticks in its _cell, in one
+    running sum an order."""
+    o = orders.withColumn("_dies", F.col("ts") + F.make_dt_interval(secs=F.lit(ttl_seconds))).withColumnRenamed("ts", "_placed")
+    near = (o["symbol"] == ticks["symbol"]) & (o["_cell"] == ticks["_cell"])
+    t = o.join(ticks, near & (F.col("ts") > F.col("_placed")) & (F.col("ts") <= F.col("_dies")) & (F.col("px") <= F.col("limit")), "left")
+    w = Window.partitionBy(o["symbol"], "order_id").orderBy("ts", F.asc_nulls_last("id")).rangeBetween(Window.unboundedPreceding, 0)
+    size = F.when(F.col("px") == F.col("limit"), F.col("size").cast("decimal(20,0)")).when(F.col("px").isNotNull(), 0)
+    t = t.select(o["symbol"], "order_id", "_n", "ts", "id", "ahead", (F.col("px") < F.col("limit")).alias("through"),
+        F.sum(size).over(w).alias("_done"))
+    hit = F.struct("ts", F.col("id").isNull(), "id", (~F.col("through")).alias("rest"))
+    f = t.groupBy("symbol", "order_id").agg(F.min(F.when(F.col("ts").isNotNull() & (F.col("through") | (F.col("_done") > F.col("ahead"))),
+        hit)).alias("f"), F.first("_n").alias("n"))
+    return f.select("symbol", "order_id", F.col("f.ts").alias("fill_ts"), (~F.col("f.rest")).alias("through"),
+        F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("col")
 
 
 def round_trips(fills: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
